@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import contains_any, fold, search_text
+from dossier.functions.text import contains_any, fold, let, spaced
 
 # Suffix groups.
 IMAGES = (".png", ".jpg", ".jpeg")
@@ -44,17 +44,19 @@ NOT_SENT = "nein"
 PRIORITY_VALUES = ("priority_1_candidate", "priority_2_candidate", "nein")
 
 
-def is_structure_screenshot(rel_path: Column, ext: Column) -> Column:
-    text = search_text(rel_path)
-    named = text.contains(STRUCTURE_SOURCE) & contains_any(text, STRUCTURE_WORDS)
-    return ext.isin(*IMAGES) & (named | contains_any(text, STRONG_STRUCTURE_WORDS))
+def is_structure_screenshot(path: Column, ext: Column) -> Column:
+    """``path`` is folded already."""
+    def named(text: Column) -> Column:
+        from_source = text.contains(STRUCTURE_SOURCE) & contains_any(text, STRUCTURE_WORDS)
+        return from_source | contains_any(text, STRONG_STRUCTURE_WORDS)
 
+    return ext.isin(*IMAGES) & let(spaced(path), named)
 
-def _rules(rel_path: Column, ext: Column, older: bool) -> list[tuple[Column, str]]:
+
+def _rules(path: Column, ext: Column, older: bool) -> list[tuple[Column, str]]:
     """(condition, type) in order of precedence."""
-    path = fold(rel_path)
     newer_only = [
-        (is_structure_screenshot(rel_path, ext), "DFC_structure_screenshot"),
+        (is_structure_screenshot(path, ext), "DFC_structure_screenshot"),
         (ext == ".idw", "IDW_drawing"),
     ]
     return [
@@ -71,9 +73,11 @@ def _rules(rel_path: Column, ext: Column, older: bool) -> list[tuple[Column, str
 
 
 def doc_type(rel_path: Column, ext: Column, older: bool = False) -> Column:
-    first, *rest = _rules(rel_path, ext, older)
-    chain = reduce(lambda acc, rule: acc.when(*rule), rest, F.when(*first))
-    return chain.otherwise("unknown")
+    def first_rule(file: Column) -> Column:
+        first, *rest = _rules(file["path"], file["ext"], older)
+        return reduce(lambda acc, rule: acc.when(*rule), rest, F.when(*first)).otherwise("unknown")
+
+    return let(F.struct(fold(rel_path).alias("path"), ext.alias("ext")), first_rule)
 
 
 def send_priority(type_col: Column, older: bool = False) -> Column:

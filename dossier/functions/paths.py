@@ -39,7 +39,10 @@ def parent_dir(rel_path: Column) -> Column:
 
 def suffix(name: Column) -> Column:
     """Lower-case suffix with its dot; blank for none and for dot files."""
-    return F.lower(F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]+)$", 1))
+    shown = F.ltrim(name, F.lit("."))
+    last = F.substring_index(shown, ".", -1)
+    has_one = (F.length(last) < F.length(shown)) & (last != "")
+    return F.when(has_one, F.lower(F.concat(F.lit("."), last))).otherwise("")
 
 
 def stem(name: Column) -> Column:

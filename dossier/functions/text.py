@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +24,15 @@ EMPTY_WORDS = ("nan", "none")
 NUMBER = r"^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it.
+
+    A filter on a long rule chain is pushed below the projection that defines it, and there
+    common parts are not shared; this keeps such a chain small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -98,13 +106,18 @@ def header_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
 
 
+def spaced(folded: Column) -> Column:
+    """``_``, ``-`` and blanks reduced to single spaces."""
+    return strip(F.regexp_replace(folded, r"(?U)[_\-\s]+", " "))
+
+
 def search_text(c: Column) -> Column:
-    """Folded text with ``_``, ``-`` and blanks reduced to single spaces."""
-    return strip(F.regexp_replace(fold(c), r"(?U)[_\-\s]+", " "))
+    return spaced(fold(c))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return reduce(or_, (text.contains(word) for word in words))
+    """True when any word occurs in the text. One pattern keeps the expression small."""
+    return text.rlike("|".join(re.escape(word) for word in words))
 
 
 def safe_name(c: Column, max_len: int = 90) -> Column:

@@ -31,11 +31,17 @@ COMPACT_CODE = r"(?:^|[^A-Z0-9])([TB][LR][FB])(?:$|[^A-Z0-9])"
 BIT = {name: 1 << position for position, name in enumerate(DIRECTIONS)}
 
 
-def view_mask(name: Column) -> Column:
+def view_code(name: Column) -> Column:
+    """Compact three-letter code in a file name, blank for none."""
+    return F.regexp_extract(F.upper(stem(name)), COMPACT_CODE, 1)
+
+
+def view_words(name: Column) -> Column:
+    return F.split(fold(stem(name)), "[^a-zäöüß]+")
+
+
+def view_mask(code: Column, words: Column) -> Column:
     """Six-bit mask of the directions named by a file; a compact code wins over words."""
-    base = stem(name)
-    code = F.regexp_extract(F.upper(base), COMPACT_CODE, 1)
-    words = F.split(fold(base), "[^a-zäöüß]+")
 
     def bit(direction: str) -> Column:
         place, letter = CODE_LETTER[direction]

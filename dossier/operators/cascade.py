@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.ids import fragments, parts_of_lengths
 from dossier.functions.text import cell_id, plain_id, search_id
-from dossier.operators.spread import lookup_join, measured_bytes
+from dossier.operators.spread import lookup_join, measured_bytes, settled
 
 AMBIGUOUS_PREFIX = "AMBIGUOUS_"
 
@@ -28,11 +28,14 @@ def containment(ids: DataFrame, folders: DataFrame) -> DataFrame:
     ``ids(id)`` must be distinct. Per folder there are at most as many rows as its name
     has parts, however many items share an id.
     """
-    lengths = [row.n for row in ids.select(F.length("id").alias("n")).distinct().collect() if row.n]
+    # One small aggregate: the set of lengths is no larger than the longest id.
+    facts = ids.agg(F.collect_set(F.length("id")).alias("lengths"),
+                    F.sum(F.length("id").cast("bigint") + 32).alias("bytes")).first()
     parts = folders.select(
-        "folder", "key", F.explode(parts_of_lengths(F.col("key"), sorted(lengths) or [1])).alias("id")
+        "folder", "key", F.explode(parts_of_lengths(F.col("key"), sorted(facts.lengths) or [1])).alias("id")
     )
-    hits = lookup_join(parts, ids.withColumn("_wanted", F.lit(True)), ["id"], ["folder", "id"])
+    wanted = ids.withColumn("_wanted", F.lit(True))
+    hits = lookup_join(parts, wanted, ["id"], ["folder", "id"], known_bytes=facts.bytes or 0)
     return hits.where("_wanted").select("id", "folder", (F.col("key") == F.col("id")).alias("exact"))
 
 
@@ -76,8 +79,8 @@ def match_cascade(items: DataFrame, folders: DataFrame, shortest_fragment: int =
     as ambiguous. Returns ``item, folder, status, n_candidates, fragment``.
     """
     keyed_items, keyed_folders = _keyed(items, folders, plain_id, 1)
-    hits = containment(_all_ids(keyed_items), keyed_folders)
-    counted = _with_counts(keyed_items, hit_index(hits))
+    index = settled(hit_index(containment(_all_ids(keyed_items), keyed_folders)))
+    counted = _with_counts(keyed_items, index)
     steps = [
         ("n_exact_sap", "f_exact_sap", "EXACT_ASSEMBLY_ID"),
         ("n_exact_tc", "f_exact_tc", "EXACT_TEAMCENTER_ID"),
@@ -91,13 +94,14 @@ def match_cascade(items: DataFrame, folders: DataFrame, shortest_fragment: int =
     decided = counted.select("item", "sap", "tc", outcome.alias("o"))
 
     # Fragments are tried only for the second ids of items still open.
-    open_ids = decided.where("o is null and tc is not null").select("tc").distinct()
+    open_ids = settled(decided.where("o is null and tc is not null").select("tc").distinct())
     pieces = open_ids.select(
         "tc", F.posexplode(fragments(F.col("tc"), shortest_fragment)).alias("rank", "id")
     )
     index = hit_index(containment(pieces.select("id").distinct(), keyed_folders))
-    best = (
-        lookup_join(pieces, index.select("id", "n_in", "f_in"), ["id"], ["tc", "rank"])
+    index = settled(index.select("id", "n_in", "f_in"))
+    best = settled(
+        lookup_join(pieces, index, ["id"], ["tc", "rank"])
         .where("n_in is not null").groupBy("tc")
         .agg(F.min(F.struct("rank", F.col("n_in").alias("n"), F.col("f_in").alias("f"), "id")).alias("b"))
     )
@@ -135,7 +139,7 @@ def _both_ids(items: DataFrame, hits: DataFrame) -> DataFrame:
 def _counted_pairs(items: DataFrame, folders: DataFrame, norm, shortest: int) -> DataFrame:
     """Items with counts per id and for both, and ``n_any``: folders containing either."""
     keyed_items, keyed_folders = _keyed(items, folders, norm, shortest)
-    hits = containment(_all_ids(keyed_items), keyed_folders)
+    hits = settled(containment(_all_ids(keyed_items), keyed_folders))
     counted = _with_counts(keyed_items, hit_index(hits))
     counted = lookup_join(counted, _both_ids(keyed_items, hits), ["sap", "tc"], ["item"])
     same = F.coalesce(F.col("sap") == F.col("tc"), F.lit(False))

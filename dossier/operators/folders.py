@@ -103,9 +103,9 @@ def folder_matches(items: DataFrame, folders: DataFrame) -> DataFrame:
 def ambiguous_ids(items: DataFrame) -> DataFrame:
     """Ids on more than one list row, with the rows (long lists continue in further parts)."""
     rows = id_rows(items).select("id", "row_no")
-    several = id_index(items).where("n > 1").select("id", F.col("n").alias("n_rows"))
-    listed = lookup_join(rows, several, ["id"], ["row_no"]).where("n_rows is not null")
-    parts = listed_in_parts(listed, ["id", "n_rows"], ["row_no"], F.col("row_no").cast("string"), "rows")
+    parts = listed_in_parts(
+        rows, ["id"], ["row_no"], F.col("row_no").cast("string"), "rows", total="n_rows"
+    ).where("n_rows > 1")
     return parts.withColumn("rows", F.array_join("rows", ", "))
 
 
@@ -116,12 +116,10 @@ def _scan_ordered(matched: DataFrame) -> DataFrame:
 def duplicate_names(matched: DataFrame) -> DataFrame:
     """Names that more than one matched folder carries, over all categories."""
     rows = _scan_ordered(matched).withColumn("name", master_id(F.col("folder")))
-    several = rows.groupBy("name").agg(F.count("*").alias("n_folders")).where("n_folders > 1")
-    listed = lookup_join(rows, several, ["name"], ["path"]).where("n_folders is not null")
     parts = listed_in_parts(
-        listed, ["name", "n_folders"], ["_cat", "_name", "path"],
-        F.struct("category", "path"), "members",
-    )
+        rows, ["name"], ["_cat", "_name", "path"], F.struct("category", "path"), "members",
+        total="n_folders",
+    ).where("n_folders > 1")
     return parts.select(
         "name", "n_folders", "part",
         F.array_join(F.transform("members", lambda m: m["category"]), " | ").alias("categories"),
@@ -132,12 +130,10 @@ def duplicate_names(matched: DataFrame) -> DataFrame:
 def several_folders(matched: DataFrame) -> DataFrame:
     """List rows that more than one folder matched."""
     rows = _scan_ordered(matched)
-    several = rows.groupBy("row_no").agg(F.count("*").alias("n_folders")).where("n_folders > 1")
-    listed = lookup_join(rows, several, ["row_no"], ["path"]).where("n_folders is not null")
     parts = listed_in_parts(
-        listed, ["row_no", "sap", "teamcenter", "n_folders"], ["_cat", "_name", "path"],
-        F.struct("folder", "path"), "members",
-    )
+        rows, ["row_no", "sap", "teamcenter"], ["_cat", "_name", "path"],
+        F.struct("folder", "path"), "members", total="n_folders",
+    ).where("n_folders > 1")
     return parts.select(
         "row_no", "sap", "teamcenter", "n_folders", "part",
         F.array_join(F.transform("members", lambda m: m["folder"]), " | ").alias("folders"),

@@ -49,15 +49,16 @@ def label_order(matched: DataFrame) -> DataFrame:
             F.struct(F.col("predicted_label").alias("label"), F.lit(1).alias("only_predicted")),
         )
     )
+    as_truth = F.when(F.col("s.only_predicted") == 0, F.col("prediction_row"))
     first = (
         rows.select("model", "prediction_row", sides.alias("s"))
         .groupBy("model", F.col("s.label").alias("label"))
-        .agg(F.min(F.struct("s.only_predicted", "prediction_row")).alias("f"))
+        .agg(F.min(as_truth).alias("as_truth"), F.min("prediction_row").alias("any"))
+        .withColumn("only_predicted", F.col("as_truth").isNull())
     )
-    order = Window.partitionBy("model").orderBy("f.only_predicted", "f.prediction_row")
+    order = Window.partitionBy("model").orderBy("only_predicted", F.coalesce("as_truth", "any"))
     return first.select(
-        "model", "label", (F.col("f.only_predicted") == 1).alias("only_predicted"),
-        F.row_number().over(order).alias("ord"),
+        "model", "label", "only_predicted", F.row_number().over(order).alias("ord")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.paths import current_path
-from dossier.functions.text import cell_text, fold
+from dossier.functions.text import cell_text, fold, strip
 from dossier.operators.spread import best_rows, listed_in_parts
 
 # Where a resolved path came from, and the marks for existence.
@@ -18,7 +18,7 @@ SENT_PRIORITIES = ("priority_1_candidate", "priority_2_candidate")
 
 def with_priority(inventory: DataFrame, priorities: Sequence[str] = SENT_PRIORITIES) -> DataFrame:
     wanted = [value.casefold() for value in priorities]
-    return inventory.where(fold(cell_text(F.col("priority"))).isin(*wanted))
+    return inventory.where(fold(strip(F.col("priority"))).isin(*wanted))
 
 
 def resolve_files(

@@ -70,6 +70,15 @@ def lookup_join(
     return salted_rows.join(salted_lookup, [*on, "_salt"], "left").drop("_salt")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table written once to the shared checkpoint folder.
+
+    For intermediate results that are costly to compute and read more than once.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
     return counts.agg(F.max("_n")).first()[0] or 0
@@ -97,14 +106,10 @@ def numbered(
             name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
         )
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range bounds come from a sample, so the cut is written down before it is used twice.
-    cut = (
-        df.repartitionByRange(ranges, *group, *order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
+    cut = settled(
+        df.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id())
     )
     sizes = cut.groupBy("_range", *group).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(
@@ -133,21 +138,29 @@ def listed_in_parts(
     value: Column,
     name: str = "items",
     size: int = PART_SIZE,
+    total: str | None = None,
     plain_rows: int = PLAIN_GROUP_ROWS,
 ) -> DataFrame:
     """Ordered list per group as arrays of at most ``size`` members.
 
     Returns ``group``, ``part`` (0, 1, ...) and the array. A group of up to ``size`` rows
-    is one part; no array grows with the data and no member is left out.
+    is one part; no array grows with the data and no member is left out. ``total`` names a
+    column for the size of the whole group. The input is read twice: pass a settled table
+    if it is costly.
     """
     group = list(group)
     placed = numbered(df.withColumn("_value", value), group, order, "_pos", plain_rows)
     member = F.struct(F.col("_pos").alias("p"), F.col("_value").alias("v"))
-    return (
+    parts = (
         placed.withColumn("part", F.floor((F.col("_pos") - 1) / size).cast("bigint"))
         .groupBy(*group, "part")
         .agg(F.transform(F.array_sort(F.collect_list(member)), lambda m: m["v"]).alias(name))
     )
+    if total is None:
+        return parts
+    # One row per ``size`` members is left, so the window holds few rows.
+    counted = F.sum(F.size(name)).over(Window.partitionBy(*group)).cast("bigint")
+    return parts.withColumn(total, counted)
 
 
 def best_rows(

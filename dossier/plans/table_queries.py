@@ -158,6 +158,10 @@ def _matched_folders(spark, sf) -> DataFrame:
     return _folder_matches(spark, sf).where(F.col("status") == folders.MATCHED)
 
 
+def _settled_folders(spark, sf) -> DataFrame:
+    return spread.settled(_matched_folders(spark, sf))
+
+
 @query
 def folder_match(spark, sf):
     return _folder_matches(spark, sf)
@@ -176,12 +180,12 @@ def ambiguous_ids(spark, sf):
 
 @query
 def duplicate_names(spark, sf):
-    return folders.duplicate_names(_matched_folders(spark, sf))
+    return folders.duplicate_names(_settled_folders(spark, sf))
 
 
 @query
 def several_folders(spark, sf):
-    return folders.several_folders(_matched_folders(spark, sf))
+    return folders.several_folders(_settled_folders(spark, sf))
 
 
 @query
@@ -191,12 +195,13 @@ def missing_items(spark, sf):
 
 @query
 def collect_gate(spark, sf):
-    return folders.conflict_counts(given.customer_items(spark, sf), _folder_matches(spark, sf))
+    matches = spread.settled(_folder_matches(spark, sf))
+    return folders.conflict_counts(given.customer_items(spark, sf), matches)
 
 
 @query
 def copy_plan(spark, sf):
-    return folders.copy_plan(_matched_folders(spark, sf), "/data/processed", "conflicts")
+    return folders.copy_plan(_settled_folders(spark, sf), "/data/processed", "conflicts")
 
 
 @query
@@ -228,41 +233,47 @@ def match_by_name(spark, sf):
 
 # --- inventory ------------------------------------------------------------------------
 
+def _listing(spark, sf) -> DataFrame:
+    """The derived listing as a stored table in many parts, as a real listing would be."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.settled(given.line_files(spark, sf).repartition(parts, "rel_path"))
+
+
 @query
 def file_inventory(spark, sf):
-    return inventory.inventory(given.line_files(spark, sf))
+    return inventory.inventory(_listing(spark, sf))
 
 
 @query
 def file_inventory_older(spark, sf):
-    return inventory.inventory(given.line_files(spark, sf), older=True)
+    return inventory.inventory(_listing(spark, sf), older=True)
 
 
 @query
 def type_counts(spark, sf):
-    return inventory.type_counts(inventory.typed_files(given.line_files(spark, sf)))
+    return inventory.type_counts(inventory.typed_files(_listing(spark, sf)))
 
 
 @query
 def priority_summary(spark, sf):
     return inventory.priority_summary(
-        inventory.inventory(given.line_files(spark, sf)), given.supplier_folders(spark, sf)
+        inventory.inventory(_listing(spark, sf)), given.supplier_folders(spark, sf)
     )
 
 
 @query
 def skip_reasons(spark, sf):
-    return inventory.eligibility(given.line_files(spark, sf)).select("assembly", "rel_path", "skip_reason")
+    return inventory.eligibility(_listing(spark, sf)).select("assembly", "rel_path", "skip_reason")
 
 
 @query
 def skip_counts(spark, sf):
-    return inventory.skip_counts(given.line_files(spark, sf))
+    return inventory.skip_counts(_listing(spark, sf))
 
 
 @query
 def supported_counts(spark, sf):
-    return inventory.supported_counts(given.line_files(spark, sf))
+    return inventory.supported_counts(_listing(spark, sf))
 
 
 @query
@@ -276,7 +287,7 @@ def directory_index(spark, sf):
 
 
 def _resolved(spark, sf) -> DataFrame:
-    files = given.line_files(spark, sf)
+    files = _listing(spark, sf)
     typed = inventory.typed_files(files).withColumn(
         "file_path", F.concat(F.lit("/old/"), "assembly", F.lit("/"), "rel_path")
     )
@@ -292,7 +303,7 @@ def resolved_files(spark, sf):
 
 @query
 def resolved_file_lists(spark, sf):
-    return resolve.file_lists(_resolved(spark, sf))
+    return resolve.file_lists(spread.settled(_resolved(spark, sf)))
 
 
 @query
@@ -314,7 +325,7 @@ def request_table(spark, sf):
         given.padded("A", "s_suppkey", 6).alias("item"),
         answers.question_all_files(F.col("s_name"), CLASSES).alias("prompt"),
     )
-    files = given.line_files(spark, sf).select(F.col("assembly").alias("item"), F.col("rel_path").alias("path"), "length")
+    files = _listing(spark, sf).select(F.col("assembly").alias("item"), F.col("rel_path").alias("path"), "length")
     requests = labelling.request_table(prompts, files)
     return requests.withColumn("paths", F.array_join("paths", "\n"))
 
@@ -558,7 +569,7 @@ def rows_below_header(spark, sf):
 
 @query
 def path_parts(spark, sf):
-    files = given.line_files(spark, sf)
+    files = _listing(spark, sf)
     name = paths.file_name(F.col("rel_path"))
     return files.select(
         "assembly", "rel_path", paths.suffix(name).alias("ext"), paths.stem(name).alias("stem"),
