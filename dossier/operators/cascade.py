@@ -54,7 +54,7 @@ def _keyed(items: DataFrame, folders: DataFrame, norm: Callable[[Column], Column
         return F.when(F.length(value) >= shortest, value)
 
     keyed_items = items.select("item", key("sap").alias("sap"), key("teamcenter").alias("tc"))
-    keyed_folders = folders.select("folder", norm(F.col("name")).alias("key")).where("key <> ''")
+    keyed_folders = folders.select("folder", norm(F.col("name")).alias("key"))
     return keyed_items, keyed_folders
 
 

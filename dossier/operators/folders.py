@@ -58,28 +58,27 @@ def folder_matches(items: DataFrame, folders: DataFrame) -> DataFrame:
     two ids, so it is counted twice exactly when both were found.
     """
     named = folders.withColumn("ids", embedded_ids(master_id(F.col("folder"))))
-    found = named.select("path", F.posexplode("ids").alias("pos", "id"))
-    hits = lookup_join(found, id_index(items), ["id"], ["path"]).where("n is not null")
-    per_folder = hits.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("placed"),  # within one name
-        F.sum("n").alias("n_sum"), F.min("item").alias("item"),
-    ).withColumn("found_ids", F.transform("placed", lambda x: x["id"]))
-
-    pairs = (
-        per_folder.where(F.size("found_ids") > 1)
-        .select("path", F.explode("found_ids").alias("low"), "found_ids")
-        .select("path", "low", F.explode("found_ids").alias("high")).where("low < high")
+    none = F.lit(None).cast("string")
+    singles = F.transform(
+        "ids", lambda x, at: F.struct(at.alias("pos"), x.alias("id"), none.alias("low"), none.alias("high"))
     )
-    overlap = (
-        lookup_join(pairs, _shared_rows(items), ["low", "high"], ["path"])
-        .where("shared is not null").groupBy("path").agg(F.sum("shared").alias("twice"))
-    )
-    n_rows = F.coalesce(F.col("n_sum") - F.coalesce(F.col("twice"), F.lit(0)), F.lit(0))
+    pairs = F.flatten(F.transform("ids", lambda x: F.transform(
+        F.filter("ids", lambda y: x < y),
+        lambda y: F.struct(F.lit(None).cast("int").alias("pos"), none.alias("id"), x.alias("low"), y.alias("high")),
+    )))
+    entries = named.select(
+        "category", "folder", "path", F.explode_outer(F.concat(singles, pairs)).alias("e")
+    ).select("category", "folder", "path", "e.*")
+    looked = lookup_join(entries, id_index(items), ["id"], ["path"])
+    looked = lookup_join(looked, _shared_rows(items), ["low", "high"], ["path"])
+    known = F.when(F.col("n").isNotNull(), F.struct("pos", "id"))
     joined = (
-        named.select("category", "folder", "path")
-        .join(per_folder.select("path", "found_ids", "n_sum", "item"), "path", "left")
-        .join(overlap, "path", "left")
-        .withColumn("n_rows", n_rows)
+        looked.groupBy("category", "folder", "path").agg(
+            F.array_sort(F.collect_list(known)).alias("placed"),  # ids within one name
+            F.sum("n").alias("n_sum"), F.sum("shared").alias("twice"), F.min("item").alias("item"),
+        )
+        .withColumn("n_rows", F.coalesce("n_sum", F.lit(0)) - F.coalesce("twice", F.lit(0)))
+        .withColumn("found_ids", F.when(F.size("placed") > 0, F.transform("placed", lambda x: x["id"])))
     )
     one = F.col("n_rows") == 1
     by = F.concat_ws(

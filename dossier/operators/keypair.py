@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import sheet_key
-from dossier.operators.spread import lookup_join
+from dossier.operators.spread import lookup_join, settled
 
 BOTH, ONE_SAP, ONE_TC = "BOTH", "SAP", "TEAMCENTER"
 NONE, DIFFERENT, SEVERAL = "NONE", "DIFFERENT_ROWS", "AMBIGUOUS"
@@ -35,12 +35,27 @@ def find_rows(
     def key(name: str) -> Column:
         return F.nullif(sheet_key(F.col(name)), F.lit(""))
 
+    none = F.lit(None).cast("string")
     rows = source.select(*within, key("sap").alias("_sap"), key("teamcenter").alias("_tc"),
                          F.struct("row_no", *payload).alias("_row"))
+    kinds = F.explode(F.array(*[
+        F.struct(F.lit(tag).alias("tag"), sap.alias("sap"), tc.alias("tc"))
+        for tag, sap, tc in (("s", F.col("_sap"), none), ("t", none, F.col("_tc")),
+                             ("b", F.col("_sap"), F.col("_tc")))
+    ]))
+    needed = {"s": "k.sap is not null", "t": "k.tc is not null",
+              "b": "k.sap is not null and k.tc is not null"}
+    usable = " or ".join(f"(k.tag = '{tag}' and {test})" for tag, test in needed.items())
+    # One pass over the source counts it by the first key, the second and both.
+    lookups = settled(
+        rows.select(*within, "_row", kinds.alias("k")).where(usable)
+        .groupBy(*within, "k.tag", F.col("k.sap").alias("_sap"), F.col("k.tc").alias("_tc"))
+        .agg(F.count("*").alias("_n"), F.min("_row").alias("_row"))
+    )
     found = target.withColumn("_sap", key("sap")).withColumn("_tc", key("teamcenter"))
-    for keys, tag in ((["_sap"], "s"), (["_tc"], "t"), (["_sap", "_tc"], "b")):
-        lookup = rows.dropna(subset=keys).groupBy(*within, *keys).agg(
-            F.count("*").alias(f"_n{tag}"), F.min("_row").alias(f"_row_{tag}")
+    for tag, keys in (("s", ["_sap"]), ("t", ["_tc"]), ("b", ["_sap", "_tc"])):
+        lookup = lookups.where(F.col("tag") == tag).select(
+            *within, *keys, F.col("_n").alias(f"_n{tag}"), F.col("_row").alias(f"_row_{tag}")
         )
         found = lookup_join(found, lookup, [*within, *keys], spread_by)
     found = found.na.fill(0, ["_ns", "_nt", "_nb"])

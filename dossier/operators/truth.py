@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import label_text, plain_id
-from dossier.operators.spread import best_rows, lookup_join
+from dossier.operators.spread import best_rows, lookup_join, settled
 
 # How a prediction found its truth.
 BY_SAP, BY_TEAMCENTER, NOT_MATCHED = "SAP", "TEAMCENTER", "NOT_MATCHED"
@@ -19,43 +19,40 @@ def _blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _keyed_truth(truth: DataFrame, id_column: str) -> DataFrame:
-    """(key, label, row_no) of rows with both an id and a label."""
-    return truth.select(
-        plain_id(F.col(id_column)).alias("key"), label_text(F.col("label")).alias("label"), "row_no"
-    ).where("key <> '' and label <> ''")
+def _keyed_truth(truth: DataFrame, id_columns: Sequence[str]) -> DataFrame:
+    """(id_type, key, label, row_no) of rows with both an id and a label, in one pass."""
+    ids = F.explode(F.array(*[
+        F.struct(F.lit(ID_TYPES.get(c, c)).alias("id_type"), plain_id(F.col(c)).alias("key"))
+        for c in id_columns
+    ]))
+    return (
+        truth.select(label_text(F.col("label")).alias("label"), "row_no", ids.alias("id"))
+        .where("id.key <> '' and label <> ''").select("id.id_type", "id.key", "label", "row_no")
+    )
 
 
-def truth_lookup(truth: DataFrame, id_column: str) -> DataFrame:
-    """One row per id: its label and the last row that names it."""
-    return _keyed_truth(truth, id_column).groupBy("key").agg(
+def truth_lookups(truth: DataFrame, id_columns: Sequence[str] = ("sap", "teamcenter")) -> DataFrame:
+    """One row per id type and id: its label and the last row that names it."""
+    return _keyed_truth(truth, id_columns).groupBy("id_type", "key").agg(
         F.max_by("label", "row_no").alias("label"), F.max("row_no").alias("row_no")
     )
 
 
 def truth_conflicts(truth: DataFrame, id_columns: Sequence[str] = ("sap", "teamcenter")) -> DataFrame:
     """Ids with more than one label: the first two labels in row order and where they start."""
-    reports = []
-    for column in id_columns:
-        per_label = _keyed_truth(truth, column).groupBy("key", "label").agg(
-            F.min("row_no").alias("first_row")
-        )
-        several = per_label.groupBy("key").agg(F.count("*").alias("n_labels")).where("n_labels > 1")
-        two = best_rows(per_label, ["key"], ["first_row", "label"], keep=2).groupBy("key").agg(
-            F.min(F.struct("first_row", "label")).alias("a"),
-            F.max(F.struct("first_row", "label")).alias("b"),
-        )
-        reports.append(
-            several.join(two, "key").select(
-                F.lit(ID_TYPES.get(column, column)).alias("id_type"), "key", "n_labels",
-                F.col("a.first_row").alias("row_a"), F.col("a.label").alias("label_a"),
-                F.col("b.first_row").alias("row_b"), F.col("b.label").alias("label_b"),
-            )
-        )
-    result = reports[0]
-    for report in reports[1:]:
-        result = result.unionByName(report)
-    return result
+    key = ["id_type", "key"]
+    per_label = _keyed_truth(truth, id_columns).groupBy(*key, "label").agg(
+        F.min("row_no").alias("first_row")
+    )
+    several = per_label.groupBy(*key).agg(F.count("*").alias("n_labels")).where("n_labels > 1")
+    two = best_rows(per_label, key, ["first_row", "label"], keep=2).groupBy(*key).agg(
+        F.min(F.struct("first_row", "label")).alias("a"),
+        F.max(F.struct("first_row", "label")).alias("b"),
+    )
+    return several.join(two, key).select(
+        *key, "n_labels", F.col("a.first_row").alias("row_a"), F.col("a.label").alias("label_a"),
+        F.col("b.first_row").alias("row_b"), F.col("b.label").alias("label_b"),
+    )
 
 
 def require_consistent_truth(truth: DataFrame, id_columns: Sequence[str] = ("sap", "teamcenter")) -> None:
@@ -81,12 +78,15 @@ def match_predictions(predictions: DataFrame, truth: DataFrame) -> DataFrame:
         _blank_to_null(plain_id(F.col("sap"))).alias("sap_key"),
         _blank_to_null(plain_id(F.col("teamcenter"))).alias("tc_key"),
     )
-    by_sap = truth_lookup(truth, "sap").select(
-        F.col("key").alias("sap_key"), F.col("label").alias("sap_label"), F.col("row_no").alias("sap_row")
-    )
-    by_tc = truth_lookup(truth, "teamcenter").select(
-        F.col("key").alias("tc_key"), F.col("label").alias("tc_label"), F.col("row_no").alias("tc_row")
-    )
+    lookups = settled(truth_lookups(truth))
+
+    def lookup(column: str, tag: str) -> DataFrame:
+        return lookups.where(F.col("id_type") == ID_TYPES[column]).select(
+            F.col("key").alias(f"{tag}_key"), F.col("label").alias(f"{tag}_label"),
+            F.col("row_no").alias(f"{tag}_row"),
+        )
+
+    by_sap, by_tc = lookup("sap", "sap"), lookup("teamcenter", "tc")
     spread = ["model", "prediction_row"]
     joined = lookup_join(rows, by_sap, ["sap_key"], spread)
     # A row decided by the first id needs no second look-up.

@@ -88,7 +88,7 @@ def eval_largest_axis(spark, sf):
 
 @query
 def truth_lookup(spark, sf):
-    return truth.truth_lookup(given.order_truth(spark, sf), "sap")
+    return truth.truth_lookups(given.order_truth(spark, sf))
 
 
 @query

@@ -117,8 +117,9 @@ firsts AS (
   select="""SELECT model, label, only_predicted,
   row_number() OVER (PARTITION BY model ORDER BY only_predicted, f) AS ord FROM firsts""")
 SQL["eval_largest_axis"] = with_ctes(AXIS, CLASSES_CTE.split(",\nsummary AS")[0], select=PER_CLASS)
-SQL["truth_lookup"] = """SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS label, o_orderkey AS row_no
-FROM orders WHERE o_orderstatus <> 'P'"""
+SQL["truth_lookup"] = """SELECT 'SAP' AS id_type, CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS label, o_orderkey AS row_no
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'Teamcenter', 't' || CAST(o_orderkey AS VARCHAR), o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus <> 'P'"""
 SQL["truth_conflicts"] = """WITH t AS (
   SELECT 'SAP' AS id_type, CAST(user_id AS VARCHAR) AS key, event_type AS label, event_id AS row_no FROM events
   UNION ALL
