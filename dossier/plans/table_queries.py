@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import answers, paths, text
-from dossier.functions.class_rules import CLASSES, feature_label
+from dossier.functions.class_rules import CLASSES, FEATURES, feature_label
 from dossier.functions.ids import embedded_ids, fragments
 from dossier.operators import (
     cascade, folders, inventory, keypair, labelling, manifests, metrics, questions, resolve,
@@ -421,18 +421,18 @@ def prompts(spark, sf):
     )
 
 
-def offline_client():
+def offline_client(features=FEATURES, combined=CLASSES[3], fallback=answers.NOT_CLASSIFIABLE):
     """Labelling function for runs without a service: the word rules on the prompt's name."""
-    from dossier.functions.class_rules import CLASSES, FEATURES
-    from dossier.functions.answers import NOT_CLASSIFIABLE
+    def make_client():
+        def answer(prompt, _paths):
+            name = prompt.split("\n", 1)[0].split(": ", 1)[1].casefold()
+            hits = [label for label, words in features.items() if any(w in name for w in words)]
+            label = hits[0] if len(hits) == 1 else combined if hits else fallback
+            return f"`{label.lower()}`", {"totalTokenCount": len(prompt)}
 
-    def answer(prompt, _paths):
-        name = prompt.split("\n", 1)[0].split(": ", 1)[1].casefold()
-        hits = [c for c, words in FEATURES.items() if any(w in name for w in words)]
-        label = hits[0] if len(hits) == 1 else CLASSES[3] if hits else NOT_CLASSIFIABLE
-        return f"`{label.lower()}`", {"totalTokenCount": len(prompt)}
+        return answer
 
-    return answer
+    return make_client
 
 
 def _labelled(spark, sf) -> DataFrame:
@@ -442,7 +442,7 @@ def _labelled(spark, sf) -> DataFrame:
         F.expr("array()").cast("array<string>").alias("paths"),
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return labelling.label_requests(requests, offline_client, tasks, wait_seconds=0)
+    return labelling.label_requests(requests, offline_client(), tasks, wait_seconds=0)
 
 
 @query

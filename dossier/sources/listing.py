@@ -21,45 +21,50 @@ ENTRY_SCHEMA = (
 )
 
 
-def _list_level(batches):
-    import os
-
-    import pandas as pd
-
-    names = ["assembly", "rel_path", "path", "is_dir", "length", "mtime", "error"]
-
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=names)
-        out["mtime"] = pd.to_datetime(out["mtime"], unit="s", utc=True).dt.tz_localize(None)
-        out["length"] = out["length"].astype("Int64")
-        return out
-
-    for batch in batches:
-        rows = []
-        for assembly, rel_path, path in zip(batch["assembly"], batch["rel_path"], batch["path"]):
-            top = not assembly
-            try:
-                with os.scandir(path) as entries:
-                    for entry in entries:
-                        rel = entry.name if top or not rel_path else f"{rel_path}/{entry.name}"
-                        owner, below = (entry.name, "") if top else (assembly, rel)
-                        # Links to folders count as folders only at the top level.
-                        if entry.is_dir(follow_symlinks=top):
-                            rows.append((owner, below, entry.path, True, None, None, None))
-                        elif not top and entry.is_file():
-                            try:
-                                stat = entry.stat()
-                                rows.append((owner, below, entry.path, False,
-                                             stat.st_size, stat.st_mtime, None))
-                            except OSError as problem:
-                                rows.append((owner, below, entry.path, False, None, None, str(problem)))
-                        if len(rows) >= 10_000:
-                            yield frame(rows)
-                            rows = []
-            except OSError as problem:
-                rows.append((assembly, rel_path, path, False, None, None, str(problem)))
-        if rows:
-            yield frame(rows)
+def _level_lister():
+    """Task function that lists one level; nested, so that it travels with the job."""
+    def list_level(batches):
+        import os
+
+        import pandas as pd
+
+        names = ["assembly", "rel_path", "path", "is_dir", "length", "mtime", "error"]
+
+        def frame(rows):
+            out = pd.DataFrame(rows, columns=names)
+            seconds = pd.to_numeric(out["mtime"])
+            out["mtime"] = pd.to_datetime(seconds, unit="s", utc=True).dt.floor("us")
+            out["length"] = out["length"].astype("Int64")
+            return out
+
+        for batch in batches:
+            rows = []
+            for assembly, rel_path, path in zip(batch["assembly"], batch["rel_path"], batch["path"]):
+                top = not assembly
+                try:
+                    with os.scandir(path) as entries:
+                        for entry in entries:
+                            rel = entry.name if top or not rel_path else f"{rel_path}/{entry.name}"
+                            owner, below = (entry.name, "") if top else (assembly, rel)
+                            # Links to folders count as folders only at the top level.
+                            if entry.is_dir(follow_symlinks=top):
+                                rows.append((owner, below, entry.path, True, None, None, None))
+                            elif not top and entry.is_file():
+                                try:
+                                    stat = entry.stat()
+                                    rows.append((owner, below, entry.path, False,
+                                                 stat.st_size, stat.st_mtime, None))
+                                except OSError as problem:
+                                    rows.append((owner, below, entry.path, False, None, None, str(problem)))
+                            if len(rows) >= 10_000:
+                                yield frame(rows)
+                                rows = []
+                except OSError as problem:
+                    rows.append((assembly, rel_path, path, False, None, None, str(problem)))
+            if rows:
+                yield frame(rows)
+
+    return list_level
 
 
 def list_tree(spark: SparkSession, root: str, parallelism: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,7 +79,7 @@ def list_tree(spark: SparkSession, root: str, parallelism: int | None = None) ->
                                      "assembly string, rel_path string, path string")
     levels: list[DataFrame] = []
     while not frontier.isEmpty():
-        level = frontier.repartition(tasks, "path").mapInPandas(_list_level, ENTRY_SCHEMA).checkpoint()
+        level = frontier.repartition(tasks, "path").mapInPandas(_level_lister(), ENTRY_SCHEMA).checkpoint()
         levels.append(level)
         frontier = level.where("is_dir").select("assembly", "rel_path", "path")
     entries = reduce(lambda a, b: a.unionByName(b), levels)
