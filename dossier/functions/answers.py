@@ -117,6 +117,11 @@ def question_name_only(name: Column, labels: Sequence[str]) -> Column:
 
 
 def question_prioritised(name: Column, file_names: Column, labels: Sequence[str]) -> Column:
+    return F.concat(prioritised_head(name), bullets(file_names), prioritised_tail(labels))
+
+
+def prioritised_head(name: Column) -> Column:
+    """Prompt up to the list of files."""
     return F.concat(
         F.lit(
             "Du bist ein technischer Experte fuer Baugruppenklassifikation im Maschinen- und "
@@ -129,15 +134,18 @@ def question_prioritised(name: Column, file_names: Column, labels: Sequence[str]
         ),
         name,
         F.lit("\n\nBeigefuegte Dateien:\n"),
-        bullets(file_names),
-        F.lit(
-            f"\n\nZulaessige Funktionsklassen:\n{label_bullets(labels)}\n\nRegeln:\n"
-            "- Orientiere die Klassifikation immer an der Hauptfunktion der Baugruppe.\n"
-            "- Waehle genau eine Funktionsklasse aus der Liste.\n"
-            "- Antworte ausschliesslich mit dem exakten Namen der Funktionsklasse, nie mit einer "
-            "Abkuerzung.\n- Keine Erklaerung, keine zusaetzlichen Woerter.\n"
-            f'- Wenn keine Klasse eindeutig passt, waehle "{NOT_CLASSIFIABLE}".\n\nAntwort:'
-        ),
+    )
+
+
+def prioritised_tail(labels: Sequence[str]) -> Column:
+    """Prompt after the list of files."""
+    return F.lit(
+        f"\n\nZulaessige Funktionsklassen:\n{label_bullets(labels)}\n\nRegeln:\n"
+        "- Orientiere die Klassifikation immer an der Hauptfunktion der Baugruppe.\n"
+        "- Waehle genau eine Funktionsklasse aus der Liste.\n"
+        "- Antworte ausschliesslich mit dem exakten Namen der Funktionsklasse, nie mit einer "
+        "Abkuerzung.\n- Keine Erklaerung, keine zusaetzlichen Woerter.\n"
+        f'- Wenn keine Klasse eindeutig passt, waehle "{NOT_CLASSIFIABLE}".\n\nAntwort:'
     )
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +32,24 @@ def request_files(files: DataFrame) -> DataFrame:
     return files.withColumn("media_type", kind).where("media_type is not null")
 
 
-def request_table(prompts: DataFrame, files: DataFrame, files_per_request: int = 1000) -> DataFrame:
-    """One request per item, or several parts for an item with very many files.
+def request_table(
+    prompts: DataFrame, files: DataFrame, key: str = "item", files_per_part: int = 1000
+) -> DataFrame:
+    """Requests as rows of at most ``files_per_part`` files: ``part`` 0, 1, ... of an item
+    make one request, with the prompt in part 0.
 
-    ``prompts(item, prompt)``. Items without files keep one request without any.
+    ``prompts(item, prompt, key)`` and ``files(key, path, length)``: the key may be the
+    item or a folder that several items share, whose list is then made once. Items without
+    files keep one row.
     """
-    sendable = request_files(files)
     parts = listed_in_parts(
-        sendable, ["item"], ["path"], F.struct("path", "media_type", "length"), "files",
-        files_per_request,
+        request_files(files), [key], ["path"], F.struct("path", "media_type", "length"), "files",
+        files_per_part,
     )
-    joined = prompts.join(parts, "item", "left")
-    return joined.select(
-        *prompts.columns, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
+    return prompts.join(parts, key, "left").select(
+        "item",
+        F.when(F.coalesce("part", F.lit(0)) == 0, F.col("prompt")).otherwise("").alias("prompt"),
+        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
         F.coalesce(F.transform("files", lambda f: f["path"]),
                    F.expr("array()").cast("array<string>")).alias("paths"),
         F.coalesce(F.size("files"), F.lit(0)).alias("n_files"),
@@ -61,25 +69,28 @@ def label_requests(
     accepted: Sequence[str] | None = None,
     repeat_hint: str = "",
 ) -> DataFrame:
-    """Ask the user's function for every request; one client per partition.
+    """Ask the user's function once per item; one client per partition.
 
-    ``make_client()`` returns a function of (prompt, paths) that gives the answer text or
-    a pair of text and usage counts. A raised error is retried after ``wait_seconds`` times
-    the attempt and ends in ``error``. With ``accepted`` labels an unaccepted answer is
-    asked once more with ``repeat_hint`` added. Usage belongs to its own row only.
+    ``requests(item, part, prompt, paths)``; the parts of an item are put together in
+    order, texts and paths alike. ``make_client()`` returns a function of (prompt, paths)
+    that gives the answer text or a pair of text and usage counts. A raised error is
+    retried after ``wait_seconds`` times the attempt and ends in ``error``. With
+    ``accepted`` labels an unaccepted answer is asked once more with ``repeat_hint`` added.
+    Usage belongs to its own item only.
 
-    Rows are placed by a hash of the request, so a task that is run again sees the same
-    rows. Write the result before using it twice: every evaluation makes the calls again.
+    Rows are placed by a hash of the item, so a task that is run again sees the same rows.
+    Write the result before using it twice: every evaluation makes the calls again.
     """
     allowed = None if accepted is None else {label.casefold() for label in accepted}
-    columns = requests.columns
-    schema = T.StructType([*requests.schema.fields, *ANSWER_FIELDS])
+    schema = T.StructType([requests.schema["item"], *ANSWER_FIELDS])
+    names = schema.fieldNames()
+    emit_rows = 1000
 
-    def one(client: Callable, prompt: str, file_paths: Iterable[str]):
+    def one(client: Callable, prompt: str, file_paths: list):
         error = None
         for attempt in range(1, attempts + 1):
             try:
-                answer = client(prompt, list(file_paths))
+                answer = client(prompt, file_paths)
                 text, usage = answer if isinstance(answer, tuple) else (answer, None)
                 return str(text).strip(), None, attempt, usage
             except Exception as caught:  # a failed call becomes a value of its row
@@ -88,24 +99,33 @@ def label_requests(
                     time.sleep(wait_seconds * attempt)
         return None, error, attempts, None
 
+    def reply(client: Callable, prompt: str, file_paths: list):
+        first = one(client, prompt, file_paths)
+        if allowed is None or first[0] is None or first[0].strip("`\"' ").casefold() in allowed:
+            return first
+        again = one(client, prompt + repeat_hint, file_paths)
+        return again[0], again[1], first[2] + again[2], again[3]
+
     def ask(batches):
         client = make_client()
-        for batch in batches:
-            answers = []
-            for prompt, file_paths in zip(batch["prompt"], batch["paths"]):
-                reply = one(client, prompt, file_paths)
-                if allowed is not None and reply[0] is not None:
-                    if reply[0].strip("`\"' ").casefold() not in allowed:
-                        again = one(client, prompt + repeat_hint, file_paths)
-                        reply = (again[0], again[1], reply[2] + again[2], again[3])
-                answers.append(reply)
-            out = batch[columns].copy()
-            for place, field in enumerate(ANSWER_FIELDS):
-                out[field.name] = [reply[place] for reply in answers]
-            yield out
-
-    keys = [F.col(c) for c in ("item", "prompt", "part") if c in columns]
-    return requests.repartition(parallelism, *keys).mapInPandas(ask, schema)
+        rows = (row for batch in batches for row in zip(batch["item"], batch["prompt"], batch["paths"]))
+        done = []
+        for item, parts in groupby(rows, key=itemgetter(0)):
+            prompt, file_paths = "", []
+            for _, text, some in parts:
+                prompt += text
+                file_paths.extend(some)
+            done.append((item, *reply(client, prompt, file_paths)))
+            if len(done) >= emit_rows:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if done:
+            yield pd.DataFrame(done, columns=names)
+
+    return (
+        requests.select("item", "part", "prompt", "paths").repartition(parallelism, "item")
+        .sortWithinPartitions("item", "part").mapInPandas(ask, schema)
+    )
 
 
 def pending(requests: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

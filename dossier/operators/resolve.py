@@ -36,10 +36,13 @@ def resolve_files(
                                 cell_text(F.col("relative_subfolder")), cell_text(F.col("file_name")))
     ).withColumn("noted", F.nullif(cell_text(F.col("file_path")), F.lit("")))
     existing = listing.select("path").distinct()
+    # Rows that need no second look get a key of their own that no path can equal; as nulls
+    # they would all meet in one task.
+    own_key = F.concat(F.lit("\x00"), F.col("current"))
     found = (
         rows.join(existing.select(F.col("path").alias("current"), F.lit(True).alias("_now")),
                   "current", "left")
-        .withColumn("_look", F.when(F.col("_now").isNull(), F.col("noted")))
+        .withColumn("_look", F.coalesce(F.when(F.col("_now").isNull(), F.col("noted")), own_key))
         .join(existing.select(F.col("path").alias("_look"), F.lit(True).alias("_old")), "_look", "left")
     )
     use_old = F.coalesce(F.col("_old"), F.lit(False))

@@ -15,7 +15,7 @@ from dossier.functions import answers, text
 from dossier.operators import (
     cascade, folders, inventory, keypair, labelling, metrics, questions, resolve, truth,
 )
-from dossier.operators.spread import listed_in_parts, settled
+from dossier.operators.spread import PART_SIZE, listed_in_parts, lookup_join, settled
 
 
 def collect(items: DataFrame, found: DataFrame, target: str, copy: bool = False) -> dict[str, DataFrame]:
@@ -72,8 +72,9 @@ def classify_all_files(
     items: DataFrame, all_folders: DataFrame, files: DataFrame, labels: Sequence[str],
     make_client: Callable, model: str, run_timestamp: str, parallelism: int,
     done: DataFrame | None = None,
-) -> DataFrame:
-    """One row per item: matched folder, files used, answer, label and status.
+) -> dict[str, DataFrame]:
+    """``results``: one row per item with folder, answer, label and status; ``used_files``:
+    the files sent, once per folder.
 
     ``items(item, sap, teamcenter, name)``, ``all_folders(folder, name)``,
     ``files(folder, path, rel_path, length)``. Files below the ignore directory are left
@@ -84,33 +85,35 @@ def classify_all_files(
     match = settled(cascade.match_cascade(items.select("item", "sap", "teamcenter"), all_folders))
     sendable = inventory.supported_files(files).where(~F.col("ignored"))
     # Folders rather than items carry the file lists: several items may share a folder.
-    per_folder = sendable.groupBy("folder").agg(F.count("*").alias("n_files"))
+    per_folder = settled(sendable.groupBy("folder").agg(F.count("*").alias("n_files")))
     rows = (
-        items.join(match, "item").join(per_folder, "folder", "left")
+        lookup_join(items.join(match, "item"), per_folder, ["folder"], ["item"])
         .withColumn("has_id", text.text_or_blank(F.col("sap")) != "")
         .withColumn("blank_name", text.text_or_blank(F.col("name")) == "")
     )
     ready = rows.where("has_id and not blank_name and coalesce(n_files, 0) > 0")
-    request_files = ready.select("item", "folder").join(sendable.select("folder", "path", "length"), "folder")
-    prompts = ready.select("item", answers.question_all_files(F.col("name"), labels).alias("prompt"))
-    requests = labelling.request_table(prompts, settled(request_files.select("item", "path", "length")))
+    prompts = ready.select(
+        "item", "folder", answers.question_all_files(F.col("name"), labels).alias("prompt"))
+    requests = labelling.request_table(prompts, sendable, key="folder")
     # A request is answered once: the answers are written before they are joined and read.
-    replies = settled(labelling.label_requests(requests, make_client, parallelism).where("part = 0"))
+    replies = settled(labelling.label_requests(requests, make_client, parallelism))
     label = answers.tolerant_label(F.col("response"), labels)
     status = answers.run_status(
         F.col("has_id"), F.col("name"), F.col("n_files"), F.col("status"), F.col("response"), F.col("error"), label
     )
     answered = F.col("response").isNotNull()
-    return rows.join(replies.select("item", "response", "error", "usage", "paths"), "item", "left").select(
+    results = rows.join(replies, "item", "left").select(
         "item", "sap", "teamcenter", "name",
         F.when(answered, F.coalesce(label, F.lit(answers.UNRECOGNISED))).alias("predicted_label"),
         F.col("response").alias("raw_response"), status.alias("processing_status"),
-        F.array_join("paths", "\n").alias("files_used"), F.coalesce("n_files", F.lit(0)).alias("file_count"),
+        F.coalesce("n_files", F.lit(0)).alias("file_count"),
         F.col("folder").alias("matched_folder"), F.col("status").alias("folder_match_status"),
         F.when(answered, F.lit(model)).alias("run_model"), F.when(answered, F.lit("all_files")).alias("run_mode"),
         F.when(answered, F.lit(run_timestamp)).alias("run_timestamp"),
         F.when(answered, answers.usage_json(F.col("usage"))).alias("token_usage_json"),
     )
+    used = sendable.join(prompts.select("folder").distinct(), "folder", "left_semi")
+    return {"results": results, "used_files": used.select("folder", "path", "length")}
 
 
 def classify_prioritised(
@@ -130,25 +133,32 @@ def classify_prioritised(
     counts = resolve.file_counts(resolved).withColumnRenamed("assembly", "folder")
     name = text.cell_text(F.col("name"))
     cases = (
-        items.withColumn("name", name).join(match, "item").join(counts, "folder", "left")
+        lookup_join(items.withColumn("name", name).join(match, "item"), counts, ["folder"], ["item"])
         .na.fill(0, ["existing", "missing"])
         .withColumn("ready", answers.precheck_status(
             F.col("name"), F.col("folder"), F.col("status"), F.col("existing"), F.col("missing")))
     )
-    used = cases.where("folder is not null and name <> ''").select("item", "folder").join(
-        resolved.withColumnRenamed("assembly", "folder"), "folder")
-    lists = resolve.file_lists(resolved).where("part = 0").select(
-        F.col("assembly").alias("folder"), "files", "missing_files")
-    cases = cases.join(lists, "folder", "left")
+    by_folder = resolved.withColumnRenamed("assembly", "folder")
+    considered = cases.where("folder is not null and name <> ''").select("folder").distinct()
+    used = by_folder.join(considered, "folder", "left_semi")
     if call:
-        ready = cases.where("ready = 'READY'")
-        prompts = ready.select("item", answers.question_prioritised(
-            F.col("name"), F.split("files", "\n"), labels).alias("prompt"))
-        sent = ready.select("item", "folder").join(
-            resolved.where("exists").select(F.col("assembly").alias("folder"), F.col("resolved_path").alias("path"),
-                                            F.lit(0).cast("bigint").alias("length")), "folder")
-        requests = labelling.request_table(prompts, settled(sent.select("item", "path", "length")))
-        replies = settled(labelling.label_requests(requests, make_client, parallelism).where("part = 0"))
+        # The file list of a folder comes in parts; the prompt opens with the first and
+        # closes with the last, and the parts are put together when the item is asked.
+        lists = listed_in_parts(
+            by_folder.where("exists").withColumn("_fold", text.fold(F.col("file_name"))), ["folder"],
+            ["_fold", "file_name", "resolved_path"], F.struct("file_name", "resolved_path"), "files",
+            total="n_listed",
+        )
+        first = F.col("part") == 0
+        last = (F.col("part") + 1) * PART_SIZE >= F.col("n_listed")
+        bullets = answers.bullets(F.transform("files", lambda f: f["file_name"]))
+        prompt = F.concat(
+            F.when(first, answers.prioritised_head(F.col("name"))).otherwise("\n"), bullets,
+            F.when(last, answers.prioritised_tail(labels)).otherwise(""),
+        )
+        requests = cases.where("ready = 'READY'").select("item", "folder", "name").join(lists, "folder").select(
+            "item", "part", prompt.alias("prompt"), F.transform("files", lambda f: f["resolved_path"]).alias("paths"))
+        replies = settled(labelling.label_requests(requests, make_client, parallelism))
         cases = cases.join(replies.select("item", "response", "error"), "item", "left")
     else:
         cases = cases.withColumn("response", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
@@ -156,12 +166,12 @@ def classify_prioritised(
     results = cases.select(
         "row_no", "item", "sap", "teamcenter", "name", F.col("folder").alias("matched_folder"),
         F.col("status").alias("match_method"), (F.col("existing") + F.col("missing")).alias("file_count"),
-        "files", "missing_files", F.coalesce(label, F.lit("")).alias("label"),
+        "missing", F.coalesce(label, F.lit("")).alias("label"),
         F.col("response").alias("raw_response"),
         answers.answered_status(F.col("ready"), F.col("error"), F.col("response"), label).alias("status"),
         F.coalesce(F.col("error"), F.nullif(F.col("message"), F.lit(""))).alias("error_message"),
     )
-    return {"results": results.orderBy("row_no"), "used_files": used}
+    return {"results": results.orderBy("row_no"), "used_files": used, "file_lists": resolve.file_lists(resolved)}
 
 
 def answer_questions(
@@ -175,13 +185,13 @@ def answer_questions(
     long = questions.to_long(sheet, [id_column]).withColumn("item", F.col(id_column).cast("string"))
     sendable = labelling.request_files(files)
     with_files = sendable.select("item").distinct().withColumn("has_files", F.lit(True))
-    cells = long.join(with_files, "item", "left")
+    cells = lookup_join(long, with_files, ["item"], ["question", "answer"])
     blank = F.col("item").isNotNull() & questions.is_blank(F.col("answer"))
     key = F.to_json(F.struct(F.col("item").alias("i"), F.col("question").alias("q")))
     asked = cells.where(blank & F.col("has_files")).withColumn("cell", key)
-    lists = listed_in_parts(settled(sendable), ["item"], ["path"], F.col("path"), "paths").where("part = 0")
+    lists = listed_in_parts(sendable, ["item"], ["path"], F.col("path"), "paths")
     requests = asked.join(lists, "item").select(
-        F.col("cell").alias("item"), F.col("question").alias("prompt"), "paths")
+        F.col("cell").alias("item"), "part", F.when(F.col("part") == 0, F.col("question")).otherwise("").alias("prompt"), "paths")
     replies = settled(labelling.label_requests(requests, make_client, parallelism, attempts=1))
     joined = cells.withColumn("cell", key).join(
         replies.select(F.col("item").alias("cell"), "response", "error"), "cell", "left")

@@ -439,7 +439,7 @@ def _labelled(spark, sf) -> DataFrame:
     names = given.part_names(spark, sf).where(text.strip(F.col("name")) != "")
     requests = names.select(
         "item", answers.question_all_files(F.col("name"), CLASSES).alias("prompt"),
-        F.expr("array()").cast("array<string>").alias("paths"),
+        F.lit(0).alias("part"), F.expr("array()").cast("array<string>").alias("paths"),
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return labelling.label_requests(requests, offline_client(), tasks, wait_seconds=0)

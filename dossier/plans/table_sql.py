@@ -478,7 +478,7 @@ SQL["request_table"] = with_ctes(FILES, """o AS (
 g AS (SELECT assembly AS item, (rn - 1) // 1000 AS part, string_agg(rel_path, chr(10) ORDER BY rn) AS paths, count(*) AS n_files,
       sum(length)::BIGINT AS total_bytes FROM o GROUP BY ALL),
 s AS (SELECT 'A' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS item, """ + _all_files_prompt("s_name") + """ AS prompt FROM supplier)""", select="""
-SELECT s.item, s.prompt, coalesce(part, 0) AS part, coalesce(paths, '') AS paths, CAST(coalesce(n_files, 0) AS INTEGER) AS n_files,
+SELECT s.item, CASE WHEN coalesce(part, 0) = 0 THEN s.prompt ELSE '' END AS prompt, coalesce(part, 0) AS part, coalesce(paths, '') AS paths, CAST(coalesce(n_files, 0) AS INTEGER) AS n_files,
   coalesce(total_bytes, 0) AS total_bytes FROM s LEFT JOIN g USING (item)""")
 SQL["path_parts"] = with_ctes(FILES, select="""
 SELECT assembly, rel_path, ext, stem, CASE ext WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THEN 'image/png'

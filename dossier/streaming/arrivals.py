@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from dossier.operators import labelling
 from dossier.schemas import REQUESTS
 
-RESULTS = REQUESTS + (
-    ", response string, error string, attempts int, usage map<string,bigint>, batch_id bigint"
+RESULTS = (
+    "item string, response string, error string, attempts int, usage map<string,bigint>, "
+    "batch_id bigint"
 )
 
 
@@ -23,7 +24,8 @@ def label_arrivals(
     spark: SparkSession, requests_path: str, results_path: str, checkpoint_path: str,
     make_client: Callable, parallelism: int,
 ) -> None:
-    """Process every request file not yet processed, then stop.
+    """Process every request file not yet processed, then stop. All parts of a request must
+    arrive together.
 
     A batch writes to a folder of its own and replaces it when repeated, so results are
     stored once.
@@ -32,7 +34,7 @@ def label_arrivals(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         done = stored_results(spark, results_path).where(F.col("batch_id") != batch_id)
-        fresh = labelling.pending(batch.dropDuplicates(["item", "part"]), done, ["item", "part"])
+        fresh = labelling.pending(batch.dropDuplicates(["item", "part"]), done, ["item"])
         answered = labelling.label_requests(fresh, make_client, parallelism)
         answered.write.mode("overwrite").parquet(f"{results_path.rstrip('/')}/batch_id={batch_id}")
 

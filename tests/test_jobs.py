@@ -30,12 +30,14 @@ client = fake_service()
 
 
 def test_label_requests(spark):
-    df = spark.createDataFrame([("1", "ok", ["a"]), ("2", "broken", []), ("3", "flaky", ["a", "b"])], "item string, prompt string, paths array<string>")
-    got = {r.item: r for r in labelling.label_requests(df.coalesce(1), client, 3, wait_seconds=0).collect()}
+    df = spark.createDataFrame([("1", 0, "ok", ["a"]), ("2", 0, "broken", []), ("3", 1, "ky", ["b", "c"]), ("3", 0, "fla", ["a"])],
+                               "item string, part bigint, prompt string, paths array<string>")
+    got = {r.item: r for r in labelling.label_requests(df, client, 3, wait_seconds=0).collect()}
+    assert len(got) == 3 and got["3"].usage == {"totalTokenCount": 3} and got["3"].attempts == 2
     assert got["1"].response == "`greifer`" and got["1"].attempts == 1 and got["1"].usage == {"totalTokenCount": 1}
     assert got["2"].error == "RuntimeError: no service" and got["2"].attempts == 2 and got["2"].usage is None
     assert got["3"].response == "`greifer`" and got["3"].error is None
-    again = labelling.label_requests(spark.createDataFrame([("4", "wordy", [])], df.schema), client, 1, 2, 0, ["Greifer"], "\nDie vorherige Antwort war falsch.").first()
+    again = labelling.label_requests(spark.createDataFrame([("4", 0, "wordy", [])], df.schema), client, 1, 2, 0, ["Greifer"], "\nDie vorherige Antwort war falsch.").first()
     assert again.response == "`greifer`" and again.attempts == 2
 
 
@@ -54,16 +56,18 @@ def run(spark):
 def test_classify_all_files(spark, run):
     items, folders, files = run
     args = (folders, files, CLASSES, client, "m1", "2026-01-01T00:00:00", 2)
-    got = {r.item: r for r in jobs.classify_all_files(items, *args).collect()}
+    out = jobs.classify_all_files(items, *args)
+    got = {r.item: r for r in out["results"].collect()}
+    assert {r.path for r in out["used_files"].collect()} == {"/r/S00001/a.pdf", "/r/S00003/a.pdf"}
     assert len(got) == 6
     assert got["1"].predicted_label == "Greifer" and got["1"].processing_status == "SUCCESS"
-    assert got["1"].files_used == "/r/S00001/a.pdf" and got["1"].file_count == 1 and got["1"].token_usage_json == '{"totalTokenCount":1}'
+    assert got["1"].matched_folder == "S00001" and got["1"].file_count == 1 and got["1"].token_usage_json == '{"totalTokenCount":1}'
     assert got["2"].processing_status == got["4"].processing_status == "SKIPPED: missing ID or Benennung"
     assert got["3"].processing_status == "ERROR: RuntimeError: no service" and got["3"].predicted_label is None
     assert got["5"].processing_status == "SKIPPED: no supported documents found (EXACT_ASSEMBLY_ID)"
     assert got["6"].processing_status == "SKIPPED: no supported documents found (NOT_FOUND)"
     done = spark.createDataFrame([("1", "m1"), ("2", "other")], "item string, model string")
-    assert {r.item for r in jobs.classify_all_files(items, *args, done=done).select("item").collect()} == {"2", "3", "4", "5", "6"}
+    assert {r.item for r in jobs.classify_all_files(items, *args, done=done)["results"].select("item").collect()} == {"2", "3", "4", "5", "6"}
 
 
 def test_classify_prioritised(spark, run):
@@ -75,7 +79,9 @@ def test_classify_prioritised(spark, run):
     out = jobs.classify_prioritised(items, inv, listing, "/r", CLASSES, client, 2)
     got = {r.item: r for r in out["results"].collect()}
     assert {i: r.status for i, r in got.items()} == {"1": "OK", "2": "NO_BAUGRUPPENNAME", "3": "FILE_NOT_FOUND", "4": "NO_IDENTIFIER", "5": "NO_PRIORITY_1_2_FILES", "6": "NOT_FOUND"}
-    assert got["1"].label == "Greifer" and got["3"].file_count == 2 and got["3"].missing_files == "/r/S00003/x/gone.pdf"
+    assert got["1"].label == "Greifer" and got["3"].file_count == 2 and got["3"].missing == 1
+    lists = {r.assembly: r.missing_files for r in out["file_lists"].collect()}
+    assert lists == {"S00001": "", "S00003": "/r/S00003/x/gone.pdf"}
     assert out["used_files"].count() == 3
     checked = jobs.classify_prioritised(items, inv, listing, "/r", CLASSES, client, 2, call=False)["results"]
     assert checked.where("item = '1'").first().status == "READY"
