@@ -7,6 +7,7 @@ small by nature and passed as a Python sequence.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,66 +88,129 @@ def label_bullets(labels: Sequence[str]) -> str:
     return "\n".join(f"- {label}" for label in labels)
 
 
+# Texts of the prompts. ``{...}`` marks what a run fills in.
+SYSTEM_PROMPT = """Du bist ein technischer Experte für Baugruppen im Maschinen- und Anlagenbau.
+Ordne jede Baugruppe genau einer vorgegebenen Funktionsklasse zu.
+Nutze nur die bereitgestellte Benennung und – falls beigefügt – die technischen Dateien.
+Gib ausschließlich den exakten Namen einer erlaubten Funktionsklasse aus.
+Wenn die Informationen für eine belastbare Zuordnung nicht reichen, gib ausschließlich
+'Nicht klassifizierbar' aus. Keine Begründung, kein Satzzeichen und kein zusätzlicher Text."""
+
+ALL_FILES_TEXT = """Baugruppenbenennung: {name}
+
+Beurteile die Baugruppenbenennung und alle beigefügten technischen Dateien.
+Wähle genau eine der folgenden Funktionsklassen:
+{labels}
+- Nicht klassifizierbar
+"""
+
+NAME_ONLY_TEXT = """
+Du bist ein technischer Experte für Baugruppenklassifikation im Maschinen- und Anlagenbau.
+
+Klassifiziere den folgenden Baugruppennamen in genau eine der vorgegebenen Funktionsklassen.
+
+Baugruppenname:
+{name}
+
+Zulässige Funktionsklassen:
+{labels}
+
+Regeln:
+- Wähle genau eine Funktionsklasse aus der Liste.
+- Antworte ausschließlich mit dem exakten Namen der Funktionsklasse, nie mit einer Abkürzung.
+- Keine Erklärung, keine zusätzlichen Wörter.
+- Wenn keine Klasse eindeutig passt, wähle "Nicht klassifizierbar".
+
+Antwort:
+"""
+
+PRIORITISED_TEXT = """Du bist ein technischer Experte fuer Baugruppenklassifikation im Maschinen- und Anlagenbau.
+Klassifiziere die folgende Baugruppe in genau eine der vorgegebenen Funktionsklassen.
+Beruecksichtige dafuer sowohl den Baugruppennamen als auch alle beigefuegten Dateien.
+Alle beigefuegten Dateien gehoeren zu derselben Baugruppe.
+Der Baugruppenname ist ein besonders wichtiger Hinweis. Wenn der Name eindeutig
+einer Funktionsklasse entspricht und die Dateien nicht klar widersprechen,
+orientiere dich vorrangig am Baugruppennamen.
+
+Baugruppenname:
+{name}
+
+Beigefuegte Dateien:
+{files}
+
+Zulaessige Funktionsklassen:
+{labels}
+
+Regeln:
+- Orientiere die Klassifikation immer an der Hauptfunktion der Baugruppe.
+- Waehle genau eine Funktionsklasse aus der Liste.
+- Antworte ausschliesslich mit dem exakten Namen der Funktionsklasse, nie mit einer Abkuerzung.
+- Keine Erklaerung, keine zusaetzlichen Woerter.
+- Wenn keine Klasse eindeutig passt, waehle "Nicht klassifizierbar".
+
+Antwort:"""
+
+DESCRIBED_TEXT = """
+Du bist ein technischer Experte fuer Baugruppenklassifikation im Maschinen- und Anlagenbau.
+
+Klassifiziere die folgende Baugruppe in genau eine der vorgegebenen Funktionsklassen.
+Nutze dafuer die Bezeichnungen und den Inhalt aller hochgeladenen Unterlagen.
+
+SAP-Nummer:
+{sap}
+
+Teamcenter ID:
+{tc}
+
+Benennung (EN):
+{name_en}
+
+Benennung (DE):
+{name_de}
+
+Hochgeladene Unterlagen:
+{files}
+
+Zulaessige Funktionsklassen:
+{labels}
+
+Regeln:
+- Waehle genau eine Funktionsklasse aus der Liste.
+- Antworte ausschliesslich mit dem exakten Namen der Funktionsklasse.
+- Keine Erklaerung, keine zusaetzlichen Woerter.
+- Beurteile die Baugruppe insgesamt und nicht nur anhand eines einzelnen Dateinamens.
+- Wenn keine Klasse eindeutig passt, antworte mit "Nicht klassifizierbar".
+
+Antwort:
+"""
+
+
+def filled(text: str, labels: Sequence[str], **values: Column) -> Column:
+    """A prompt text with its marks replaced by the label list and by columns."""
+    pieces = []
+    for literal, mark, _, _ in Formatter().parse(text):
+        pieces.append(F.lit(literal))
+        if mark is not None:
+            pieces.append(F.lit(label_bullets(labels)) if mark == "labels" else values[mark])
+    return F.concat(*pieces)
+
+
 def question_all_files(name: Column, labels: Sequence[str]) -> Column:
-    return F.concat(
-        F.lit("Baugruppenbenennung: "), name,
-        F.lit(
-            "\n\nBeurteile die Baugruppenbenennung und alle beigefügten technischen Dateien.\n"
-            "Wähle genau eine der folgenden Funktionsklassen:\n"
-            f"{label_bullets(labels)}\n- {NOT_CLASSIFIABLE}\n"
-        ),
-    )
+    return filled(ALL_FILES_TEXT, labels, name=name)
 
 
 def question_name_only(name: Column, labels: Sequence[str]) -> Column:
-    return F.concat(
-        F.lit(
-            "\nDu bist ein technischer Experte für Baugruppenklassifikation im Maschinen- und "
-            "Anlagenbau.\n\nKlassifiziere den folgenden Baugruppennamen in genau eine der "
-            "vorgegebenen Funktionsklassen.\n\nBaugruppenname:\n"
-        ),
-        name,
-        F.lit(
-            f"\n\nZulässige Funktionsklassen:\n{label_bullets(labels)}\n\nRegeln:\n"
-            "- Wähle genau eine Funktionsklasse aus der Liste.\n"
-            "- Antworte ausschließlich mit dem exakten Namen der Funktionsklasse, nie mit einer "
-            "Abkürzung.\n- Keine Erklärung, keine zusätzlichen Wörter.\n"
-            f'- Wenn keine Klasse eindeutig passt, wähle "{NOT_CLASSIFIABLE}".\n\nAntwort:\n'
-        ),
-    )
+    return filled(NAME_ONLY_TEXT, labels, name=name)
 
 
 def question_prioritised(name: Column, file_names: Column, labels: Sequence[str]) -> Column:
-    return F.concat(prioritised_head(name), bullets(file_names), prioritised_tail(labels))
-
-
-def prioritised_head(name: Column) -> Column:
-    """Prompt up to the list of files."""
-    return F.concat(
-        F.lit(
-            "Du bist ein technischer Experte fuer Baugruppenklassifikation im Maschinen- und "
-            "Anlagenbau.\nKlassifiziere die folgende Baugruppe in genau eine der vorgegebenen "
-            "Funktionsklassen.\nBeruecksichtige dafuer sowohl den Baugruppennamen als auch alle "
-            "beigefuegten Dateien.\nAlle beigefuegten Dateien gehoeren zu derselben Baugruppe.\n"
-            "Der Baugruppenname ist ein besonders wichtiger Hinweis. Wenn der Name eindeutig\n"
-            "einer Funktionsklasse entspricht und die Dateien nicht klar widersprechen,\n"
-            "orientiere dich vorrangig am Baugruppennamen.\n\nBaugruppenname:\n"
-        ),
-        name,
-        F.lit("\n\nBeigefuegte Dateien:\n"),
-    )
+    return filled(PRIORITISED_TEXT, labels, name=name, files=bullets(file_names))
 
 
-def prioritised_tail(labels: Sequence[str]) -> Column:
-    """Prompt after the list of files."""
-    return F.lit(
-        f"\n\nZulaessige Funktionsklassen:\n{label_bullets(labels)}\n\nRegeln:\n"
-        "- Orientiere die Klassifikation immer an der Hauptfunktion der Baugruppe.\n"
-        "- Waehle genau eine Funktionsklasse aus der Liste.\n"
-        "- Antworte ausschliesslich mit dem exakten Namen der Funktionsklasse, nie mit einer "
-        "Abkuerzung.\n- Keine Erklaerung, keine zusaetzlichen Woerter.\n"
-        f'- Wenn keine Klasse eindeutig passt, waehle "{NOT_CLASSIFIABLE}".\n\nAntwort:'
-    )
+def prioritised_ends(name: Column, labels: Sequence[str]) -> tuple[Column, Column]:
+    """The prompt before and after its list of files."""
+    head, tail = PRIORITISED_TEXT.split("{files}")
+    return filled(head, labels, name=name), filled(tail, labels)
 
 
 def question_described(
@@ -154,26 +218,7 @@ def question_described(
     labels: Sequence[str],
 ) -> Column:
     listed = F.when(F.size(files) > 0, bullets(files)).otherwise(NO_READABLE_FILES)
-    return F.concat(
-        F.lit(
-            "\nDu bist ein technischer Experte fuer Baugruppenklassifikation im Maschinen- und "
-            "Anlagenbau.\n\nKlassifiziere die folgende Baugruppe in genau eine der vorgegebenen "
-            "Funktionsklassen.\nNutze dafuer die Bezeichnungen und den Inhalt aller "
-            "hochgeladenen Unterlagen.\n\nSAP-Nummer:\n"
-        ),
-        sap, F.lit("\n\nTeamcenter ID:\n"), tc, F.lit("\n\nBenennung (EN):\n"), name_en,
-        F.lit("\n\nBenennung (DE):\n"), name_de, F.lit("\n\nHochgeladene Unterlagen:\n"), listed,
-        F.lit(
-            f"\n\nZulaessige Funktionsklassen:\n{label_bullets(labels)}\n\nRegeln:\n"
-            "- Waehle genau eine Funktionsklasse aus der Liste.\n"
-            "- Antworte ausschliesslich mit dem exakten Namen der Funktionsklasse.\n"
-            "- Keine Erklaerung, keine zusaetzlichen Woerter.\n"
-            "- Beurteile die Baugruppe insgesamt und nicht nur anhand eines einzelnen "
-            "Dateinamens.\n"
-            f'- Wenn keine Klasse eindeutig passt, antworte mit "{NOT_CLASSIFIABLE}".\n\n'
-            "Antwort:\n"
-        ),
-    )
+    return filled(DESCRIBED_TEXT, labels, sap=sap, tc=tc, name_en=name_en, name_de=name_de, files=listed)
 
 
 # Fixed value: sentence added to the prompt when the first answer was not an allowed label.
@@ -256,6 +301,23 @@ def precheck_status(
     )
 
 
+# What a status of the priority-based run means, as its message.
+STATUS_MESSAGES = {
+    "NO_BAUGRUPPENNAME": "Benennung (EN) ist leer",
+    "NO_PRIORITY_1_2_FILES": "Keine Zeile mit Priority 1 oder 2 gefunden",
+    "FILE_NOT_FOUND": "Mindestens eine Priority-1/2-Datei fehlt; API-Aufruf wird nicht mit "
+                      "unvollstaendigen Daten ausgefuehrt",
+    "INVALID_LABEL": "Antwort stimmt nicht exakt mit einer erlaubten Funktionsklasse ueberein",
+}
+
+
+def status_message(status: Column, match_message: Column, error: Column) -> Column:
+    """Error text of a row: the call's error, else the status' message, else the match's."""
+    table = F.create_map(*[F.lit(x) for pair in STATUS_MESSAGES.items() for x in pair])
+    no_folder = F.when(~status.isin("READY", "OK", "API_ERROR"), match_message)
+    return F.coalesce(error, table[status], F.nullif(no_folder, F.lit("")))
+
+
 def answered_status(ready: Column, error: Column, response: Column, label: Column) -> Column:
     """Status of the priority-based run after the answers are in."""
     return (

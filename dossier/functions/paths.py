@@ -68,16 +68,25 @@ def in_ignore_dir(rel_path: Column, directory: str = IGNORE_DIRECTORY) -> Column
     return F.array_contains(F.split(fold(parent_dir(rel_path)), "/"), directory)
 
 
+# Names of the reasons.
+LOCK_FILE = "Temporaere Datei"
+HIDDEN = "Versteckte Datei"
+SPREADSHEET = "Excel uebersprungen"
+UNSUPPORTED = "Dateityp nicht unterstuetzt"
+EMPTY = "Leere Datei"
+TOO_LARGE = "Datei zu gross"
+
+
 def skip_reason(rel_path: Column, length: Column) -> Column:
     """First reason that keeps a file out of a request, null when it may be sent."""
     name, ext = file_name(rel_path), suffix(file_name(rel_path))
     return (
-        F.when(is_lock_file(name), "Temporaere Datei")
-        .when(rel_path.rlike(r"(^|/)\."), "Versteckte Datei")
-        .when(ext.isin(*SPREADSHEET_SUFFIXES), "Excel uebersprungen")
-        .when(~ext.isin(*READABLE_SUFFIXES), "Dateityp nicht unterstuetzt")
-        .when(length == 0, "Leere Datei")
-        .when(length > MAX_FILE_BYTES, "Datei zu gross")
+        F.when(is_lock_file(name), LOCK_FILE)
+        .when(rel_path.rlike(r"(^|/)\."), HIDDEN)
+        .when(ext.isin(*SPREADSHEET_SUFFIXES), SPREADSHEET)
+        .when(~ext.isin(*READABLE_SUFFIXES), UNSUPPORTED)
+        .when(length == 0, EMPTY)
+        .when(length > MAX_FILE_BYTES, TOO_LARGE)
     )
 
 

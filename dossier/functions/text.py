@@ -24,6 +24,9 @@ EMPTY_WORDS = ("nan", "none")
 NUMBER = r"^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
+NUMBER_STARTS = tuple("+-.0123456789")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once, however often ``body`` names it.
 
@@ -59,9 +62,14 @@ def plain_id(c: Column) -> Column:
     2**53 are rounded; from 2**63 on the digits are kept as written.
     """
     raw = text_or_blank(c)
-    number = F.when(raw.rlike(NUMBER), F.replace(raw, F.lit("_"), F.lit("")).try_cast("double"))
-    whole = F.when(number == F.floor(number), number.try_cast("bigint").cast("string"))
-    return F.lower(F.regexp_replace(F.coalesce(whole, raw), "[^A-Za-z0-9]+", ""))
+    # Most numbers are short runs of digits, some with ``.0``: these only lose zeros.
+    base = F.when(raw.endswith(".0"), F.substring(raw, F.lit(1), F.length(raw) - 2)).otherwise(raw)
+    digits = (F.translate(base, "0123456789", "") == "") & F.length(base).between(1, 15)
+    without_zeros = F.coalesce(F.nullif(F.ltrim(base, F.lit("0")), F.lit("")), F.lit("0"))
+    number = F.replace(raw, F.lit("_"), F.lit("")).try_cast("double")
+    is_whole = F.left(raw, F.lit(1)).isin(*NUMBER_STARTS) & raw.rlike(NUMBER) & (number == F.floor(number))
+    repaired = F.when(digits, without_zeros).when(is_whole, number.try_cast("bigint").cast("string"))
+    return F.lower(F.regexp_replace(F.coalesce(repaired, raw), "[^A-Za-z0-9]+", ""))
 
 
 def cell_text(c: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import groupby
 from operator import itemgetter
 
@@ -128,6 +128,21 @@ def label_requests(
     )
 
 
+def response_log(requests: DataFrame, results: DataFrame, run: Mapping[str, str]) -> DataFrame:
+    """What was sent and what came back, one row per request part, for an append-only log.
+
+    ``run`` gives the constant columns (time stamp, model, settings).
+    """
+    constants = [F.lit(value).alias(name) for name, value in run.items()]
+    answered = results.select(
+        "item", "sap", "teamcenter", "name", "matched_folder", "raw_response",
+        F.nullif("label", F.lit("")).alias("canonical_label"), "status",
+        F.col("error_message").alias("error"),
+    )
+    sent = requests.select("item", "part", "prompt", F.col("paths").alias("file_paths"))
+    return sent.join(answered, "item").select(*constants, "*")
+
+
 def pending(requests: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Requests without a stored result."""
     return requests.join(done.select(*keys).distinct(), list(keys), "left_anti")

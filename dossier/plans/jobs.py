@@ -120,11 +120,12 @@ def classify_prioritised(
     items: DataFrame, inventory_rows: DataFrame, listing: DataFrame, root: str,
     labels: Sequence[str], make_client: Callable, parallelism: int,
     priorities: Sequence[str] = resolve.SENT_PRIORITIES, call: bool = True,
+    run: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Run on the inventory's prioritised files; one missing file holds an item back.
 
     ``items(item, row_no, sap, teamcenter, name)``. With ``call`` false only the checks
-    are made.
+    are made. ``run`` holds texts for the response log, such as model and time.
     """
     names = inventory_rows.select(text.cell_text(F.col("assembly")).alias("folder")).where("folder <> ''").distinct()
     match = settled(cascade.match_two_tier(
@@ -152,26 +153,30 @@ def classify_prioritised(
         first = F.col("part") == 0
         last = (F.col("part") + 1) * PART_SIZE >= F.col("n_listed")
         bullets = answers.bullets(F.transform("files", lambda f: f["file_name"]))
-        prompt = F.concat(
-            F.when(first, answers.prioritised_head(F.col("name"))).otherwise("\n"), bullets,
-            F.when(last, answers.prioritised_tail(labels)).otherwise(""),
-        )
+        head, tail = answers.prioritised_ends(F.col("name"), labels)
+        prompt = F.concat(F.when(first, head).otherwise("\n"), bullets, F.when(last, tail).otherwise(""))
         requests = cases.where("ready = 'READY'").select("item", "folder", "name").join(lists, "folder").select(
             "item", "part", prompt.alias("prompt"), F.transform("files", lambda f: f["resolved_path"]).alias("paths"))
+        requests = settled(requests)
         replies = settled(labelling.label_requests(requests, make_client, parallelism))
         cases = cases.join(replies.select("item", "response", "error"), "item", "left")
     else:
+        requests = None
         cases = cases.withColumn("response", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
     label = answers.strict_label(F.col("response"), labels)
+    status = answers.answered_status(F.col("ready"), F.col("error"), F.col("response"), label)
     results = cases.select(
         "row_no", "item", "sap", "teamcenter", "name", F.col("folder").alias("matched_folder"),
         F.col("status").alias("match_method"), (F.col("existing") + F.col("missing")).alias("file_count"),
         "missing", F.coalesce(label, F.lit("")).alias("label"),
         F.col("response").alias("raw_response"),
-        answers.answered_status(F.col("ready"), F.col("error"), F.col("response"), label).alias("status"),
-        F.coalesce(F.col("error"), F.nullif(F.col("message"), F.lit(""))).alias("error_message"),
+        status.alias("status"),
+        answers.status_message(status, F.col("message"), F.col("error")).alias("error_message"),
     )
-    return {"results": results.orderBy("row_no"), "used_files": used, "file_lists": resolve.file_lists(resolved)}
+    tables = {"results": results.orderBy("row_no"), "used_files": used, "file_lists": resolve.file_lists(resolved)}
+    if requests is not None:
+        tables["response_log"] = labelling.response_log(requests, results, run or {})
+    return tables
 
 
 def answer_questions(

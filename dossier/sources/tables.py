@@ -97,7 +97,7 @@ def read_many(
     rows by file. Returns ``file_name, row_no`` (rows with any value, the header being 1)
     and one text column per meaning, null where the file lacks it.
     """
-    schema = ", ".join(f"c{n} string" for n in range(max_columns))
+    schema = ", ".join(f"c{n} string" for n in range(max_columns + 1))
     paths = [paths] if isinstance(paths, str) else list(paths)
     cells = (
         spark.read.schema(schema).csv(paths, header=False, sep=sep)
@@ -107,13 +107,17 @@ def read_many(
             F.struct(F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line")).alias("place"),
             F.array(*[F.col(f"c{n}") for n in range(max_columns)]).alias("cells"),
+            F.col(f"c{max_columns}").alias("beyond"),
         )
         .where(F.exists("cells", lambda c: c.isNotNull()))
     )
     # Position 1 of a file is its header, so positions are the row numbers of the sheet.
     placed = numbered(cells, ["file_path"], ["place"], "row_no")
-    headers = placed.where("row_no = 1").select("file_path", F.col("cells").alias("header"))
-    rows = placed.where("row_no > 1")
+    too_wide = F.raise_error(F.concat(F.lit(f"More than {max_columns} columns in "), "file_name"))
+    headers = placed.where("row_no = 1").select(
+        "file_path", F.when(F.col("beyond").isNull(), F.col("cells")).otherwise(too_wide).alias("header")
+    )
+    rows = placed.where("row_no > 1").drop("beyond")
     joined = lookup_join(rows, headers, ["file_path"], ["file_path", "row_no"])
     names = F.transform("header", lambda h: header_key(h) if normalised else F.trim(h))
 

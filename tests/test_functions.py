@@ -22,7 +22,7 @@ def test_ids_keep_their_modes_apart(spark):
 
 
 def test_plain_id_reads_numbers_like_a_float(spark):
-    values = ["1_000.0", "0804E00012", "1.5", "-7", "inf", "12d", ".5e1", "00000003", "9007199254740993", "1.", ""]
+    values = ["1_000.0", "0804E00012", "1.5", "-7", "inf", "12d", ".5e1", "00000003", "9007199254740993", "1.", "", "000", "0.0", "00120.0", ".0", "123456789012345", "-0.0", "+7.0", "1e3", "7.00"]
     for value, got in zip(values, apply(spark, values, text.plain_id)):
         try:
             number = float(value)

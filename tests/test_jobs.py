@@ -76,13 +76,17 @@ def test_classify_prioritised(spark, run):
                                  ("S00003", "x", "gone.pdf", "", "priority_1_candidate"), ("S00005", "", "a.xlsx", "", "nein")],
                                 "assembly string, relative_subfolder string, file_name string, file_path string, priority string")
     listing = spark.createDataFrame([("/r/S00001/a.pdf",), ("/r/S00003/a.pdf",)], "path string")
-    out = jobs.classify_prioritised(items, inv, listing, "/r", CLASSES, client, 2)
+    out = jobs.classify_prioritised(items, inv, listing, "/r", CLASSES, client, 2, run={"model": "m1"})
     got = {r.item: r for r in out["results"].collect()}
     assert {i: r.status for i, r in got.items()} == {"1": "OK", "2": "NO_BAUGRUPPENNAME", "3": "FILE_NOT_FOUND", "4": "NO_IDENTIFIER", "5": "NO_PRIORITY_1_2_FILES", "6": "NOT_FOUND"}
     assert got["1"].label == "Greifer" and got["3"].file_count == 2 and got["3"].missing == 1
     lists = {r.assembly: r.missing_files for r in out["file_lists"].collect()}
     assert lists == {"S00001": "", "S00003": "/r/S00003/x/gone.pdf"}
     assert out["used_files"].count() == 3
+    log = out["response_log"].collect()
+    assert [(r.model, r.item, r.file_paths, r.canonical_label, r.status) for r in log] == [("m1", "1", ["/r/S00001/a.pdf"], "Greifer", "OK")]
+    assert log[0].prompt.startswith("Du bist") and log[0].prompt.endswith("Antwort:") and "- a.pdf\n\nZulaessige" in log[0].prompt
+    assert got["2"].error_message == "Benennung (EN) ist leer" and got["6"].error_message.startswith("Kein Ordner") and got["1"].error_message is None
     checked = jobs.classify_prioritised(items, inv, listing, "/r", CLASSES, client, 2, call=False)["results"]
     assert checked.where("item = '1'").first().status == "READY"
 

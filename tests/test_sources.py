@@ -70,6 +70,8 @@ def test_many_files_with_different_headers(spark, tmp_path):
     assert got == [("a.csv", 2, "A", None, "x"), ("a.csv", 3, "B", None, "y"), ("b.csv", 2, None, "T1", "x"),
                    ("b.csv", 3, None, "T2", "y"), ("c.csv", 2, "Q", None, None)]
     assert [r.file_name for r in tables.missing_headers(df, ["predicted"]).collect()] == ["c.csv"]
+    with pytest.raises(Exception, match="More than 2 columns"):
+        tables.read_many(spark, str(tmp_path / "b.csv"), wanted, max_columns=2).collect()
     loose = tables.read_many(spark, str(tmp_path / "a.csv"), {"sap": ["sap nummer"]}, normalised=True)
     assert sorted(r.sap for r in loose.collect()) == ["A", "B"]
 
