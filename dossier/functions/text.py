@@ -148,6 +148,17 @@ def model_from_file(file_name: Column, prefix: str = "classification_all_files_"
     return F.when(stem.startswith(prefix), rest).otherwise(stem)
 
 
+def stamp_text(ts: Column) -> Column:
+    """Time of a run to the second, as text in the session's zone."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def utc_stamp_text(ts: Column) -> Column:
+    """The same moment in UTC, with its offset."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def participant_from_file(file_name: Column, prefix: str) -> Column:
     """Participant in a form's file name: the part after the prefix."""
     stem = F.regexp_replace(file_name, r"\.[^.]+$", "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from dossier.operators import (
     spread, truth,
 )
 from dossier.plans import table_inputs as given
+from dossier.session import ensure_checkpoint_dir
 from dossier.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,7 +489,7 @@ def token_usage(spark, sf):
 
 @query
 def resume(spark, sf):
-    """Requests left after a run that finished the purchases and the orders of user 'A' forms."""
+    """Requests left after a run that finished the larger purchases and sign-ups."""
     events = given.table(spark, sf, "events")
     requests = events.select("event_id", "event_type", "user_id")
     done = events.where("event_type in ('purchase', 'signup') and value > 5").select("event_id", "event_type")
@@ -556,6 +558,32 @@ def unified_headers(spark, sf):
     return tables.union_resolved(frames, wanted, required=["sap", "label"])
 
 
+@query
+def predictions_from_files(spark, sf):
+    """Predictions written as one set of files per model, each with other headers, and read
+    back in one go."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid4().hex}"
+    headers = {"model_A": ("SAP-Nummer", "Teamcenter ID", "Predicted_Label"), "model_N": ("ID", "TC-ID", "Prediction"),
+               "model_R": ("BG", "TC Nummer", "Vorhersage")}
+    rows = given.line_predictions(spark, sf)
+    for model, (sap, tc, label) in headers.items():
+        rows.where(F.col("model") == model).select(
+            F.col("predicted").alias(label), F.col("sap").alias(sap), F.col("model").alias("Run_Model"),
+            F.col("teamcenter").alias(tc),
+        ).write.csv(f"{root}/{model}", header=True)
+    read = tables.read_predictions(spark, f"{root}/*/*.csv", max_columns=8)
+    return read.select("model", "sap", "teamcenter", "predicted")
+
+
+@query
+def run_stamps(spark, sf):
+    """Time texts of every event."""
+    in_utc = F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp")
+    return given.table(spark, sf, "events").select(
+        "event_id", text.stamp_text(F.col("ts").cast("timestamp")).alias("local"),
+        text.utc_stamp_text(in_utc).alias("utc"))
+
+
 @query
 def class_list(spark, sf):
     parts = given.table(spark, sf, "part").select(F.concat(F.lit(" "), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise(" ")).alias("label"), "p_partkey")

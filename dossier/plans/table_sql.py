@@ -632,6 +632,10 @@ SELECT p_partkey, id, {_filled('brand', 'Welche Marke?')}, {_filled('kind', 'Wel
 SQL["unified_headers"] = """SELECT c_name AS sap, CAST(NULL AS VARCHAR) AS teamcenter, c_mktsegment AS label FROM customer
 UNION ALL SELECT s_name, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM supplier
 UNION ALL SELECT p_brand, NULL, p_name FROM part"""
+SQL["predictions_from_files"] = with_ctes(TRUTH, MATCHED, select="""
+SELECT model, sap, trim(teamcenter) AS teamcenter, predicted_label AS predicted FROM preds""")
+SQL["run_stamps"] = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS local,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS utc FROM events"""
 SQL["class_list"] = "SELECT p_name AS label, min(p_partkey) AS ord FROM part WHERE p_size > 5 GROUP BY ALL"
 SQL["rows_below_header"] = """WITH h AS (SELECT min(c_custkey) AS r FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 9000)
 SELECT c_mktsegment AS sheet, c_custkey AS row_no, CASE WHEN c_acctbal > 9000 THEN 'funktionsklasse' ELSE c_name END AS value

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.text import cell_text, fold, header_key, text_or_blank
+from dossier.functions.text import (
+    cell_text, fold, header_key, model_from_file, participant_from_file, strip, text_or_blank,
+)
 from dossier.operators.spread import lookup_join, numbered
 
 # Accepted header names per meaning, in order of preference.
@@ -95,7 +97,8 @@ def read_many(
 
     Every file is read by position; its first row is its header and is joined back to its
     rows by file. Returns ``file_name, row_no`` (rows with any value, the header being 1)
-    and one text column per meaning, null where the file lacks it.
+    and one text column per meaning, null where the file lacks it. Lock files of office
+    programs are left out.
     """
     schema = ", ".join(f"c{n} string" for n in range(max_columns + 1))
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -109,7 +112,7 @@ def read_many(
             F.array(*[F.col(f"c{n}") for n in range(max_columns)]).alias("cells"),
             F.col(f"c{max_columns}").alias("beyond"),
         )
-        .where(F.exists("cells", lambda c: c.isNotNull()))
+        .where(F.exists("cells", lambda c: c.isNotNull()) & ~F.col("file_name").startswith("~$"))
     )
     # Position 1 of a file is its header, so positions are the row numbers of the sheet.
     placed = numbered(cells, ["file_path"], ["place"], "row_no")
@@ -132,6 +135,32 @@ def read_many(
     )
 
 
+def read_predictions(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
+    """Result files of many models as one table. The model is the first entry of a file's
+    model column, else it is taken from the file's name."""
+    wanted = {"sap": SAP_HEADERS, "teamcenter": TC_HEADERS, "predicted": PREDICTION_HEADERS,
+              "run_model": ("Run_Model",)}
+    rows = read_many(spark, paths, wanted, **options)
+    named = rows.where("run_model is not null").groupBy("file_name").agg(
+        F.min_by(strip(F.col("run_model")), "row_no").alias("first_model")
+    )
+    model = F.coalesce(F.nullif("first_model", F.lit("")), model_from_file(F.col("file_name")))
+    return lookup_join(rows, named, ["file_name"], ["file_name", "row_no"]).select(
+        model.alias("model"), "file_name", "row_no", "sap", "teamcenter", "predicted"
+    )
+
+
+def read_forms(spark: SparkSession, paths: str | Sequence[str], prefix: str, **options) -> DataFrame:
+    """Annotators' forms as one table; the participant is in the file's name."""
+    wanted = {"sap": ("SAP-Nummer", "SAP Nummer"), "teamcenter": ("Teamcenter ID",),
+              "label": ("Baugruppen-Klasse", "Baugruppen Klasse")}
+    rows = read_many(spark, paths, wanted, normalised=True, **options)
+    return rows.where(F.col("file_name").startswith(prefix)).select(
+        participant_from_file(F.col("file_name"), prefix).alias("participant"),
+        "row_no", "sap", "teamcenter", "label",
+    )
+
+
 def missing_headers(resolved: DataFrame, required: Sequence[str]) -> DataFrame:
     """Files in which a required meaning never has a value."""
     checks = [F.count(F.col(name)).alias(name) for name in required]

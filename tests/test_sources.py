@@ -76,6 +76,17 @@ def test_many_files_with_different_headers(spark, tmp_path):
     assert sorted(r.sap for r in loose.collect()) == ["A", "B"]
 
 
+def test_models_and_participants_from_files(spark, tmp_path):
+    (tmp_path / "classification_all_files_m-2_2026-01-01_00-00-00.csv").write_text("ID,Prediction\nA,x\n")
+    (tmp_path / "other.csv").write_text("Run_Model,ID,Prediction\n,A,x\nm1,B,y\nzz,C,z\n")
+    (tmp_path / "~$other.csv").write_text("ID,Prediction\nA,x\n")
+    got = sorted((r.model, r.row_no, r.sap) for r in tables.read_predictions(spark, str(tmp_path / "*.csv"), max_columns=5).collect())
+    assert got == [("m-2", 2, "A"), ("m1", 2, "A"), ("m1", 3, "B"), ("m1", 4, "C")]
+    (tmp_path / "Form_TN_A_1.csv").write_text("sap nummer,BAUGRUPPEN-KLASSE\nA,x\n")
+    forms = tables.read_forms(spark, str(tmp_path / "*.csv"), "Form_", max_columns=5).collect()
+    assert [tuple(r) for r in forms] == [("TN_A_1", 2, "A", None, "x")]
+
+
 def test_columns_by_candidates(spark):
     df = spark.createDataFrame([("1", "x")], "ID string, `Ground Truth` string")
     out = tables.resolve_columns(df, {"sap": tables.SAP_HEADERS, "teamcenter": tables.TC_HEADERS, "label": tables.TRUTH_HEADERS}, ["label"])
