@@ -9,6 +9,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 import __spark_entry__ as entry  # noqa: E402
+from dossier.operators import spread  # noqa: E402
 from tools.compare import TABLES, plain  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,8 +28,7 @@ def test_every_query_has_sql():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_query_equals_sql(spark, con, name):
+def check(spark, con, name):
     df = entry.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
     result = con.execute(entry.oracle_sql()[name])
@@ -39,5 +39,22 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(tuple(plain(row[c]) for c in columns) for row in df.collect()) == theirs
 
 
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_equals_sql(spark, con, name):
+    check(spark, con, name)
+
+
+@pytest.mark.parametrize("name", [
+    "eval_confusion", "folder_match", "duplicate_names", "match_cascade", "match_two_tier",
+    "intersection_match", "file_inventory", "image_batches", "running_position",
+])
+def test_paths_for_large_tables_equal_sql(spark, con, name, monkeypatch):
+    """Nothing is small enough to broadcast and every group is numbered in ranges."""
+    monkeypatch.setattr(spread.lookup_join, "__defaults__", (0, None))
+    monkeypatch.setattr(spread.numbered, "__defaults__", ("position", 0))
+    monkeypatch.setattr(spread.listed_in_parts, "__defaults__", ("items", spread.PART_SIZE, None, 0))
+    check(spark, con, name)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 3
