@@ -83,6 +83,7 @@ def per_class(counts: DataFrame) -> DataFrame:
         .agg(F.sum("s.support").alias("support"), F.sum("s.tp").alias("tp"),
              F.sum("s.predicted").alias("predicted"))
     )
+    # The window sees one row per model and distinct label, not per prediction.
     total = F.sum("support").over(Window.partitionBy("model"))
     precision = _ratio(F.col("tp"), F.col("predicted"))
     recall = _ratio(F.col("tp"), F.col("support"))

@@ -34,10 +34,18 @@ NAME_HEADERS = ("Benennung", "Benennung (EN)", "Baugruppenname", "Baugruppenbeze
 CLASS_HEADERS = ("Funktionsklasse", "Functional class", "Functional_class")
 
 
-def read_text_table(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> DataFrame:
-    """A delimited table with every column as text; rows without any value are dropped."""
+def read_text_table(
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", line_breaks_in_cells: bool = False
+) -> DataFrame:
+    """A delimited table with every column as text; rows without any value are dropped.
+
+    Files with line breaks inside cells cannot be split over tasks, so this is off unless
+    asked for.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.csv(paths, header=True, inferSchema=False, sep=sep, multiLine=True).na.drop("all")
+    return spark.read.csv(
+        paths, header=True, inferSchema=False, sep=sep, multiLine=line_breaks_in_cells
+    ).na.drop("all")
 
 
 def find_column(

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.class_rules import CLASSES
 from dossier.operators import labelling, questions
+from dossier.operators.spread import settled
 from dossier.plans import jobs
 from dossier.streaming.arrivals import label_arrivals, stored_results
 
@@ -133,3 +134,21 @@ def test_arrivals_are_labelled_once(spark, tmp_path):
         label_arrivals(spark, src, out, state, client, 2)
     label_arrivals(spark, src, out, state, client, 2)
     assert sorted(r.item for r in stored_results(spark, out).collect()) == ["1", "2", "3"]
+
+
+def test_written_answers_cost_one_call_each(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def make_client():
+        def answer(prompt, _paths):
+            with open(log, "a") as out:
+                out.write(prompt + "\n")
+            return "x"
+
+        return answer
+
+    requests = spark.range(20).selectExpr("cast(id as string) item", "0L part", "concat('p', id) prompt", "array('a') paths")
+    replies = settled(labelling.label_requests(requests, make_client, 4))
+    assert replies.count() == 20 and replies.where("response = 'x'").count() == 20
+    with open(log) as calls:
+        assert sorted(calls.read().split()) == sorted(f"p{n}" for n in range(20))

@@ -87,6 +87,12 @@ def test_models_and_participants_from_files(spark, tmp_path):
     assert [tuple(r) for r in forms] == [("TN_A_1", 2, "A", None, "x")]
 
 
+def test_text_table(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('ID,Name\n007,"a\nb"\n,\n')
+    got = tables.read_text_table(spark, str(tmp_path / "t.csv"), line_breaks_in_cells=True)
+    assert [tuple(r) for r in got.collect()] == [("007", "a\nb")]
+
+
 def test_columns_by_candidates(spark):
     df = spark.createDataFrame([("1", "x")], "ID string, `Ground Truth` string")
     out = tables.resolve_columns(df, {"sap": tables.SAP_HEADERS, "teamcenter": tables.TC_HEADERS, "label": tables.TRUTH_HEADERS}, ["label"])
