@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import media, tokens
+from dossier.llm import media, tokens, toxicity
+from dossier.llm.common import remainder
 
 TOKEN_LIMIT = 512
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +37,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, by a classifier fitted on labelled texts of four folds in five."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return (
+        docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(docs, model).alias("t"))
+        .select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"),
+                F.col("t.language").alias("text_language"))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_token_counts": op3_token_counts,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}

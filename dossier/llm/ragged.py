@@ -19,6 +19,9 @@ SLICE_BYTES = 1 << 20
 # The ASCII white space that separates words (space, tab to carriage return).
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Everything but ASCII letters, digits and the bytes of other scripts.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,9 +84,11 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         yield batch.slice(int(a), int(b - a))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the offsets of each text in the list of words."""
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     head = np.ones(len(data), dtype=bool)
     head[1:] = ~inside[:-1]
     tail = np.ones(len(data), dtype=bool)
