@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import media, tokens, toxicity
+from dossier.llm import media, quality, tokens, toxicity
 from dossier.llm.common import remainder
 
 TOKEN_LIMIT = 512
+#: Scores from which a text is good, and toxic.
+GOOD_FROM = 0.3
+TOXIC_FROM = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +40,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality, learnt from good texts and unlabelled ones of four folds in five."""
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return (
+        docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), quality.quality(docs, model).alias("score"))
+        .withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's toxicity, by a classifier fitted on labelled texts of four folds in five."""
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return (
         docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(docs, model).alias("t"))
-        .select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"),
+        .select("doc_id", "held_out", "t.score", (F.col("t.score") >= TOXIC_FROM).cast("int").alias("predicted"),
                 F.col("t.language").alias("text_language"))
     )
 
@@ -51,6 +64,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
     "op8_toxicity": op8_toxicity,
 }
 

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one slice of a batch holds, unless one text alone is longer.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 4096
 
 # The ASCII white space that separates words (space, tab to carriage return).
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -74,11 +75,11 @@ def text_run(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 
 
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about ``size`` bytes, or one text if that is longer."""
+    """Parts of a batch whose texts hold about ``size`` bytes (or one longer text), of few rows."""
     if batch.num_rows == 0:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(lengths.astype(np.int64)) - lengths) // size
+    part = (np.cumsum(lengths.astype(np.int64)) - lengths) // size + np.arange(len(lengths)) // SLICE_ROWS
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
