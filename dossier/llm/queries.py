@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import media, quality, tokens, toxicity
+from dossier.llm import jaccard, media, quality, tokens, toxicity
 from dossier.llm.common import remainder
 
 TOKEN_LIMIT = 512
@@ -61,11 +61,42 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's component under exact Jaccard links of three-word shingles."""
+    return jaccard.near_duplicates(documents(spark, sf_dir), jaccard.Rule(words=3, part=9, whole=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_jaccard_join": r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
+      i -> array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) c USING (doc_id)
+""",
+}
