@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import jaccard, media, quality, tokens, toxicity
+from dossier.llm import jaccard, media, mixing, quality, tokens, toxicity
 from dossier.llm.common import remainder
 
 TOKEN_LIMIT = 512
@@ -50,6 +50,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's part in a mix of all sources by weight."""
+    mixed = mixing.mix(documents(spark, sf_dir))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's toxicity, by a classifier fitted on labelled texts of four folds in five."""
     docs = documents(spark, sf_dir)
@@ -70,11 +77,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
 SQL: dict[str, str] = {
+    "op5_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('3|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
+    source_size * 2.0::DOUBLE AS top, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM s
+), g AS (
+  SELECT *, coalesce(sum(top) OVER (ORDER BY top / weight, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+    sum(weight) OVER (ORDER BY top / weight, source NULLS LAST
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS waiting FROM w
+), f AS (
+  SELECT *, top <= weight * (total - given) / waiting AS stopped FROM g
+), t AS (
+  SELECT source, source_size, CASE WHEN stopped THEN top ELSE
+    weight * (total - sum(CASE WHEN stopped THEN top ELSE 0 END) OVER ())
+      / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () END AS target FROM f
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS first
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(first + size, quota) - first)
+   + greatest(0, least(source_size + first + size, quota) - source_size - first))::BIGINT AS taken FROM p
+""",
     "op9_jaccard_join": r"""
 WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(
@@ -83,7 +121,7 @@ WITH RECURSIVE words AS MATERIALIZED (
 ), shingles AS MATERIALIZED (
   SELECT DISTINCT doc_id, hash(s) AS s FROM (
     SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
-      i -> array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) > 0)
+      lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) > 0)
 ), sizes AS MATERIALIZED (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), links AS MATERIALIZED (
