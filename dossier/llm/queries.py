@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import jaccard, media, mixing, quality, tokens, toxicity
+from dossier.llm import fingerprints, jaccard, media, mixing, quality, tokens, toxicity
 from dossier.llm.common import remainder
 
 TOKEN_LIMIT = 512
@@ -73,6 +73,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), jaccard.Rule(words=3, part=9, whole=10))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's fingerprint, its edited text's, and how alike they are."""
+    return fingerprints.compared(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_token_counts": op3_token_counts,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 SQL: dict[str, str] = {
