@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, jaccard, media, mixing, quality, tokens, toxicity
+from dossier.llm import fingerprints, jaccard, media, mixing, packing, quality, tokens, toxicity
 from dossier.llm.common import remainder
 
 TOKEN_LIMIT = 512
@@ -57,6 +57,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence of tokens."""
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's toxicity, by a classifier fitted on labelled texts of four folds in five."""
     docs = documents(spark, sf_dir)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
