@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, jaccard, media, mixing, packing, quality, tokens, toxicity
-from dossier.llm.common import remainder
+from dossier.llm import fingerprints, jaccard, language, media, mixing, packing, quality, tokens, toxicity
 
 TOKEN_LIMIT = 512
 #: Scores from which a text is good, and toxic.
@@ -45,7 +44,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return (
-        docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), quality.quality(docs, model).alias("score"))
+        docs.select("doc_id", language.fold(5, 0).alias("held_out"), quality.quality(docs, model).alias("score"))
         .withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
     )
 
@@ -62,12 +61,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under word counts and under the log-bilinear model."""
+    return language.language_scores(documents(spark, sf_dir), language.fold(7, 2))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's toxicity, by a classifier fitted on labelled texts of four folds in five."""
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return (
-        docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(docs, model).alias("t"))
+        docs.select("doc_id", language.fold(5, 0).alias("held_out"), toxicity.toxicity(docs, model).alias("t"))
         .select("doc_id", "held_out", "t.score", (F.col("t.score") >= TOXIC_FROM).cast("int").alias("predicted"),
                 F.col("t.language").alias("text_language"))
     )
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_language_model": op7_language_model,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
