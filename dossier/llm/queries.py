@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, jaccard, language, media, mixing, packing, quality, tokens, toxicity
+from dossier.llm import fingerprints, jaccard, language, media, mixing, packing, quality, sharding, tokens, toxicity
 
 TOKEN_LIMIT = 512
 #: Scores from which a text is good, and toxic.
@@ -33,6 +33,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(stored).drop("media")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal bytes."""
+    return sharding.sharded(documents(spark, sf_dir), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text under a byte-level encoding."""
     counts = tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -89,6 +97,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
