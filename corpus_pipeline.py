@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import jaccard, mixing, packing, quality, toxicity
+from dossier.llm.common import unused
 from dossier.session import ensure_checkpoint_dir
 
 #: Scores from which a document is toxic, and good enough.
@@ -30,31 +31,30 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
-    scored = docs.withColumn("_toxicity", toxicity.toxicity(docs, model))
-    return scored.filter(F.col("_toxicity.score") < TOXIC_FROM).drop("_toxicity")
+    return docs.filter(toxicity.toxicity(docs, model)["score"] < TOXIC_FROM)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of sufficient quality, by a scorer fitted on those given; empty texts are scored too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    scored = docs.withColumn("_quality", quality.quality(docs, model))
-    return scored.filter(F.col("_quality") >= GOOD_FROM).drop("_quality")
+    return docs.filter(quality.quality(docs, model) >= GOOD_FROM)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of at least 0.8 over five-word shingles connect.
 
-    The one with the least id stays; of rows that repeat it, one. Rows without words are linked
-    with nothing and stay, and so do rows without id.
+    The one with the least id stays; of rows that share that id, the one with the longest text.
+    Rows without words are linked with nothing and stay, and so do rows without id.
     """
     found = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Rule(words=5, part=4, whole=5))
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), F.xxhash64("text"), "lang", "source")
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     # Ids rarely repeat, so the window holds one row a key.
-    named = named.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    return named.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), F.xxhash64("text"))
+    number = unused(docs, "number")
+    named = named.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(number)
+    return named.unionAll(docs.filter("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

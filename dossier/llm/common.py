@@ -44,3 +44,11 @@ def fit_labels(labels: DataFrame, label: str, folds: int = 5, id_column: str = "
         rows.na.drop().filter(remainder("doc_id", folds) != 0)
         .groupBy("doc_id").agg(F.max("label").alias("label"))
     )
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

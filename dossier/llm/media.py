@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.llm.common import unused
+
 SAMPLE_BYTES = 576
 #: Every so many samples one is marked as a key frame when a payload is stored.
 KEY_EVERY = 4
@@ -323,7 +325,8 @@ def media_digest(df: DataFrame, media: str = "media") -> DataFrame:
 
     ``feature`` names the codec, duration in seconds, samples, key frames and the check sum of
     the key frames' byte ranges. A file that cannot be decoded has its message as ``feature``
-    and nulls for its payload; null files have nulls throughout. Other columns stay.
+    and nulls for its payload; null files have nulls throughout. Other columns stay, except
+    those that have the name of a digest.
     """
 
     def digest(data: bytes) -> dict:
@@ -358,4 +361,7 @@ def media_digest(df: DataFrame, media: str = "media") -> DataFrame:
     def digests(column: pa.Array) -> pa.Array:
         return pa.array([None if d is None else digest(d) for d in column.to_pylist()], kind)
 
-    return df.withColumn("_digest", digests(F.col(media))).select(*df.columns, "_digest.*")
+    taken = set(DIGEST.names)
+    name = unused(df, "digest")
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+    return df.withColumn(name, digests(F.col(media))).select(*others, f"{name}.*")

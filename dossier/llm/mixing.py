@@ -17,6 +17,7 @@ BLOCK_WORDS = 8192
 BUCKET_ROWS = 20_000
 # Separators are space and tab to carriage return; weights by place of the source.
 WORD = "[^\\x20\\x09-\\x0D]+"
+SPACE = "[\\x20\\x09-\\x0D]"
 WEIGHTS = (5, 2, 1)
 
 
@@ -170,9 +171,8 @@ def mix(
     block goes to one shard, so pieces never overlap and sum up to the quota exactly. Rows without
     words have no pieces. Reruns agree; rows alike in id, text and source may change places.
     """
-    sized = df.withColumn("_size", words())
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    small = settled(sized.select(F.col("doc_id"), "source", F.col("_size").alias("size"), F.xxhash64("text").alias("sign"), key))
+    small = settled(df.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("sign"), key))
     sources = settled(small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     plan = targets(sources.select("source", "source_size"), share, most, weights)
     blocks = F.ceil(F.col("quota") / F.lit(BLOCK_WORDS)).cast("long")
@@ -220,15 +220,25 @@ def mixed_texts(df: DataFrame, mixed: DataFrame) -> DataFrame:
         .agg(F.flatten(F.collect_list(walks)).alias("_walks"), F.first("size").alias("_size"))
         .withColumnsRenamed({"doc_id": "_id", "sign": "_sign"})
     )
-    rows = df.withColumn("_sign", F.xxhash64("text")).dropDuplicates(["doc_id", "_sign"])
-    joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["_sign"] == taken["_sign"]))
-    joined = joined.withColumn("_words", F.explode("_walks"))
-    ahead = F.regexp_substr(F.col("text"), F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){"), F.col("_words").cast("string"), F.lit("}")))
-    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(ahead)
+    # The row travels as one struct, so its columns may have any names.
+    rows = (
+        df.select("doc_id", F.xxhash64("text").alias("sign"), F.struct("*").alias("row"))
+        .dropDuplicates(["doc_id", "sign"])
+    )
+    joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["sign"] == taken["_sign"]))
+    joined = joined.select("row", "_size", F.explode("_walks").alias("words"))
+    # Cut before every word; a text that begins with white space has one part more.
+    parts = F.split("row.text", f"(?<={SPACE})(?={WORD[:-1]})")
+    count = (F.col("words") + F.col("row.text").rlike(f"^{SPACE}").cast("int")).cast("int")
+    text = F.when(F.col("words") >= F.col("_size"), F.col("row.text")).otherwise(
+        F.array_join(F.slice(parts, F.lit(1), count), "")
+    )
     out = joined.withColumn("text", text)
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[
+        changed[c].cast(df.schema[c].dataType).alias(c) if c in changed else F.col("row").getField(c).alias(c)
+        for c in df.columns
+    ])
 
 
 def _pieces(first: Column, seed: int) -> Column:
