@@ -16,7 +16,7 @@ PASS_BITS = 11
 #: A cut is good enough once the rows it cannot tell apart have this share of the node's bytes.
 NEAR = 1 / 4000
 #: Equal texts with more than this share of a shard are spread row by row; others stay together.
-LARGE_GROUP = 1 / 64
+LARGE_GROUP = 1 / 256
 #: Rows of a shard that are numbered together, about.
 SLOT_ROWS = 20_000
 
@@ -158,7 +158,7 @@ def sharded(df: DataFrame, shards: int | None = 16, target_bytes: int | None = N
 
     ``size`` is the text's UTF-8 bytes plus one (null: one). The tree has ``shards`` leaves, or as
     many as bring each to ``target_bytes``. Leaves have near equal bytes. Rows of equal texts stay
-    in one shard unless they have more than 1/64 of a shard's bytes; then they are spread by id.
+    in one shard unless they have more than 1/256 of a shard's bytes; then they are spread by id.
     ``slot`` numbers the rows of a shard from 0 without gaps. Rows without id, with null texts or
     repeated are placed like others; an empty table gives an empty result.
     """
