@@ -143,7 +143,7 @@ def model_from_file(file_name: Column, prefix: str = "classification_all_files_"
     """Model name in a result file's name: between the prefix and the time stamp."""
     stem = F.regexp_replace(file_name, r"\.[^.]+$", "")
     rest = F.regexp_replace(
-        F.substring(stem, len(prefix) + 1, 100000), r"_\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}$", ""
+        F.substr(stem, F.lit(len(prefix) + 1)), r"_\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}$", ""
     )
     return F.when(stem.startswith(prefix), rest).otherwise(stem)
 
@@ -162,5 +162,5 @@ def utc_stamp_text(ts: Column) -> Column:
 def participant_from_file(file_name: Column, prefix: str) -> Column:
     """Participant in a form's file name: the part after the prefix."""
     stem = F.regexp_replace(file_name, r"\.[^.]+$", "")
-    rest = F.when(stem.startswith(prefix), F.substring(stem, len(prefix) + 1, 100000)).otherwise(stem)
+    rest = F.when(stem.startswith(prefix), F.substr(stem, F.lit(len(prefix) + 1))).otherwise(stem)
     return F.coalesce(F.nullif(F.btrim(rest, F.lit(" _-")), F.lit("")), stem)

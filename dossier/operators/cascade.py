@@ -17,26 +17,25 @@ from pyspark.sql import functions as F
 
 from dossier.functions.ids import fragments, parts_of_lengths
 from dossier.functions.text import cell_id, plain_id, search_id
-from dossier.operators.spread import lookup_join, measured_bytes, settled
+from dossier.operators.spread import lookup_join, settled
 
 AMBIGUOUS_PREFIX = "AMBIGUOUS_"
 
 
 def containment(ids: DataFrame, folders: DataFrame) -> DataFrame:
-    """All (id, folder, exact) where the folder's ``key`` contains the id.
+    """All (id, folder, key, exact) where the folder's ``key`` contains the id.
 
     ``ids(id)`` must be distinct. Per folder there are at most as many rows as its name
     has parts, however many items share an id.
     """
     # One small aggregate: the set of lengths is no larger than the longest id.
-    facts = ids.agg(F.collect_set(F.length("id")).alias("lengths"),
-                    F.sum(F.length("id").cast("bigint") + 32).alias("bytes")).first()
+    lengths = ids.agg(F.collect_set(F.length("id")).alias("lengths")).first().lengths
     parts = folders.select(
-        "folder", "key", F.explode(parts_of_lengths(F.col("key"), sorted(facts.lengths) or [1])).alias("id")
+        "folder", "key", F.explode(parts_of_lengths(F.col("key"), sorted(lengths) or [1])).alias("id")
     )
     wanted = ids.withColumn("_wanted", F.lit(True))
-    hits = lookup_join(parts, wanted, ["id"], ["folder", "id"], known_bytes=facts.bytes or 0)
-    return hits.where("_wanted").select("id", "folder", (F.col("key") == F.col("id")).alias("exact"))
+    hits = lookup_join(parts, wanted, ["id"])
+    return hits.where("_wanted").select("id", "folder", "key", (F.col("key") == F.col("id")).alias("exact"))
 
 
 def hit_index(hits: DataFrame) -> DataFrame:
@@ -65,10 +64,9 @@ def _all_ids(items: DataFrame) -> DataFrame:
 def _with_counts(items: DataFrame, index: DataFrame) -> DataFrame:
     """Items with the index columns of both ids, suffixed ``_sap`` and ``_tc``."""
     names = ["n_exact", "f_exact", "n_in", "f_in"]
-    size = measured_bytes(index)
     for column in ("sap", "tc"):
         side = index.select(F.col("id").alias(column), *[F.col(n).alias(f"{n}_{column}") for n in names])
-        items = lookup_join(items, side, [column], ["item"], known_bytes=size)
+        items = lookup_join(items, side, [column], ["item"])
     counts = [f"{n}_{c}" for n in ("n_exact", "n_in") for c in ("sap", "tc")]
     return items.na.fill(0, counts)
 
@@ -123,15 +121,10 @@ def match_cascade(items: DataFrame, folders: DataFrame, shortest_fragment: int =
 def _both_ids(items: DataFrame, hits: DataFrame) -> DataFrame:
     """Per pair of different ids on one item: folders that contain both."""
     pairs = items.where("sap is not null and tc is not null and sap <> tc").select("sap", "tc").distinct()
-    together = (
-        hits.groupBy("folder").agg(F.collect_set("id").alias("ids"))  # parts of one name
-        .where(F.size("ids") > 1)
-        .select("folder", F.explode("ids").alias("sap"), "ids")
-        .select("folder", "sap", F.explode("ids").alias("tc")).where("sap <> tc")
-    )
+    # Only wanted pairs are formed: those of a first id that was found, in the folders it is in.
     return (
-        lookup_join(together, pairs.withColumn("_wanted", F.lit(True)), ["sap", "tc"], ["folder"])
-        .where("_wanted").groupBy("sap", "tc")
+        pairs.join(hits.select(F.col("id").alias("sap"), "folder", "key"), "sap")
+        .where(F.col("key").contains(F.col("tc"))).groupBy("sap", "tc")
         .agg(F.count("*").alias("n_both"), F.min("folder").alias("f_both"))
     )
 
@@ -211,7 +204,7 @@ def match_either(items: DataFrame, folders: DataFrame, shortest_id: int = 4) ->
 def candidate_folders(items: DataFrame, folders: DataFrame, norm=cell_id) -> DataFrame:
     """Long table of the folders behind ambiguous ids: ``id, folder, exact``."""
     keyed_items, keyed_folders = _keyed(items, folders, norm, 1)
-    return containment(_all_ids(keyed_items), keyed_folders)
+    return containment(_all_ids(keyed_items), keyed_folders).drop("key")
 
 
 def match_by_name(items: DataFrame, folders: DataFrame) -> DataFrame:

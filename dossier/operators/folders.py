@@ -99,12 +99,18 @@ def folder_matches(items: DataFrame, folders: DataFrame) -> DataFrame:
     )
 
 
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are on more than one row; only those are listed."""
+    several = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    return rows.join(several, keys, "left_semi")
+
+
 def ambiguous_ids(items: DataFrame) -> DataFrame:
     """Ids on more than one list row, with the rows (long lists continue in further parts)."""
-    rows = id_rows(items).select("id", "row_no")
+    rows = _repeated(id_rows(items).select("id", "row_no"), ["id"])
     parts = listed_in_parts(
         rows, ["id"], ["row_no"], F.col("row_no").cast("string"), "rows", total="n_rows"
-    ).where("n_rows > 1")
+    )
     return parts.withColumn("rows", F.array_join("rows", ", "))
 
 
@@ -114,11 +120,11 @@ def _scan_ordered(matched: DataFrame) -> DataFrame:
 
 def duplicate_names(matched: DataFrame) -> DataFrame:
     """Names that more than one matched folder carries, over all categories."""
-    rows = _scan_ordered(matched).withColumn("name", master_id(F.col("folder")))
+    rows = _repeated(_scan_ordered(matched).withColumn("name", master_id(F.col("folder"))), ["name"])
     parts = listed_in_parts(
         rows, ["name"], ["_cat", "_name", "path"], F.struct("category", "path"), "members",
         total="n_folders",
-    ).where("n_folders > 1")
+    )
     return parts.select(
         "name", "n_folders", "part",
         F.array_join(F.transform("members", lambda m: m["category"]), " | ").alias("categories"),
@@ -128,11 +134,11 @@ def duplicate_names(matched: DataFrame) -> DataFrame:
 
 def several_folders(matched: DataFrame) -> DataFrame:
     """List rows that more than one folder matched."""
-    rows = _scan_ordered(matched)
+    rows = _repeated(_scan_ordered(matched), ["row_no"])
     parts = listed_in_parts(
         rows, ["row_no", "sap", "teamcenter"], ["_cat", "_name", "path"],
         F.struct("folder", "path"), "members", total="n_folders",
-    ).where("n_folders > 1")
+    )
     return parts.select(
         "row_no", "sap", "teamcenter", "n_folders", "part",
         F.array_join(F.transform("members", lambda m: m["folder"]), " | ").alias("folders"),
@@ -171,8 +177,7 @@ def require_no_conflicts(items: DataFrame, matches: DataFrame) -> None:
     counts = conflict_counts(items, matches).first()
     if counts.blocked:
         raise RuntimeError(
-            "No folders were copied because ID or folder conflicts exist. "
-            f"Review the conflict reports first: {counts.asDict()}"
+            f"There are conflicts of ids or folders, so nothing is copied; see the reports: {counts.asDict()}"
         )
 
 

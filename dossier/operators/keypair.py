@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import sheet_key
-from dossier.operators.spread import lookup_join, settled
+from dossier.operators.spread import lookup_join
 
 BOTH, ONE_SAP, ONE_TC = "BOTH", "SAP", "TEAMCENTER"
 NONE, DIFFERENT, SEVERAL = "NONE", "DIFFERENT_ROWS", "AMBIGUOUS"
@@ -21,19 +21,23 @@ ERRORS = (DIFFERENT, SEVERAL)
 
 def find_rows(
     target: DataFrame, source: DataFrame, payload: Sequence[str], within: Sequence[str] = (),
-    spread_by: Sequence[str] = ("row_no",),
+    spread_by: Sequence[str] = ("row_no",), numeric: bool = False,
 ) -> DataFrame:
     """``target`` with the outcome and the payload of its row in ``source``.
 
     Both have ``sap`` and ``teamcenter``; ``source`` also has ``row_no``. ``within`` names
     columns that both share and that separate independent sources. If both keys hit, the
     rows hit by both must be exactly one; none is an error. Otherwise a single hit of the
-    first key, then of the second, is taken; several are an error.
+    first key, then of the second, is taken; several are an error. With ``numeric`` ids that a
+    sheet stored as numbers (``123.0``) are read as whole numbers on both sides.
     """
     within = list(within)
 
     def key(name: str) -> Column:
-        return F.nullif(sheet_key(F.col(name)), F.lit(""))
+        value = F.col(name).cast("string")
+        if numeric:
+            value = F.regexp_replace(value, r"^(\s*\d+)\.0+(\s*)$", "$1$2")
+        return F.nullif(sheet_key(value), F.lit(""))
 
     none = F.lit(None).cast("string")
     rows = source.select(*within, key("sap").alias("_sap"), key("teamcenter").alias("_tc"),
@@ -47,7 +51,7 @@ def find_rows(
               "b": "k.sap is not null and k.tc is not null"}
     usable = " or ".join(f"(k.tag = '{tag}' and {test})" for tag, test in needed.items())
     # One pass over the source counts it by the first key, the second and both.
-    lookups = settled(
+    lookups = (
         rows.select(*within, "_row", kinds.alias("k")).where(usable)
         .groupBy(*within, "k.tag", F.col("k.sap").alias("_sap"), F.col("k.tc").alias("_tc"))
         .agg(F.count("*").alias("_n"), F.min("_row").alias("_row"))
@@ -79,11 +83,8 @@ def find_rows(
 def require_clean(found: DataFrame, source_name: str) -> None:
     bad = found.where(F.col("outcome").isin(*ERRORS)).orderBy("row_no").limit(1).collect()
     if bad:
-        what = "point to different rows" if bad[0].outcome == DIFFERENT else "match more than one row"
-        raise ValueError(
-            f"SAP-Nummer='{bad[0].sap}' and Teamcenter ID='{bad[0].teamcenter}' {what} in "
-            f"'{source_name}'. Please check the source data."
-        )
+        what = "belong to different rows" if bad[0].outcome == DIFFERENT else "are on several rows"
+        raise ValueError(f"{source_name}: the ids {bad[0].sap!r} and {bad[0].teamcenter!r} {what}")
 
 
 def annotations_long(

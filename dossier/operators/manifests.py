@@ -73,7 +73,9 @@ def current_manifests(sources: DataFrame, manifests: DataFrame, images: DataFram
     names = ["source_pdf_name", *SETTINGS]
     same = F.col("s.path") == F.col("m.path")
     for name in names:
-        same = same & F.col(f"s.{name}").eqNullSafe(F.col(f"m.{name}"))
+        s, m = F.col(f"s.{name}"), F.col(f"m.{name}")
+        # A missing hash says nothing about the content, so it equals no other.
+        same = same & (s == m if name == "source_sha256" else s.eqNullSafe(m))
     return sources.alias("s").join(complete.alias("m"), same, "left_semi")
 
 

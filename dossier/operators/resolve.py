@@ -12,7 +12,7 @@ from dossier.functions.text import cell_text, fold, strip
 from dossier.operators.spread import best_rows, listed_in_parts
 
 # Where a resolved path came from, and the marks for existence.
-FROM_CURRENT, FROM_INVENTORY = "current_processed_HBG", "inventory_full_path_fallback"
+FROM_CURRENT, FROM_INVENTORY = "current_folder", "inventory_full_path_fallback"
 SENT_PRIORITIES = ("priority_1_candidate", "priority_2_candidate")
 
 

@@ -3,71 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.session import ensure_checkpoint_dir
 
-# A lookup is sent to every executor only when its measured text is below this size.
-BROADCAST_BYTES = 32 * 1024 * 1024
-# Keys salted in a large join. Any key outside the most frequent HOT_KEYS holds at most
-# 1/HOT_KEYS of the rows, so the rest needs no salt.
-HOT_KEYS = 64
-SALTS = 32
 # Groups above this size are numbered in ranges instead of in one task.
 PLAIN_GROUP_ROWS = 2_000_000
 # Members of one group held in one array; longer lists continue in further parts.
 PART_SIZE = 1000
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a table's values as text, from one distributed sum."""
-    width = F.length(F.to_json(F.struct(*df.columns))) + F.lit(16)
-    return df.select(width.cast("bigint").alias("w")).agg(F.sum("w")).first()[0] or 0
-
-
 def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    broadcast_bytes: int = BROADCAST_BYTES,
-    known_bytes: int | None = None,
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: Sequence[str] = ()
 ) -> DataFrame:
     """Left join to a table that holds each key once.
 
-    A lookup measured below ``broadcast_bytes`` is broadcast. A larger one is joined by
-    shuffle: rows of the most frequent keys, and rows with a null key, are spread over
-    ``SALTS`` partitions by a hash of ``spread_by`` (columns that tell rows apart), and
-    only the lookup rows of those keys are repeated. ``known_bytes`` saves measuring a
-    lookup twice.
+    Spark chooses the strategy and splits skewed keys at run time. Rows without a key would all
+    meet in one task: where ``spread_by`` names columns that tell rows apart and the first key
+    is text, such rows get a key of their own for the join, one that no text can equal.
     """
     on = list(on)
-    size = measured_bytes(lookup) if known_bytes is None else known_bytes
-    if size <= broadcast_bytes:
-        return rows.join(F.broadcast(lookup), on, "left")
-
-    hot = (
-        rows.groupBy(*on).agg(F.count("*").alias("_n"))
-        .orderBy(F.desc("_n"), *on).limit(HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    no_key = F.lit(False)
-    for column in on:
-        no_key = no_key | F.col(column).isNull()
-    salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_lookup = (
-        lookup.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted_rows.join(salted_lookup, [*on, "_salt"], "left").drop("_salt")
+    first = on[0]
+    if not spread_by or dict(rows.dtypes)[first] != "string":
+        return rows.join(lookup, on, "left")
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    own = F.concat(F.lit("\x00"), F.xxhash64(*spread_by).cast("string"))
+    keyed = rows.withColumn("_key", F.when(missing, own).otherwise(F.col(first)))
+    table = lookup.withColumnRenamed(first, "_key")
+    rest = [c for c in lookup.columns if c not in on]
+    # Further keys that are null would join nothing; the first key alone decides then.
+    same = [F.col("_a._key") == F.col("_b._key")] + [F.col(f"_a.{c}") == F.col(f"_b.{c}") for c in on[1:]]
+    joined = keyed.alias("_a").join(table.alias("_b"), same, "left")
+    others = [F.col(f"_a.`{c}`") for c in rows.columns if c not in on]
+    return joined.select(*[F.col(f"_a.`{c}`") for c in on], *others, *[F.col(f"_b.`{c}`") for c in rest])
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -94,16 +65,16 @@ def numbered(
     """Number rows 1, 2, ... within each group in the given order.
 
     ``group`` may be empty for one numbering over the table. Groups up to ``plain_rows``
-    use a window. Otherwise the table is cut into key ranges, each range is numbered on
+    use a window. Otherwise, and without groups, the table is cut into key ranges, each range is numbered on
     its own, and the rows of the ranges before it are added. Only the first group of a
     range can have begun in an earlier one, so the table of offsets has at most one row
     per range. ``group`` and ``order`` together should identify a row.
     """
     group, order = list(group), list(order)
-    if largest_group(df, group) <= plain_rows:
-        keys = group or [F.lit(0)]
+    # One numbering over the whole table is never one task's work.
+    if group and largest_group(df, group) <= plain_rows:
         return df.withColumn(
-            name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+            name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
         )
 
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import label_text, plain_id
-from dossier.operators.spread import best_rows, lookup_join, settled
+from dossier.operators.spread import lookup_join
 
 # How a prediction found its truth.
 BY_SAP, BY_TEAMCENTER, NOT_MATCHED = "SAP", "TEAMCENTER", "NOT_MATCHED"
@@ -39,29 +39,21 @@ def truth_lookups(truth: DataFrame, id_columns: Sequence[str] = ("sap", "teamcen
 
 
 def truth_conflicts(truth: DataFrame, id_columns: Sequence[str] = ("sap", "teamcenter")) -> DataFrame:
-    """Ids with more than one label: the first two labels in row order and where they start."""
+    """Ids with more than one label: each of their labels and the row where it starts."""
     key = ["id_type", "key"]
     per_label = _keyed_truth(truth, id_columns).groupBy(*key, "label").agg(
         F.min("row_no").alias("first_row")
     )
     several = per_label.groupBy(*key).agg(F.count("*").alias("n_labels")).where("n_labels > 1")
-    two = best_rows(per_label, key, ["first_row", "label"], keep=2).groupBy(*key).agg(
-        F.min(F.struct("first_row", "label")).alias("a"),
-        F.max(F.struct("first_row", "label")).alias("b"),
-    )
-    return several.join(two, key).select(
-        *key, "n_labels", F.col("a.first_row").alias("row_a"), F.col("a.label").alias("label_a"),
-        F.col("b.first_row").alias("row_b"), F.col("b.label").alias("label_b"),
-    )
+    return several.join(per_label, key).select(*key, "n_labels", "label", "first_row")
 
 
 def require_consistent_truth(truth: DataFrame, id_columns: Sequence[str] = ("sap", "teamcenter")) -> None:
-    found = truth_conflicts(truth, id_columns).orderBy("row_b").limit(1).collect()
+    found = truth_conflicts(truth, id_columns).orderBy("id_type", "key", "first_row").limit(2).collect()
     if found:
-        c = found[0]
+        labels = "; ".join(f"{c.label!r} from row {c.first_row}" for c in found)
         raise ValueError(
-            f"Conflicting Ground Truth for {c.id_type} ID '{c.key}': "
-            f"row {c.row_a}='{c.label_a}', row {c.row_b}='{c.label_b}'."
+            f"The truth gives {found[0].n_labels} labels to the {found[0].id_type} id {found[0].key!r}: {labels}"
         )
 
 
@@ -78,7 +70,7 @@ def match_predictions(predictions: DataFrame, truth: DataFrame) -> DataFrame:
         _blank_to_null(plain_id(F.col("sap"))).alias("sap_key"),
         _blank_to_null(plain_id(F.col("teamcenter"))).alias("tc_key"),
     )
-    lookups = settled(truth_lookups(truth))
+    lookups = truth_lookups(truth)
 
     def lookup(column: str, tag: str) -> DataFrame:
         return lookups.where(F.col("id_type") == ID_TYPES[column]).select(

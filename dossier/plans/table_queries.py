@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import answers, paths, text
@@ -248,12 +248,12 @@ def file_inventory(spark, sf):
 
 @query
 def file_inventory_older(spark, sf):
-    return inventory.inventory(_listing(spark, sf), older=True)
+    return inventory.inventory(given.line_files(spark, sf), older=True)
 
 
 @query
 def type_counts(spark, sf):
-    return inventory.type_counts(inventory.typed_files(_listing(spark, sf)))
+    return inventory.type_counts(inventory.typed_files(given.line_files(spark, sf)))
 
 
 @query
@@ -265,17 +265,17 @@ def priority_summary(spark, sf):
 
 @query
 def skip_reasons(spark, sf):
-    return inventory.eligibility(_listing(spark, sf)).select("assembly", "rel_path", "skip_reason")
+    return inventory.eligibility(given.line_files(spark, sf)).select("assembly", "rel_path", "skip_reason")
 
 
 @query
 def skip_counts(spark, sf):
-    return inventory.skip_counts(_listing(spark, sf))
+    return inventory.skip_counts(given.line_files(spark, sf))
 
 
 @query
 def supported_counts(spark, sf):
-    return inventory.supported_counts(_listing(spark, sf))
+    return inventory.supported_counts(given.line_files(spark, sf))
 
 
 @query
@@ -392,8 +392,7 @@ def turn_batches(spark, sf):
 def running_position(spark, sf):
     rows = given.table(spark, sf, "events").select("event_id", "user_id")
     placed = spread.numbered(rows, ["user_id"], ["event_id"])
-    totals = rows.groupBy("user_id").agg(F.count("*").alias("total"))
-    return spread.lookup_join(placed, totals, ["user_id"], ["event_id"])
+    return placed.withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
 
 
 # --- labelling ------------------------------------------------------------------------
@@ -597,7 +596,7 @@ def rows_below_header(spark, sf):
 
 @query
 def path_parts(spark, sf):
-    files = _listing(spark, sf)
+    files = given.line_files(spark, sf)
     name = paths.file_name(F.col("rel_path"))
     return files.select(
         "assembly", "rel_path", paths.suffix(name).alias("ext"), paths.stem(name).alias("stem"),

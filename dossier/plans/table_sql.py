@@ -125,10 +125,8 @@ SQL["truth_conflicts"] = """WITH t AS (
   UNION ALL
   SELECT 'Teamcenter', 'k' || json_extract_string(props, '$.k'), event_type, event_id FROM events),
 f AS (SELECT id_type, key, label, min(row_no) AS first_row FROM t GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY id_type, key ORDER BY first_row) AS rn,
-             count(*) OVER (PARTITION BY id_type, key) AS n_labels FROM f)
-SELECT a.id_type, a.key, a.n_labels, a.first_row AS row_a, a.label AS label_a, b.first_row AS row_b, b.label AS label_b
-FROM r a JOIN r b ON a.id_type = b.id_type AND a.key = b.key AND a.rn = 1 AND b.rn = 2"""
+r AS (SELECT *, count(*) OVER (PARTITION BY id_type, key) AS n_labels FROM f)
+SELECT id_type, key, n_labels, label, first_row FROM r WHERE n_labels > 1"""
 
 # --- ids and names --------------------------------------------------------------------
 
@@ -449,7 +447,7 @@ RESOLVED = """sel AS (SELECT *, '/data/' || assembly || '/' || rel_path AS cur,
                 FROM ranked WHERE prio <> 'nein'),
 res AS (SELECT assembly, file_name, sub AS relative_subfolder, prio AS priority,
   CASE WHEN line_status <> 'F' AND flag = 'A' THEN old ELSE cur END AS resolved_path,
-  CASE WHEN line_status <> 'F' AND flag = 'A' THEN 'inventory_full_path_fallback' ELSE 'current_processed_HBG' END AS path_source,
+  CASE WHEN line_status <> 'F' AND flag = 'A' THEN 'inventory_full_path_fallback' ELSE 'current_folder' END AS path_source,
   line_status = 'F' OR flag = 'A' AS exists,
   CASE WHEN line_status = 'F' OR flag = 'A' THEN 'ja' ELSE 'nein' END AS exists_mark FROM sel)"""
 SQL["resolved_files"] = with_ctes(FILES, TYPED, RESOLVED, select="SELECT * FROM res")

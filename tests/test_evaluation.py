@@ -51,15 +51,17 @@ def test_label_order(matched):
 def test_conflicting_truth(spark):
     rows = spark.createDataFrame([(2, "F", "T", "x"), (3, "F", "T", "x"), (4, "f", "U", "y")], "row_no bigint, sap string, teamcenter string, label string")
     found = truth.truth_conflicts(rows).collect()
-    assert [(c.id_type, c.key, c.row_a, c.label_a, c.row_b, c.label_b) for c in found] == [("SAP", "f", 2, "x", 4, "y")]
-    with pytest.raises(ValueError, match="Conflicting Ground Truth for SAP"):
+    assert sorted((c.id_type, c.key, c.n_labels, c.label, c.first_row) for c in found) == [("SAP", "f", 2, "x", 2), ("SAP", "f", 2, "y", 4)]
+    three = rows.union(spark.createDataFrame([(9, "F", None, "z")], rows.schema))
+    assert {c.label for c in truth.truth_conflicts(three).collect()} == {"x", "y", "z"}
+    with pytest.raises(ValueError, match="2 labels to the SAP id 'f'"):
         truth.require_consistent_truth(rows)
     truth.require_consistent_truth(rows.where("row_no < 4"))
 
 
 def test_nothing_to_evaluate(spark):
     empty = spark.createDataFrame([("m", 1, None, "x", "SAP")], "model string, prediction_row bigint, ground_truth string, predicted_label string, match_method string")
-    with pytest.raises(ValueError, match="No matched rows"):
+    with pytest.raises(ValueError, match="Nothing to evaluate"):
         metrics.require_evaluable(empty)
 
 
@@ -91,3 +93,11 @@ def test_metrics_equal_brute_force_and_do_not_depend_on_partitions(spark):
 def test_ranking(spark):
     df = spark.createDataFrame([("a", 0.5, 0.5), ("b", 0.5, 0.6), ("c", 0.7, 0.1), ("d", 0.5, 0.5)], "model string, macro_f1 double, accuracy double")
     assert [r.model for r in metrics.model_ranking(df).collect()] == ["c", "b", "a", "d"]
+
+
+def test_wide_confusion_loses_no_label(spark):
+    counts = spark.createDataFrame([("m", "x", "y", 3), ("m", "y", "y", 4), ("n", "x", "x", 2)], "model string, ground_truth string, predicted_label string, n bigint")
+    wide = metrics.confusion_wide(counts, ["x", "y"]).collect()
+    assert sum(r["x"] + r["y"] for r in wide) == 9
+    with pytest.raises(Exception, match="Not in the label list"):
+        metrics.confusion_wide(counts, ["x"]).collect()

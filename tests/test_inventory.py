@@ -77,8 +77,8 @@ def test_resolution(spark):
     listing = spark.createDataFrame([("/r/A/a.pdf",), ("/old/b.pdf",)], "path string")
     got = {r.resolved_path: r for r in resolve.resolve_files(inv, listing, "/r").collect()}
     assert {p: (r.path_source, r.exists_mark) for p, r in got.items()} == {
-        "/r/A/a.pdf": ("current_processed_HBG", "ja"), "/old/b.pdf": ("inventory_full_path_fallback", "ja"),
-        "/r/A/s/c.pdf": ("current_processed_HBG", "nein"), "/r/B/q.pdf": ("current_processed_HBG", "nein")}
+        "/r/A/a.pdf": ("current_folder", "ja"), "/old/b.pdf": ("inventory_full_path_fallback", "ja"),
+        "/r/A/s/c.pdf": ("current_folder", "nein"), "/r/B/q.pdf": ("current_folder", "nein")}
     lists = {r.assembly: r for r in resolve.file_lists(resolve.resolve_files(inv, listing, "/r")).collect()}
     assert lists["A"].files == "a.pdf\nB.pdf\nc.pdf" and lists["A"].missing_files == "/r/A/s/c.pdf"
 

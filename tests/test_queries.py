@@ -10,6 +10,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 import __spark_entry__ as entry  # noqa: E402
 from dossier.operators import spread  # noqa: E402
+from dossier.plans.table_queries import QUERIES  # noqa: E402
+from dossier.plans.table_sql import SQL  # noqa: E402
 from tools.compare import TABLES, plain  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,7 +27,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 def check(spark, con, name):
@@ -39,7 +41,7 @@ def check(spark, con, name):
     assert sorted(tuple(plain(row[c]) for c in columns) for row in df.collect()) == theirs
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     check(spark, con, name)
 
@@ -49,11 +51,26 @@ def test_query_equals_sql(spark, con, name):
     "intersection_match", "file_inventory", "image_batches", "running_position",
 ])
 def test_paths_for_large_tables_equal_sql(spark, con, name, monkeypatch):
-    """Nothing is small enough to broadcast and every group is numbered in ranges."""
-    monkeypatch.setattr(spread.lookup_join, "__defaults__", (0, None))
+    """Nothing is broadcast and every group is numbered in ranges."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(spread.numbered, "__defaults__", ("position", 0))
     monkeypatch.setattr(spread.listed_in_parts, "__defaults__", ("items", spread.PART_SIZE, None, 0))
-    check(spark, con, name)
+    try:
+        check(spark, con, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_are_read_once_and_building_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "no job while the query is built")
+    df = QUERIES["eval_matched_rows"](spark, SMALL)
+    started = tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_returnflag") and sum("FileScan" in x and "l_returnflag" in x for x in plan.splitlines()) == 1
+    # Reading a file's schema may start a job; nothing else does.
+    assert len(started) <= 2
 
 
 def test_entry_runs(spark):

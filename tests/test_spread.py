@@ -12,35 +12,41 @@ def skewed(spark, n=3000):
     return rows, spark.createDataFrame(rows, "row_no bigint, k string").repartition(7)
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def test_lookup_join_keeps_every_row(spark):
     rows, df = skewed(spark)
     table = {f"k{n}": n for n in range(0, 400, 2)} | {"hot": 999}
     lookup = spark.createDataFrame(list(table.items()), "k string, v int")
-    expected = sorted((i, k, table.get(k)) for i, k in rows)
-    for limit in (0, 10**9):
-        got = lookup_join(df, lookup, ["k"], ["row_no"], broadcast_bytes=limit)
-        assert sorted((r.row_no, r.k, r.v) for r in got.collect()) == sorted(expected, key=lambda x: x[0])
+    expected = sorted((i, k or "", table.get(k)) for i, k in rows)
+    for spread_by in ([], ["row_no"]):
+        got = lookup_join(df, lookup, ["k"], spread_by)
+        assert got.columns == ["k", "row_no", "v"]
+        assert sorted((r.row_no, r.k or "", r.v) for r in got.collect()) == expected
 
 
-def test_salted_join_spreads_the_hot_key(spark):
+def test_lookup_join_spreads_rows_without_key_and_runs_no_job(spark):
     _, df = skewed(spark)
     lookup = spark.createDataFrame([("hot", 1)], "k string, v int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "no job while a join is built")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup_join(df, lookup, ["k"], ["row_no"], broadcast_bytes=0)
-        per_task = joined.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        joined = lookup_join(df, lookup, ["k"], ["row_no"])
+        assert not tracker.getJobIdsForGroup("lookup")
+        per_task = joined.where("k is null").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(per_task) > 3 and max(r["count"] for r in per_task) < 800
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(per_task) > 3
 
 
-def test_two_column_salted_join(spark):
+def test_lookup_join_on_two_columns(spark):
     left = spark.createDataFrame([(n, "a", "x" if n % 2 else None) for n in range(200)], "row_no int, p string, q string")
     right = spark.createDataFrame([("a", "x", 7)], "p string, q string, v int")
-    got = lookup_join(left, right, ["p", "q"], ["row_no"], broadcast_bytes=0).collect()
-    assert len(got) == 200 and sum(r.v or 0 for r in got) == 700
+    for spread_by in ([], ["row_no"]):
+        got = lookup_join(left, right, ["p", "q"], spread_by).collect()
+        assert len(got) == 200 and sum(r.v or 0 for r in got) == 700
 
 
 def test_numbering_in_ranges_equals_window(spark):
