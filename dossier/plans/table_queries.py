@@ -557,23 +557,42 @@ def unified_headers(spark, sf):
     return tables.union_resolved(frames, wanted, required=["sap", "label"])
 
 
+def _shared_folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid4().hex}"
+
+
 @query
 def predictions_from_files(spark, sf):
-    """Predictions written as one set of files per model, each with other headers, and read
-    back in one go."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid4().hex}"
-    headers = {"model_A": ("SAP-Nummer", "Teamcenter ID", "Predicted_Label"), "model_N": ("ID", "TC-ID", "Prediction"),
-               "model_R": ("BG", "TC Nummer", "Vorhersage")}
-    rows = given.line_predictions(spark, sf)
-    for model, (sap, tc, label) in headers.items():
-        rows.where(F.col("model") == model).select(
-            F.col("predicted").alias(label), F.col("sap").alias(sap), F.col("model").alias("Run_Model"),
-            F.col("teamcenter").alias(tc),
-        ).write.csv(f"{root}/{model}", header=True)
-    read = tables.read_predictions(spark, f"{root}/*/*.csv", max_columns=8)
+    """Predictions written as sets of files by model, with other headers, and read back in one
+    go. Some cells hold line breaks and quotes."""
+    root = _shared_folder(spark)
+    headers = [("SAP-Nummer", "Teamcenter ID", "Predicted_Label"), ("ID", "TC-ID", "Prediction"), ("BG", "TC Nummer", "Vorhersage")]
+    rows = given.line_predictions(spark, sf).withColumn("kind", F.pmod(F.crc32("model"), F.lit(len(headers))))
+    broken = F.when(F.col("row_no") % 5 == 0, F.concat("predicted", F.lit(' "weil"\nso'))).otherwise(F.col("predicted"))
+    for kind, (sap, tc, label) in enumerate(headers):
+        rows.where(F.col("kind") == kind).select(
+            broken.alias(label), F.col("sap").alias(sap), F.col("model").alias("Run_Model"), F.col("teamcenter").alias(tc), "model",
+        ).write.partitionBy("model").csv(f"{root}/{kind}", header=True, escape='"')
+    read = tables.read_predictions(spark, f"{root}/*/*/*.csv", multi_line=True)
     return read.select("model", "sap", "teamcenter", "predicted")
 
 
+@query
+def forms_from_files(spark, sf):
+    """Participants' forms written as files named after them and read back."""
+    root = _shared_folder(spark)
+    forms = given.order_forms(spark, sf)
+    for participant in given.PARTICIPANTS:
+        forms.where(F.col("participant") == participant).select(
+            F.col("sap").alias("sap nummer"), F.col("teamcenter").alias("TEAMCENTER-ID"), F.col("label").alias("Baugruppen-Klasse")
+        ).write.csv(f"{root}/Form_{participant}", header=True, escape='"')
+    read = tables.read_many(
+        spark, f"{root}/*/*.csv", {"sap": ("SAP-Nummer",), "teamcenter": ("Teamcenter ID",), "label": ("Baugruppen-Klasse",)},
+        normalised=True, required=["label"],
+    )
+    return read.select("sap", "teamcenter", "label")
+
+
 @query
 def run_stamps(spark, sf):
     """Time texts of every event."""

@@ -631,7 +631,10 @@ SQL["unified_headers"] = """SELECT c_name AS sap, CAST(NULL AS VARCHAR) AS teamc
 UNION ALL SELECT s_name, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM supplier
 UNION ALL SELECT p_brand, NULL, p_name FROM part"""
 SQL["predictions_from_files"] = with_ctes(TRUTH, MATCHED, select="""
-SELECT model, sap, trim(teamcenter) AS teamcenter, predicted_label AS predicted FROM preds""")
+SELECT model, sap, trim(teamcenter) AS teamcenter,
+  predicted_label || CASE WHEN prediction_row % 5 = 0 THEN ' "weil"' || chr(10) || 'so' ELSE '' END AS predicted FROM preds""")
+SQL["forms_from_files"] = """SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS sap,
+  'D' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS teamcenter, o_orderpriority AS label FROM orders"""
 SQL["run_stamps"] = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS local,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS utc FROM events"""
 SQL["class_list"] = "SELECT p_name AS label, min(p_partkey) AS ord FROM part WHERE p_size > 5 GROUP BY ALL"

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import (
     cell_text, fold, header_key, model_from_file, participant_from_file, strip, text_or_blank,
 )
-from dossier.operators.spread import lookup_join, numbered
 
 # Accepted header names per meaning, in order of preference.
 PREDICTION_HEADERS = ("Predicted_Label", "Predicted Label", "Prediction", "Vorhersage")
@@ -63,7 +62,7 @@ def find_column(
     else:
         hit = next((c for c in candidates if c in columns), None)
     if hit is None and required:
-        raise ValueError(f"Could not detect the {meaning} column. Available: {list(columns)}")
+        raise ValueError(f"No header for {meaning!r} among {list(columns)}")
     return hit
 
 
@@ -74,7 +73,7 @@ def _plain_header(text: str) -> str:
 def require_columns(columns: Sequence[str], required: Sequence[str], source: str) -> None:
     missing = [c for c in required if c not in columns]
     if missing:
-        raise ValueError(f"In {source} columns are missing: {missing}. Found: {list(columns)}")
+        raise ValueError(f"{source} lacks the columns {missing}; it has {list(columns)}")
 
 
 def resolve_columns(
@@ -99,47 +98,78 @@ def union_resolved(frames: Sequence[DataFrame], wanted, required=(), keep=()) ->
 
 def read_many(
     spark: SparkSession, paths: str | Sequence[str], wanted: Mapping[str, Sequence[str]],
-    sep: str = ",", max_columns: int = 256, normalised: bool = False,
+    sep: str = ",", normalised: bool = False, multi_line: bool = False, required: Sequence[str] = (),
+    prefix: str = "", with_path: bool = False,
 ) -> DataFrame:
     """Many delimited files, each with its own header, in one read.
 
-    Every file is read by position; its first row is its header and is joined back to its
-    rows by file. Returns ``file_name, row_no`` (rows with any value, the header being 1)
-    and one text column per meaning, null where the file lacks it. Lock files of office
-    programs are left out.
+    Every file is read by position; its first row with any value is its header. Returns
+    ``file_name, row_no`` (rows with any value, the header being 1) and one text column per
+    meaning, null where the file lacks it; a file whose header lacks a ``required`` meaning is an
+    error. Lock files of office programs and files whose names lack ``prefix`` are left out. Quotes
+    in cells are doubled. With ``multi_line`` quoted cells may hold line breaks, and files are not
+    split; without it a line with an open quote is an error.
+
+    One pass finds the widest line, one the first row and number of rows of each split, a
+    table of a row for each split that goes to all tasks. The rows themselves are not shuffled.
     """
-    schema = ", ".join(f"c{n} string" for n in range(max_columns + 1))
     paths = [paths] if isinstance(paths, str) else list(paths)
+    name = F.col("_metadata.file_name")
+    chosen = ~name.startswith("~$") & name.startswith(prefix)
+
+    def count_of(text: Column, sign: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+    facts = spark.read.text(paths).where(chosen).agg(
+        F.max(count_of(F.col("value"), sep)).alias("most"), F.max(count_of(F.col("value"), '"') % 2).alias("open")
+    ).first()
+    if facts.open and not multi_line:
+        raise ValueError(f"A quoted cell runs over a line break in {paths}; read it with multi_line")
+    width = (facts.most or 0) + 1
+    schema = ", ".join(f"c{n} string" for n in range(width)) + ", raw string"
     cells = (
-        spark.read.schema(schema).csv(paths, header=False, sep=sep)
+        spark.read.schema(schema).csv(paths, header=False, sep=sep, multiLine=multi_line, escape='"', columnNameOfCorruptRecord="raw")
+        .where(chosen)
         .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file_name"),
-            F.struct(F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("line")).alias("place"),
-            F.array(*[F.col(f"c{n}") for n in range(max_columns)]).alias("cells"),
-            F.col(f"c{max_columns}").alias("beyond"),
+            F.col("_metadata.file_path").alias("file_path"), name.alias("file_name"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.array(*[F.col(f"c{n}") for n in range(width)]).alias("cells"), "raw",
         )
-        .where(F.exists("cells", lambda c: c.isNotNull()) & ~F.col("file_name").startswith("~$"))
+        .where(F.exists("cells", lambda c: c.isNotNull()))
+        .withColumn("line", F.monotonically_increasing_id())
     )
-    # Position 1 of a file is its header, so positions are the row numbers of the sheet.
-    placed = numbered(cells, ["file_path"], ["place"], "row_no")
-    too_wide = F.raise_error(F.concat(F.lit(f"More than {max_columns} columns in "), "file_name"))
-    headers = placed.where("row_no = 1").select(
-        "file_path", F.when(F.col("beyond").isNull(), F.col("cells")).otherwise(too_wide).alias("header")
+    splits = cells.groupBy("file_path", "block").agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    in_file = Window.partitionBy("file_path").orderBy("block")
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = splits.where("before = 0").select("file_path", F.col("first").alias("line"))
+    headers = cells.join(F.broadcast(starts), ["file_path", "line"]).select(
+        "file_path", "file_name", "raw", F.col("cells").alias("header")
     )
-    rows = placed.where("row_no > 1").drop("beyond")
-    joined = lookup_join(rows, headers, ["file_path"], ["file_path", "row_no"])
-    names = F.transform("header", lambda h: header_key(h) if normalised else F.trim(h))
+    # Only a header with line breaks in its cells can be wider than every line.
+    too_wide = count_of(F.regexp_replace("raw", '"[^"]*"', ""), sep) >= width
+    wide = F.raise_error(F.concat(F.lit("A header is wider than any line in "), "file_name")).cast("array<string>")
+    header = F.when(F.coalesce(too_wide, F.lit(False)), wide).otherwise(F.col("header"))
+    names = F.transform(header, lambda h: header_key(h) if normalised else F.trim(h))
 
-    def value(candidates: Sequence[str]) -> Column:
+    def place(candidates: Sequence[str]) -> Column:
         looked = [_plain_header(c) for c in candidates] if normalised else list(candidates)
-        places = [F.coalesce(F.array_position("names", F.lit(c)), F.lit(0)) for c in looked]
-        chosen = F.coalesce(*[F.when(p > 0, p) for p in places])
-        return F.when(chosen.isNotNull(), F.get("cells", (chosen - 1).cast("int")))
+        found = [F.coalesce(F.array_position("names", F.lit(c)), F.lit(0)) for c in looked]
+        return F.coalesce(*[F.when(p > 0, p) for p in found]).cast("int")
+
+    def needed(meaning: str, at: Column) -> Column:
+        lacking = F.raise_error(F.concat(F.lit(f"No column for {meaning!r} in "), "file_name")).cast("int")
+        return F.coalesce(at, lacking) if meaning in required else at
 
-    return joined.withColumn("names", names).select(
-        "file_name", "row_no", *[value(c).alias(meaning) for meaning, c in wanted.items()]
+    headers = headers.withColumn("names", names).select(
+        "file_path", F.struct(*[needed(m, place(c)).alias(m) for m, c in wanted.items()]).alias("at")
+    )
+    table = splits.join(headers, "file_path").select("file_path", "block", "first", "before", "at")
+    rows = cells.join(F.broadcast(table), ["file_path", "block"]).withColumn(
+        "row_no", (F.col("line") - F.col("first") + F.col("before") + 1).cast("bigint")
+    )
+    place_of = ["file_path"] if with_path else []
+    return rows.where("row_no > 1").select(
+        *place_of, "file_name", "row_no", *[F.get("cells", F.col("at")[m] - 1).alias(m) for m in wanted]
     )
 
 
@@ -148,12 +178,13 @@ def read_predictions(spark: SparkSession, paths: str | Sequence[str], **options)
     model column, else it is taken from the file's name."""
     wanted = {"sap": SAP_HEADERS, "teamcenter": TC_HEADERS, "predicted": PREDICTION_HEADERS,
               "run_model": ("Run_Model",)}
-    rows = read_many(spark, paths, wanted, **options)
-    named = rows.where("run_model is not null").groupBy("file_name").agg(
+    rows = read_many(spark, paths, wanted, required=["predicted"], with_path=True, **options)
+    # One row for each file.
+    named = rows.where("run_model is not null").groupBy("file_path").agg(
         F.min_by(strip(F.col("run_model")), "row_no").alias("first_model")
     )
     model = F.coalesce(F.nullif("first_model", F.lit("")), model_from_file(F.col("file_name")))
-    return lookup_join(rows, named, ["file_name"], ["file_name", "row_no"]).select(
+    return rows.join(F.broadcast(named), "file_path", "left").select(
         model.alias("model"), "file_name", "row_no", "sap", "teamcenter", "predicted"
     )
 
@@ -162,20 +193,13 @@ def read_forms(spark: SparkSession, paths: str | Sequence[str], prefix: str, **o
     """Annotators' forms as one table; the participant is in the file's name."""
     wanted = {"sap": ("SAP-Nummer", "SAP Nummer"), "teamcenter": ("Teamcenter ID",),
               "label": ("Baugruppen-Klasse", "Baugruppen Klasse")}
-    rows = read_many(spark, paths, wanted, normalised=True, **options)
-    return rows.where(F.col("file_name").startswith(prefix)).select(
+    rows = read_many(spark, paths, wanted, normalised=True, required=["label"], prefix=prefix, **options)
+    return rows.select(
         participant_from_file(F.col("file_name"), prefix).alias("participant"),
         "row_no", "sap", "teamcenter", "label",
     )
 
 
-def missing_headers(resolved: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Files in which a required meaning never has a value."""
-    checks = [F.count(F.col(name)).alias(name) for name in required]
-    empty = reduce(lambda a, b: a | b, [F.col(name) == 0 for name in required])
-    return resolved.groupBy("file_name").agg(*checks).where(empty)
-
-
 def class_list(df: DataFrame, column: str, row_no: str = "row_no") -> DataFrame:
     """Allowed labels in order of first appearance, trimmed, without blanks and repeats."""
     label = text_or_blank(F.col(column))

@@ -69,9 +69,11 @@ def test_many_files_with_different_headers(spark, tmp_path):
     got = sorted(tuple(r) for r in df.collect())
     assert got == [("a.csv", 2, "A", None, "x"), ("a.csv", 3, "B", None, "y"), ("b.csv", 2, None, "T1", "x"),
                    ("b.csv", 3, None, "T2", "y"), ("c.csv", 2, "Q", None, None)]
-    assert [r.file_name for r in tables.missing_headers(df, ["predicted"]).collect()] == ["c.csv"]
-    with pytest.raises(Exception, match="More than 2 columns"):
-        tables.read_many(spark, str(tmp_path / "b.csv"), wanted, max_columns=2).collect()
+    with pytest.raises(Exception, match="No column for 'predicted' in c.csv"):
+        tables.read_many(spark, str(tmp_path / "*.csv"), wanted, required=["predicted"]).collect()
+    wide = ",".join(f"h{n}" for n in range(400))
+    (tmp_path / "wide.txt").write_text(f"{wide},ID\n{wide},Z\n")
+    assert [r.sap for r in tables.read_many(spark, str(tmp_path / "wide.txt"), wanted).collect()] == ["Z"]
     loose = tables.read_many(spark, str(tmp_path / "a.csv"), {"sap": ["sap nummer"]}, normalised=True)
     assert sorted(r.sap for r in loose.collect()) == ["A", "B"]
 
@@ -80,10 +82,10 @@ def test_models_and_participants_from_files(spark, tmp_path):
     (tmp_path / "classification_all_files_m-2_2026-01-01_00-00-00.csv").write_text("ID,Prediction\nA,x\n")
     (tmp_path / "other.csv").write_text("Run_Model,ID,Prediction\n,A,x\nm1,B,y\nzz,C,z\n")
     (tmp_path / "~$other.csv").write_text("ID,Prediction\nA,x\n")
-    got = sorted((r.model, r.row_no, r.sap) for r in tables.read_predictions(spark, str(tmp_path / "*.csv"), max_columns=5).collect())
+    got = sorted((r.model, r.row_no, r.sap) for r in tables.read_predictions(spark, str(tmp_path / "*.csv")).collect())
     assert got == [("m-2", 2, "A"), ("m1", 2, "A"), ("m1", 3, "B"), ("m1", 4, "C")]
     (tmp_path / "Form_TN_A_1.csv").write_text("sap nummer,BAUGRUPPEN-KLASSE\nA,x\n")
-    forms = tables.read_forms(spark, str(tmp_path / "*.csv"), "Form_", max_columns=5).collect()
+    forms = tables.read_forms(spark, str(tmp_path / "*.csv"), "Form_").collect()
     assert [tuple(r) for r in forms] == [("TN_A_1", 2, "A", None, "x")]
 
 
@@ -99,7 +101,7 @@ def test_columns_by_candidates(spark):
     assert tuple(out.first()) == ("1", None, "x")
     with pytest.raises(ValueError, match="predicted"):
         tables.resolve_columns(df, {"predicted": tables.PREDICTION_HEADERS}, ["predicted"])
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         tables.require_columns(df.columns, ["SAP-Nummer"], "list")
     assert tables.find_column(["sap  nummer"], ["SAP-Nummer"], "sap", normalised=True) == "sap  nummer"
 
@@ -126,3 +128,26 @@ def test_reports_keep_columns_without_rows(spark, tmp_path):
     for _ in range(2):
         sinks.append_log(spark.range(1), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('ID,Prediction,Note\nA,"Greifer\nweil ""so""",1\n\nB,y,"2\n3"\n')
+    got = tables.read_predictions(spark, str(tmp_path / "a.csv"), multi_line=True).collect()
+    assert sorted((r.row_no, r.sap, r.predicted) for r in got) == [(2, "A", 'Greifer\nweil "so"'), (3, "B", "y")]
+    with pytest.raises(ValueError, match="multi_line"):
+        tables.read_predictions(spark, str(tmp_path / "a.csv"))
+
+
+def test_row_numbers_over_splits_without_a_shuffle(spark, tmp_path):
+    lines = ["ID,Prediction"] + [f"k{n},p{n}" if n % 7 else "," for n in range(1, 4000)]
+    (tmp_path / "big.csv").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = tables.read_many(spark, str(tmp_path / "big.csv"), {"sap": ["ID"], "predicted": ["Prediction"]})
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {r.sap: r.row_no for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = [n for n in range(1, 4000) if n % 7]
+    assert got == {f"k{n}": place + 2 for place, n in enumerate(kept)}
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
