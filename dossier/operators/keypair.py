@@ -108,13 +108,21 @@ def annotation_overview(
 ) -> DataFrame:
     """Wide table in the order form's order: information columns and truth of the row's
     truth entry, then one label column per participant."""
-    entries = find_rows(order, truth, ["label", *info]).select(
+    return overview_of(
+        find_rows(order, truth, ["label", *info]), annotations_long(order, forms, participants), participants, info
+    )
+
+
+def overview_of(
+    entries: DataFrame, labels: DataFrame, participants: Sequence[str], info: Sequence[str] = ()
+) -> DataFrame:
+    """The overview from the look-ups of the truth and of the forms."""
+    entries = entries.select(
         "row_no", "sap", "teamcenter", F.col("outcome").alias("truth_outcome"),
         *[F.col(f"found_{name}").alias(name) for name in info],
         F.col("found_label").alias("ground_truth"),
     )
-    labels = (
-        annotations_long(order, forms, participants).groupBy("row_no")
-        .pivot("participant", list(participants)).agg(F.first("found_label", ignorenulls=True))
+    wide = labels.groupBy("row_no").pivot("participant", list(participants)).agg(
+        F.first("found_label", ignorenulls=True)
     )
-    return entries.join(labels, "row_no", "left")
+    return entries.join(wide, "row_no", "left")

@@ -68,18 +68,21 @@ def label_requests(
     wait_seconds: float = 2.0,
     accepted: Sequence[str] | None = None,
     repeat_hint: str = "",
+    system: str | None = None,
 ) -> DataFrame:
     """Ask the user's function once per item; one client per partition.
 
     ``requests(item, part, prompt, paths)``; the parts of an item are put together in
     order, texts and paths alike. ``make_client()`` returns a function of (prompt, paths)
-    that gives the answer text or a pair of text and usage counts. A raised error is
+    that gives the answer text or a pair of text and usage counts; with ``system``, a text for
+    all requests, it is called as (prompt, paths, system). A raised error is
     retried after ``wait_seconds`` times the attempt and ends in ``error``. With
     ``accepted`` labels an unaccepted answer is asked once more with ``repeat_hint`` added.
     Usage belongs to its own item only.
 
     Rows are placed by a hash of the item, so a task that is run again sees the same rows.
-    Write the result before using it twice: every evaluation makes the calls again.
+    Write the result before using it twice: every evaluation makes the calls again, as
+    ``stored_answers`` does. An item's paths, not its files, meet in one task.
     """
     allowed = None if accepted is None else {label.casefold() for label in accepted}
     schema = T.StructType([requests.schema["item"], *ANSWER_FIELDS])
@@ -90,7 +93,7 @@ def label_requests(
         error = None
         for attempt in range(1, attempts + 1):
             try:
-                answer = client(prompt, file_paths)
+                answer = client(prompt, file_paths) if system is None else client(prompt, file_paths, system)
                 text, usage = answer if isinstance(answer, tuple) else (answer, None)
                 return str(text).strip(), None, attempt, usage
             except Exception as caught:  # a failed call becomes a value of its row
@@ -128,6 +131,35 @@ def label_requests(
     )
 
 
+def stored_answers(
+    requests: DataFrame, make_client: Callable[[], Callable], parallelism: int, path: str,
+    bucket_items: int = 2_000, **options,
+) -> DataFrame:
+    """``label_requests`` in buckets of about ``bucket_items`` items, each stored before the next.
+
+    Answers are appended to the table at ``path``, in a folder that all executors share. Items
+    that it holds already are not asked again, so a run that was broken off goes on where it
+    stopped and repeats one bucket's calls at most. Returns the stored answers of the items in
+    ``requests``. Errors are stored like answers; remove their rows to ask again.
+    """
+    spark = requests.sparkSession
+    kind = T.StructType([requests.schema["item"], *ANSWER_FIELDS])
+
+    def stored() -> DataFrame:
+        # Appending nothing makes the table exist, whatever store the path is in.
+        return spark.read.schema(kind).parquet(path)
+
+    spark.createDataFrame([], kind).write.mode("append").parquet(path)
+    items = requests.select("item").distinct()
+    left = items.join(stored().select("item"), "item", "left_anti").count()
+    buckets = -(-items.count() // bucket_items) if left else 0
+    bucket = F.pmod(F.xxhash64("item"), F.lit(max(buckets, 1)))
+    for k in range(buckets):
+        some = pending(requests.where(bucket == k), stored(), ["item"])
+        label_requests(some, make_client, parallelism, **options).write.mode("append").parquet(path)
+    return stored().join(items, "item", "left_semi")
+
+
 def response_log(requests: DataFrame, results: DataFrame, run: Mapping[str, str]) -> DataFrame:
     """What was sent and what came back, one row per request part, for an append-only log.
 

@@ -7,6 +7,7 @@ one lazy plan per output.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ from dossier.operators import (
     cascade, folders, inventory, keypair, labelling, metrics, questions, resolve, truth,
 )
 from dossier.operators.spread import PART_SIZE, listed_in_parts, lookup_join, settled
+from dossier.session import ensure_checkpoint_dir
+from dossier.sources import sinks
+
+
+def _run_folder(df: DataFrame) -> str:
+    """A new folder for one run's answers, shared by all executors."""
+    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/answers-{uuid4().hex}"
 
 
 def collect(items: DataFrame, found: DataFrame, target: str, copy: bool = False) -> dict[str, DataFrame]:
@@ -71,14 +79,17 @@ def evaluate(predictions: DataFrame, truth_rows: DataFrame) -> dict[str, DataFra
 def classify_all_files(
     items: DataFrame, all_folders: DataFrame, files: DataFrame, labels: Sequence[str],
     make_client: Callable, model: str, run_timestamp: str, parallelism: int,
-    done: DataFrame | None = None,
+    done: DataFrame | None = None, answers_path: str | None = None, system: str | None = None,
 ) -> dict[str, DataFrame]:
     """``results``: one row per item with folder, answer, label and status; ``used_files``:
     the files sent, once per folder.
 
     ``items(item, sap, teamcenter, name)``, ``all_folders(folder, name)``,
     ``files(folder, path, rel_path, length)``. Files below the ignore directory are left
-    out. Items that ``done(item, model)`` lists are not asked again and do not appear.
+    out. Items that ``done(item, model)`` lists are not asked again and do not appear. Answers
+    are stored at ``answers_path`` bucket by bucket; a run started again with the same path
+    asks only for what is missing there. ``system`` goes with every call
+    (``answers.SYSTEM_PROMPT`` is the study's text).
     """
     if done is not None:
         items = labelling.pending(items.withColumn("model", F.lit(model)), done, ["item", "model"]).drop("model")
@@ -95,8 +106,7 @@ def classify_all_files(
     prompts = ready.select(
         "item", "folder", answers.question_all_files(F.col("name"), labels).alias("prompt"))
     requests = labelling.request_table(prompts, sendable, key="folder")
-    # A request is answered once: the answers are written before they are joined and read.
-    replies = settled(labelling.label_requests(requests, make_client, parallelism))
+    replies = labelling.stored_answers(requests, make_client, parallelism, answers_path or _run_folder(items), system=system)
     label = answers.tolerant_label(F.col("response"), labels)
     status = answers.run_status(
         F.col("has_id"), F.col("name"), F.col("n_files"), F.col("status"), F.col("response"), F.col("error"), label
@@ -120,12 +130,13 @@ def classify_prioritised(
     items: DataFrame, inventory_rows: DataFrame, listing: DataFrame, root: str,
     labels: Sequence[str], make_client: Callable, parallelism: int,
     priorities: Sequence[str] = resolve.SENT_PRIORITIES, call: bool = True,
-    run: Mapping[str, str] | None = None,
+    run: Mapping[str, str] | None = None, answers_path: str | None = None, log_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run on the inventory's prioritised files; one missing file holds an item back.
 
     ``items(item, row_no, sap, teamcenter, name)``. With ``call`` false only the checks
-    are made. ``run`` holds texts for the response log, such as model and time.
+    are made. ``run`` holds texts for the response log, such as model and time; with ``log_path``
+    the log is appended there. Answers are stored at ``answers_path`` as in ``classify_all_files``.
     """
     names = inventory_rows.select(text.cell_text(F.col("assembly")).alias("folder")).where("folder <> ''").distinct()
     match = settled(cascade.match_two_tier(
@@ -158,7 +169,7 @@ def classify_prioritised(
         requests = cases.where("ready = 'READY'").select("item", "folder", "name").join(lists, "folder").select(
             "item", "part", prompt.alias("prompt"), F.transform("files", lambda f: f["resolved_path"]).alias("paths"))
         requests = settled(requests)
-        replies = settled(labelling.label_requests(requests, make_client, parallelism))
+        replies = labelling.stored_answers(requests, make_client, parallelism, answers_path or _run_folder(items))
         cases = cases.join(replies.select("item", "response", "error"), "item", "left")
     else:
         requests = None
@@ -176,11 +187,14 @@ def classify_prioritised(
     tables = {"results": results.orderBy("row_no"), "used_files": used, "file_lists": resolve.file_lists(resolved)}
     if requests is not None:
         tables["response_log"] = labelling.response_log(requests, results, run or {})
+        if log_path:
+            sinks.append_log(tables["response_log"], log_path)
     return tables
 
 
 def answer_questions(
     sheet: DataFrame, id_column: str, files: DataFrame, make_client: Callable, parallelism: int,
+    answers_path: str | None = None,
 ) -> DataFrame:
     """Ask every blank cell's question about the files of its row; returns the long sheet.
 
@@ -190,23 +204,24 @@ def answer_questions(
     long = questions.to_long(sheet, [id_column]).withColumn("item", F.col(id_column).cast("string"))
     sendable = labelling.request_files(files)
     with_files = sendable.select("item").distinct().withColumn("has_files", F.lit(True))
-    cells = lookup_join(long, with_files, ["item"], ["question", "answer"])
-    blank = F.col("item").isNotNull() & questions.is_blank(F.col("answer"))
+    # Rows without an id take no part in the joins.
+    nameless = long.where("item is null").select(id_column, "question", "answer")
+    cells = long.where("item is not null").join(with_files, "item", "left")
+    blank = questions.is_blank(F.col("answer"))
     key = F.to_json(F.struct(F.col("item").alias("i"), F.col("question").alias("q")))
     asked = cells.where(blank & F.col("has_files")).withColumn("cell", key)
     lists = listed_in_parts(sendable, ["item"], ["path"], F.col("path"), "paths")
     requests = asked.join(lists, "item").select(
         F.col("cell").alias("item"), "part", F.when(F.col("part") == 0, F.col("question")).otherwise("").alias("prompt"), "paths")
-    replies = settled(labelling.label_requests(requests, make_client, parallelism, attempts=1))
+    replies = labelling.stored_answers(requests, make_client, parallelism, answers_path or _run_folder(sheet), attempts=1)
     joined = cells.withColumn("cell", key).join(
         replies.select(F.col("item").alias("cell"), "response", "error"), "cell", "left")
     answer = (
-        F.when(F.col("item").isNull(), F.col("answer"))
-        .when(F.col("has_files").isNull(), "ERROR: No documents found.")
+        F.when(F.col("has_files").isNull(), "ERROR: No documents found.")
         .when(F.col("error").isNotNull(), F.concat(F.lit("ERROR: "), F.col("error")))
         .otherwise(F.coalesce("response", "answer"))
     )
-    return joined.select(id_column, "question", answer.alias("answer"))
+    return joined.select(id_column, "question", answer.alias("answer")).unionAll(nameless)
 
 
 def annotate(
@@ -215,11 +230,36 @@ def annotate(
 ) -> tuple[DataFrame, Mapping[str, int]]:
     """The annotator overview. Contradicting ids stop the job, a row count other than
     expected is only reported."""
-    for found, name in (
-        (keypair.find_rows(order, truth_rows, ["label"]), "ground truth"),
-        (keypair.annotations_long(order, forms, participants), "participant forms"),
-    ):
-        keypair.require_clean(found, name)
-    rows = order.count()
-    overview = keypair.annotation_overview(order, truth_rows, forms, participants, info)
-    return overview.orderBy("row_no"), {"rows": rows, "expected": expected_rows}
+    # Each look-up is made once, checked, and read again for the result.
+    entries = settled(keypair.find_rows(order, truth_rows, ["label", *info]))
+    labels = settled(keypair.annotations_long(order, forms, participants))
+    keypair.require_clean(entries, "ground truth")
+    keypair.require_clean(labels, "participant forms")
+    overview = keypair.overview_of(entries, labels, participants, info)
+    return overview.orderBy("row_no"), {"rows": entries.count(), "expected": expected_rows}
+
+
+def zero_shot(
+    items: DataFrame, truth_labels: DataFrame, labels: Sequence[str], make_client: Callable, parallelism: int,
+    answers_path: str | None = None, system: str | None = None,
+) -> dict[str, DataFrame]:
+    """Name-only run with scoring: ``items(item, name)`` against ``truth_labels(item, ground_truth)``.
+
+    Items without a name are not asked. Returns ``results`` and the counts of each pair of
+    truth and label.
+    """
+    named = items.withColumn("name", text.cell_text(F.col("name")))
+    requests = labelling.request_table(
+        named.where("name <> ''").select("item", answers.question_name_only(F.col("name"), labels).alias("prompt")),
+        items.limit(0).select("item", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("length")),
+    )
+    replies = labelling.stored_answers(requests, make_client, parallelism, answers_path or _run_folder(items), system=system)
+    label = answers.tolerant_label(F.col("response"), labels)
+    predicted = (
+        F.when(F.col("name") == "", "FEHLER: Kein Baugruppenname")
+        .when(F.col("error").isNotNull(), F.concat(F.lit("FEHLER: "), F.col("error")))
+        .otherwise(F.coalesce(label, F.lit(answers.UNRECOGNISED)))
+    )
+    results = named.join(replies, "item", "left").join(truth_labels, "item", "left").select(
+        "item", "ground_truth", predicted.alias("predicted_label"), F.col("response").alias("raw_response"))
+    return {"results": results, "counts": results.groupBy("ground_truth", "predicted_label").agg(F.count("*").alias("n"))}

@@ -8,7 +8,9 @@ task or driver holds the tree.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,20 +98,39 @@ def require_folders(folders: DataFrame, root: str) -> None:
         raise FileNotFoundError(f"No assembly folders below {root}")
 
 
-def file_hashes(spark: SparkSession, root: str, pattern: str = "*.pdf", max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
-    """SHA-256 of file contents. The size filter reaches the source, so a file that does
-    not fit a row is reported without a hash instead of being loaded."""
+#: Files above this size do not become one value of a row; a task reads them piece by piece.
+WHOLE_FILE_BYTES = 64 * 1024 * 1024
+PIECE_BYTES = 4 * 1024 * 1024
+
+
+def file_hashes(spark: SparkSession, root: str, pattern: str = "*.pdf", whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """SHA-256 of the content of every file, whatever its size.
+
+    The size filter reaches the source, so only small files are loaded as values. A larger file
+    is hashed in pieces by the task that has its row, which opens it by its path; a file that a
+    task cannot open is an error, never a row without a hash.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).load(root)
     )
-    small = files.where(F.col("length") <= max_bytes).select(
-        "path", "length", F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(F.col("length") > max_bytes).select(
-        "path", "length", F.col("modificationTime").alias("mtime"), F.lit(None).cast("string").alias("sha256")
-    )
-    return small.unionByName(large)
+    facts = ["path", "length", F.col("modificationTime").alias("mtime")]
+    small = files.where(F.col("length") <= whole_bytes).select(*facts, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select(*facts)
+
+    def in_pieces(batches):
+        for batch in batches:
+            hashes = []
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                with open(unquote(urlparse(path).path), "rb") as file:
+                    while piece := file.read(PIECE_BYTES):
+                        digest.update(piece)
+                hashes.append(digest.hexdigest())
+            yield batch.assign(sha256=hashes)
+
+    hashed = large.mapInPandas(in_pieces, "path string, length bigint, mtime timestamp, sha256 string")
+    return small.unionByName(hashed)
 
 
 MANIFEST_SCHEMA = (

@@ -94,6 +94,10 @@ def test_manifest_currency(spark):
     images = spark.createDataFrame([(i,) for s in stored for i in s[-1] if i != "gone2"], "image string")
     stale = manifests.stale_sources(spark.createDataFrame(sources, kinds), spark.createDataFrame(stored, kinds + ", images array<string>"), images)
     assert {r.path for r in stale.collect()} == {"hash", "dpi", "side", "gone", "new"}
+    # Without a hash on either side nothing says that the content is the same.
+    bare = [("none", "none", None, 200, "png", 3000)]
+    unknown = manifests.stale_sources(spark.createDataFrame(bare, kinds), spark.createDataFrame([(*bare[0], ["same1"])], kinds + ", images array<string>"), images)
+    assert [r.path for r in unknown.collect()] == ["none"]
 
 
 def test_image_batches(spark):

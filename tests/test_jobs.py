@@ -42,6 +42,40 @@ def test_label_requests(spark):
     assert again.response == "`greifer`" and again.attempts == 2
 
 
+def counting_client(folder, broken_after=None):
+    """A client that leaves a file for each call, and fails the whole task after some."""
+    def make_client():
+        def answer(prompt, paths, system=None):
+            import os
+            import uuid
+            if broken_after is not None and len(os.listdir(folder)) >= broken_after:
+                os._exit(1)
+            open(f"{folder}/{prompt}-{uuid.uuid4().hex}", "w").close()
+            return f"{prompt}!{system or ''}"
+        return answer
+    return make_client
+
+
+def test_answers_are_stored_bucket_by_bucket(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = [(str(n), 0, f"q{n}", []) for n in range(40)]
+    df = spark.createDataFrame(rows, "item string, part bigint, prompt string, paths array<string>")
+    path = str(tmp_path / "answers")
+    first = labelling.stored_answers(df.where("item < '2'"), counting_client(str(calls)), 2, path, bucket_items=4)
+    finished = first.count()
+    assert finished == 12 == len(list(calls.iterdir()))
+    with pytest.raises(Exception, match="(?i)crash|exited|lost|EOF|abort"):
+        labelling.stored_answers(df, counting_client(str(calls), broken_after=25), 2, path, bucket_items=4)
+    stored = {r.item for r in spark.read.parquet(path).collect()}
+    assert 12 <= len(stored) < 40
+    out = labelling.stored_answers(df, counting_client(str(calls)), 2, path, bucket_items=4, system="sys").collect()
+    assert {r.item: r.response.split("!")[0] for r in out} == {str(n): f"q{n}" for n in range(40)} and len(out) == 40
+    asked = [f.name.split("-")[0] for f in calls.iterdir()]
+    assert all(asked.count(f"q{item}") == 1 for item in stored), "a stored item was asked again"
+    assert all(r.response.endswith("!sys") for r in out if r.item not in stored)
+
+
 @pytest.fixture
 def run(spark):
     items = spark.createDataFrame([("1", 2, "S00001", None, "Greifer gross"), ("2", 3, "S00002", "", " "), ("3", 4, "S00003", None, "broken"),
@@ -152,3 +186,12 @@ def test_written_answers_cost_one_call_each(spark, tmp_path):
     assert replies.count() == 20 and replies.where("response = 'x'").count() == 20
     with open(log) as calls:
         assert sorted(calls.read().split()) == sorted(f"p{n}" for n in range(20))
+
+
+def test_zero_shot(spark):
+    items = spark.createDataFrame([("1", "Greifer"), ("2", " "), ("3", "broken")], "item string, name string")
+    known = spark.createDataFrame([("1", "Greifer"), ("2", "Roboter"), ("3", "Roboter")], "item string, ground_truth string")
+    out = jobs.zero_shot(items, known, CLASSES, client, 2)
+    got = {r.item: r.predicted_label for r in out["results"].collect()}
+    assert got == {"1": "Greifer", "2": "FEHLER: Kein Baugruppenname", "3": "FEHLER: RuntimeError: no service"}
+    assert sum(r.n for r in out["counts"].collect()) == 3

@@ -45,7 +45,8 @@ def test_missing_root_is_reported(spark, tmp_path):
 def test_hashes(spark, tree):
     got = {os.path.basename(r.path): r.sha256 for r in listing.file_hashes(spark, tree + "/A1/x.pdf").collect()}
     assert got == {"x.pdf": hashlib.sha256(b"12345").hexdigest()}
-    assert listing.file_hashes(spark, tree + "/A1/x.pdf", max_bytes=4).first().sha256 is None
+    in_pieces = listing.file_hashes(spark, tree + "/A1/x.pdf", whole_bytes=4).first()
+    assert in_pieces.sha256 == got["x.pdf"]
 
 
 def test_manifests_round_trip(spark, tmp_path):
