@@ -15,9 +15,10 @@ from dossier.operators import (
     cascade, folders, inventory, keypair, labelling, manifests, metrics, questions, resolve,
     spread, truth,
 )
+from dossier.plans import jobs
 from dossier.plans import table_inputs as given
 from dossier.session import ensure_checkpoint_dir
-from dossier.sources import tables
+from dossier.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -425,8 +426,10 @@ def prompts(spark, sf):
 def offline_client(features=FEATURES, combined=CLASSES[3], fallback=answers.NOT_CLASSIFIABLE):
     """Labelling function for runs without a service: the word rules on the prompt's name."""
     def make_client():
-        def answer(prompt, _paths):
-            name = prompt.split("\n", 1)[0].split(": ", 1)[1].casefold()
+        def answer(prompt, _paths, _system=None):
+            # The name stands behind a colon, on its line or on the next.
+            name = prompt.split(": ", 1)[1] if prompt.startswith("Baugruppenbenennung: ") else prompt.split(":\n", 1)[1]
+            name = name.split("\n", 1)[0].casefold()
             hits = [label for label, words in features.items() if any(w in name for w in words)]
             label = hits[0] if len(hits) == 1 else combined if hits else fallback
             return f"`{label.lower()}`", {"totalTokenCount": len(prompt)}
@@ -443,7 +446,11 @@ def _labelled(spark, sf) -> DataFrame:
         F.lit(0).alias("part"), F.expr("array()").cast("array<string>").alias("paths"),
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return labelling.label_requests(requests, offline_client(), tasks, wait_seconds=0)
+    # A first run answers some items; the second goes on with the stored answers.
+    path = _shared_folder(spark)
+    some = requests.where(F.crc32("item") % 3 == 0)
+    labelling.stored_answers(some, offline_client(), tasks, path, wait_seconds=0)
+    return labelling.stored_answers(requests, offline_client(), tasks, path, wait_seconds=0, system=answers.SYSTEM_PROMPT)
 
 
 @query
@@ -463,11 +470,38 @@ def label_batch(spark, sf):
 def zero_shot_score(spark, sf):
     """Name-only run with inline scoring against the kind of part as truth."""
     truth_label = F.when(F.col("p_type") == "SMALL", CLASSES[2]).when(F.col("p_type") == "LARGE", CLASSES[4]).otherwise(CLASSES[0])
-    items = given.table(spark, sf, "part").select(F.concat(F.lit("item"), F.col("p_partkey").cast("string")).alias("item"), truth_label.alias("ground_truth"))
-    named = given.part_names(spark, sf).select("item", F.when(text.strip(F.col("name")) == "", "FEHLER: Kein Baugruppenname").otherwise(feature_label(F.col("name"))).alias("predicted_label"))
-    rows = items.join(named, "item")
-    counts = rows.groupBy("ground_truth", "predicted_label").agg(F.count("*").alias("n"))
-    return counts.orderBy("ground_truth", "predicted_label")
+    known = given.table(spark, sf, "part").select(F.concat(F.lit("item"), F.col("p_partkey").cast("string")).alias("item"), truth_label.alias("ground_truth"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = jobs.zero_shot(given.part_names(spark, sf), known, CLASSES, offline_client(), tasks, system=answers.SYSTEM_PROMPT)
+    return run["counts"]
+
+
+@query
+def report_round_trip(spark, sf):
+    """A report with fixed columns as text files, read back as a table of text."""
+    path = _shared_folder(spark)
+    rows = given.table(spark, sf, "supplier").withColumn("note", F.concat(F.lit('said "'), "s_name", F.lit('"')))
+    sinks.write_report(rows, path, ["s_suppkey", "s_name", "note", "s_nationkey"], "csv")
+    return tables.read_text_table(spark, path).select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query
+def tables_round_trip(spark, sf):
+    """Result tables of a run, one of them by model, read back from the run's folders."""
+    root = _shared_folder(spark)
+    matched = _matched(spark, sf)
+    sinks.write_tables({"confusion": metrics.confusion(matched), "coverage": metrics.run_counts(matched)}, root, "r1", ["confusion"])
+    return spark.read.parquet(f"{root}/confusion").where("run_id = 'r1'").select("model", "ground_truth", "predicted_label", "n")
+
+
+@query
+def log_round_trip(spark, sf):
+    """A response log appended to by two runs and read back."""
+    path = _shared_folder(spark)
+    rows = given.table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    for run in range(2):
+        sinks.append_log(rows.where(F.col("event_id") % 2 == run).withColumn("run", F.lit(run)), path)
+    return spark.read.schema("event_id bigint, event_type string, user_id bigint, run int").json(path)
 
 
 @query

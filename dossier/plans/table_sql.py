@@ -564,6 +564,9 @@ SELECT item, CASE WHEN p_size <> 50 THEN label END AS predicted_label,
 SQL["zero_shot_score"] = with_ctes(NAMED, select="""
 SELECT CASE p_type WHEN 'SMALL' THEN 'Greifer' WHEN 'LARGE' THEN 'Roboter' ELSE 'Lineareinheit' END AS ground_truth,
   CASE WHEN p_size = 50 THEN 'FEHLER: Kein Baugruppenname' ELSE label END AS predicted_label, count(*) AS n FROM full_named GROUP BY ALL""")
+SQL["report_round_trip"] = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier"""
+SQL["tables_round_trip"] = SQL["eval_confusion"]
+SQL["log_round_trip"] = "SELECT event_id, event_type, user_id, (event_id % 2)::INTEGER AS run FROM events"
 SQL["response_texts"] = """SELECT event_id,
   CASE WHEN event_type = 'error' THEN '(no text content, finishReason=SAFETY)' ELSE event_type END AS first_text,
   CASE WHEN event_type = 'error' THEN '' ELSE event_type || '!' END AS joined_text,
