@@ -25,10 +25,6 @@ def _folded(label: str) -> str:
     return label.casefold()
 
 
-def _literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
-
-
 def _by_folded(answer: Column, labels: Sequence[str]) -> Column:
     """Label equal to the answer without case; the last of several spellings wins."""
     spellings = {_folded(label): label for label in labels}
@@ -213,6 +209,15 @@ def prioritised_ends(name: Column, labels: Sequence[str]) -> tuple[Column, Colum
     return filled(head, labels, name=name), filled(tail, labels)
 
 
+def described_ends(
+    sap: Column, tc: Column, name_en: Column, name_de: Column, labels: Sequence[str]
+) -> tuple[Column, Column]:
+    """The described prompt before and after its list of files."""
+    head, tail = DESCRIBED_TEXT.split("{files}")
+    values = {"sap": sap, "tc": tc, "name_en": name_en, "name_de": name_de}
+    return filled(head, labels, **values), filled(tail, labels, **values)
+
+
 def question_described(
     sap: Column, tc: Column, name_en: Column, name_de: Column, files: Column,
     labels: Sequence[str],

@@ -192,6 +192,52 @@ def classify_prioritised(
     return tables
 
 
+def classify_readable_files(
+    items: DataFrame, all_folders: DataFrame, files: DataFrame, labels: Sequence[str],
+    make_client: Callable, parallelism: int, answers_path: str | None = None, wait_seconds: float = 2.0,
+) -> dict[str, DataFrame]:
+    """Run on every readable file of the only folder that carries either id of an item.
+
+    ``items(item, sap, teamcenter, name_en, name_de)``, ``all_folders(folder, name)`` and
+    ``files(folder, rel_path, path, length)``. Items without one folder are not asked. An answer
+    that is no allowed label is asked for once more. Returns ``results`` and ``skipped``, the
+    files left out with their reasons.
+    """
+    match = settled(cascade.match_either(items.select("item", "sap", "teamcenter"), all_folders))
+    judged = inventory.eligibility(files)
+    readable = judged.where("skip_reason is null").withColumn("file_name", F.element_at(F.split("rel_path", "/"), -1))
+    lists = listed_in_parts(
+        readable.withColumn("_fold", text.fold(F.col("rel_path"))), ["folder"], ["_fold", "rel_path"],
+        F.struct("file_name", "path"), "files", total="n_listed",
+    )
+    rows = items.join(match.withColumnRenamed("status", "match_status"), "item")
+    asked = rows.where("folder is not null").join(lists, "folder", "left")
+    none = F.col("n_listed").isNull()
+    first = none | (F.col("part") == 0)
+    last = none | ((F.col("part") + 1) * PART_SIZE >= F.col("n_listed"))
+    cells = [text.cell_text(F.col(c)) for c in ("sap", "teamcenter", "name_en", "name_de")]
+    head, tail = answers.described_ends(*cells, labels)
+    listed = F.when(none, answers.NO_READABLE_FILES).otherwise(answers.bullets(F.transform("files", lambda f: f["file_name"])))
+    prompt = F.concat(F.when(first, head).otherwise("\n"), listed, F.when(last, tail).otherwise(""))
+    requests = settled(asked.select(
+        "item", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), prompt.alias("prompt"),
+        F.coalesce(F.transform("files", lambda f: f["path"]), F.array().cast("array<string>")).alias("paths"),
+    ))
+    allowed = [*labels, answers.NOT_CLASSIFIABLE]
+    replies = labelling.stored_answers(
+        requests, make_client, parallelism, answers_path or _run_folder(items), wait_seconds=wait_seconds,
+        accepted=allowed, repeat_hint=answers.REPEAT_HINT,
+    )
+    sent = requests.groupBy("item").agg(F.sum(F.size("paths")).alias("n_files"))
+    results = rows.join(replies, "item", "left").join(sent, "item", "left").select(
+        "item", F.col("folder").alias("matched_folder"), "match_status",
+        F.coalesce("n_files", F.lit(0).cast("bigint")).alias("file_count"),
+        answers.checked_label(F.col("response"), labels).alias("label"),
+        F.col("response").alias("raw_response"), "error", "attempts",
+    )
+    return {"results": results, "skipped": judged.where("skip_reason is not null").select("folder", "path", "skip_reason")}
+
+
 def answer_questions(
     sheet: DataFrame, id_column: str, files: DataFrame, make_client: Callable, parallelism: int,
     answers_path: str | None = None,

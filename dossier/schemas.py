@@ -1,29 +1,3 @@
-"""Columns of the tables the operators exchange."""
+"""Columns of the tables that are exchanged as files."""
 
-# Master list, classification input, folders and files.
-ITEMS = "row_no bigint, sap string, teamcenter string, name_en string, name_de string"
-FOLDERS = "category string, folder string, path string"
-FILES = "assembly string, rel_path string, path string, length bigint, mtime timestamp"
-INVENTORY = (
-    "assembly string, rel_path string, relative_subfolder string, file_name string, "
-    "file_extension string, file_size_mb double, guessed_type string, cad_view string, "
-    "cad_selected string, priority string, note string"
-)
-
-# Truth, predictions and annotator forms.
-TRUTH = "row_no bigint, sap string, teamcenter string, label string"
-PREDICTIONS = "model string, row_no bigint, sap string, teamcenter string, predicted string"
-FORMS = "participant string, row_no bigint, sap string, teamcenter string, label string"
-
-# Pages and requests.
-PAGES = (
-    "assembly string, pdf string, page_number int, image_path string, width_px int, "
-    "height_px int, file_size_bytes bigint"
-)
 REQUESTS = "item string, prompt string, part bigint, paths array<string>, n_files int, total_bytes bigint"
-RESPONSE_LOG = (
-    "run_timestamp string, id string, sap string, teamcenter string, name string, "
-    "matched_folder string, file_paths array<string>, prompt string, model string, "
-    "generation_config map<string,string>, processed_at string, raw_response string, "
-    "canonical_label string, status string, error string"
-)

@@ -195,3 +195,17 @@ def test_zero_shot(spark):
     got = {r.item: r.predicted_label for r in out["results"].collect()}
     assert got == {"1": "Greifer", "2": "FEHLER: Kein Baugruppenname", "3": "FEHLER: RuntimeError: no service"}
     assert sum(r.n for r in out["counts"].collect()) == 3
+
+
+def test_classify_readable_files(spark):
+    items = spark.createDataFrame([("1", "S00001", None, "wordy", None), ("2", "S00009", None, "x", "y"), ("3", None, "T00003", "plain", None)],
+                                  "item string, sap string, teamcenter string, name_en string, name_de string")
+    folders = spark.createDataFrame([("/r/a", "BG_S00001"), ("/r/b", "T00003"), ("/r/c", "other")], "folder string, name string")
+    files = spark.createDataFrame([("/r/a", "a.pdf", 3), ("/r/a", "s/b.png", 3), ("/r/a", "c.xlsx", 3), ("/r/a", "d.pdf", 0), ("/r/b", ".h/e.pdf", 3)],
+                                  "folder string, rel_path string, length bigint").withColumn("path", F.concat_ws("/", "folder", "rel_path"))
+    out = jobs.classify_readable_files(items, folders, files, CLASSES, client, 2, wait_seconds=0)
+    got = {r.item: r for r in out["results"].collect()}
+    assert (got["1"].label, got["1"].file_count, got["1"].attempts) == ("Greifer", 2, 2), "asked once more"
+    assert (got["2"].label, got["2"].matched_folder, got["2"].match_status) == (None, None, "Kein passender Ordner gefunden")
+    assert (got["3"].label, got["3"].file_count, got["3"].attempts) == ("Greifer", 0, 1)
+    assert sorted(r.path for r in out["skipped"].collect()) == ["/r/a/c.xlsx", "/r/a/d.pdf", "/r/b/.h/e.pdf"]
