@@ -29,9 +29,11 @@ SIZE = 16
 #: Words with at least this share of all tokens go to every executor: at most 2**18 words.
 FREQUENT = 1 / (1 << 18)
 #: Tokens of a training step, and noise words that the tokens of a step share.
-STEP = 4096
+STEP = 1024
 NOISE = 48
 RATE = 0.1
+#: Gradients are means over a step's tokens times this, against the start of the adaptive rates.
+PULL = 100.0
 #: Distinct words that a task keeps while it counts.
 COUNT_ROWS = 1 << 20
 _GROUPS = 16
@@ -187,6 +189,14 @@ def contexts(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return before
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, below 2**15, and the sum of the rows of each."""
+    order = np.argsort(keys.astype(np.int16), kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[heads], np.add.reduceat(values[order], heads, axis=0)
+
+
 class Trainer:
     """Noise-contrastive training on a stream of tokens, with step sizes that adapt."""
 
@@ -199,29 +209,34 @@ class Trainer:
     def step(self, before: np.ndarray, classes: np.ndarray) -> None:
         m, n = self.model, len(classes)
         noise = self.random.choice(len(self.noise), NOISE, p=self.noise)
-        guess = m.predicted(before)
-        real = (guess * m.target[classes]).sum(axis=1) + m.bias[classes] - self.shift[classes]
-        false = guess @ m.target[noise].T + (m.bias[noise] - self.shift[noise])
-        # Error of the guess that a word is real: for the true words and for the noise.
-        up = (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32) / n
-        down = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) / n
-        back = up[:, None] * m.target[classes] - down @ m.target[noise]
-        one = np.zeros((n, len(m.bias)), dtype=np.float32)
-        one[np.arange(n), classes] = up
-        np.subtract.at(one, (slice(None), noise), down)
-        self._move(2, m.target, one.T @ guess)
-        self._move(3, m.bias, one.sum(axis=0))
         first, second = m.context[before[:, 0]], m.context[before[:, 1]]
-        slot = np.concatenate([before[:, 0], before[:, 1]])
+        guess = first * m.place[0] + second * m.place[1]
+        own, others = m.target[classes], m.target[noise]
+        real = np.einsum("nd,nd->n", guess, own) + m.bias[classes] - self.shift[classes]
+        false = guess @ others.T
+        false += m.bias[noise] - self.shift[noise]
+        # Error of the guess that a word is real: for the true words and for the noise.
+        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        down = np.clip(false, -30, 30, out=false)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)
+        back = up[:, None] * own - down @ others
+        rows, sums = _summed(classes, np.concatenate([up[:, None] * guess, up[:, None]], axis=1))
+        gain = np.zeros((len(m.bias), SIZE + 1), dtype=np.float32)
+        gain[rows] = sums
+        np.subtract.at(gain, noise, np.concatenate([down.T @ guess, down.sum(axis=0)[:, None]], axis=1))
         change = np.concatenate([back * m.place[0], back * m.place[1]])
-        self._move(1, m.place, np.stack([(back * first).sum(axis=0), (back * second).sum(axis=0)]))
-        order = np.argsort(slot, kind="stable")
-        slot = slot[order]
-        heads = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        self._move(0, m.context, np.add.reduceat(change[order], heads, axis=0), slot[heads])
+        places = np.stack([np.einsum("nd,nd->d", back, first), np.einsum("nd,nd->d", back, second)])
+        slots, sums = _summed(before.T.ravel(), change)
+        scale = np.float32(PULL / n)
+        self._move(2, m.target, gain[:, :SIZE] * scale)
+        self._move(3, m.bias, gain[:, SIZE] * scale)
+        self._move(1, m.place, places * scale)
+        self._move(0, m.context, sums * scale, slots)
 
     def _move(self, k: int, value: np.ndarray, gradient: np.ndarray, at=slice(None)) -> None:
-        gradient = gradient * np.float32(100)
         self.squares[k][at] += gradient**2
         value[at] += RATE * gradient / np.sqrt(self.squares[k][at])
 
