@@ -207,6 +207,17 @@ def candidate_folders(items: DataFrame, folders: DataFrame, norm=cell_id) -> Dat
     return containment(_all_ids(keyed_items), keyed_folders).drop("key")
 
 
+def two_tier_candidates(items: DataFrame, folders: DataFrame) -> DataFrame:
+    """``item, tier, folder``: every candidate of the items that ``match_two_tier`` leaves
+    ambiguous, of the tier that made them so."""
+    keyed_items, keyed_folders = _keyed(items, folders, cell_id, 1)
+    open_items = match_two_tier(items, folders).where(F.col("status").startswith(AMBIGUOUS_PREFIX)).select(
+        "item", F.substr("status", F.lit(len(AMBIGUOUS_PREFIX) + 1)).alias("tier"))
+    wanted = keyed_items.join(open_items, "item").select("item", "tier", F.explode(F.array("sap", "tc")).alias("id"))
+    hits = containment(wanted.where("id is not null").select("id").distinct(), keyed_folders)
+    return wanted.join(hits, "id").where("exact or tier = 'CONTAINS'").select("item", "tier", "folder").distinct()
+
+
 def match_by_name(items: DataFrame, folders: DataFrame) -> DataFrame:
     """Items whose id, as text, is a folder's name."""
     names = folders.groupBy(F.col("name").alias("_key")).agg(F.min("folder").alias("folder"))

@@ -181,6 +181,12 @@ def require_no_conflicts(items: DataFrame, matches: DataFrame) -> None:
         )
 
 
+def require_empty_target(existing: DataFrame) -> None:
+    """``existing`` lists what the target folder holds; a copy into a used folder is refused."""
+    if not existing.isEmpty():
+        raise FileExistsError("The target folder is not empty, so nothing is copied.")
+
+
 def copy_plan(matched: DataFrame, target: str, blocked_reason: str | None = None) -> DataFrame:
     """Source and destination of every matched folder, in scan order."""
     plan = numbered(_scan_ordered(matched), [], ["_cat", "_name", "path"], "n")

@@ -26,17 +26,22 @@ def _run_folder(df: DataFrame) -> str:
     return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/answers-{uuid4().hex}"
 
 
-def collect(items: DataFrame, found: DataFrame, target: str, copy: bool = False) -> dict[str, DataFrame]:
+def collect(
+    items: DataFrame, found: DataFrame, target: str, copy: bool = False, existing: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Match raw folders to the master list: seven reports and the copy plan.
 
-    With ``copy`` any conflict stops the job before a plan is made; without it the plan
-    names the reason it is blocked.
+    With ``copy`` any conflict stops the job before a plan is made, and so does a target that
+    holds something already (``existing`` lists it); without it the plan names the reason it is
+    blocked.
     """
     inventory.require_categories(found)
     matches = settled(folders.folder_matches(items, found))
     matched = matches.where(F.col("status") == folders.MATCHED)
     if copy:
         folders.require_no_conflicts(items, matches)
+        if existing is not None:
+            folders.require_empty_target(existing)
     counts = folders.conflict_counts(items, matches)
     blocked = "conflicts" if counts.first().blocked else None
     return {

@@ -226,7 +226,8 @@ def rows_below_header(
     """Values of the column named ``header`` below the first row that holds that name.
 
     ``cells(sheet, sheet_no, row_no, cells array<string>)``; the preferred sheet is
-    searched first, then the others in order. Returns ``sheet, row_no, value``.
+    searched first, then the others in order. Returns ``sheet, row_no, value``; cells without
+    the header anywhere are an error.
     """
     wanted = header.casefold()
     rank = F.when(F.col("sheet") == preferred_sheet, F.lit(-1)).otherwise(F.col("sheet_no")) \
@@ -235,6 +236,7 @@ def rows_below_header(
     first = (
         cells.withColumn("at", F.array_position(names, F.lit(wanted))).where("at > 0")
         .agg(F.min(F.struct(rank.alias("rank"), "row_no", "sheet", "at")).alias("h"))
+        .select(F.coalesce("h", F.raise_error(F.lit(f"No sheet has the header {header!r}"))).alias("h"))
         .select(F.col("h.sheet").alias("sheet"), F.col("h.row_no").alias("header_row"), F.col("h.at").alias("at"))
     )
     return (

@@ -184,3 +184,16 @@ def test_annotation_overview(spark):
     assert (got[1].ground_truth, got[1].P1, got[1].P2, got[1].name) == ("t1", "x", None, "na")
     assert (got[2].ground_truth, got[2].P1, got[2].P2) == ("t2", "y", "w")
     assert (got[3].ground_truth, got[3].P1, got[3].P2) == ("t3", None, "z")
+
+
+def test_candidates_of_ambiguous_items(spark):
+    items = spark.createDataFrame([("1", "A1", None), ("2", "B2", "C3"), ("3", "D4", None)], "item string, sap string, teamcenter string")
+    names = spark.createDataFrame([("f1", "A1"), ("f2", "A1"), ("f3", "xA1x"), ("f4", "B2 old"), ("f5", "B2 new"), ("f6", "D4")], "folder string, name string")
+    got = sorted(tuple(r) for r in cascade.two_tier_candidates(items, names).collect())
+    assert got == [("1", "EXACT", "f1"), ("1", "EXACT", "f2"), ("2", "CONTAINS", "f4"), ("2", "CONTAINS", "f5")]
+
+
+def test_a_used_target_is_refused(spark):
+    with pytest.raises(FileExistsError):
+        folders.require_empty_target(spark.createDataFrame([("/t/x",)], "path string"))
+    folders.require_empty_target(spark.createDataFrame([], "path string"))

@@ -152,3 +152,9 @@ def test_row_numbers_over_splits_without_a_shuffle(spark, tmp_path):
     kept = [n for n in range(1, 4000) if n % 7]
     assert got == {f"k{n}": place + 2 for place, n in enumerate(kept)}
     assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+
+
+def test_a_missing_header_is_an_error(spark):
+    cells = spark.createDataFrame([("s", 1, 1, ["a", "b"])], "sheet string, sheet_no int, row_no int, cells array<string>")
+    with pytest.raises(Exception, match="No sheet has the header 'Klasse'"):
+        tables.rows_below_header(cells, "Klasse").collect()
