@@ -28,6 +28,8 @@ BLOCK_SHINGLES = 1_000_000
 HUBS = 8
 #: Bits of the filter on ids that spares most other texts the second look; a fixed size.
 FILTER_BITS = 1 << 22
+#: Above any number of keys that must be shared, as it is kept beside the level; more is not asked.
+NEED_LIMIT = 1 << 20
 #: Weight of a probe against a merge step when lists are divided into short and long ones.
 PROBE_WEIGHT = 0.01
 _GROWTH = 1.5
@@ -54,11 +56,11 @@ class Rule:
         return int(math.log(size) / math.log(_GROWTH)) if size > 1 else 0
 
     def segments(self, level: int) -> tuple[int, int]:
-        """Number of segments at a level, and how many of the smallest may be left out."""
+        """Number of segments at a level, and how many of them two linked sets share at least."""
         top = math.ceil(_GROWTH ** (level + 1)) + 1
         differ = 2 * top * (self.whole - self.part) // (self.whole + self.part)
-        spare = -(-(differ + 1) // 5) if differ else 0
-        return differ + 1 + spare, spare
+        equal = 1 + (-(-(differ + 1) // 5) if differ else 0)
+        return differ + equal, equal
 
 
 def shingle_sets(column: pa.Array, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,33 +74,34 @@ def shingle_sets(column: pa.Array, rule: Rule) -> tuple[np.ndarray, np.ndarray,
     return values, bounds, sign
 
 
-def segment_keys(values: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of one set: at least one is shared with every other set that links to it.
+def segment_keys(values: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set, and for each key a code: its level and how many keys of it must be shared.
 
-    A pair at a level has at least ``1 + spare`` equal segments, since each shingle that only one
-    set has spoils one. The largest of them is kept by both sets, as each leaves out only the
-    sizes of which it has no more than ``spare`` segments. Sets of the smallest levels link to
-    equal sets only and have no keys.
+    A shingle that only one of two sets has spoils one segment, so two linked sets share at least
+    the number of segments that ``Rule.segments`` names. Empty segments are left out and taken off
+    that number; only a set with so many of them that nothing would be left has keys for them
+    too. Sets of the smallest levels link to equal sets only and have no keys.
     """
     size = len(values)
+    keys, codes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     if not size:
-        return np.zeros(0, np.uint64)
-    keys = []
+        return keys[0], codes[0]
+    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ragged.mix(values))])
     for level in range(rule.level(size), rule.level(size * rule.whole // rule.part) + 1):
-        count, spare = rule.segments(level)
+        count, equal = rule.segments(level)
         if count == 1:
             continue
-        segment = ((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        segment = segment.astype(np.int64)
+        segment = (((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
         sizes = np.bincount(segment, minlength=count)
         ends = np.cumsum(sizes)
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ragged.mix(values))])
-        sums = run[ends] - run[ends - sizes]
-        limit = np.sort(sizes)[spare]
-        kept = sizes >= limit
         place = np.arange(count, dtype=np.uint64) + (np.uint64(level) << np.uint64(40))
-        keys.append(ragged.mix(sums + ragged.mix(place))[kept])
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        own = ragged.mix(mixed[ends] - mixed[ends - sizes] + ragged.mix(place))
+        need = equal - int((sizes == 0).sum())
+        if need > 0:
+            own = own[sizes > 0]
+        keys.append(own)
+        codes.append(np.full(len(own), level * NEED_LIMIT + min(max(need, 1), NEED_LIMIT - 1), np.int32))
+    return np.concatenate(keys), np.concatenate(codes)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -106,21 +109,22 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(df: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n_shingles, sign, keys`` of every row; a text without words has no shingles."""
+    """``doc_id, n_shingles, sign, keys, codes`` of every row; a text without words has no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 values, bounds, sign = shingle_sets(part.column("text"), rule)
-                keys = [segment_keys(values[a:b], rule) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                pairs = [segment_keys(values[a:b], rule) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in pairs])]).astype(np.int32)
+                keys, codes = (np.concatenate(c) for c in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sign.view(np.int64)),
-                    _lists(np.concatenate(keys) if keys else np.zeros(0, np.uint64), ends),
-                ], ["doc_id", "n_shingles", "sign", "keys"])
+                    _lists(keys, ends), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)),
+                ], ["doc_id", "n_shingles", "sign", "keys", "codes"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, sign long, keys array<long>"
+        run, "doc_id long, n_shingles long, sign long, keys array<long>, codes array<int>"
     )
 
 
@@ -249,15 +253,11 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = settled(signatures(df, rule))
     sets = settled(
         rows.filter("n_shingles > 0").groupBy("sign")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("codes").alias("codes"))
         .filter("doc_id is not null")
     )
-    by_key = Window.partitionBy("key")
-    shared = settled(
-        sets.select("sign", F.explode("keys").alias("key"))
-        .select("sign", F.min("sign").over(by_key).alias("hub"), F.count("*").over(by_key).alias("n")).filter("n > 1")
-    )
-    linked = _links(df, sets.drop("keys"), shared, rule)
+    shared = settled(_shared_keys(sets))
+    linked = _links(df, sets.drop("keys", "codes"), shared, rule)
     names = linked.join(sets.select(F.col("sign").alias("node"), "doc_id"), "node").groupBy("component").agg(
         F.min("doc_id").alias("component_id")
     )
@@ -271,6 +271,24 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return some.select("doc_id", "n_shingles", "component_id").unionAll(none)
 
 
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """``sign, hub, n`` of keys that several sets have; ``hub`` is the least of these sets.
+
+    A set that shares too few keys of a level with all others together links to none of them
+    there. Leaving its keys out can leave others with too few, hence a second round.
+    """
+    by_key = Window.partitionBy("key")
+    keys = sets.select("sign", F.explode(F.arrays_zip("keys", "codes")).alias("k")).select(
+        "sign", F.col("k.keys").alias("key"), F.col("k.codes").alias("code")
+    )
+    shared = keys.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+    for _ in range(2):
+        found = F.count("*").over(Window.partitionBy("sign", "code"))
+        shared = shared.withColumn("found", found).filter(f"found >= code % {NEED_LIMIT}")
+        shared = shared.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+    return shared.select("sign", F.min("sign").over(by_key).alias("hub"), "n")
+
+
 def _links(df: DataFrame, sets: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
     """``node, component`` of the sets that links connect with another, by their hash."""
     coarse = components(shared.select(F.col("sign").alias("a"), F.col("hub").alias("b")))
