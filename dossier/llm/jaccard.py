@@ -108,13 +108,23 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def signatures(df: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n_shingles, sign, keys, codes`` of every row; a text without words has no shingles."""
+def signatures(df: DataFrame, rule: Rule, with_keys: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, sign, keys, codes`` of every row; a text without words has no shingles.
+
+    Without keys these are null: they are large, and cheaper to find again than to store.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 values, bounds, sign = shingle_sets(part.column("text"), rule)
+                if not with_keys:
+                    none = pa.nulls(part.num_rows, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sign.view(np.int64)),
+                        none, none.cast(pa.list_(pa.int32())),
+                    ], ["doc_id", "n_shingles", "sign", "keys", "codes"])
+                    continue
                 pairs = [segment_keys(values[a:b], rule) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in pairs])]).astype(np.int32)
                 keys, codes = (np.concatenate(c) for c in zip(*pairs, strict=True))
@@ -250,14 +260,18 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     have no shingles and are linked with nothing. Repeated rows stay; a row without id takes part
     through its text only if another row has the same text and an id. Other columns are left aside.
     """
-    rows = settled(signatures(df, rule))
+    rows = settled(signatures(df, rule, with_keys=False).drop("keys", "codes"))
     sets = settled(
         rows.filter("n_shingles > 0").groupBy("sign")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("codes").alias("codes"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
         .filter("doc_id is not null")
     )
-    shared = settled(_shared_keys(sets))
-    linked = _links(df, sets.drop("keys", "codes"), shared, rule)
+    keys = (
+        signatures(df, rule).filter("n_shingles > 0").groupBy("sign")
+        .agg(F.first("keys").alias("keys"), F.first("codes").alias("codes"))
+    )
+    shared = settled(_shared_keys(keys))
+    linked = _links(df, sets, shared, rule)
     names = linked.join(sets.select(F.col("sign").alias("node"), "doc_id"), "node").groupBy("component").agg(
         F.min("doc_id").alias("component_id")
     )
