@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ END = 1
 GROUP_PIECES = 768
 #: Documents are cut at multiples of the window, and what is left over into parts of this size.
 PART = 512
-#: Distinct words whose ids one worker keeps; beyond that it starts anew.
-CACHE_WORDS = 600_000
+#: Distinct words whose ids one worker keeps, and how many of the first of them stay when there are
+#: more: frequent words come early, so those are the ones worth keeping.
+CACHE_WORDS = 1_200_000
+KEPT_WORDS = 900_000
 
 
 def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -90,6 +94,10 @@ def cut(length: int) -> list[int]:
     return pieces + [rest] * (rest > 0)
 
 
+# Letters of ASCII and Latin-1, then signs of ASCII without the apostrophe.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Ids:
     """Token ids of texts by a tokenizer file, with the ids of frequent words kept.
 
@@ -104,26 +112,30 @@ class Ids:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
+        # A word's code is its place in ``known``; its ids lie before the end of that place.
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.ends = np.zeros(CACHE_WORDS + 1, dtype=np.int64)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)
+
+    def shrink(self) -> None:
+        """Forget all but the first words."""
+        for word in list(islice(self.known, KEPT_WORDS, None)):
+            del self.known[word]
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.clear()
-        if len(words) >= len(self.ends):
-            self.ends = np.zeros(len(words) + 1, dtype=np.int64)
-        # A word of ASCII letters ends with the only id that marks an end, so many are one call.
-        plain = [w for w in words if w.isalpha()]
+        while len(self.known) + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        # Plain words go together in one call. Letters are one piece, signs after them another,
+        # and the last id of a piece is the only one that marks an end.
+        found = [PLAIN.fullmatch(w) for w in words]
+        plain = [(m[0], bool(m[1]) + bool(m[2])) for m in found if m]
         for a in range(0, len(plain), 5_000):
-            some = plain[a: a + 5_000]
+            some, pieces = zip(*plain[a: a + 5_000], strict=True)
             joined = b" ".join(some).decode()
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            self._keep(some, ids, np.flatnonzero(self.last[ids]) + 1)
-        rest = [w for w in words if not w.isalpha()]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            self._keep(list(some), ids, ends[np.cumsum(pieces) - 1])
+        rest = [w for w, m in zip(words, found, strict=True) if not m]
         for a in range(0, len(rest), 5_000):
             some = rest[a: a + 5_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
@@ -143,9 +155,11 @@ class Ids:
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         rows = [(t or "").encode().split() for t in texts]
         words = set().union(*rows)
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.clear()
-        self.learn(list(words.difference(self.known)))
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.shrink()
+            fresh = words.difference(self.known)
+        self.learn(list(fresh))
         out = []
         for row in rows:
             code = np.fromiter(map(self.known.__getitem__, row), np.int64, len(row))

@@ -294,6 +294,18 @@ def test_packing(docs, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_word_ids_with_a_small_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 6)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    ids = packing.Ids(path)
+    for text in ("One two, three's", "four five! <|endoftext|>", "two é́ six seven (eight) nine", "One two É ten"):
+        assert ids.of([text, None])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_differencing_is_near_equal_and_never_too_full(seed):
     random = np.random.default_rng(seed)
