@@ -1,13 +1,16 @@
-"""A log-bilinear language model over word classes, trained with noise-contrastive estimation.
-
-A word's probability is that of its class after the two words before it, from the model, times its
-share of the class, from counts over the whole corpus. The most frequent words are classes of their
-own; all others share classes by hash. Classes are few, so the model is normalised by one matrix
-product, and the product of both parts sums to one over the seen words and one unseen word a class.
+"""A log-bilinear language model of two levels, trained with noise-contrastive estimation.
+
+A word's probability is that of its class after the two words before it, times that of the word
+within its class; the model gives both. Words that occur often enough to learn from have a vector
+of their own, as words to predict and as words before others. Ordered by frequency they are cut
+into classes, about as many as the root of their number, so each level is normalised by a small
+matrix product. Words too rare for a vector form one class more, in which counts over the whole
+corpus tell the word's share. The product sums to one over the seen words and one unseen word.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,22 +23,28 @@ from pyspark.sql import functions as F
 from dossier.llm import ragged
 from dossier.llm.common import remainder, settled
 
-#: Classes of one word each (the end of a text is one), and classes shared by hash.
+#: Least number of classes of frequent words, and classes of all others.
 TOP = 200
-SHARED = 56
-#: Buckets of context words and the size of their vectors.
+SHARED = 1
+#: Least number of context buckets for words without a vector, and the size of vectors.
 CONTEXTS = 4096
 SIZE = 16
-#: Words with at least this share of all tokens go to every executor: at most 2**18 words.
-FREQUENT = 1 / (1 << 18)
+#: Words with fewer tokens have no vector (but the ``TOP`` most frequent always have one). No more
+#: than ``MOST`` words have one, as every executor holds them; those are the most frequent.
+LEAST = 10
+MOST = 1 << 18
 #: Tokens of a training step, and noise words that the tokens of a step share.
 STEP = 1024
 NOISE = 48
+#: Noise words of the same class for each token whose class has several words.
+NEAR = 3
 RATE = 0.1
 #: Gradients are means over a step's tokens times this, against the start of the adaptive rates.
 PULL = 100.0
 #: Distinct words that a task keeps while it counts.
 COUNT_ROWS = 1 << 20
+#: Rows of the model that travel together.
+_ROWS = 1 << 12
 _GROUPS = 16
 END = ragged.mix(np.array([0x1F2E3D4C5B6A7988], dtype=np.uint64))[0]
 
@@ -85,76 +94,128 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Frequent words with their counts, the classes of all words, and the classes' sizes."""
+    """Words with vectors (by hash) and their counts, and classes as runs of these words by rank.
+
+    ``order`` is each word's rank, ``starts`` the first rank of each class and the end of the last,
+    ``upto`` the counts, one added to each, of all words up to a rank. ``mass`` holds the sums of
+    these for the classes; the last one is that of all other words and an unseen one.
+    """
 
     words: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+    upto: np.ndarray
     mass: np.ndarray
     tokens: int
     distinct: int
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each word is a frequent one, and its place among those."""
+        """Whether each word has a vector, and its place among those that have."""
         if not len(self.words):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return self.words[at] == hashes, at
 
-    def classes_of(self, hashes: np.ndarray, found: np.ndarray, at: np.ndarray) -> np.ndarray:
-        shared = TOP + ((hashes >> np.uint64(33)) % np.uint64(SHARED)).astype(np.int64)
-        return np.where(found, self.classes[at], shared) if len(self.words) else shared
+    def ranks(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each word's rank; words without a vector come after all others."""
+        return np.where(found, self.order[at], len(self.words)) if len(self.words) else at
+
+    def classes_of(self, ranks: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, ranks, side="right") - 1
+
+    def within(self, ranks: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Places of the tokens whose class has several words with vectors."""
+        sizes = np.append(np.diff(self.starts), 0)
+        return np.flatnonzero((sizes[classes] > 1) & (ranks < len(self.words)))
+
+    def buckets(self) -> int:
+        """Number of context vectors: one a word that has any, and those that the others share."""
+        return len(self.words) + max(CONTEXTS, len(self.words) // 8)
+
+    def contexts(self, hashes: np.ndarray, rows: np.ndarray, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+        others = np.uint64(self.buckets() - len(self.words))
+        bucket = np.where(found, at, len(self.words) + ((hashes >> np.uint64(41)) % others).astype(np.int64))
+        return _before(bucket.astype(np.int32), rows, self.buckets())
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The words that get a vector; those of the last level taken are chosen by hash."""
+    levels = counts.filter(F.col("c") >= LEAST).groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(
+        F.count("*").alias("n"), F.min("c").alias("c")
+    ).orderBy(F.desc("level")).collect()
+    if sum(row["n"] for row in levels) < TOP:
+        return counts.orderBy(F.desc("c"), "word").limit(TOP)
+    taken, whole, last = 0, None, None
+    for row in levels:
+        if taken + row["n"] > MOST:
+            last = row["c"], (MOST - taken) / row["n"]
+            break
+        taken, whole = taken + row["n"], row["c"]
+    chosen = F.lit(False) if whole is None else F.col("c") >= whole
+    if last is not None:
+        share = F.pmod("word", F.lit(1 << 20)) < F.lit(int(last[1] * (1 << 20)))
+        chosen = chosen | ((F.col("c") >= last[0]) & share)
+    return counts.filter(chosen)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Frequent words and class sizes from the table of counts, which stays distributed."""
+    """Words with vectors and class sizes from the table of counts, which stays distributed."""
     total = counts.agg(F.sum("c"), F.count("*")).first()
     tokens, distinct = total[0] or 0, total[1]
-    frequent = counts.filter(F.col("c") >= tokens * FREQUENT).toArrow()
+    frequent = _frequent(counts).toArrow()
     words, c = frequent["word"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
-    order = np.argsort(words)
-    words, c = words[order], c[order]
-    top = np.lexsort((words, -c))[:TOP]
-    classes = TOP + ((words >> np.uint64(33)) % np.uint64(SHARED)).astype(np.int64)
-    classes[top] = np.arange(len(top))
-    # Sums over the shared classes; the words with a class of their own are taken out here.
-    shared = counts.groupBy(F.pmod(F.shiftrightunsigned("word", 33), F.lit(SHARED)).alias("k")).agg(F.sum(F.col("c") + 1).alias("m"))
-    mass = np.ones(TOP + SHARED, dtype=np.float64)
-    for row in shared.collect():
-        mass[TOP + row["k"]] += row["m"]
-    for place, w in enumerate(top):
-        mass[place] = c[w] + 1
-        mass[TOP + int(words[w] >> np.uint64(33)) % SHARED] -= c[w] + 1
-    return Vocabulary(words, c, classes, mass, tokens, distinct)
+    by_hash = np.argsort(words)
+    words, c = words[by_hash], c[by_hash]
+    by_rank = np.lexsort((words, -c))
+    order = np.empty(len(words), dtype=np.int64)
+    order[by_rank] = np.arange(len(words))
+    upto = np.cumsum(c[by_rank] + 1)
+    if len(words) <= TOP:
+        heads = np.arange(len(words))
+    else:
+        # Each class has about the same sum of roots of counts: frequent words stand alone.
+        number = max(TOP, math.isqrt(len(words)))
+        sums = np.cumsum(np.sqrt(c[by_rank]))
+        cut = np.minimum((sums - np.sqrt(c[by_rank])) / sums[-1] * number, number - 1).astype(np.int64)
+        heads = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
+    starts = np.append(heads, len(words))
+    sums = np.append(0, upto)
+    rest = tokens + distinct - sums[-1] + 1
+    mass = np.append(np.diff(sums[starts]), rest).astype(np.float64)
+    return Vocabulary(words, c, order, starts, upto, mass, tokens, distinct)
 
 
 @dataclass
 class Model:
-    """Context vectors, a weight vector for each of the two places, class vectors and biases."""
+    """Context vectors, a weight vector for each of the two places, vectors and biases of classes,
+    and those of words within their classes (the bias, in the last column, adds to the log share)."""
 
     context: np.ndarray
     place: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    word: np.ndarray
 
     @classmethod
-    def start(cls, mass: np.ndarray, seed: int = 9) -> Model:
-        """Class biases are those of the counts; everything else is small and random."""
+    def start(cls, mass: np.ndarray, seed: int = 9, buckets: int = CONTEXTS, words: int = 0) -> Model:
+        """Class biases are those of the counts; the rest is small and random, or nothing for words."""
         random = np.random.default_rng(seed)
-        context = random.normal(0, 0.1, (CONTEXTS + 1, SIZE)).astype(np.float32)
+        context = random.normal(0, 0.1, (buckets + 1, SIZE)).astype(np.float32)
         place = np.ones((2, SIZE), dtype=np.float32)
         target = random.normal(0, 0.1, (len(mass), SIZE)).astype(np.float32)
-        return cls(context, place, target, np.log(mass / mass.sum()).astype(np.float32))
+        word = np.zeros((words, SIZE + 1), dtype=np.float32)
+        return cls(context, place, target, np.log(mass / mass.sum()).astype(np.float32), word)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.place, self.target, self.bias)])
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of one table."""
+        parts = [self.context, self.place, np.concatenate([self.target, self.bias[:, None]], axis=1), self.word]
+        return np.concatenate([np.pad(x, ((0, 0), (0, SIZE + 1 - x.shape[1]))) for x in parts])
 
-    def filled(self, flat: np.ndarray) -> Model:
-        parts, at = [], 0
-        for x in (self.context, self.place, self.target, self.bias):
-            parts.append(flat[at: at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Model(*parts)
+    def filled(self, table: np.ndarray) -> Model:
+        ends = np.cumsum([len(self.context), len(self.place), len(self.target)])
+        context, place, target, word = np.split(table.astype(np.float32), ends)
+        return Model(context[:, :SIZE].copy(), place[:, :SIZE].copy(), target[:, :SIZE].copy(), target[:, SIZE].copy(), word)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """The vector that two context words (columns of ``before``) predict for the next."""
@@ -176,22 +237,52 @@ class Model:
         return out / np.log(10)
 
 
+    def word_logs(self, before: np.ndarray, ranks: np.ndarray, classes: np.ndarray, known: Vocabulary) -> np.ndarray:
+        """log10 probability of each token within its class; of one without a vector, that of one unseen."""
+        out = np.where(ranks < len(known.words), 0.0, -np.log(known.mass[-1]))
+        some = known.within(ranks, classes)
+        some = some[np.argsort(classes[some], kind="stable")]
+        ends = np.append(np.flatnonzero(np.diff(classes[some])) + 1, len(some))
+        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if a == b:
+                continue
+            k = classes[some[a]]
+            low, high = known.starts[k], known.starts[k + 1]
+            share = np.diff(np.append(known.upto[low - 1] if low else 0, known.upto[low:high]))
+            bias = (np.log(share) + self.word[low:high, SIZE]).astype(np.float32)
+            weights = np.ascontiguousarray(self.word[low:high, :SIZE].T)
+            for c in range(a, b, STEP):
+                own = some[c: min(b, c + STEP)]
+                logits = self.predicted(before[own]) @ weights
+                logits += bias
+                top = logits.max(axis=1)
+                chosen = logits[np.arange(len(own)), ranks[own] - low] - top
+                logits -= top[:, None]
+                np.exp(logits, out=logits)
+                out[own] = chosen - np.log(logits.sum(axis=1))
+        return out / np.log(10)
+
+
 def contexts(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashed buckets of the two tokens before each token, where no word has a vector."""
+    return _before(((hashes >> np.uint64(41)) % np.uint64(CONTEXTS)).astype(np.int32), rows, CONTEXTS)
+
+
+def _before(bucket: np.ndarray, rows: np.ndarray, empty: int) -> np.ndarray:
     """Buckets of the two tokens before each token; before a text begins an empty one."""
-    bucket = ((hashes >> np.uint64(41)) % np.uint64(CONTEXTS)).astype(np.int32)
-    before = np.full((len(hashes), 2), CONTEXTS, dtype=np.int32)
+    before = np.full((len(bucket), 2), empty, dtype=np.int32)
     before[1:, 0] = bucket[:-1]
     before[2:, 1] = bucket[:-2]
     heads = rows[:-1]
-    before[heads] = CONTEXTS
+    before[heads] = empty
     second = heads + 1
-    before[second[second < rows[1:]], 1] = CONTEXTS
+    before[second[second < rows[1:]], 1] = empty
     return before
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, below 2**15, and the sum of the rows of each."""
-    order = np.argsort(keys.astype(np.int16), kind="stable")
+    """Distinct keys, below 2**31, and the sum of the rows of each."""
+    order = np.argsort(keys.astype(np.int32), kind="stable")
     keys = keys[order]
     heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[heads], np.add.reduceat(values[order], heads, axis=0)
@@ -200,13 +291,14 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Trainer:
     """Noise-contrastive training on a stream of tokens, with step sizes that adapt."""
 
-    def __init__(self, model: Model, mass: np.ndarray, seed: int):
-        self.model, self.random = model, np.random.default_rng(seed)
+    def __init__(self, model: Model, mass: np.ndarray, seed: int, known: Vocabulary | None = None):
+        self.model, self.random, self.known = model, np.random.default_rng(seed), known
         self.noise = mass / mass.sum()
         self.shift = np.log(NOISE * self.noise).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-2) for x in (model.context, model.place, model.target, model.bias)]
+        self.squares = [np.full_like(x, 1e-2) for x in (model.context, model.place, model.target, model.bias, model.word)]
 
-    def step(self, before: np.ndarray, classes: np.ndarray) -> None:
+    def step(self, before: np.ndarray, classes: np.ndarray, ranks: np.ndarray | None = None) -> None:
+        """A step on some tokens; without ``ranks`` only classes are learnt."""
         m, n = self.model, len(classes)
         noise = self.random.choice(len(self.noise), NOISE, p=self.noise)
         first, second = m.context[before[:, 0]], m.context[before[:, 1]]
@@ -227,15 +319,38 @@ class Trainer:
         gain = np.zeros((len(m.bias), SIZE + 1), dtype=np.float32)
         gain[rows] = sums
         np.subtract.at(gain, noise, np.concatenate([down.T @ guess, down.sum(axis=0)[:, None]], axis=1))
+        words = None if ranks is None else self._within(guess, classes, ranks, back)
         change = np.concatenate([back * m.place[0], back * m.place[1]])
         places = np.stack([np.einsum("nd,nd->d", back, first), np.einsum("nd,nd->d", back, second)])
         slots, sums = _summed(before.T.ravel(), change)
         scale = np.float32(PULL / n)
+        if words is not None:
+            self._move(4, m.word, words[1] * scale, words[0])
         self._move(2, m.target, gain[:, :SIZE] * scale)
         self._move(3, m.bias, gain[:, SIZE] * scale)
         self._move(1, m.place, places * scale)
         self._move(0, m.context, sums * scale, slots)
 
+    def _within(self, guess: np.ndarray, classes: np.ndarray, ranks: np.ndarray, back: np.ndarray):
+        """Gradients of words within classes, by rank; what they ask of the guess is added to ``back``."""
+        known = self.known
+        some = known.within(ranks, classes)
+        if not len(some):
+            return None
+        own, k, guess = ranks[some], classes[some], guess[some]
+        sums = np.append(0, known.upto)
+        low, high = sums[known.starts[k]], sums[known.starts[k + 1]]
+        drawn = low[:, None] + (self.random.random((len(some), NEAR)) * (high - low)[:, None]).astype(np.int64)
+        rows = np.concatenate([own[:, None], np.searchsorted(known.upto, drawn, side="right")], axis=1)
+        # A word's share of its class is in its chance as noise too, so only what is learnt is left.
+        vectors = self.model.word[rows]
+        error = np.einsum("nd,nkd->nk", guess, vectors[:, :, :SIZE]) + vectors[:, :, SIZE] - np.float32(np.log(NEAR))
+        error = -1 / (1 + np.exp(np.clip(-error, -30, 30)))
+        error[:, 0] += 1
+        back[some] += np.einsum("nk,nkd->nd", error, vectors[:, :, :SIZE])
+        grown = np.append(guess, np.ones((len(some), 1), np.float32), axis=1)
+        return _summed(rows.ravel(), (error[:, :, None] * grown[:, None, :]).reshape(-1, SIZE + 1))
+
     def _move(self, k: int, value: np.ndarray, gradient: np.ndarray, at=slice(None)) -> None:
         self.squares[k][at] += gradient**2
         value[at] += RATE * gradient / np.sqrt(self.squares[k][at])
@@ -244,53 +359,62 @@ class Trainer:
 def train(texts: DataFrame, known: Vocabulary) -> Model:
     """Train on all tokens of all texts: each task on its own, from one start, then averaged.
 
-    A task's model counts by its number of tokens. The sums of the models are formed by a few
-    tasks, whatever the number of training tasks, and only those reach the driver.
+    A task's model counts by its number of tokens. A task sends the rows of its model that it
+    changed, so what travels follows its words; a few tasks form the sums, each of some rows.
     """
-    start = Model.start(known.mass)
+    start = Model.start(known.mass, buckets=known.buckets(), words=len(known.words))
     if not known.tokens:
         return start
     shared = texts.sparkSession.sparkContext.broadcast((start, known))
+    tokens = known.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, words = shared.value
         context = TaskContext.get()
-        part_id = context.partitionId() if context else 0
-        model = base.filled(base.flat())
-        trainer = Trainer(model, words.mass, part_id)
+        model = base.filled(base.rows())
+        trainer = Trainer(model, words.mass, context.partitionId() if context else 0, words)
         seen = 0
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 hashes, rows = token_rows(part.column("text"))
-                before, classes = contexts(hashes, rows), words.classes_of(hashes, *words.find(hashes))
+                found, at = words.find(hashes)
+                before, ranks = words.contexts(hashes, rows, found, at), words.ranks(found, at)
+                classes = words.classes_of(ranks)
                 seen += len(hashes)
                 for a in range(0, len(hashes), STEP):
-                    trainer.step(before[a: a + STEP], classes[a: a + STEP])
-        if seen:
-            total = (model.flat().astype(np.float64) * seen).tobytes()
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part_id % _GROUPS], pa.int32()), "seen": pa.array([seen], pa.int64()),
-                "total": pa.array([total], pa.binary()),
-            })
+                    trainer.step(before[a: a + STEP], classes[a: a + STEP], ranks[a: a + STEP])
+        del trainer
+        change = model.rows()
+        change -= base.rows()
+        for a in range(0, len(change), _ROWS):
+            at = np.flatnonzero(change[a: a + _ROWS].any(axis=1))
+            if len(at):
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([a // _ROWS], pa.int32()), "seen": pa.array([seen], pa.int64()),
+                    "at": pa.array([at.astype(np.int16).tobytes()], pa.binary()),
+                    "total": pa.array([change[a: a + _ROWS][at].astype(np.float16).tobytes()], pa.binary()),
+                })
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = 0, None
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for n, data in zip(batch.column("seen").to_pylist(), batch.column("total").to_pylist(), strict=True):
-                own = np.frombuffer(data)
-                seen, total = seen + n, own if total is None else total + own
-        if seen:
+            for row in range(batch.num_rows):
+                number, seen, at, data = (batch.column(k)[row].as_py() for k in ("part", "seen", "at", "total"))
+                own = sums.setdefault(number, np.zeros((_ROWS, SIZE + 1)))
+                own[np.frombuffer(at, np.int16)] += np.frombuffer(data, np.float16).reshape(-1, SIZE + 1) * (seen / tokens)
+        for number, own in sums.items():
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([0], pa.int32()), "seen": pa.array([seen], pa.int64()),
-                "total": pa.array([total.tobytes()], pa.binary()),
+                "part": pa.array([number], pa.int32()), "total": pa.array([own.astype(np.float32).tobytes()], pa.binary()),
             })
 
-    schema = "part int, seen long, total binary"
-    sums = texts.select("text").mapInArrow(run, schema).repartition(_GROUPS, "part").mapInArrow(added, schema).collect()
-    if not sums:
-        return start
-    sums = sorted((row["seen"], bytes(row["total"])) for row in sums)
-    return start.filled(sum(np.frombuffer(t) for _, t in sums) / sum(n for n, _ in sums))
+    changes = texts.select("text").mapInArrow(run, "part int, seen long, at binary, total binary")
+    means = changes.repartition(_GROUPS, "part").mapInArrow(added, "part int, total binary")
+    table = start.rows()
+    for row in means.toLocalIterator():
+        first = row["part"] * _ROWS
+        own = np.frombuffer(row["total"], np.float32).reshape(_ROWS, SIZE + 1)
+        table[first: first + _ROWS] += own[: len(table) - first]
+    return start.filled(table)
 
 
 def language_scores(df: DataFrame, held_out: Column) -> DataFrame:
@@ -309,14 +433,14 @@ def language_scores(df: DataFrame, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = shared.value
-        inside = np.log10(words.mass)
         logs = np.log10(words.counts + 1.0)
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 hashes, offsets = token_rows(part.column("text"))
                 found, at = words.find(hashes)
-                classes = words.classes_of(hashes, found, at)
-                own = model.class_logs(contexts(hashes, offsets), classes) - inside[classes]
+                ranks = words.ranks(found, at)
+                classes, before = words.classes_of(ranks), words.contexts(hashes, offsets, found, at)
+                own = model.class_logs(before, classes) + model.word_logs(before, ranks, classes, words)
                 frequent = np.where(found, logs[at], 0.0) if len(logs) else np.zeros(len(hashes))
                 # Other words go on with their number in the text, to meet their counts.
                 row = np.repeat(np.arange(part.num_rows), np.diff(offsets))[~found]
@@ -338,7 +462,7 @@ def language_scores(df: DataFrame, held_out: Column) -> DataFrame:
         run, "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, logs double, own double, "
              "rare array<long>, times array<int>",
     ))
-    # No rare word has more than 2**-18 of the tokens, so the join has no hot key.
+    # A word without a vector has few tokens or comes after 2**18 others, so the join has no hot key.
     rest = (
         scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
         .select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("n"))
@@ -350,7 +474,7 @@ def language_scores(df: DataFrame, held_out: Column) -> DataFrame:
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(known.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.log10(F.lit(float(known.tokens + known.distinct + 1)))).alias("base_score"),
-        (F.col("own") + F.col("logs") + more).alias("score"),
+        (F.col("own") + more).alias("score"),
     )
 
 

@@ -378,6 +378,38 @@ def test_classes_are_normalised():
     assert (10 ** model.class_logs(before, np.arange(len(mass)))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_vocabulary_and_classes_follow_the_counts(spark):
+    sizes = {}
+    for n in (2000, 8000):
+        rows = [(i, 10 + n // (i + 1)) for i in range(n)] + [(n + i, 3) for i in range(50)]
+        known = language.vocabulary(spark.createDataFrame(rows, "word long, c long"))
+        sizes[n] = len(known.words), len(known.mass), known.buckets()
+        # All words and an unseen one share the whole probability.
+        assert known.mass.sum() == known.tokens + known.distinct + 1
+        hashes = np.arange(n + 50, dtype=np.uint64)
+        found, at = known.find(hashes)
+        ranks = known.ranks(found, at)
+        classes = known.classes_of(ranks)
+        model = language.Model.start(known.mass, buckets=known.buckets(), words=n)
+        model.word += np.random.default_rng(1).normal(0, 1, model.word.shape)
+        before = np.full((n + 50, 2), 5, dtype=np.int32)
+        logs = model.class_logs(before, classes) + model.word_logs(before, ranks, classes, known)
+        seen = np.append(np.where(found, 1, 4), 1)
+        assert (10 ** np.append(logs, logs[-1]) * seen).sum() == pytest.approx(1, abs=1e-4)
+    assert sizes[2000][0] == 2000 and sizes[8000][0] == 8000 and sizes[8000][2] > sizes[2000][2]
+    equal = spark.range(3000).selectExpr("id as word", "20L as c")
+    assert len(language.vocabulary(equal).mass) == language.TOP + 1
+
+
+def test_words_beyond_the_first_classes_are_learnt(spark):
+    # Word a{i} is always followed by b{i}; all are alike in frequency, far more than classes of one word.
+    random = np.random.default_rng(3)
+    rows = [(d, " ".join(f"a{i} b{i}" for i in random.integers(0, 400, 150))) for d in range(500)]
+    got = language.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), language.fold(7, 2)).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+
+
 # --- op9
 
 def brute_components(rows, rule):
