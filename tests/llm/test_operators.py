@@ -164,6 +164,17 @@ def test_quality_learns_from_positives_and_unlabelled():
     assert (guess[:4000]).mean() > 0.95 and (~guess[4000:]).mean() > 0.9
 
 
+def test_words_of_few_toxic_texts_are_learnt():
+    random = np.random.default_rng(0)
+    labels = (np.arange(1500) < 120).astype(np.int64)
+    # Ten words, each in 12 toxic texts and no other; the remaining words say nothing.
+    texts = [np.r_[random.integers(100, 400, 30), [i % 10] if y else []].astype(np.int64) for i, y in enumerate(labels)]
+    model = toxicity.fit(np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])], labels)
+    fresh = [np.r_[random.integers(100, 400, 30), [i % 10] if i < 100 else []].astype(np.int64) for i in range(200)]
+    logit = model.logits(np.concatenate(fresh), np.r_[0, np.cumsum([len(t) for t in fresh])], model.tables())
+    assert (logit[:100, None] > logit[None, 100:]).mean() > 0.95
+
+
 def test_quality_and_toxicity_at_the_edge(spark, docs, empty, labels):
     none = labels.filter("false")
     for given, known in ((docs, labels), (docs, none), (empty, labels), (empty, none)):
