@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import jaccard, mixing, packing, quality, toxicity
@@ -44,17 +44,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of at least 0.8 over five-word shingles connect.
 
-    The one with the least id stays; of rows that share that id, the one with the longest text.
-    Rows without words are linked with nothing and stay, and so do rows without id.
+    The one with the least id stays; of those that share that id, the one with the longest text.
+    Rows without id take part and come after all others. Rows without words are linked with
+    nothing and all stay.
     """
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Rule(words=5, part=4, whole=5))
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    # Ids rarely repeat, so the window holds one row a key.
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), F.xxhash64("text"))
-    number = unused(docs, "number")
-    named = named.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(number)
-    return named.unionAll(docs.filter("doc_id is null"))
+    # Rows take part by a hash of id and text, since ids may repeat or be missing.
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), jaccard.Rule(words=5, part=4, whole=5))
+    named = found.filter("n_shingles > 0").select(F.col("doc_id").alias(key), "component_id").distinct()
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", -F.length("text"), key)
+    kept = (
+        keyed.select(key, first.alias("first")).join(named, key)
+        .groupBy("component_id").agg(F.min("first").getField(key).alias(key)).select(key)
+    )
+    bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias(key)).distinct()
+    one = keyed.join(kept, key, "left_semi").dropDuplicates([key])
+    return one.unionByName(keyed.join(bare, key, "left_semi")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

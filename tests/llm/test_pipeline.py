@@ -1,6 +1,7 @@
 """The stages one by one and the whole pipeline."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,14 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, df.filter("false"), SMALL).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    rows = [(1, x), (2, x + " more"), (2, y), (7, y + " more"), (None, x), (None, z), (None, z + " more"), (3, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, SMALL).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, x), (2, y), (None, z + " more"), (3, ""), (3, None)])
+
+
 def test_stages_on_an_empty_table(spark, documents):
     nothing = documents.filter("false")
     for _, stage in corpus_pipeline.STAGES:
