@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, jaccard, language, media, mixing, packing, quality, sharding, tokens, toxicity
+from dossier.llm import (
+    dac, fingerprints, jaccard, language, media, merkle, mixing, negatives, packing, quality, sharding, tokens, toxicity,
+)
+from dossier.llm.common import remainder, settled
+from dossier.session import ensure_checkpoint_dir
 
 TOKEN_LIMIT = 512
 #: Scores from which a text is good, and toxic.
@@ -95,6 +100,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives near the positives of every fiftieth vector, some labels being wrong."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("id") % 50 == 0, label)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in the files written for all of them, as read back from there."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    parts = dac.write(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
+    found = settled(dac.read(spark, parts))
+    dac.remove(folder)
+    return found
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest by language, checked against rows of which some are tampered with."""
+    tampered = F.when(remainder("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.verified(
+        documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], "lang", {"n_chars": tampered}
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
@@ -106,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -162,5 +194,65 @@ WITH RECURSIVE words AS MATERIALIZED (
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) c USING (doc_id)
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+      lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)),
+      4294967295), 4294967295) % 7 = 0 AS tampered FROM documents
+), leaves AS MATERIALIZED (
+  SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + tampered::INT), '-') || tail) AS claimed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM fields
+), trees AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM trees WHERE len(nodes) > 1
+), subroots AS MATERIALIZED (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM trees WHERE len(nodes) = 1
+), over_all AS (
+  SELECT 1000 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM over_all WHERE len(nodes) > 1
+), places AS (
+  SELECT l.rid, t.level, t.nodes, l.pos >> t.level AS own FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+  UNION ALL
+  SELECT l.rid, o.level, o.nodes, s.pos >> (o.level - 1000)
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang, over_all o WHERE len(o.nodes) > 1
+), steps AS (
+  SELECT rid, list(CASE WHEN xor(own, 1) >= len(nodes) THEN '' WHEN own % 2 = 1 THEN '<' || nodes[own]
+    ELSE '>' || nodes[own + 2] END ORDER BY level) AS way FROM places GROUP BY rid
+), proofs AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT nodes[1] FROM over_all WHERE len(nodes) = 1) AS root,
+    sha256(array_to_string(list_transform(coalesce(w.way, []), lambda x: x[2:]), '')) AS proof_sha256,
+    list_reduce(coalesce(w.way, []), lambda a, x: CASE WHEN x[1] = '<' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END, l.claimed) AS folded_root
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN steps w USING (rid)
+)
+SELECT *, folded_root = root AS verified FROM proofs
 """,
 }
