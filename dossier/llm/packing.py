@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +93,38 @@ def cut(length: int) -> list[int]:
     return pieces + [rest] * (rest > 0)
 
 
-# Letters of ASCII and Latin-1, then signs of ASCII without the apostrophe.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
+_LETTER, _SIGN, _LEAD, _TRAIL, _OTHER, _GAP = range(6)
+
+
+def _kinds() -> np.ndarray:
+    """What each byte of UTF-8 is: a letter or a sign of ASCII (but the apostrophe, and no digit),
+    the first or second byte of a letter of Latin-1, the space between words, or something else."""
+    kinds = np.full(256, _OTHER, dtype=np.uint8)
+    kinds[33:127] = _SIGN
+    kinds[[*range(65, 91), *range(97, 123)]] = _LETTER
+    kinds[[ord("'"), *range(48, 58)]] = _OTHER
+    kinds[128:192] = _TRAIL
+    # The signs for times and divided by stand among the letters.
+    kinds[[0x97, 0xB7]] = _OTHER
+    kinds[0xC3], kinds[32] = _LEAD, _GAP
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def plain_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are letters and then signs, either of them possibly missing, and of how many of the two each consists."""
+    kind = _KINDS[np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.append(0, ends[:-1])
+    here, after = kind[:-1], kind[1:]
+    wrong = (here == _OTHER) | ((here == _LEAD) != (after == _TRAIL))
+    wrong |= (here == _SIGN) & (after != _SIGN) & (after != _GAP)
+    bad = np.add.reduceat(np.append(wrong, False), starts, dtype=np.int64) > 0
+    bad |= kind[starts] == _TRAIL
+    first, last = kind[starts], kind[ends - 2]
+    return ~bad, (first != _SIGN).astype(np.int64) + (last == _SIGN)
 
 
 class Ids:
@@ -127,15 +156,16 @@ class Ids:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         # Plain words go together in one call. Letters are one piece, signs after them another,
         # and the last id of a piece is the only one that marks an end.
-        found = [PLAIN.fullmatch(w) for w in words]
-        plain = [(m[0], bool(m[1]) + bool(m[2])) for m in found if m]
+        if not words:
+            return
+        is_plain, n_pieces = plain_words(words)
+        plain, n_pieces = list(compress(words, is_plain)), n_pieces[is_plain]
         for a in range(0, len(plain), 5_000):
-            some, pieces = zip(*plain[a: a + 5_000], strict=True)
-            joined = b" ".join(some).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            some = plain[a: a + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            self._keep(list(some), ids, ends[np.cumsum(pieces) - 1])
-        rest = [w for w, m in zip(words, found, strict=True) if not m]
+            self._keep(some, ids, ends[np.cumsum(n_pieces[a: a + 5_000]) - 1])
+        rest = list(compress(words, ~is_plain))
         for a in range(0, len(rest), 5_000):
             some = rest[a: a + 5_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
