@@ -34,18 +34,24 @@ SIZE = 16
 LEAST = 10
 MOST = 1 << 18
 #: Tokens of a training step, and noise words that the tokens of a step share.
-STEP = 1024
+STEP = 2048
 NOISE = 48
+#: Tokens that are scored together: what they are scored against stays in the cache.
+SCORED = 256
 #: Noise words of the same class for each token whose class has several words.
 NEAR = 3
-RATE = 0.1
+RATE = 0.15
 #: Gradients are means over a step's tokens times this, against the start of the adaptive rates.
-PULL = 100.0
+PULL = 200.0
+START = 1e-2
+#: Tokens that one training task learns from, about: their number decides how many tasks there
+#: are, whatever the files, so that every task gets away from the start.
+TASK_TOKENS = 1 << 24
 #: Distinct words that a task keeps while it counts.
 COUNT_ROWS = 1 << 20
-#: Rows of the model that travel together.
+#: Rows of the model that travel together, and tasks whose changes are added up in one step.
 _ROWS = 1 << 12
-_GROUPS = 16
+_ADDED = 64
 END = ragged.mix(np.array([0x1F2E3D4C5B6A7988], dtype=np.uint64))[0]
 
 
@@ -110,25 +116,52 @@ class Vocabulary:
     tokens: int
     distinct: int
 
+    def __post_init__(self):
+        # Where the words with the same first bits begin; few words share them.
+        bits = max(1, 3 + len(self.words).bit_length())
+        heads = np.searchsorted(self.words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        self._shift, self._heads = np.uint64(64 - bits), heads[:-1].astype(np.int32)
+        self._most = int(np.diff(heads).max()) if len(self.words) else 0
+        self._class = np.append(np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), len(self.starts) - 1)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word has a vector, and its place among those that have."""
         if not len(self.words):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return self.words[at] == hashes, at
+        if self._most > 64:
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            return self.words.take(at) == hashes, at
+        at = self._heads.take((hashes >> self._shift).view(np.int64)).astype(np.int64)
+        np.minimum(at, len(self.words) - 1, out=at)
+        found = self.words.take(at) == hashes
+        left = np.flatnonzero(~found)
+        for _ in range(1, self._most):
+            left = left[at[left] < len(self.words) - 1]
+            left = left[self.words.take(at[left]) < hashes[left]]
+            at[left] += 1
+            hit = self.words.take(at[left]) == hashes[left]
+            found[left[hit]] = True
+            left = left[~hit]
+        return found, at
 
     def ranks(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Each word's rank; words without a vector come after all others."""
         return np.where(found, self.order[at], len(self.words)) if len(self.words) else at
 
     def classes_of(self, ranks: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, ranks, side="right") - 1
+        return self._class.take(ranks)
 
     def within(self, ranks: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Places of the tokens whose class has several words with vectors."""
         sizes = np.append(np.diff(self.starts), 0)
         return np.flatnonzero((sizes[classes] > 1) & (ranks < len(self.words)))
 
+    def tilts(self) -> np.ndarray:
+        """For each rank, the log of its share of its class against an even share."""
+        sizes = np.diff(self.starts)
+        own = np.diff(np.append(0, self.upto))
+        return (np.log(own) + np.repeat(np.log(sizes) - np.log(self.mass[:-1]), sizes)).astype(np.float32)
+
     def buckets(self) -> int:
         """Number of context vectors: one a word that has any, and those that the others share."""
         return len(self.words) + max(CONTEXTS, len(self.words) // 8)
@@ -219,50 +252,54 @@ class Model:
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """The vector that two context words (columns of ``before``) predict for the next."""
-        return self.context[before[:, 0]] * self.place[0] + self.context[before[:, 1]] * self.place[1]
-
-    def class_logs(self, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's class, normalised over all classes."""
-        out = np.empty(len(classes), dtype=np.float64)
-        weights = np.ascontiguousarray(self.target.T)
-        for a in range(0, len(classes), STEP):
-            own = classes[a: a + STEP]
-            logits = self.predicted(before[a: a + STEP]) @ weights
-            logits += self.bias
-            top = logits.max(axis=1)
-            chosen = logits[np.arange(len(own)), own] - top
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            out[a: a + STEP] = chosen - np.log(logits.sum(axis=1))
-        return out / np.log(10)
+        return self.context.take(before[:, 0], axis=0) * self.place[0] + self.context.take(before[:, 1], axis=0) * self.place[1]
+
+    def guessed(self, before: np.ndarray) -> np.ndarray:
+        """Predicted vectors with a last column of ones, which meets the biases."""
+        return np.append(self.predicted(before), np.ones((len(before), 1), np.float32), axis=1)
 
+    def class_logs(self, guess: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Log probability of each token's class, by predicted vectors that end with one."""
+        return _chosen(guess, np.append(self.target, self.bias[:, None], axis=1), classes)
 
-    def word_logs(self, before: np.ndarray, ranks: np.ndarray, classes: np.ndarray, known: Vocabulary) -> np.ndarray:
-        """log10 probability of each token within its class; of one without a vector, that of one unseen."""
+    def logs(self, before: np.ndarray, ranks: np.ndarray, classes: np.ndarray, known: Vocabulary) -> np.ndarray:
+        """log10 probability of each token: of its class, normalised over all classes, and of it within
+        the class, normalised over the class's words; a token without a vector counts as one unseen."""
+        guess = self.guessed(before)
         out = np.where(ranks < len(known.words), 0.0, -np.log(known.mass[-1]))
+        out += self.class_logs(guess, classes)
         some = known.within(ranks, classes)
         some = some[np.argsort(classes[some], kind="stable")]
         ends = np.append(np.flatnonzero(np.diff(classes[some])) + 1, len(some))
+        share = np.diff(np.append(0, known.upto))
         for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
             if a == b:
                 continue
-            k = classes[some[a]]
+            k, own = classes[some[a]], some[a:b]
             low, high = known.starts[k], known.starts[k + 1]
-            share = np.diff(np.append(known.upto[low - 1] if low else 0, known.upto[low:high]))
-            bias = (np.log(share) + self.word[low:high, SIZE]).astype(np.float32)
-            weights = np.ascontiguousarray(self.word[low:high, :SIZE].T)
-            for c in range(a, b, STEP):
-                own = some[c: min(b, c + STEP)]
-                logits = self.predicted(before[own]) @ weights
-                logits += bias
-                top = logits.max(axis=1)
-                chosen = logits[np.arange(len(own)), ranks[own] - low] - top
-                logits -= top[:, None]
-                np.exp(logits, out=logits)
-                out[own] = chosen - np.log(logits.sum(axis=1))
+            rows = self.word[low:high].copy()
+            rows[:, SIZE] += np.log(share[low:high] / share[low:high].sum()).astype(np.float32)
+            out[own] += _chosen(guess.take(own, axis=0), rows, ranks[own] - low)
         return out / np.log(10)
 
 
+def _chosen(guess: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the normalised weight of one row for each guess; both end with what the bias needs."""
+    out = np.empty(len(own), dtype=np.float64)
+    weights, ones = np.ascontiguousarray(rows.T), np.ones(len(rows), dtype=np.float32)
+    for a in range(0, len(own), SCORED):
+        logits = guess[a: a + SCORED] @ weights
+        at = own[a: a + SCORED]
+        picked = logits[np.arange(len(at)), at]
+        with np.errstate(over="ignore"):
+            sums = np.exp(logits) @ ones
+        if not (np.isfinite(sums) & (sums > 0)).all():
+            top = logits.max(axis=1)
+            picked, sums = picked - top, np.exp(logits - top[:, None]) @ ones
+        out[a: a + SCORED] = picked - np.log(sums)
+    return out
+
+
 def contexts(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Hashed buckets of the two tokens before each token, where no word has a vector."""
     return _before(((hashes >> np.uint64(41)) % np.uint64(CONTEXTS)).astype(np.int32), rows, CONTEXTS)
@@ -282,10 +319,10 @@ def _before(bucket: np.ndarray, rows: np.ndarray, empty: int) -> np.ndarray:
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, below 2**31, and the sum of the rows of each."""
-    order = np.argsort(keys.astype(np.int32), kind="stable")
-    keys = keys[order]
+    order = np.argsort(keys.astype(np.int32))
+    keys = keys.take(order)
     heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[heads], np.add.reduceat(values[order], heads, axis=0)
+    return keys[heads], np.add.reduceat(values.take(order, axis=0), heads, axis=0)
 
 
 class Trainer:
@@ -293,17 +330,18 @@ class Trainer:
 
     def __init__(self, model: Model, mass: np.ndarray, seed: int, known: Vocabulary | None = None):
         self.model, self.random, self.known = model, np.random.default_rng(seed), known
-        self.noise = mass / mass.sum()
-        self.shift = np.log(NOISE * self.noise).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-2) for x in (model.context, model.place, model.target, model.bias, model.word)]
+        self.noise = np.cumsum(mass / mass.sum())
+        self.shift = np.log(NOISE * mass / mass.sum()).astype(np.float32)
+        self.tilts = known.tilts() if known is not None else None
+        self.squares = [np.full_like(x, START) for x in (model.context, model.place, model.target, model.bias, model.word)]
 
     def step(self, before: np.ndarray, classes: np.ndarray, ranks: np.ndarray | None = None) -> None:
         """A step on some tokens; without ``ranks`` only classes are learnt."""
         m, n = self.model, len(classes)
-        noise = self.random.choice(len(self.noise), NOISE, p=self.noise)
-        first, second = m.context[before[:, 0]], m.context[before[:, 1]]
+        noise = np.minimum(np.searchsorted(self.noise, self.random.random(NOISE), side="right"), len(self.noise) - 1)
+        first, second = m.context.take(before[:, 0], axis=0), m.context.take(before[:, 1], axis=0)
         guess = first * m.place[0] + second * m.place[1]
-        own, others = m.target[classes], m.target[noise]
+        own, others = m.target.take(classes, axis=0), m.target[noise]
         real = np.einsum("nd,nd->n", guess, own) + m.bias[classes] - self.shift[classes]
         false = guess @ others.T
         false += m.bias[noise] - self.shift[noise]
@@ -337,86 +375,118 @@ class Trainer:
         some = known.within(ranks, classes)
         if not len(some):
             return None
-        own, k, guess = ranks[some], classes[some], guess[some]
-        sums = np.append(0, known.upto)
-        low, high = sums[known.starts[k]], sums[known.starts[k + 1]]
-        drawn = low[:, None] + (self.random.random((len(some), NEAR)) * (high - low)[:, None]).astype(np.int64)
-        rows = np.concatenate([own[:, None], np.searchsorted(known.upto, drawn, side="right")], axis=1)
-        # A word's share of its class is in its chance as noise too, so only what is learnt is left.
-        vectors = self.model.word[rows]
-        error = np.einsum("nd,nkd->nk", guess, vectors[:, :, :SIZE]) + vectors[:, :, SIZE] - np.float32(np.log(NEAR))
+        k, guess = classes.take(some), guess.take(some, axis=0)
+        low = known.starts.take(k)
+        size = known.starts.take(k + 1) - low
+        rows = np.empty((len(some), NEAR + 1), dtype=np.int64)
+        rows[:, 0] = ranks.take(some)
+        # Every word of the class is as likely as noise; its share of the class adds to its score.
+        rows[:, 1:] = low[:, None] + (self.random.random((len(some), NEAR), dtype=np.float32) * size[:, None]).astype(np.int64)
+        np.minimum(rows[:, 1:], (low + size - 1)[:, None], out=rows[:, 1:])
+        vectors = self.model.word.take(rows, axis=0)
+        error = np.einsum("nd,nkd->nk", guess, vectors[:, :, :SIZE])
+        error += vectors[:, :, SIZE]
+        error += self.tilts.take(rows)
+        error -= np.float32(np.log(NEAR))
         error = -1 / (1 + np.exp(np.clip(-error, -30, 30)))
         error[:, 0] += 1
         back[some] += np.einsum("nk,nkd->nd", error, vectors[:, :, :SIZE])
         grown = np.append(guess, np.ones((len(some), 1), np.float32), axis=1)
         return _summed(rows.ravel(), (error[:, :, None] * grown[:, None, :]).reshape(-1, SIZE + 1))
 
-    def _move(self, k: int, value: np.ndarray, gradient: np.ndarray, at=slice(None)) -> None:
-        self.squares[k][at] += gradient**2
-        value[at] += RATE * gradient / np.sqrt(self.squares[k][at])
+    def _move(self, k: int, value: np.ndarray, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
+        squares = self.squares[k] if at is None else self.squares[k].take(at, axis=0)
+        squares += gradient * gradient
+        gradient *= RATE
+        gradient /= np.sqrt(squares)
+        if at is None:
+            value += gradient
+        else:
+            self.squares[k][at] = squares
+            value[at] = value.take(at, axis=0) + gradient
+
+    def learnt(self) -> np.ndarray:
+        """How much each row of the model has been asked to change, as its weight among tasks."""
+        context, place, target, bias, word = self.squares
+        parts = [x.mean(axis=1) for x in (context, place, np.append(target, bias[:, None], axis=1), word)]
+        return np.concatenate(parts) - np.float32(START)
 
 
 def train(texts: DataFrame, known: Vocabulary) -> Model:
     """Train on all tokens of all texts: each task on its own, from one start, then averaged.
 
-    A task's model counts by its number of tokens. A task sends the rows of its model that it
-    changed, so what travels follows its words; a few tasks form the sums, each of some rows.
+    The number of tasks follows from the tokens. A row of the model counts in a task by what the
+    task learnt about it, so a word that few tasks meet is not diluted by the others. A task
+    sends the rows of its model that it changed, so what travels follows its words; the sums are
+    formed by parts of the model, over many tasks in two steps.
     """
     start = Model.start(known.mass, buckets=known.buckets(), words=len(known.words))
     if not known.tokens:
         return start
     shared = texts.sparkSession.sparkContext.broadcast((start, known))
-    tokens = known.tokens
+    tasks = max(1, round(known.tokens / TASK_TOKENS))
+    size = SIZE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, words = shared.value
-        context = TaskContext.get()
+        task = TaskContext.get().partitionId()
         model = base.filled(base.rows())
-        trainer = Trainer(model, words.mass, context.partitionId() if context else 0, words)
-        seen = 0
+        trainer = Trainer(model, words.mass, task, words)
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 hashes, rows = token_rows(part.column("text"))
                 found, at = words.find(hashes)
                 before, ranks = words.contexts(hashes, rows, found, at), words.ranks(found, at)
                 classes = words.classes_of(ranks)
-                seen += len(hashes)
                 for a in range(0, len(hashes), STEP):
                     trainer.step(before[a: a + STEP], classes[a: a + STEP], ranks[a: a + STEP])
+        weight = trainer.learnt()
         del trainer
         change = model.rows()
         change -= base.rows()
         for a in range(0, len(change), _ROWS):
-            at = np.flatnonzero(change[a: a + _ROWS].any(axis=1))
+            own = weight[a: a + _ROWS]
+            at = np.flatnonzero(own > 0)
             if len(at):
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([a // _ROWS], pa.int32()), "seen": pa.array([seen], pa.int64()),
-                    "at": pa.array([at.astype(np.int16).tobytes()], pa.binary()),
-                    "total": pa.array([change[a: a + _ROWS][at].astype(np.float16).tobytes()], pa.binary()),
-                })
+                rows = np.append(change[a: a + _ROWS][at], np.ones((len(at), 1), np.float32), axis=1) * own[at, None]
+                yield _sent(a // _ROWS, task // _ADDED, at, rows)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                number, seen, at, data = (batch.column(k)[row].as_py() for k in ("part", "seen", "at", "total"))
-                own = sums.setdefault(number, np.zeros((_ROWS, SIZE + 1)))
-                own[np.frombuffer(at, np.int16)] += np.frombuffer(data, np.float16).reshape(-1, SIZE + 1) * (seen / tokens)
-        for number, own in sums.items():
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([number], pa.int32()), "total": pa.array([own.astype(np.float32).tobytes()], pa.binary()),
-            })
-
-    changes = texts.select("text").mapInArrow(run, "part int, seen long, at binary, total binary")
-    means = changes.repartition(_GROUPS, "part").mapInArrow(added, "part int, total binary")
+                number, group, at, data = (batch.column(k)[row].as_py() for k in ("part", "group", "at", "total"))
+                own = sums.setdefault((number, group), np.zeros((_ROWS, size + 1)))
+                own[np.frombuffer(at, np.int16)] += np.frombuffer(data, np.float32).reshape(-1, size + 1)
+        for (number, group), own in sums.items():
+            at = np.flatnonzero(own[:, size] > 0)
+            yield _sent(number, group // _ADDED, at, own[at])
+
+    schema = "part int, group int, at binary, total binary"
     table = start.rows()
-    for row in means.toLocalIterator():
-        first = row["part"] * _ROWS
-        own = np.frombuffer(row["total"], np.float32).reshape(_ROWS, SIZE + 1)
-        table[first: first + _ROWS] += own[: len(table) - first]
+    parts = -(-len(table) // _ROWS)
+    sums = texts.select("text").coalesce(tasks).mapInArrow(run, schema)
+    groups = -(-tasks // _ADDED)
+    while True:
+        sums = sums.repartition(parts * groups, "part", "group").mapInArrow(added, schema)
+        if groups == 1:
+            break
+        groups = -(-groups // _ADDED)
+    for row in sums.toLocalIterator():
+        at = row["part"] * _ROWS + np.frombuffer(row["at"], np.int16).astype(np.int64)
+        own = np.frombuffer(row["total"], np.float32).reshape(-1, size + 1)
+        table[at] += own[:, :size] / own[:, size:]
     return start.filled(table)
 
 
+def _sent(part: int, group: int, at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of a part of the model, as they travel."""
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array([part], pa.int32()), "group": pa.array([group], pa.int32()),
+        "at": pa.array([at.astype(np.int16).tobytes()], pa.binary()), "total": pa.array([rows.astype(np.float32).tobytes()], pa.binary()),
+    })
+
+
 def language_scores(df: DataFrame, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -440,7 +510,7 @@ def language_scores(df: DataFrame, held_out: Column) -> DataFrame:
                 found, at = words.find(hashes)
                 ranks = words.ranks(found, at)
                 classes, before = words.classes_of(ranks), words.contexts(hashes, offsets, found, at)
-                own = model.class_logs(before, classes) + model.word_logs(before, ranks, classes, words)
+                own = model.logs(before, ranks, classes, words)
                 frequent = np.where(found, logs[at], 0.0) if len(logs) else np.zeros(len(hashes))
                 # Other words go on with their number in the text, to meet their counts.
                 row = np.repeat(np.arange(part.num_rows), np.diff(offsets))[~found]
