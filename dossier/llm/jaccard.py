@@ -23,7 +23,7 @@ from dossier.llm.common import settled
 from dossier.llm.graph import components
 
 #: Shingles of all sets that one block holds, unless one set alone has more.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 #: Sets with the most shared keys of a component; all its blocks hold them.
 HUBS = 8
 #: Bits of the filter on ids that spares most other texts the second look; a fixed size.
@@ -32,6 +32,8 @@ FILTER_BITS = 1 << 22
 NEED_LIMIT = 1 << 20
 #: Weight of a probe against a merge step when lists are divided into short and long ones.
 PROBE_WEIGHT = 0.01
+#: Sets of a block after which freed memory is given back; most blocks are of a few sets.
+RELEASE_ROWS = 100
 _GROWTH = 1.5
 
 
@@ -144,17 +146,19 @@ class Block:
     def __init__(self, sizes: np.ndarray, values: np.ndarray, bounds: np.ndarray, rule: Rule):
         """Sets must come in ascending order of size; ``values[bounds[i]:bounds[i + 1]]`` is set i."""
         self.sizes, self.rule = sizes, rule
-        owner = np.repeat(np.arange(len(sizes)), np.diff(bounds))
-        order = np.argsort(values, kind="stable")
-        self.owners = owner[order]
+        # Positions take 32 bits: a block is far smaller, unless one text alone is not.
+        kind = np.int32 if len(values) < 2**31 else np.int64
+        order = np.argsort(values, kind="stable").astype(kind)
+        self.owners = np.repeat(np.arange(len(sizes), dtype=kind), np.diff(bounds))[order]
         ordered = values[order]
         heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(values) else np.zeros(0, int)
-        starts = np.repeat(heads, np.diff(np.r_[heads, len(values)]))
+        del ordered
+        starts = np.repeat(heads, np.diff(np.r_[heads, len(values)])).astype(kind)
         # For each shingle of each set: where its list starts and how many earlier sets are on it.
-        self.start = np.empty(len(values), dtype=np.int64)
-        self.before = np.empty(len(values), dtype=np.int64)
+        self.start = np.empty(len(values), dtype=kind)
+        self.before = np.empty(len(values), dtype=kind)
         self.start[order] = starts
-        self.before[order] = np.arange(len(values)) - starts
+        self.before[order] = np.arange(len(values), dtype=kind) - starts
         self.bounds = bounds
 
     def search(self, i: int, allowed: np.ndarray) -> np.ndarray:
@@ -171,7 +175,7 @@ class Block:
         long = min(need - 1, int(need / (PROBE_WEIGHT * math.log2(int(lengths[-1]) + 1) + 1)))
         short = len(by_length) - long
         # The short lists, merged in one pass: how often each earlier set stands on them.
-        n = lengths[:short]
+        n = lengths[:short].astype(np.int64)
         at = np.repeat(starts[:short] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         counts = np.bincount(self.owners[at], minlength=i)[:i]
         found = np.flatnonzero((counts >= max(need - long, 1)) & allowed[:i])
@@ -219,8 +223,13 @@ def _block_links(rule: Rule, across: bool):
         block = Block(table["n_shingles"].to_numpy(), lists.flatten().to_numpy(), bounds, rule)
         _, cluster = np.unique(table["cluster"].to_numpy(), return_inverse=True)
         links = block.links(cluster, table["chunk"].to_numpy() if across else None)
+        del block, lists
         a, b = (sign[[p[k] for p in links]] if links else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        out = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if table.num_rows > RELEASE_ROWS:
+            del table
+            ragged.release()
+        return out
 
     return run
 

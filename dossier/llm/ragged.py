@@ -7,6 +7,7 @@ arrays stay small whatever the length of a text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,8 +75,29 @@ def text_run(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trimmer()
+
+
+def release() -> None:
+    """Give memory of freed arrays back to the system; allocators else keep it while a worker lives,
+    also while it waits and others need it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about ``size`` bytes (or one longer text), of few rows."""
+    """Parts of a batch whose texts hold about ``size`` bytes (or one longer text), of few rows.
+
+    After the last one freed memory is given back.
+    """
     if batch.num_rows == 0:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -83,6 +105,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
+    release()
 
 
 def word_bounds(
@@ -108,7 +131,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     first = 0
     while first < len(starts):
         # A piece ends with the last word that fits, or holds one word that alone is longer.
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 4 * SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, "right")))
         lo, hi = int(starts[first]), int(ends[last - 1])
         up, down = _powers(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)

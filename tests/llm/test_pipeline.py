@@ -31,6 +31,31 @@ def test_stages_keep_columns_and_whole_rows(spark, documents):
     assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
 
 
+def test_results_of_stages_can_be_compared(spark, documents):
+    """Set operations between a stage's result and its input, and rows that differ in one column."""
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, documents, SMALL)
+        assert after.exceptAll(documents).isEmpty(), name
+        assert documents.intersectAll(after).count() == after.count(), name
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (2, text, "c"), (3, "", "d"), (3, "", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    kept = [sorted(map(str, corpus_pipeline.near_duplicate_stage(spark, df.repartition(n), SMALL).collect())) for n in (1, 3)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
+def test_stages_with_clashing_columns(spark):
+    names = ["score", "size", "key", "node", "row", "sign", "n", "number", "label", "shard", "words", "whole", "own", "turn", "first"]
+    rows = [(i, f"some words of text {i} " * (i % 7 + 1), "en", "ab"[i % 2], 10) for i in range(30)] + [(None, None, None, None, None), (4, "", "", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, df, SMALL)
+        assert after.columns == df.columns, name
+        assert {tuple(r[c] for c in names) for r in after.collect()} <= {tuple(f"own {c}" for c in names)}, name
+    assert corpus_pipeline.packing_stage(spark, df, SMALL).count() >= len(rows)
+
+
 def test_decisions_take_effect(spark, documents):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     model = toxicity.train(documents, labels)
