@@ -10,11 +10,11 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import jaccard, mixing, packing, quality, toxicity
-from dossier.llm.common import unused
+from dossier.llm.common import settled
 from dossier.session import ensure_checkpoint_dir
 
 #: Scores from which a document is toxic, and good enough.
@@ -44,23 +44,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of at least 0.8 over five-word shingles connect.
 
-    The one with the least id stays; of those that share that id, the one with the longest text.
-    Rows without id take part and come after all others. Rows without words are linked with
-    nothing and all stay.
+    The one with the least id stays; of those that share that id the one with the longest text,
+    then the one with the least hash of id and text, then of the whole row, so reruns agree. Rows
+    without id take part and come after all others. Rows without words (null, empty, blank texts)
+    are linked with nothing and all stay. An empty table stays empty; further columns are kept.
     """
-    # Rows take part by a hash of id and text, since ids may repeat or be missing.
-    key = unused(docs, "key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), jaccard.Rule(words=5, part=4, whole=5))
-    named = found.filter("n_shingles > 0").select(F.col("doc_id").alias(key), "component_id").distinct()
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", -F.length("text"), key)
+    # Rows take part by a hash of id and text, since ids may repeat or be missing; a hash of all
+    # columns tells rows apart that share both.
+    key = F.xxhash64("doc_id", "text")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    found = settled(jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text"), jaccard.Rule(words=5, part=4, whole=5)))
+    named = found.filter("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    small = docs.select(key.alias("key"), whole.alias("whole"), "doc_id", F.length("text").alias("length"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", -F.col("length"), "key", "whole")
+    # Each group's first row, and how many rows are alike in everything.
     kept = (
-        keyed.select(key, first.alias("first")).join(named, key)
-        .groupBy("component_id").agg(F.min("first").getField(key).alias(key)).select(key)
+        small.groupBy("key", "whole").agg(F.first("doc_id").alias("doc_id"), F.first("length").alias("length"), F.count("*").alias("n"))
+        .join(named, "key").groupBy("component_id").agg(F.min(F.struct(first.alias("first"), "n")).alias("kept"))
+        .select("kept.first.key", "kept.first.whole", "kept.n")
     )
-    bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias(key)).distinct()
-    one = keyed.join(kept, key, "left_semi").dropDuplicates([key])
-    return one.unionByName(keyed.join(bare, key, "left_semi")).select(*docs.columns)
+    bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias("key")).distinct()
+    wanted = settled(kept.unionByName(bare.select("key", F.lit(None).cast("long").alias("whole"), F.lit(0).cast("long").alias("n"))))
+    # The row travels as one struct, so its columns may have any names.
+    rows = docs.select(key.alias("key"), whole.alias("own"), F.struct("*").alias("row")).join(
+        wanted, "key"
+    ).filter(F.col("whole").isNull() | (F.col("whole") == F.col("own")))
+    # Of rows alike in everything one stays; the join has sorted by key, so this moves nothing.
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    one = rows.withColumn("turn", turn).filter("n < 2 or turn = 1")
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
