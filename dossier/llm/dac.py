@@ -241,7 +241,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_column: str = "doc_id",
                     system, path = _opened(target)
                     writer = Writer(system.open_output_stream(path))
                 end = np.array([END], dtype=np.uint32)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.of(part.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.of(part.column("text")), strict=True):
                     writer.add(doc, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()

@@ -7,7 +7,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, islice
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,10 @@ END = 1
 GROUP_PIECES = 768
 #: Documents are cut at multiples of the window, and what is left over into parts of this size.
 PART = 512
-#: Distinct words whose ids one worker keeps, and how many of the first of them stay when there are
+#: Distinct words whose ids one worker keeps (about 40 bytes each), and how many of the first of them stay when there are
 #: more: frequent words come early, so those are the ones worth keeping.
-CACHE_WORDS = 1_200_000
-KEPT_WORDS = 900_000
+CACHE_WORDS = 2_000_000
+KEPT_WORDS = 1_500_000
 
 
 def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -128,9 +128,10 @@ def plain_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ids:
-    """Token ids of texts by a tokenizer file, with the ids of frequent words kept.
+    """Token ids of texts by a tokenizer file, with the ids of words met kept by their hash.
 
-    The tokenizer drops white space and never joins words, so a text's ids are its words' ids.
+    The tokenizer drops white space, never joins words and does not tell A to Z by case, so a
+    text's ids are its words' ids. Words are told apart by 64 bits.
     """
 
     def __init__(self, path: str):
@@ -138,65 +139,114 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        sample = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("ABC XYZ", "abc", " \t\nxyz")]
+        if sample[0] != sample[1] + sample[2]:
+            raise ValueError("this tokenizer tells upper from lower case or joins words")
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        # A word's code is its place in ``known``; its ids lie before the end of that place.
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
+        # A word's code is its place in order of arrival; its ids lie before the end of that place.
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
+        self.ends = np.zeros((1 << 16) + 1, dtype=np.int64)
+        self.ids = np.zeros(1 << 18, dtype=np.uint32)
+        self.count = 0
+        self._table(1 << 18)
+
+    def _table(self, slots: int) -> None:
+        """A table with the codes of all words kept, each at or after the slot of its hash."""
+        self.mask = np.uint64(slots - 1)
+        self.slots = np.full(slots, -1, dtype=np.int32)
+        self._place(np.arange(self.count, dtype=np.int32))
+
+    def _place(self, codes: np.ndarray) -> None:
+        at = (self.hashes[codes] & self.mask).view(np.int64)
+        while len(codes):
+            free = self.slots.take(at) < 0
+            # Of several words for one slot the last one written has it; the others go on.
+            self.slots[at[free]] = codes[free]
+            left = self.slots.take(at) != codes
+            codes, at = codes[left], (at[left] + 1) & int(self.mask)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of words, -1 for those not kept."""
+        at = (hashes & self.mask).view(np.int64)
+        out = self.slots.take(at)
+        left = np.flatnonzero((out >= 0) & (self.hashes.take(out) != hashes))
+        while len(left):
+            at[left] = (at[left] + 1) & int(self.mask)
+            code = self.slots.take(at[left])
+            out[left] = code
+            left = left[(code >= 0) & (self.hashes.take(code) != hashes[left])]
+        return out
 
     def shrink(self) -> None:
         """Forget all but the first words."""
-        for word in list(islice(self.known, KEPT_WORDS, None)):
-            del self.known[word]
+        self.count = min(self.count, KEPT_WORDS)
+        self._table(len(self.slots))
 
-    def learn(self, words: list[bytes]) -> None:
-        while len(self.known) + len(words) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        # Plain words go together in one call. Letters are one piece, signs after them another,
-        # and the last id of a piece is the only one that marks an end.
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Keep the ids of some words that are not kept."""
         if not words:
             return
+        # Plain words go together in one call. Letters are one piece, signs after them another,
+        # and the last id of a piece is the only one that marks an end.
         is_plain, n_pieces = plain_words(words)
-        plain, n_pieces = list(compress(words, is_plain)), n_pieces[is_plain]
+        plain, n_pieces, own = list(compress(words, is_plain)), n_pieces[is_plain], hashes[is_plain]
         for a in range(0, len(plain), 5_000):
             some = plain[a: a + 5_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            self._keep(some, ids, ends[np.cumsum(n_pieces[a: a + 5_000]) - 1])
-        rest = list(compress(words, ~is_plain))
+            self._keep(own[a: a + 5_000], ids, ends[np.cumsum(n_pieces[a: a + 5_000]) - 1])
+        rest, own = list(compress(words, ~is_plain)), hashes[~is_plain]
         for a in range(0, len(rest), 5_000):
-            some = rest[a: a + 5_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in rest[a: a + 5_000]], add_special_tokens=False)
             lists = [f.ids for f in found]
             ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-            self._keep(some, np.fromiter((i for ids in lists for i in ids), np.uint32, int(ends[-1])), ends)
+            self._keep(own[a: a + 5_000], np.fromiter((i for ids in lists for i in ids), np.uint32, int(ends[-1])), ends)
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        start = self.ends[n]
-        self.ends[n + 1: n + 1 + len(words)] = start + ends
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        n, start = self.count, self.ends[self.count]
+        while n + len(hashes) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) - 1, np.int64)])
         while start + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.hashes[n: n + len(hashes)] = hashes
+        self.ends[n + 1: n + 1 + len(hashes)] = start + ends
         self.ids[start: start + len(ids)] = ids
-
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows = [(t or "").encode().split() for t in texts]
-        words = set().union(*rows)
-        fresh = words.difference(self.known)
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.shrink()
-            fresh = words.difference(self.known)
-        self.learn(list(fresh))
-        out = []
-        for row in rows:
-            code = np.fromiter(map(self.known.__getitem__, row), np.int64, len(row))
-            starts, lengths = self.ends[code], self.ends[code + 1] - self.ends[code]
-            before = np.cumsum(lengths) - lengths
-            out.append(self.ids[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))])
-        return out
+        self.count = n + len(hashes)
+        if 2 * self.count > len(self.slots):
+            self._table(2 * len(self.slots))
+        else:
+            self._place(np.arange(n, self.count, dtype=np.int32))
+
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the offsets of each text's; null is empty."""
+        data, offsets = ragged.text_run(column)
+        starts, ends, rows = ragged.word_bounds(data, offsets)
+        hashes = ragged.word_hashes(data, starts, ends)
+        codes = self.find(hashes)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            if self.count + len(fresh) > CACHE_WORDS:
+                self.shrink()
+                codes = self.find(hashes)
+                missing = np.flatnonzero(codes < 0)
+                fresh, first = np.unique(hashes[missing], return_index=True)
+            whole, at = data.tobytes(), missing[first]
+            self.learn([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], fresh)
+            codes[missing] = self.find(hashes[missing])
+        begins = self.ends.take(codes)
+        lengths = self.ends.take(codes + 1) - begins
+        before = np.append(0, np.cumsum(lengths))
+        out = self.ids.take(np.repeat(begins - before[:-1], lengths) + np.arange(before[-1]))
+        return out, before[rows]
+
+    def of(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, offsets = self.flat(column)
+        return [ids[a:b] for a, b in pairwise(offsets.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -227,7 +277,7 @@ def packed(df: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.of(part.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.of(part.column("text")), strict=True):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     start = 0
                     for length in cut(len(ids)):

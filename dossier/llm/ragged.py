@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 #: Bytes of text that one slice of a batch holds, unless one text alone is longer.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 4096
+#: Bytes that are hashed together: their arrays stay in the cache.
+HASH_BYTES = 1 << 16
 
 # The ASCII white space that separates words (space, tab to carriage return).
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -131,7 +133,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     first = 0
     while first < len(starts):
         # A piece ends with the last word that fits, or holds one word that alone is longer.
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BYTES, "right")))
         lo, hi = int(starts[first]), int(ends[last - 1])
         up, down = _powers(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)

@@ -314,7 +314,7 @@ def test_word_ids_with_a_small_cache(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 3)
     ids = packing.Ids(path)
     for text in ("One two, three's", "four five! <|endoftext|>", "two é́ six seven (eight) nine", "One two É ten"):
-        assert ids.of([text, None])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert ids.of(pa.array([text, None]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(4))
