@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import fold
+from dossier.functions.text import fold, let
 
 # File suffix to media type of what a request may carry.
 MEDIA_TYPES = {
@@ -79,15 +79,18 @@ TOO_LARGE = "Datei zu gross"
 
 def skip_reason(rel_path: Column, length: Column) -> Column:
     """First reason that keeps a file out of a request, null when it may be sent."""
-    name, ext = file_name(rel_path), suffix(file_name(rel_path))
-    return (
-        F.when(is_lock_file(name), LOCK_FILE)
-        .when(rel_path.rlike(r"(^|/)\."), HIDDEN)
-        .when(ext.isin(*SPREADSHEET_SUFFIXES), SPREADSHEET)
-        .when(~ext.isin(*READABLE_SUFFIXES), UNSUPPORTED)
-        .when(length == 0, EMPTY)
-        .when(length > MAX_FILE_BYTES, TOO_LARGE)
-    )
+
+    def reason(path: Column, name: Column, ext: Column) -> Column:
+        return (
+            F.when(is_lock_file(name), LOCK_FILE)
+            .when(path.rlike(r"(^|/)\."), HIDDEN)
+            .when(ext.isin(*SPREADSHEET_SUFFIXES), SPREADSHEET)
+            .when(~ext.isin(*READABLE_SUFFIXES), UNSUPPORTED)
+            .when(length == 0, EMPTY)
+            .when(length > MAX_FILE_BYTES, TOO_LARGE)
+        )
+
+    return let(rel_path, lambda path: let(file_name(path), lambda name: let(suffix(name), lambda ext: reason(path, name, ext))))
 
 
 def current_path(root: Column, folder: Column, subfolder: Column, name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.answers import ERROR_LABELS
+from dossier.operators.spread import settled
 from dossier.operators.truth import NOT_MATCHED
 
 
@@ -21,6 +22,14 @@ def require_evaluable(matched: DataFrame) -> None:
         raise ValueError("Nothing to evaluate: no row has both a truth and a prediction.")
 
 
+def outcomes(matched: DataFrame) -> DataFrame:
+    """The one count that all metrics come from: rows by model, truth, prediction and match method,
+    nulls included, with the first row of each. It has few rows, whatever the number of predictions."""
+    return matched.groupBy("model", "ground_truth", "predicted_label", "match_method").agg(
+        F.count("*").alias("n"), F.min("prediction_row").alias("first_row")
+    )
+
+
 def confusion(matched: DataFrame) -> DataFrame:
     """Counts per model, truth and prediction in long form."""
     return evaluable(matched).groupBy("model", "ground_truth", "predicted_label").agg(
@@ -28,6 +37,40 @@ def confusion(matched: DataFrame) -> DataFrame:
     )
 
 
+def confusion_of(counts: DataFrame) -> DataFrame:
+    """``confusion`` from ``outcomes``."""
+    return evaluable(counts).groupBy("model", "ground_truth", "predicted_label").agg(F.sum("n").alias("n"))
+
+
+def confusion_square(counts: DataFrame) -> DataFrame:
+    """Each model's whole matrix over its own ordered labels, from ``outcomes``, zeros included.
+
+    ``model, truth_ord, ground_truth, predicted_ord, predicted_label, n``: a row for each pair of
+    labels that the model's evaluable rows have as truth or prediction, in the order of
+    ``label_order``. The labels come from the data; the sum of ``n`` is the number of evaluable rows.
+    """
+    order = settled(label_order_of(counts))
+    truths = order.select("model", F.col("label").alias("ground_truth"), F.col("ord").alias("truth_ord"))
+    predictions = order.select("model", F.col("label").alias("predicted_label"), F.col("ord").alias("predicted_ord"))
+    # As many rows as cells of the matrices, which is what is asked for.
+    cells = truths.join(predictions, "model")
+    return cells.join(confusion_of(counts), ["model", "ground_truth", "predicted_label"], "left").select(
+        "model", "truth_ord", "ground_truth", "predicted_ord", "predicted_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    )
+
+
+def confusion_ranked(square: DataFrame) -> DataFrame:
+    """``confusion_square`` as a row for each truth label: columns ``n_1``, ``n_2``, ... hold the
+    counts of the model's labels by rank, null beyond its own labels; ``label`` names a rank's label
+    by the row of that rank."""
+    most = square.agg(F.max("predicted_ord")).first()[0] or 0
+    ranks = list(range(1, most + 1))
+    wide = square.groupBy("model", "truth_ord", "ground_truth").pivot("predicted_ord", ranks).agg(F.sum("n"))
+    return wide.select(
+        "model", F.col("truth_ord").alias("ord"), F.col("ground_truth").alias("label"), *[F.col(str(r)).alias(f"n_{r}") for r in ranks]
+    )
+
+
 def confusion_wide(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Square matrix per model over an ordered label list, zeros filled in.
 
@@ -49,18 +92,22 @@ def confusion_wide(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
 def label_order(matched: DataFrame) -> DataFrame:
     """Labels of each model in order of first appearance: truth labels, then those that
     were only predicted."""
-    rows = evaluable(matched)
+    return label_order_of(outcomes(matched))
+
+
+def label_order_of(counts: DataFrame) -> DataFrame:
+    """``label_order`` from ``outcomes``."""
     sides = F.explode(
         F.array(
             F.struct(F.col("ground_truth").alias("label"), F.lit(0).alias("only_predicted")),
             F.struct(F.col("predicted_label").alias("label"), F.lit(1).alias("only_predicted")),
         )
     )
-    as_truth = F.when(F.col("s.only_predicted") == 0, F.col("prediction_row"))
+    as_truth = F.when(F.col("s.only_predicted") == 0, F.col("first_row"))
     first = (
-        rows.select("model", "prediction_row", sides.alias("s"))
+        evaluable(counts).select("model", "first_row", sides.alias("s"))
         .groupBy("model", F.col("s.label").alias("label"))
-        .agg(F.min(as_truth).alias("as_truth"), F.min("prediction_row").alias("any"))
+        .agg(F.min(as_truth).alias("as_truth"), F.min("first_row").alias("any"))
         .withColumn("only_predicted", F.col("as_truth").isNull())
     )
     order = Window.partitionBy("model").orderBy("only_predicted", F.coalesce("as_truth", "any"))
@@ -129,19 +176,33 @@ def summary(classes: DataFrame) -> DataFrame:
 
 def run_counts(matched: DataFrame) -> DataFrame:
     """Coverage per model, to be read beside the accuracy."""
+    return run_counts_of(outcomes(matched))
+
+
+def run_counts_of(counts: DataFrame) -> DataFrame:
+    """``run_counts`` from ``outcomes``."""
     unmatched = F.col("match_method") == NOT_MATCHED
-    return matched.groupBy("model").agg(
-        F.count("*").alias("prediction_rows"),
-        F.count_if(~unmatched).alias("matched_rows"),
-        F.count_if(unmatched).alias("unmatched_rows"),
-        F.count_if(F.col("predicted_label").isNull()).alias("missing_prediction_rows"),
-        F.count_if(F.coalesce(F.col("predicted_label").isin(*ERROR_LABELS), F.lit(False)))
-        .alias("unrecognised_or_error_rows"),
+
+    def rows(where: Column) -> Column:
+        return F.sum(F.when(where, F.col("n")).otherwise(0)).cast("bigint")
+
+    return counts.groupBy("model").agg(
+        F.sum("n").alias("prediction_rows"),
+        rows(~unmatched).alias("matched_rows"),
+        rows(unmatched).alias("unmatched_rows"),
+        rows(F.col("predicted_label").isNull()).alias("missing_prediction_rows"),
+        rows(F.col("predicted_label").isin(*ERROR_LABELS)).alias("unrecognised_or_error_rows"),
     )
 
 
 def model_summary(matched: DataFrame) -> DataFrame:
-    return run_counts(matched).join(summary(per_class(confusion(matched))), "model")
+    """Coverage and metrics of each model with evaluable rows; the rows are read once."""
+    return summary_of(settled(outcomes(matched)))
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
+    """``model_summary`` from ``outcomes``."""
+    return run_counts_of(counts).join(summary(per_class(confusion_of(counts))), "model")
 
 
 def model_ranking(summaries: DataFrame) -> DataFrame:

@@ -71,12 +71,15 @@ def evaluate(predictions: DataFrame, truth_rows: DataFrame) -> dict[str, DataFra
     truth.require_consistent_truth(truth_rows)
     matched = settled(truth.match_predictions(predictions, truth_rows))
     metrics.require_evaluable(matched)
-    counts = metrics.confusion(matched)
+    # Everything else comes from one count of the matched rows.
+    outcomes = settled(metrics.outcomes(matched))
+    counts = metrics.confusion_of(outcomes)
     classes = metrics.per_class(counts)
-    summaries = metrics.model_summary(matched)
+    summaries = metrics.summary_of(outcomes)
     return {
         "matched_rows": matched, "confusion": counts, "per_class": classes,
-        "label_order": metrics.label_order(matched), "summary": summaries,
+        "label_order": metrics.label_order_of(outcomes), "summary": summaries,
+        "confusion_square": metrics.confusion_square(outcomes),
         "model_comparison": metrics.model_ranking(summaries),
     }
 

@@ -58,6 +58,18 @@ def eval_confusion_wide(spark, sf):
     return wide.toDF("model", "ground_truth", "urgent", "high", "medium", "unspecified", "low", "unrecognised")
 
 
+@query
+def eval_confusion_square(spark, sf):
+    """Every cell of each model's matrix over its own labels."""
+    return metrics.confusion_square(spread.settled(metrics.outcomes(_matched(spark, sf))))
+
+
+@query
+def eval_confusion_ranked(spark, sf):
+    """The matrices with a column for each rank of a label."""
+    return metrics.confusion_ranked(eval_confusion_square(spark, sf))
+
+
 @query
 def eval_per_class(spark, sf):
     return _rounded(metrics.per_class(metrics.confusion(_matched(spark, sf))))

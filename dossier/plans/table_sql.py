@@ -107,15 +107,25 @@ SQL["eval_run_counts"] = with_ctes(TRUTH, MATCHED, CLASSES_CTE, select="SELECT *
 SQL["model_ranking"] = with_ctes(TRUTH, MATCHED, CLASSES_CTE, select="""
 SELECT model, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM summary
 ORDER BY 2 DESC, 3 DESC, 1""")
-SQL["label_order"] = with_ctes(TRUTH, MATCHED, """ev AS (
+ORDER_CTES = """ev AS (
   SELECT * FROM matched WHERE ground_truth IS NOT NULL AND predicted_label IS NOT NULL),
 firsts AS (
   SELECT model, ground_truth AS label, false AS only_predicted, min(prediction_row) AS f FROM ev GROUP BY 1, 2
   UNION ALL
   SELECT model, predicted_label, true, min(prediction_row) FROM ev e
-  WHERE NOT EXISTS (SELECT 1 FROM ev t WHERE t.model = e.model AND t.ground_truth = e.predicted_label) GROUP BY 1, 2)""",
-  select="""SELECT model, label, only_predicted,
-  row_number() OVER (PARTITION BY model ORDER BY only_predicted, f) AS ord FROM firsts""")
+  WHERE NOT EXISTS (SELECT 1 FROM ev t WHERE t.model = e.model AND t.ground_truth = e.predicted_label) GROUP BY 1, 2),
+ordered AS (SELECT model, label, only_predicted, row_number() OVER (PARTITION BY model ORDER BY only_predicted, f) AS ord FROM firsts)"""
+SQL["label_order"] = with_ctes(TRUTH, MATCHED, ORDER_CTES, select="SELECT * FROM ordered")
+SQUARE_CTE = """square AS (
+  SELECT t.model, t.ord AS truth_ord, t.label AS ground_truth, p.ord AS predicted_ord, p.label AS predicted_label,
+    (SELECT count(*) FROM ev e WHERE e.model = t.model AND e.ground_truth = t.label AND e.predicted_label = p.label) AS n
+  FROM ordered t JOIN ordered p USING (model))"""
+SQL["eval_confusion_square"] = with_ctes(TRUTH, MATCHED, ORDER_CTES, SQUARE_CTE, select="SELECT * FROM square")
+SQL["eval_confusion_ranked"] = with_ctes(TRUTH, MATCHED, ORDER_CTES, SQUARE_CTE, select="""
+SELECT model, truth_ord AS ord, ground_truth AS label, sum(n) FILTER (WHERE predicted_ord = 1)::BIGINT AS n_1,
+  sum(n) FILTER (WHERE predicted_ord = 2)::BIGINT AS n_2, sum(n) FILTER (WHERE predicted_ord = 3)::BIGINT AS n_3,
+  sum(n) FILTER (WHERE predicted_ord = 4)::BIGINT AS n_4, sum(n) FILTER (WHERE predicted_ord = 5)::BIGINT AS n_5,
+  sum(n) FILTER (WHERE predicted_ord = 6)::BIGINT AS n_6 FROM square GROUP BY ALL""")
 SQL["eval_largest_axis"] = with_ctes(AXIS, CLASSES_CTE.split(",\nsummary AS")[0], select=PER_CLASS)
 SQL["truth_lookup"] = """SELECT 'SAP' AS id_type, CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS label, o_orderkey AS row_no
 FROM orders WHERE o_orderstatus <> 'P'

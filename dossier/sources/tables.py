@@ -34,17 +34,32 @@ CLASS_HEADERS = ("Funktionsklasse", "Functional class", "Functional_class")
 
 
 def read_text_table(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ",", line_breaks_in_cells: bool = False
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", line_breaks_in_cells: bool = False,
+    row_no: str | None = None,
 ) -> DataFrame:
     """A delimited table with every column as text; rows without any value are dropped.
 
-    Files with line breaks inside cells cannot be split over tasks, so this is off unless
-    asked for.
+    Quotes in cells are doubled. Files with line breaks inside cells cannot be split over tasks, so this is off unless
+    asked for. ``row_no`` names a column for a row's number in its file, the header being 1; rows
+    without any value count. One more pass counts the rows of each split, and a table with a row
+    for each split goes to all tasks; the rows themselves are not moved.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.csv(
-        paths, header=True, inferSchema=False, sep=sep, multiLine=line_breaks_in_cells
-    ).na.drop("all")
+    rows = spark.read.csv(paths, header=True, inferSchema=False, sep=sep, multiLine=line_breaks_in_cells, escape='"')
+    if row_no is None:
+        return rows.na.drop("all")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    placed = rows.select(
+        F.struct(*columns).alias("row"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    ).withColumn("line", F.monotonically_increasing_id())
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("file", "block").agg(F.min("line").alias("first"), F.count("*").alias("n")).select(
+        "file", "block", "first", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("before")
+    )
+    number = (F.col("line") - F.col("first") + F.col("before") + 2).cast("bigint")
+    numbered = placed.join(F.broadcast(splits), ["file", "block"]).select("row.*", number.alias(row_no))
+    return numbered.na.drop("all", subset=rows.columns)
 
 
 def find_column(
