@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.paths import stem
 from dossier.functions.text import safe_name
-from dossier.operators.spread import listed_in_parts
+from dossier.operators.spread import PART_SIZE, listed_in_parts, numbered
 
 BATCH_SIZE = 5
 FAMILY_PAGE_CAP = 4
@@ -43,6 +43,46 @@ def pdf_images(pages: DataFrame) -> DataFrame:
     return listed_in_parts(pages, ["assembly", "pdf"], ["page_number"], image, "images")
 
 
+#: Three levels: an assembly's PDFs and their images.
+NESTED_SCHEMA = (
+    "assembly string, part bigint, page_count bigint, image_bytes bigint, pdfs array<struct<pdf:string,"
+    "settings:struct<source_sha256:string,dpi:bigint,image_format:string,max_side_px:bigint>,images:array<struct<"
+    "page_number:bigint,image_path:string,width_px:bigint,height_px:bigint,file_size_bytes:bigint>>>>"
+)
+
+
+def nested_manifests(pages: DataFrame, settings: DataFrame, part_pages: int = PART_SIZE) -> DataFrame:
+    """Documents of an assembly, its PDFs with their settings, and their images in order.
+
+    ``settings(assembly, pdf, <settings>)``. A document holds at most ``part_pages`` images; the
+    PDFs of a larger assembly go on in further documents (``part``), in order of PDF and page, and a PDF may
+    go on from one to the next. ``page_count`` and ``image_bytes`` are those of the document.
+    """
+    placed = numbered(pages, ["assembly"], ["pdf", "page_number"], "_pos").withColumn(
+        "part", F.floor((F.col("_pos") - 1) / part_pages).cast("bigint")
+    )
+    image = F.struct(*[
+        F.col(c).cast("bigint").alias(c) if c != "image_path" else F.col(c)
+        for c in ("page_number", "image_path", "width_px", "height_px", "file_size_bytes")
+    ])
+    pdfs = placed.groupBy("assembly", "part", "pdf").agg(
+        F.array_sort(F.collect_list(image)).alias("images"), F.count("*").alias("_n"), F.sum("file_size_bytes").alias("_bytes")
+    )
+    render = F.struct("source_sha256", F.col("dpi").cast("bigint").alias("dpi"), "image_format", F.col("max_side_px").cast("bigint").alias("max_side_px"))
+    with_settings = pdfs.join(settings.select("assembly", "pdf", render.alias("settings")), ["assembly", "pdf"], "left")
+    return with_settings.groupBy("assembly", "part").agg(
+        F.sum("_n").alias("page_count"), F.sum("_bytes").alias("image_bytes"),
+        F.array_sort(F.collect_list(F.struct("pdf", "settings", "images"))).alias("pdfs"),
+    ).select("assembly", "part", "page_count", "image_bytes", "pdfs")
+
+
+def pages_of(documents: DataFrame) -> DataFrame:
+    """A row for each image of nested manifests, with its PDF's settings."""
+    pdfs = documents.select("assembly", "part", F.explode("pdfs").alias("p"))
+    images = pdfs.select("assembly", "part", F.col("p.pdf").alias("pdf"), "p.settings.*", F.explode("p.images").alias("i"))
+    return images.select("assembly", "part", "pdf", *SETTINGS, "i.*")
+
+
 def image_batches(pages: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Consecutive batches of image paths per assembly: PDFs by name, then pages."""
     if batch_size <= 0:

@@ -18,7 +18,7 @@ from dossier.operators import (
 from dossier.plans import jobs
 from dossier.plans import table_inputs as given
 from dossier.session import ensure_checkpoint_dir
-from dossier.sources import sinks, tables
+from dossier.sources import listing, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,6 +229,14 @@ def match_two_tier(spark, sf):
     return cascade.match_two_tier(given.part_items(spark, sf), given.customer_folders(spark, sf))
 
 
+@query
+def two_tier_candidates(spark, sf):
+    """Candidates of ambiguous items, every folder being there twice."""
+    folders = given.customer_folders(spark, sf)
+    twice = folders.union(folders.withColumn("folder", F.concat("folder", F.lit("-2"))))
+    return cascade.two_tier_candidates(given.part_items(spark, sf), twice)
+
+
 @query
 def match_either(spark, sf):
     return cascade.match_either(given.part_items(spark, sf), given.customer_folders(spark, sf))
@@ -363,6 +371,37 @@ def batch_manifest(spark, sf):
     return manifests.batch_manifest(manifests.assembly_manifest(pdfs))
 
 
+@query
+def manifest_round_trip(spark, sf):
+    """Manifests of three levels written as documents, one more file spoilt, and all read back."""
+    path = _shared_folder(spark)
+    pages = given.document_pages(spark, sf)
+    sources = given.document_sources(spark, sf).select(F.concat("source_pdf_name", F.lit(".pdf")).alias("pdf"), "source_sha256", "dpi", "image_format", "max_side_px")
+    settings = pages.select("assembly", "pdf").distinct().join(sources, "pdf")
+    sinks.write_manifests(manifests.nested_manifests(pages, settings), f"{path}/good")
+    spoilt = given.table(spark, sf, "region").select(F.concat(F.lit('{"assembly": "'), "r_name", F.lit('", "pdfs": [{')).alias("value"))
+    spoilt.write.text(f"{path}/spoilt")
+    good, bad = listing.read_documents(spark, path, manifests.NESTED_SCHEMA)
+    columns = ["assembly", "part", "pdf", "source_sha256", "dpi", "page_number", "image_path", "file_size_bytes"]
+    lost = bad.select(*[F.col("line").alias(c) if c == "assembly" else F.lit(None).alias(c) for c in columns], F.lit(False).alias("readable"))
+    return manifests.pages_of(good).select(*columns, F.lit(True).alias("readable")).unionByName(lost)
+
+
+@query
+def hash_versions(spark, sf):
+    """Hashes of files that come in two deliveries; the second run reads the new ones only."""
+    root = _shared_folder(spark)
+    lines = given.table(spark, sf, "documents").select(
+        F.pmod("doc_id", F.lit(20)).alias("box"), "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("value")
+    )
+    for run in range(2):
+        some = lines.where(F.col("box") % 2 == run).repartition("box").sortWithinPartitions("box", "doc_id")
+        some.select("box", "value").write.mode("append").partitionBy("box").text(f"{root}/files")
+        version = listing.hash_table(spark, f"{root}/files", f"{root}/hashes", "*.txt")
+    box = F.regexp_extract("path", r"box=(\d+)", 1).cast("bigint")
+    return listing.known_hashes(spark, f"{root}/hashes", version).select(box.alias("box"), "length", "sha256", "version")
+
+
 @query
 def image_batches(spark, sf):
     batches = manifests.image_batches(given.document_pages(spark, sf))
@@ -494,7 +533,19 @@ def report_round_trip(spark, sf):
     path = _shared_folder(spark)
     rows = given.table(spark, sf, "supplier").withColumn("note", F.concat(F.lit('said "'), "s_name", F.lit('"')))
     sinks.write_report(rows, path, ["s_suppkey", "s_name", "note", "s_nationkey"], "csv")
-    return tables.read_text_table(spark, path).select("s_suppkey", "s_name", "s_nationkey")
+    return tables.read_text_table(spark, path).select("s_suppkey", "s_name", "note", "s_nationkey")
+
+
+@query
+def numbered_lists(spark, sf):
+    """Lists written as a file for each nation and read back with the rows' numbers there."""
+    path = _shared_folder(spark)
+    rows = given.table(spark, sf, "customer").select(
+        "c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit('"'), "c_name", F.lit('", c'))).alias("c_name")
+    )
+    order = ["c_nationkey", "c_custkey"]
+    rows.repartition("c_nationkey").sortWithinPartitions(*order).write.partitionBy("c_nationkey").csv(path, header=True, escape='"')
+    return tables.read_text_table(spark, path, row_no="row_no").select(F.col("c_nationkey").cast("int").alias("nation"), "row_no", "c_custkey", "c_name")
 
 
 @query
@@ -503,7 +554,11 @@ def tables_round_trip(spark, sf):
     root = _shared_folder(spark)
     matched = _matched(spark, sf)
     sinks.write_tables({"confusion": metrics.confusion(matched), "coverage": metrics.run_counts(matched)}, root, "r1", ["confusion"])
-    return spark.read.parquet(f"{root}/confusion").where("run_id = 'r1'").select("model", "ground_truth", "predicted_label", "n")
+    counts = spark.read.parquet(f"{root}/confusion").where("run_id = 'r1'").select("model", "ground_truth", "predicted_label", "n")
+    coverage = spark.read.parquet(f"{root}/coverage").where("run_id = 'r1'").select(
+        "model", F.lit(None).cast("string").alias("ground_truth"), F.lit(None).cast("string").alias("predicted_label"), F.col("prediction_rows").alias("n")
+    )
+    return counts.unionByName(coverage)
 
 
 @query
@@ -526,6 +581,15 @@ def response_texts(spark, sf):
     )
 
 
+@query
+def block_texts(spark, sf):
+    """Texts of answers that come as blocks."""
+    events = given.table(spark, sf, "events")
+    blocks = F.when(F.col("event_type") != "error", F.array(F.struct(F.col("event_type").alias("text"))))
+    parsed = answers.parse_response(F.to_json(F.struct(F.coalesce(blocks, F.array().cast("array<struct<text:string>>")).alias("content"))))
+    return events.select("event_id", answers.block_text(parsed).alias("block_text"))
+
+
 @query
 def token_usage(spark, sf):
     rows = given.event_responses(spark, sf).withColumn("r", answers.parse_response(F.col("raw_json")))

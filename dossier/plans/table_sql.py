@@ -313,6 +313,11 @@ SELECT i.item, CASE WHEN a.nc = 1 THEN a.fc END AS folder,
        WHEN a.nc = 1 THEN 'OK' WHEN a.nc IS NULL THEN 'Kein passender Ordner gefunden'
        ELSE 'Mehrere passende Ordner gefunden (' || CAST(a.nc AS VARCHAR) || ')' END AS status,
   coalesce(a.nc, 0) AS n_candidates FROM items i LEFT JOIN agg a USING (item)""")
+TWICE = CUSTOMER_FOLDERS.replace("fold AS (", "once AS (") + """,
+fold AS (SELECT * FROM once UNION ALL SELECT folder || '-2', k FROM once)"""
+SQL["two_tier_candidates"] = with_ctes(PART_ITEMS, TWICE, STEP_COUNTS, PER_ITEM, select="""
+SELECT e.item, CASE WHEN a.ne > 1 THEN 'EXACT' ELSE 'CONTAINS' END AS tier, e.folder FROM either e JOIN agg a USING (item)
+WHERE (a.ne > 1 AND e.exact) OR (a.ne = 0 AND a.nc > 1 AND NOT (e.sap IS NOT NULL AND e.tc IS NOT NULL AND a.nb = 1))""")
 SQL["match_candidates"] = with_ctes(PART_ITEMS, CUSTOMER_FOLDERS, STEP_COUNTS, select="SELECT id, folder, exact FROM inside")
 SQL["match_by_name"] = """SELECT o_orderkey AS item, o_custkey AS sap, s_name AS folder
 FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey"""
@@ -514,6 +519,16 @@ SQL["first_pages"] = with_ctes(PAGES, select="SELECT assembly, pdf, page_number
 SQL["stale_sources"] = """SELECT doc_id AS path, 'Doc ' || CAST(doc_id AS VARCHAR) AS source_pdf_name, sha256(text) AS source_sha256,
   200 AS dpi, 'png' AS image_format, CASE WHEN lang <> 'es' THEN 3000 END AS max_side_px
 FROM documents WHERE lang IN ('fr', 'de') OR source = 'src3' OR (source = 'src5' AND length(text) > 1000)"""
+SQL["manifest_round_trip"] = with_ctes(PAGES, select="""
+SELECT assembly, (row_number() OVER (PARTITION BY assembly ORDER BY pdf, page_number) - 1) // 1000 AS part, pdf,
+  sha256(d.text) AS source_sha256, 200::BIGINT AS dpi, page_number::BIGINT AS page_number,
+  'page_' || lpad(CAST(page_number AS VARCHAR), 3, '0') || '.png' AS image_path, bytes AS file_size_bytes, true AS readable
+FROM pages_of p JOIN documents d USING (doc_id)
+UNION ALL
+SELECT '{"assembly": "' || r_name || '", "pdfs": [{', NULL, NULL, NULL, NULL, NULL, NULL, NULL, false FROM region""".lstrip())
+SQL["hash_versions"] = """WITH b AS (
+  SELECT doc_id % 20 AS box, string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY ALL)
+SELECT box, strlen(content) AS length, sha256(content) AS sha256, box % 2 + 1 AS version FROM b"""
 SQL["changed_files"] = "SELECT doc_id AS path, length(text) AS length, n_chars AS mtime FROM documents WHERE lang = 'fr'"
 SQL["turn_batches"] = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
 SELECT conv_id, (rn - 1) // 5 AS part, string_agg(CAST(turn AS VARCHAR) || ':' || role, ',' ORDER BY rn) AS turns FROM o GROUP BY ALL"""
@@ -574,13 +589,19 @@ SELECT item, CASE WHEN p_size <> 50 THEN label END AS predicted_label,
 SQL["zero_shot_score"] = with_ctes(NAMED, select="""
 SELECT CASE p_type WHEN 'SMALL' THEN 'Greifer' WHEN 'LARGE' THEN 'Roboter' ELSE 'Lineareinheit' END AS ground_truth,
   CASE WHEN p_size = 50 THEN 'FEHLER: Kein Baugruppenname' ELSE label END AS predicted_label, count(*) AS n FROM full_named GROUP BY ALL""")
-SQL["report_round_trip"] = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier"""
-SQL["tables_round_trip"] = SQL["eval_confusion"]
+SQL["numbered_lists"] = """SELECT c_nationkey::INTEGER AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS row_no,
+  CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 7 > 0 THEN '"' || c_name || '", c' END AS c_name FROM customer"""
+SQL["report_round_trip"] = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, 'said "' || s_name || '"' AS note, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier"""
+SQL["tables_round_trip"] = with_ctes(TRUTH, MATCHED, select="""
+SELECT model, ground_truth, predicted_label, count(*) AS n FROM matched
+WHERE ground_truth IS NOT NULL AND predicted_label IS NOT NULL GROUP BY ALL
+UNION ALL SELECT model, NULL, NULL, count(*) FROM matched GROUP BY ALL""")
 SQL["log_round_trip"] = "SELECT event_id, event_type, user_id, (event_id % 2)::INTEGER AS run FROM events"
 SQL["response_texts"] = """SELECT event_id,
   CASE WHEN event_type = 'error' THEN '(no text content, finishReason=SAFETY)' ELSE event_type END AS first_text,
   CASE WHEN event_type = 'error' THEN '' ELSE event_type || '!' END AS joined_text,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_tokens FROM events"""
+SQL["block_texts"] = "SELECT event_id, CASE WHEN event_type = 'error' THEN '(no text content)' ELSE event_type END AS block_text FROM events"
 SQL["token_usage"] = """SELECT 'm_' || event_type AS model, kind, sum(tokens)::BIGINT AS tokens, count(*) AS calls FROM (
   SELECT event_type, 'totalTokenCount' AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events
   UNION ALL SELECT event_type, 'promptTokenCount', user_id FROM events) GROUP BY ALL"""

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.operators.manifests import changed_files
 from dossier.session import ensure_checkpoint_dir
+from dossier.sources import stores
 
 ENTRY_SCHEMA = (
     "assembly string, rel_path string, path string, is_dir boolean, length bigint, "
@@ -107,7 +108,7 @@ def file_hashes(spark: SparkSession, root: str, pattern: str = "*.pdf", whole_by
     """SHA-256 of the content of every file, whatever its size.
 
     The size filter reaches the source, so only small files are loaded as values. A larger file
-    is hashed in pieces by the task that has its row, which opens it by its path; a file that a
+    is hashed in pieces by the task that has its row, which opens it by its URI, in any store; a file that a
     task cannot open is an error, never a row without a hash.
     """
     files = (
@@ -118,19 +119,67 @@ def file_hashes(spark: SparkSession, root: str, pattern: str = "*.pdf", whole_by
     small = files.where(F.col("length") <= whole_bytes).select(*facts, F.sha2("content", 256).alias("sha256"))
     large = files.where(F.col("length") > whole_bytes).select(*facts)
 
+    hashed = large.mapInPandas(_in_pieces(), "path string, length bigint, mtime timestamp, sha256 string")
+    return small.unionByName(hashed)
+
+
+def _in_pieces():
+    """Task function that adds the hashes of files, each read piece by piece."""
     def in_pieces(batches):
         for batch in batches:
             hashes = []
             for path in batch["path"]:
                 digest = hashlib.sha256()
-                with open(unquote(urlparse(path).path), "rb") as file:
+                system, place = stores.opened(path)
+                with system.open_input_stream(place) as file:
                     while piece := file.read(PIECE_BYTES):
                         digest.update(piece)
                 hashes.append(digest.hexdigest())
             yield batch.assign(sha256=hashes)
 
-    hashed = large.mapInPandas(in_pieces, "path string, length bigint, mtime timestamp, sha256 string")
-    return small.unionByName(hashed)
+    return in_pieces
+
+
+def hash_table(spark: SparkSession, root: str, table: str, pattern: str = "*.pdf") -> int:
+    """Bring the table of known hashes at ``table`` up to date with the files below ``root``.
+
+    ``path, length, mtime, sha256, version``: only files that are new, or whose size or time
+    differs from the last version's, are read. Each run with changes writes a whole version beside
+    the ones before, so a run that is broken off leaves the last one as it was; the return value is the
+    version that now holds, to be read with ``known_hashes``.
+    """
+    kind = "path string, length bigint, mtime timestamp, sha256 string, version bigint"
+    versions = [int(n.removeprefix("v=")) for n in stores.folders_in(table) if "_SUCCESS" in stores.names_in(f"{table}/{n}")]
+    last = max(versions, default=0)
+    known = spark.read.schema(kind).parquet(f"{table}/v={last}") if last else spark.createDataFrame([], kind)
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+        .select("path", "length", F.col("modificationTime").alias("mtime"))
+    )
+    there = ["path", "length", "mtime"]
+    kept = known.join(files, there, "left_semi")
+    wanted = changed_files(files, known)
+    if wanted.isEmpty() and kept.count() == known.count():
+        return last
+    fresh = hashes_of(spark, wanted).withColumn("version", F.lit(last + 1).cast("bigint"))
+    kept.unionByName(fresh).write.mode("overwrite").parquet(f"{table}/v={last + 1}")
+    return last + 1
+
+
+def known_hashes(spark: SparkSession, table: str, version: int) -> DataFrame:
+    """A version of the table of hashes; ``version`` in its rows tells when a file was read."""
+    return spark.read.parquet(f"{table}/v={version}")
+
+
+def hashes_of(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``sha256`` of the content of the listed files (``path, length, mtime``), read in pieces.
+
+    Files are dealt out by path over as many tasks as shuffles have, so large ones do not meet.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "length", "mtime").repartition(parts, "path").mapInPandas(
+        _in_pieces(), "path string, length bigint, mtime timestamp, sha256 string"
+    )
 
 
 MANIFEST_SCHEMA = (
@@ -149,3 +198,16 @@ def read_manifests(spark: SparkSession, root: str, name: str = "manifest.json")
     )
     rows = read.select("*", F.col("_metadata.file_path").alias("manifest_path"))
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON documents, one a line, and the lines that are none: ``file, line``.
+
+    Nothing is dropped: a line that is no document of this schema is in the second table.
+    """
+    rows = spark.read.text(path, recursiveFileLookup=True).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.from_json("value", f"{schema}, _line string", {"columnNameOfCorruptRecord": "_line", "mode": "PERMISSIVE"}).alias("d"),
+    )
+    good = rows.where("d is not null and d._line is null").select("d.*").drop("_line")
+    return good, rows.where("d is null or d._line is not null").select("file", F.col("value").alias("line"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, columns: Sequence[str], fmt: str = "parquet") -> None:
-    """A table with fixed columns, also when it has no rows."""
+    """A table with fixed columns, also when it has no rows. Quotes in cells are doubled."""
     writer = df.select(*columns).write.mode("overwrite")
-    writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+    writer.csv(path, header=True, escape='"') if fmt == "csv" else writer.format(fmt).save(path)
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, run_id: str, by_model: Sequence[str] = ()) -> None:

@@ -209,3 +209,42 @@ def test_classify_readable_files(spark):
     assert (got["2"].label, got["2"].matched_folder, got["2"].match_status) == (None, None, "Kein passender Ordner gefunden")
     assert (got["3"].label, got["3"].file_count, got["3"].attempts) == ("Greifer", 0, 1)
     assert sorted(r.path for r in out["skipped"].collect()) == ["/r/a/c.xlsx", "/r/a/d.pdf", "/r/b/.h/e.pdf"]
+
+
+RETRY = """
+import os, sys
+from dossier.operators import labelling
+from pyspark.sql import SparkSession
+
+folder, path = sys.argv[1:]
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = spark.createDataFrame([(str(n), 0, f"q{n}", []) for n in range(40)], "item string, part bigint, prompt string, paths array<string>")
+
+def make_client():
+    def answer(prompt, paths):
+        import uuid
+        if len(os.listdir(folder)) == 13:
+            open(f"{folder}/broken-{uuid.uuid4().hex}", "w").close()
+            os._exit(1)
+        open(f"{folder}/{prompt}-{uuid.uuid4().hex}", "w").close()
+        return prompt
+    return answer
+
+out = labelling.stored_answers(df, make_client, 2, path, bucket_items=4).collect()
+assert sorted(r.response for r in out) == sorted(f"q{n}" for n in range(40)), out
+"""
+
+
+def test_a_lost_task_repeats_one_bucket(tmp_path):
+    """A worker dies in the middle; the task's next attempt skips the buckets that are stored."""
+    import subprocess
+    import sys
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    run = subprocess.run([sys.executable, "-c", RETRY, str(calls), str(tmp_path / "answers")], capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    made = [f.name for f in calls.iterdir()]
+    assert any(n.startswith("broken") for n in made)
+    # Each of the two tasks may lose the calls of one bucket at most.
+    assert 40 <= len([n for n in made if n.startswith("q")]) <= 40 + 2 * 4

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import inventory
+from dossier.operators import inventory, manifests
 from dossier.sources import listing, sinks, tables
 
 
@@ -158,3 +158,51 @@ def test_a_missing_header_is_an_error(spark):
     cells = spark.createDataFrame([("s", 1, 1, ["a", "b"])], "sheet string, sheet_no int, row_no int, cells array<string>")
     with pytest.raises(Exception, match="No sheet has the header 'Klasse'"):
         tables.rows_below_header(cells, "Klasse").collect()
+
+
+def test_rows_of_plain_tables_are_numbered_over_splits(spark, tmp_path):
+    lines = ["id,name"] + ["," if n % 10 == 0 else f'{n},"a ""quoted"" name, {n}"' for n in range(2, 4001)]
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = tables.read_text_table(spark, str(tmp_path), row_no="no")
+        assert rows.rdd.getNumPartitions() > 8
+        got = sorted((r.no, r.id, r.name) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([(n, str(n), f'a "quoted" name, {n}') for n in range(2, 4001) if n % 10] * 2)
+
+
+def test_only_changed_files_are_hashed_again(spark, tmp_path):
+    root, table = tmp_path / "files", str(tmp_path / "hashes")
+    root.mkdir()
+    for n in range(5):
+        (root / f"{n}.pdf").write_bytes(b"%d" % n * (n + 1))
+    assert listing.hash_table(spark, str(root), table) == 1
+    assert listing.hash_table(spark, str(root), table) == 1
+    (root / "1.pdf").write_bytes(b"other")
+    (root / "7 é.pdf").write_bytes(b"new")
+    (root / "2.pdf").unlink()
+    assert listing.hash_table(spark, str(root), table) == 2
+    got = {os.path.basename(r.path): (r.sha256, r.version) for r in listing.known_hashes(spark, table, 2).collect()}
+    want = {"0.pdf": (b"0", 1), "1.pdf": (b"other", 2), "3.pdf": (b"3333", 1), "4.pdf": (b"44444", 1)}
+    assert {k: v for k, v in got.items() if k in want} == {k: (hashlib.sha256(d).hexdigest(), v) for k, (d, v) in want.items()}
+    assert len(got) == 5 and {v for _, v in got.values()} == {1, 2}
+
+
+def test_nested_documents_go_on_in_parts_and_spoilt_ones_are_set_apart(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [("A", f"{d}.pdf", p, f"p{p}.png", 10, 20, p) for d in "ab" for p in range(1, 6)] + [("B", "c.pdf", 1, "p1.png", None, None, 7)],
+        "assembly string, pdf string, page_number int, image_path string, width_px int, height_px int, file_size_bytes long",
+    )
+    settings = spark.createDataFrame([("A", "a.pdf", "h", 200, "png", None)], "assembly string, pdf string, source_sha256 string, dpi int, image_format string, max_side_px int")
+    docs = manifests.nested_manifests(pages, settings, part_pages=4)
+    assert {(r.assembly, r.part): (r.page_count, len(r.pdfs)) for r in docs.collect()} == {("A", 0): (4, 1), ("A", 1): (4, 2), ("A", 2): (2, 1), ("B", 0): (1, 1)}
+    sinks.write_manifests(docs, f"{tmp_path}/docs")
+    (tmp_path / "docs" / "bad.txt").write_text('{"assembly": "A", "pdfs": [\n\nno json\n')
+    good, bad = listing.read_documents(spark, f"{tmp_path}/docs", manifests.NESTED_SCHEMA)
+    back = manifests.pages_of(good).select(*pages.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, pages.select([F.col(c) for c in pages.columns]).collect()))
+    assert {r.line for r in bad.collect()} == {'{"assembly": "A", "pdfs": [', "no json"}
+    assert manifests.pages_of(good).where("source_sha256 = 'h'").count() == 5
