@@ -149,8 +149,9 @@ def positions(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Manifest:
-    """Blocks of each tier (``grp, block, size, total, height, tree, root``), from the leaves up,
-    those of the tree over the groups, and the root of everything (None for an empty table)."""
+    """Blocks of each tier (``grp, block, size, height, final, tree, root``), from the leaves up,
+    those of the tree over the groups, and the root of everything (None for an empty table).
+    ``final`` blocks are the whole of their group."""
 
     tiers: list[DataFrame]
     over: list[DataFrame]
@@ -158,21 +159,26 @@ class Manifest:
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """Blocks over ``grp, block, at, node, total``, where ``total`` counts the nodes of the group."""
+    """Blocks over ``grp, block, at, node``.
+
+    A first block with room left is its whole group. A full one may have others after it, so it
+    counts as one of several: if there are none, the next tier has one node, which is the root.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
-        total = table["total"][0].as_py()
-        height = HEIGHT if total > 1 << HEIGHT else tree_height(total)
+        final = table["block"][0].as_py() == 0 and table.num_rows < 1 << HEIGHT
+        height = tree_height(table.num_rows) if final else HEIGHT
         store = build([n.encode() for n in table["node"].to_pylist()], height)
         return pa.table({
             "grp": table["grp"][:1], "block": table["block"][:1], "size": pa.array([table.num_rows], pa.int64()),
-            "total": table["total"][:1], "height": pa.array([height], pa.int32()),
+            "height": pa.array([height], pa.int32()), "final": pa.array([final]),
             "tree": pa.array([store.tobytes()], pa.binary()), "root": [store[0].tobytes().hex()],
         })
 
-    return nodes.select("grp", "block", "at", "node", "total").groupBy("grp", "block").applyInArrow(
-        run, "grp string, block long, size long, total long, height int, tree binary, root string"
+    # Dealt by block, so that a large group is many tasks' work.
+    return nodes.select("grp", "block", "at", "node").repartition("grp", "block").groupBy("grp", "block").applyInArrow(
+        run, "grp string, block long, size long, height int, final boolean, tree binary, root string"
     )
 
 
@@ -183,24 +189,19 @@ def _placed(nodes: DataFrame, number: str) -> DataFrame:
 
 def _tiers(nodes: DataFrame) -> list[DataFrame]:
     """Blocks over ``grp, position, node`` tier by tier until every group is one block."""
-    totals = nodes.groupBy("grp").agg(F.count("*").alias("total"))
-    nodes = _placed(nodes.join(totals, "grp"), "position")
+    nodes = _placed(nodes, "position")
     out = []
     while True:
         out.append(settled(_blocks(nodes)))
-        rest = out[-1].filter(F.col("total") > 1 << HEIGHT)
+        rest = out[-1].filter("not final").select("grp", F.col("block").alias("position"), F.col("root").alias("node"))
         if rest.isEmpty():
             return out
-        above = rest.select(
-            "grp", F.col("block").alias("position"), F.col("root").alias("node"),
-            F.shiftright(F.col("total") + ((1 << HEIGHT) - 1), HEIGHT).alias("total"),
-        )
-        nodes = _placed(above, "position")
+        nodes = _placed(rest, "position")
 
 
 def _roots(tiers: list[DataFrame]) -> DataFrame:
     """``grp, node``: the root of each group, from the tier in which it is one block."""
-    ends = [t.filter(F.col("total") <= 1 << HEIGHT).select("grp", F.col("root").alias("node")) for t in tiers]
+    ends = [t.filter("final").select("grp", F.col("root").alias("node")) for t in tiers]
     out = ends[0]
     for end in ends[1:]:
         out = out.unionByName(end)
@@ -234,7 +235,8 @@ def _climbed(children: DataFrame, blocks: DataFrame, finish, schema: str) -> Dat
 
     keys = ["grp", "block"]
     own = blocks.select(*keys, "size", "height", "tree", "steps", "subroot")
-    return children.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, schema)
+    # Both by block: dealt by group alone, a large group would be one task's work.
+    return children.repartition(*keys).groupBy(*keys).cogroup(own.repartition(*keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _steps(rows: pa.Table, steps: list[list[bytes]], subroot: str) -> pa.Table:
@@ -252,9 +254,9 @@ def _with_steps(tiers: list[DataFrame], last: DataFrame) -> DataFrame:
     """The blocks of the lowest tier with ``steps`` and ``subroot``; ``last`` has these by ``grp``."""
     blocks = None
     for tier in reversed(tiers):
-        done = tier.filter(F.col("total") <= 1 << HEIGHT).join(last, "grp")
+        done = tier.filter("final").join(last, "grp")
         if blocks is not None:
-            children = tier.filter(F.col("total") > 1 << HEIGHT)
+            children = tier.filter("not final")
             nodes = _placed(children.select("grp", F.col("block").alias("child"), F.lit("").alias("own")), "child")
             steps = _climbed(nodes, blocks, _steps, _STEPS).drop("own")
             done = done.unionByName(children.join(steps, ["grp", "block"]))
