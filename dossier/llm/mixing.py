@@ -5,11 +5,13 @@ Everything here is made of DataFrame and SQL functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import let
-from dossier.llm.common import settled, unit
+from dossier.llm.common import settled
 
 #: Words of a block.
 BLOCK_WORDS = 8192
@@ -19,6 +21,8 @@ BUCKET_ROWS = 20_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]"
 WEIGHTS = (5, 2, 1)
+#: Multipliers of the permutation, prime and so one-to-one below any number of blocks that they do not divide.
+PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)
 
 
 def words(text: str = "text") -> Column:
@@ -53,6 +57,16 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return rows.select("source", "source_size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("quota"))
 
 
+def _number(*parts: Column) -> Column:
+    """52 bits of the MD5 of the parts written one after another."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+
+
+def _chance(*parts: Column) -> Column:
+    """A number from 0 up to 1 that depends on the parts only."""
+    return _number(*parts) / F.lit(float(1 << 52))
+
+
 def _draw(white: Column, lot: Column, take: Column, chance: Column) -> Column:
     """How many of ``take`` draws without replacement from ``lot`` blocks hit one of ``white``.
 
@@ -104,6 +118,29 @@ def _draw(white: Column, lot: Column, take: Column, chance: Column) -> Column:
     return F.when((lot <= 0) | (take <= 0) | (white <= 0), F.lit(0).cast("long")).otherwise(drawn)
 
 
+def _halves(level: int, seed: int) -> Callable[[Column], Column]:
+    """What the left half of a node takes of each of its ``lots``, given their sum."""
+
+    def add(acc: Column, x: Column) -> Column:
+        chance = _chance(F.lit(seed), F.lit(level), F.col("node"), x["place"])
+        got = _draw(x["blocks"], acc["lot"], acc["take"], chance)
+        return let(got, lambda g: F.struct(
+            (acc["lot"] - x["blocks"]).alias("lot"), (acc["take"] - g).alias("take"),
+            F.concat(acc["left"], F.array(g)).alias("left"),
+        ))
+
+    def halves(total: Column) -> Column:
+        start = F.struct(
+            total.alias("lot"),
+            # Odd totals give their extra block to either half in turn.
+            F.floor((total + F.pmod(F.col("node") + level, F.lit(2))) / 2).cast("long").alias("take"),
+            F.array().cast("array<bigint>").alias("left"),
+        )
+        return F.aggregate("lots", start, add, lambda acc: acc["left"])
+
+    return halves
+
+
 def split_tree(quotas: DataFrame, levels: int, seed: int = 3) -> DataFrame:
     """``source, shard, blocks, before``: the blocks of each source's quota in each of 2**levels shards.
 
@@ -120,25 +157,7 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 3) -> DataFrame:
     )
     for level in range(levels):
         count = F.aggregate("lots", F.lit(0).cast("long"), lambda a, x: a + x["blocks"])
-
-        def halves(total: Column, level: int = level) -> Column:
-            def add(acc: Column, x: Column) -> Column:
-                chance = unit(F.lit(level), F.col("node"), x["place"], seed=seed)
-                got = _draw(x["blocks"], acc["lot"], acc["take"], chance)
-                return let(got, lambda g: F.struct(
-                    (acc["lot"] - x["blocks"]).alias("lot"), (acc["take"] - g).alias("take"),
-                    F.concat(acc["left"], F.array(g)).alias("left"),
-                ))
-
-            start = F.struct(
-                total.alias("lot"),
-                # Odd totals give their extra block to either half in turn.
-                F.floor((total + F.pmod(F.col("node") + level, F.lit(2))) / 2).cast("long").alias("take"),
-                F.array().cast("array<bigint>").alias("left"),
-            )
-            return F.aggregate("lots", start, add, lambda acc: acc["left"])
-
-        tree = tree.withColumn("left", let(count, halves))
+        tree = tree.withColumn("left", let(count, _halves(level, seed)))
         sides = F.array(
             F.struct((F.col("node") * 2).alias("node"), F.zip_with("lots", "left", lambda x, g: F.struct(
                 x["place"].alias("place"), x["source"].alias("source"), g.alias("blocks"))).alias("lots")),
@@ -203,21 +222,29 @@ def mix(
 
 
 def mixed_texts(df: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``df`` as the mix takes them: one row for each walk through a text.
-
-    A walk that the quota cuts off has only the words before the cut, everything else has the
-    whole text. Columns stay as they are but for ``text`` and, where it is there, ``n_chars``.
-    Rows alike in id and text count as one row that is walked through as often as all of them.
+    """The rows of ``df`` as the mix takes them: one row for each walk through a text, by shard and shuffled there.
+
+    A walk goes to the shard of its first piece; the rows of a shard lie in parts, each in the
+    order of the pieces' ``sort_key``. A walk that the quota cuts off has only the words before
+    the cut, everything else has the whole text. Columns stay as they are but for ``text`` and,
+    where it is there, ``n_chars``. Rows alike in id and text count as one row that is walked
+    through as often as all of them; of their other columns those of any one are kept. Rows without words (null, empty, blank texts)
+    are not taken; an empty table stays empty.
     """
-    walks = F.aggregate(
-        "pieces", F.array().cast("array<bigint>"),
-        lambda acc, x: F.when(x["start"] == 0, F.concat(acc, F.array(x["length"]))).otherwise(
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.get(acc, F.size(acc) - 1) + x["length"]))
-        ),
-    )
+    start = F.array().cast("array<struct<words:bigint,shard:bigint,sort_key:bigint>>")
+    walk = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("sort_key"))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.coalesce(F.get(acc, F.size(acc) - 1), walk)
+        longer = F.struct((last["words"] + x["length"]).alias("words"), last["shard"].alias("shard"), last["sort_key"].alias("sort_key"))
+        new = F.struct(x["length"].alias("words"), x["shard"].cast("long").alias("shard"), x["sort_key"].alias("sort_key"))
+        return F.when(x["start"] == 0, F.concat(acc, F.array(new))).otherwise(
+            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))
+        )
+
     taken = (
         mixed.filter(F.size("pieces") > 0).groupBy("doc_id", "sign")
-        .agg(F.flatten(F.collect_list(walks)).alias("_walks"), F.first("size").alias("_size"))
+        .agg(F.flatten(F.collect_list(F.aggregate("pieces", start, add))).alias("_walks"), F.first("size").alias("_size"))
         .withColumnsRenamed({"doc_id": "_id", "sign": "_sign"})
     )
     # The row travels as one struct, so its columns may have any names.
@@ -226,14 +253,17 @@ def mixed_texts(df: DataFrame, mixed: DataFrame) -> DataFrame:
         .dropDuplicates(["doc_id", "sign"])
     )
     joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["sign"] == taken["_sign"]))
-    joined = joined.select("row", "_size", F.explode("_walks").alias("words"))
+    joined = joined.select("row", "_size", F.explode("_walks").alias("walk"))
     # Cut before every word; a text that begins with white space has one part more.
     parts = F.split("row.text", f"(?<={SPACE})(?={WORD[:-1]})")
-    count = (F.col("words") + F.col("row.text").rlike(f"^{SPACE}").cast("int")).cast("int")
-    text = F.when(F.col("words") >= F.col("_size"), F.col("row.text")).otherwise(
+    count = (F.col("walk.words") + F.col("row.text").rlike(f"^{SPACE}").cast("int")).cast("int")
+    text = F.when(F.col("walk.words") >= F.col("_size"), F.col("row.text")).otherwise(
         F.array_join(F.slice(parts, F.lit(1), count), "")
     )
-    out = joined.withColumn("text", text)
+    # As many parts as shuffles have: several for each shard where there are more of them.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = joined.withColumn("text", text).withColumn("lot", F.pmod("walk.sort_key", F.lit(max(1, n))))
+    out = out.repartition(n, "walk.shard", "lot").sortWithinPartitions("walk.shard", "walk.sort_key")
     changed = {"text": F.col("text"), "n_chars": F.length("text")}
     return out.select(*[
         changed[c].cast(df.schema[c].dataType).alias(c) if c in changed else F.col("row").getField(c).alias(c)
@@ -255,7 +285,7 @@ def _pieces(first: Column, seed: int) -> Column:
             a = F.greatest(start, b * BLOCK_WORDS)
             return F.struct(
                 (a - start).alias("start"), (F.least(end, (b + 1) * BLOCK_WORDS) - a).alias("length"),
-                b.alias("block"), _shard(b).alias("shard"),
+                b.alias("block"), _shard(b, seed).alias("shard"),
                 F.xxhash64(F.lit(seed), F.col("doc_id"), a).alias("sort_key"),
             )
 
@@ -265,12 +295,26 @@ def _pieces(first: Column, seed: int) -> Column:
     return F.flatten(walked)
 
 
-def _shard(block: Column) -> Column:
-    """The shard of a block: its number in the source's permutation falls into a shard's lot.
-
-    The permutation multiplies by a prime above any number of blocks, modulo their number.
-    """
+def _shard(block: Column, seed: int) -> Column:
+    """The shard of a block: its number in the source's permutation falls into a shard's lot."""
     n = F.greatest(F.col("blocks"), F.lit(1))
-    turn = F.pmod(F.pmod(block, n) * F.lit(2_147_483_647) + F.pmod(F.xxhash64(F.lit(17), n), n), n)
+
+    def moves(prime: int) -> Column:
+        # A prime that leaves 0, 1 or -1 would mix nothing.
+        left = F.pmod(F.lit(prime), n)
+        return (left > 1) & (left < n - 1)
+
+    first, second, third = PRIMES
+    factor = F.when(moves(first), F.lit(first)).when(moves(second), F.lit(second)).otherwise(F.lit(third))
+    turn = F.pmod(F.pmod(block, n) * factor + F.pmod(_number(F.lit(seed), n), n), n)
     lot = F.filter("lots", lambda x: (x["before"] <= turn) & (turn < x["before"] + x["blocks"]))
     return F.get(lot, F.lit(0))["shard"]
+
+
+def shard_words(levels: int = 4) -> Column:
+    """Words of a row's pieces in each shard, as an array by shard."""
+    shards = F.sequence(F.lit(0).cast("long"), F.lit((1 << levels) - 1).cast("long"))
+    # The pieces are an expression of their own, which is to be evaluated once.
+    return let(F.col("pieces"), lambda pieces: F.transform(shards, lambda s: F.aggregate(
+        F.filter(pieces, lambda x: x["shard"] == s), F.lit(0).cast("long"), lambda acc, x: acc + x["length"]
+    )))

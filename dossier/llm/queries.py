@@ -63,10 +63,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's part in a mix of all sources by weight."""
-    mixed = mixing.mix(documents(spark, sf_dir))
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    """Each document's part in a mix of all sources by weight, and its words in each of 16 shards."""
+    mixed = mixing.mix(documents(spark, sf_dir)).withColumn("by_shard", mixing.shard_words())
+    taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, x: a + x)
+    by_shard = F.array_join(F.col("by_shard").cast("array<string>"), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +141,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+# How many of ``acc[2]`` draws without replacement from ``acc[1]`` blocks hit one of a source's ``x[1]``:
+# the counts whose cumulative probability does not exceed a number from the node and the source.
+_LEAST = "greatest(0, acc[2] + x[1] - acc[1])"
+_CHANCE = "('0x' || substr(md5('3|' || level || '|' || node || '|' || x[2]), 1, 13))::BIGINT / 4503599627370496.0"
+_WEIGHT = """exp(lgamma(x[1] + 1) + lgamma(acc[1] - x[1] + 1) + lgamma(acc[2] + 1) + lgamma(acc[1] - acc[2] + 1) - lgamma(acc[1] + 1)
+  - lgamma(j + 1) - lgamma(x[1] - j + 1) - lgamma(acc[2] - j + 1) - lgamma(acc[1] - x[1] - acc[2] + j + 1))"""
+DRAWN = f"""(CASE WHEN acc[1] <= 0 OR acc[2] <= 0 OR x[1] <= 0 THEN 0 ELSE least(x[1], acc[2], {_LEAST} + len(list_filter(
+  list_transform(range({_LEAST}, least(x[1], acc[2]) + 1), lambda k: list_sum(list_transform(range({_LEAST}, k + 1), lambda j: {_WEIGHT}))),
+  lambda c: c <= {_CHANCE}))) END)"""
+
 SQL: dict[str, str] = {
     "op5_mixing": r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     md5('3|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -157,19 +168,49 @@ WITH d AS (
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS waiting FROM w
 ), f AS (
   SELECT *, top <= weight * (total - given) / waiting AS stopped FROM g
-), t AS (
+), t AS MATERIALIZED (
   SELECT source, source_size, CASE WHEN stopped THEN top ELSE
     weight * (total - sum(CASE WHEN stopped THEN top ELSE 0 END) OVER ())
       / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () END AS target FROM f
-), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+), p AS MATERIALIZED (
+  SELECT d.rid, d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS first
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), b AS MATERIALIZED (
+  SELECT source, target, (floor(target + 0.5)::BIGINT + 8191) // 8192 AS blocks, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM t
+), nodes AS (
+  SELECT 0 AS level, 0::BIGINT AS node, list(blocks ORDER BY place) AS lots FROM b
+  UNION ALL
+  SELECT level + 1, node * 2 + side, CASE WHEN side = 0 THEN gone[3:] ELSE list_transform(lots, lambda x, i: x - gone[2 + i]) END
+  FROM (SELECT level, node, lots, list_reduce(list_transform(lots, lambda x, i: [x, i]),
+      lambda acc, x: list_concat([acc[1] - x[1], acc[2] - """ + DRAWN + r"""], list_append(acc[3:], """ + DRAWN + r""")),
+      [list_sum(lots)::BIGINT, ((list_sum(lots) + (node + level) % 2) // 2)::BIGINT]) AS gone FROM nodes WHERE level < 4),
+    (VALUES (0), (1)) v(side)
+), shards AS MATERIALIZED (
+  SELECT b.source, b.blocks AS n, s.shard, s.own, sum(s.own) OVER (PARTITION BY b.place ORDER BY s.shard) - s.own AS before
+  FROM (SELECT node AS shard, unnest(lots) AS own, unnest(range(1, len(lots) + 1)) AS place FROM nodes WHERE level = 4) s JOIN b USING (place)
+), pieces AS (
+  SELECT rid, source, block, least(ending, (block + 1) * 8192) - greatest(start, block * 8192) AS words FROM (
+    SELECT *, unnest(range(start // 8192, (ending - 1) // 8192 + 1)) AS block FROM (
+      SELECT rid, source, (walk * source_size + first)::BIGINT AS start, least(walk * source_size + first + size, quota)::BIGINT AS ending
+      FROM (SELECT *, unnest(range(0, 2)) AS walk FROM p)) WHERE ending > start)
+), turns AS (
+  SELECT rid, x.source, words, ((block % n) * CASE WHEN 2147483647 % n > 1 AND 2147483647 % n < n - 1 THEN 2147483647
+      WHEN 2147483629 % n > 1 AND 2147483629 % n < n - 1 THEN 2147483629 ELSE 2147483587 END
+    + ('0x' || substr(md5('3|' || n), 1, 13))::BIGINT % n) % n AS turn
+  FROM pieces x JOIN (SELECT source, greatest(blocks, 1) AS n FROM b) y ON x.source IS NOT DISTINCT FROM y.source
+), dealt AS (
+  SELECT rid, shard, sum(words)::BIGINT AS words FROM turns x JOIN shards s
+    ON x.source IS NOT DISTINCT FROM s.source AND x.turn >= s.before AND x.turn < s.before + s.own GROUP BY ALL
+), grid AS (
+  SELECT p.rid, string_agg(coalesce(e.words, 0)::VARCHAR, ',' ORDER BY k.shard) AS shard_words
+  FROM p CROSS JOIN range(0, 16) k(shard) LEFT JOIN dealt e ON e.rid = p.rid AND e.shard = k.shard GROUP BY p.rid
 )
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(first + size, quota) - first)
-   + greatest(0, least(source_size + first + size, quota) - source_size - first))::BIGINT AS taken FROM p
+   + greatest(0, least(source_size + first + size, quota) - source_size - first))::BIGINT AS taken, shard_words
+FROM p JOIN grid USING (rid)
 """,
     "op9_jaccard_join": r"""
 WITH RECURSIVE words AS MATERIALIZED (

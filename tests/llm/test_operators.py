@@ -264,6 +264,47 @@ def test_mix(spark, docs, empty, monkeypatch):
     assert mixing.mixed_texts(empty, mixing.mix(empty)).count() == 0
 
 
+def test_the_draws_decide_the_shards(spark, monkeypatch):
+    """With other draws words go to other shards; what each source gives stays the same."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    many = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.expr("trim(repeat(concat('w', id, ' '), cast(id % 23 as int)))").alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+    )
+
+    def dealt():
+        rows = mixing.mix(many).withColumn("by_shard", mixing.shard_words()).collect()
+        sums = Counter()
+        for r in rows:
+            assert sum(r["by_shard"]) == sum(p["length"] for p in r["pieces"])
+            for k, n in enumerate(r["by_shard"]):
+                sums[r["source"], k] += n
+        return sums
+
+    before = dealt()
+    quotas = {s: sum(n for (t, _), n in before.items() if t == s) for s in ("s0", "s1", "s2")}
+    rows = mixing.mix(many).select("source", "quota").distinct().collect()
+    assert quotas == {r["source"]: r["quota"] for r in rows}
+    # The tree's blocks are what each shard holds, but for the last block of a source.
+    blocks = mixing.mix(many).select("source", F.explode("pieces").alias("p")).select("source", "p.shard", "p.block").distinct().groupBy("source", "shard").count()
+    plan = spark.createDataFrame([(s, -(-q // 50)) for s, q in quotas.items()], "source string, blocks long")
+    tree = {(r["source"], r["shard"]): r["blocks"] for r in mixing.split_tree(plan, 4).collect() if r["blocks"]}
+    assert {(r["source"], r["shard"]): r["count"] for r in blocks.collect()} == tree
+    monkeypatch.setattr(mixing, "_draw", lambda white, lot, take, chance: F.least(white, take).cast("long"))
+    after = dealt()
+    assert after != before and quotas == {s: sum(n for (t, _), n in after.items() if t == s) for s in quotas}
+
+
+def test_levels_draw_on_their_own(spark):
+    """Nodes of the same number draw anew on each level."""
+    quotas = spark.createDataFrame([("a", 64), ("b", 64), ("c", 64)], "source string, blocks long")
+    rows = {(r["source"], r["shard"]): r["blocks"] for r in mixing.split_tree(quotas, 3, 5).collect()}
+    first = mixing._chance(F.lit(5), F.lit(0), F.lit(0), F.lit(1))
+    second = mixing._chance(F.lit(5), F.lit(1), F.lit(0), F.lit(1))
+    a, b = spark.range(1).select(first, second).first()
+    assert a != b and 0 <= a < 1 and 0 <= b < 1 and sum(rows.values()) == 192
+
+
 def test_split_tree_draws_like_the_distribution(spark):
     quotas = spark.createDataFrame([("a", 40), ("b", 24), (None, 3)], "source string, blocks long")
     seen = Counter()
