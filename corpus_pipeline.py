@@ -76,12 +76,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources by weight takes them, the last one of a source cut."""
+    """Documents as often as the mix of sources by weight takes them, by shard and shuffled there.
+
+    The last document of a source is cut where its quota ends. Rows without words are not taken;
+    rows alike in id and text are merged into one that is taken as often as all of them. Rows
+    without source are one source. An empty table stays empty; further columns are kept.
+    """
     return mixing.mixed_texts(docs, mixing.mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of tokens."""
+    """The pieces of all documents in sequences of tokens, without their other columns.
+
+    Null and empty texts are the end of a document alone; repeated rows are packed again; an empty
+    table has no pieces.
+    """
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
