@@ -25,8 +25,8 @@ GROUP_PIECES = 768
 PART = 512
 #: Distinct words whose ids one worker keeps (about 40 bytes each), and how many of the first of them stay when there are
 #: more: frequent words come early, so those are the ones worth keeping.
-CACHE_WORDS = 2_000_000
-KEPT_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
+KEPT_WORDS = 750_000
 
 
 def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
