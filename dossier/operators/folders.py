@@ -99,17 +99,22 @@ def folder_matches(items: DataFrame, folders: DataFrame) -> DataFrame:
     )
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys are on more than one row; only those are listed."""
-    several = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    return rows.join(several, keys, "left_semi")
+def _members(rows: DataFrame, keys: list[str], total: str) -> DataFrame:
+    """Rows whose keys are on more than one row, with their number. Counts are made before the
+    join, which adaptive execution splits where a key is frequent."""
+    several = rows.groupBy(*keys).agg(F.count("*").alias(total)).where(F.col(total) > 1)
+    return rows.join(several, keys)
+
+
+def ambiguous_id_rows(items: DataFrame) -> DataFrame:
+    """Ids on more than one list row: a row for each, with their number."""
+    return _members(id_rows(items).select("id", "row_no"), ["id"], "n_rows")
 
 
 def ambiguous_ids(items: DataFrame) -> DataFrame:
-    """Ids on more than one list row, with the rows (long lists continue in further parts)."""
-    rows = _repeated(id_rows(items).select("id", "row_no"), ["id"])
+    """``ambiguous_id_rows`` as lists (long ones continue in further parts)."""
     parts = listed_in_parts(
-        rows, ["id"], ["row_no"], F.col("row_no").cast("string"), "rows", total="n_rows"
+        ambiguous_id_rows(items), ["id", "n_rows"], ["row_no"], F.col("row_no").cast("string"), "rows"
     )
     return parts.withColumn("rows", F.array_join("rows", ", "))
 
@@ -118,12 +123,17 @@ def _scan_ordered(matched: DataFrame) -> DataFrame:
     return matched.withColumn("_cat", fold(F.col("category"))).withColumn("_name", fold(F.col("folder")))
 
 
+def duplicate_name_rows(matched: DataFrame) -> DataFrame:
+    """Matched folders that share their name with others, over all categories, a row for each."""
+    named = matched.select(master_id(F.col("folder")).alias("name"), "category", "folder", "path")
+    return _members(named, ["name"], "n_folders")
+
+
 def duplicate_names(matched: DataFrame) -> DataFrame:
-    """Names that more than one matched folder carries, over all categories."""
-    rows = _repeated(_scan_ordered(matched).withColumn("name", master_id(F.col("folder"))), ["name"])
+    """``duplicate_name_rows`` as lists."""
     parts = listed_in_parts(
-        rows, ["name"], ["_cat", "_name", "path"], F.struct("category", "path"), "members",
-        total="n_folders",
+        _scan_ordered(duplicate_name_rows(matched)), ["name", "n_folders"], ["_cat", "_name", "path"],
+        F.struct("category", "path"), "members",
     )
     return parts.select(
         "name", "n_folders", "part",
@@ -132,12 +142,17 @@ def duplicate_names(matched: DataFrame) -> DataFrame:
     )
 
 
+def several_folder_rows(matched: DataFrame) -> DataFrame:
+    """Folders that matched the same list row as others, a row for each."""
+    placed = matched.select("row_no", "sap", "teamcenter", "category", "folder", "path")
+    return _members(placed, ["row_no"], "n_folders")
+
+
 def several_folders(matched: DataFrame) -> DataFrame:
-    """List rows that more than one folder matched."""
-    rows = _repeated(_scan_ordered(matched), ["row_no"])
+    """``several_folder_rows`` as lists."""
     parts = listed_in_parts(
-        rows, ["row_no", "sap", "teamcenter"], ["_cat", "_name", "path"],
-        F.struct("folder", "path"), "members", total="n_folders",
+        _scan_ordered(several_folder_rows(matched)), ["row_no", "sap", "teamcenter", "n_folders"],
+        ["_cat", "_name", "path"], F.struct("folder", "path"), "members",
     )
     return parts.select(
         "row_no", "sap", "teamcenter", "n_folders", "part",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dossier.session import ensure_checkpoint_dir
@@ -50,6 +50,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled_with(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """``settled``, and aggregates of its rows taken by the pass that writes them."""
+    seen = Observation()
+    written = settled(df.observe(seen, *[value.alias(name) for name, value in counts.items()]))
+    return written, dict(seen.get)
+
+
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
     return counts.agg(F.max("_n")).first()[0] or 0

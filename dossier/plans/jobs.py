@@ -16,7 +16,7 @@ from dossier.functions import answers, text
 from dossier.operators import (
     cascade, folders, inventory, keypair, labelling, metrics, questions, resolve, truth,
 )
-from dossier.operators.spread import PART_SIZE, listed_in_parts, lookup_join, settled
+from dossier.operators.spread import PART_SIZE, listed_in_parts, lookup_join, settled, settled_with
 from dossier.session import ensure_checkpoint_dir
 from dossier.sources import sinks
 
@@ -248,34 +248,53 @@ def classify_readable_files(
 
 def answer_questions(
     sheet: DataFrame, id_column: str, files: DataFrame, make_client: Callable, parallelism: int,
-    answers_path: str | None = None,
+    answers_path: str | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ask every blank cell's question about the files of its row; returns the long sheet.
 
     ``files(item, path, length)``. Rows without files get an error text in every cell,
-    filled ones included; rows without an id stay as they are.
+    filled ones included; rows without an id stay as they are. Rows of one id share the answer
+    to a question, which is asked once. ``keep`` names columns that are no questions and go with
+    the row. A run with the ``answers_path`` of an earlier one asks only for cells it lacks.
     """
-    long = questions.to_long(sheet, [id_column]).withColumn("item", F.col(id_column).cast("string"))
+    keys = [*keep, id_column]
+    long = questions.to_long(sheet, keys).withColumn("item", F.col(id_column).cast("string"))
     sendable = labelling.request_files(files)
     with_files = sendable.select("item").distinct().withColumn("has_files", F.lit(True))
     # Rows without an id take no part in the joins.
-    nameless = long.where("item is null").select(id_column, "question", "answer")
+    nameless = long.where("item is null").select(*keys, "question", "answer")
     cells = long.where("item is not null").join(with_files, "item", "left")
     blank = questions.is_blank(F.col("answer"))
     key = F.to_json(F.struct(F.col("item").alias("i"), F.col("question").alias("q")))
-    asked = cells.where(blank & F.col("has_files")).withColumn("cell", key)
+    asked = cells.where(blank & F.col("has_files")).select("item", "question", key.alias("cell")).distinct()
     lists = listed_in_parts(sendable, ["item"], ["path"], F.col("path"), "paths")
     requests = asked.join(lists, "item").select(
         F.col("cell").alias("item"), "part", F.when(F.col("part") == 0, F.col("question")).otherwise("").alias("prompt"), "paths")
     replies = labelling.stored_answers(requests, make_client, parallelism, answers_path or _run_folder(sheet), attempts=1)
-    joined = cells.withColumn("cell", key).join(
+    # Filled cells keep what they hold, also where another row of the id has the answer.
+    joined = cells.withColumn("cell", F.when(blank, key)).join(
         replies.select(F.col("item").alias("cell"), "response", "error"), "cell", "left")
     answer = (
         F.when(F.col("has_files").isNull(), "ERROR: No documents found.")
         .when(F.col("error").isNotNull(), F.concat(F.lit("ERROR: "), F.col("error")))
         .otherwise(F.coalesce("response", "answer"))
     )
-    return joined.select(id_column, "question", answer.alias("answer")).unionAll(nameless)
+    return joined.select(*keys, "question", answer.alias("answer")).unionAll(nameless)
+
+
+def annotation_lookups(
+    order: DataFrame, truth_rows: DataFrame, forms: DataFrame, participants: Sequence[str], info: Sequence[str] = (),
+) -> dict[str, tuple[DataFrame, dict[str, int]]]:
+    """The look-ups of the truth and of the forms, each made and written once, with counts of that
+    pass: ``rows``, ``found`` and ``contradicting``."""
+    made = {
+        "ground truth": keypair.find_rows(order, truth_rows, ["label", *info]),
+        "participant forms": keypair.annotations_long(order, forms, participants),
+    }
+    return {name: settled_with(
+        found, rows=F.count("*"), found=F.count("found_row"),
+        contradicting=F.count_if(F.col("outcome").isin(*keypair.ERRORS)),
+    ) for name, found in made.items()}
 
 
 def annotate(
@@ -284,13 +303,13 @@ def annotate(
 ) -> tuple[DataFrame, Mapping[str, int]]:
     """The annotator overview. Contradicting ids stop the job, a row count other than
     expected is only reported."""
-    # Each look-up is made once, checked, and read again for the result.
-    entries = settled(keypair.find_rows(order, truth_rows, ["label", *info]))
-    labels = settled(keypair.annotations_long(order, forms, participants))
-    keypair.require_clean(entries, "ground truth")
-    keypair.require_clean(labels, "participant forms")
+    made = annotation_lookups(order, truth_rows, forms, participants, info)
+    for name, (found, counts) in made.items():
+        if counts["contradicting"]:
+            keypair.require_clean(found, name)
+    (entries, counts), (labels, _) = made.values()
     overview = keypair.overview_of(entries, labels, participants, info)
-    return overview.orderBy("row_no"), {"rows": entries.count(), "expected": expected_rows}
+    return overview.orderBy("row_no"), {"rows": counts["rows"], "expected": expected_rows}
 
 
 def zero_shot(

@@ -318,6 +318,15 @@ def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of parts: the line items of the three smallest quantities, a type for each."""
+    kind = F.when(F.col("l_quantity") == 1, ".pdf").when(F.col("l_quantity") == 2, ".PNG").otherwise(".step")
+    name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return table(spark, sf_dir, "lineitem").where("l_quantity <= 3").select(
+        padded("AS", "l_partkey", 8).alias("item"), F.concat(name, kind).alias("path"), F.col("l_orderkey").alias("length"),
+    )
+
+
 def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as raw sheet cells: a header text occurs first somewhere below the top."""
     segments = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])

@@ -203,6 +203,21 @@ def several_folders(spark, sf):
     return folders.several_folders(_settled_folders(spark, sf))
 
 
+@query
+def ambiguous_id_rows(spark, sf):
+    return folders.ambiguous_id_rows(given.customer_items(spark, sf))
+
+
+@query
+def duplicate_name_rows(spark, sf):
+    return folders.duplicate_name_rows(_settled_folders(spark, sf))
+
+
+@query
+def several_folder_rows(spark, sf):
+    return folders.several_folder_rows(_settled_folders(spark, sf))
+
+
 @query
 def missing_items(spark, sf):
     return folders.missing_items(given.customer_items(spark, sf), _matched_folders(spark, sf))
@@ -571,6 +586,32 @@ def log_round_trip(spark, sf):
     return spark.read.schema("event_id bigint, event_type string, user_id bigint, run int").json(path)
 
 
+@query
+def response_log(spark, sf):
+    """What two labelling runs sent and received, appended to one log and read back."""
+    root, tasks = _shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = given.part_names(spark, sf).where(text.strip(F.col("name")) != "")
+    prompts = names.select("item", answers.question_all_files(F.col("name"), CLASSES).alias("prompt"))
+    files = given.part_files(spark, sf).withColumn("item", F.concat(F.lit("item"), F.substring("item", 3, 8).cast("bigint").cast("string")))
+    requests = spread.settled(labelling.request_table(prompts, files, files_per_part=2))
+    for run in range(2):
+        asked = requests.where(F.right("item", F.lit(1)).cast("int") % 2 == run)
+        replies = labelling.stored_answers(asked, offline_client(), tasks, f"{root}/answers", wait_seconds=0)
+        label = answers.tolerant_label(F.col("response"), CLASSES)
+        none = F.lit(None).cast("string")
+        results = replies.join(names, "item").select(
+            "item", none.alias("sap"), F.col("item").alias("teamcenter"), "name", none.alias("matched_folder"),
+            F.col("response").alias("raw_response"), F.coalesce(label, F.lit("")).alias("label"),
+            F.lit("SUCCESS").alias("status"), F.col("error").alias("error_message"),
+        )
+        sinks.append_log(labelling.response_log(asked, results, {"run": f"r{run}"}), f"{root}/log")
+    log = spark.read.schema(
+        "run string, item string, part bigint, prompt string, file_paths array<string>, teamcenter string, "
+        "name string, raw_response string, canonical_label string, status string, error string"
+    ).json(f"{root}/log")
+    return log.withColumn("file_paths", F.array_join("file_paths", "\n")).drop("teamcenter")
+
+
 @query
 def response_texts(spark, sf):
     rows = given.event_responses(spark, sf).withColumn("r", answers.parse_response(F.col("raw_json")))
@@ -630,6 +671,17 @@ def annotation_overview(spark, sf):
     return wide.toDF(*[c.lower() for c in wide.columns])
 
 
+@query
+def annotation_counts(spark, sf):
+    """Rows of the overview's look-ups, found and contradicting ones, as the writing pass counts them."""
+    made = jobs.annotation_lookups(
+        given.customer_order_form(spark, sf).drop("label"), given.customer_truth(spark, sf),
+        given.order_forms(spark, sf), given.PARTICIPANTS,
+    )
+    rows = [(source, counts["rows"], counts["found"], counts["contradicting"]) for source, (_, counts) in made.items()]
+    return spark.createDataFrame(rows, "source string, rows_seen bigint, rows_found bigint, rows_contradicting bigint")
+
+
 @query
 def question_cells(spark, sf):
     return questions.to_long(given.part_questions(spark, sf), ["p_partkey", "id"])
@@ -655,6 +707,31 @@ def questions_answered(spark, sf):
     return questions.to_wide(filled, ["p_partkey", "id"], given.QUESTIONS).toDF("p_partkey", "id", "brand", "kind", "price")
 
 
+def file_counter(name: str, most: int):
+    """Answering function for runs without a service: names itself, the question and the first file."""
+    def make_client():
+        def answer(prompt, file_paths):
+            if len(file_paths) > most:
+                raise RuntimeError("too many files")
+            return f"{name}: {prompt} {len(file_paths)} {file_paths[0]}"
+
+        return answer
+
+    return make_client
+
+
+@query
+def questions_asked(spark, sf):
+    """A question sheet asked in two runs, the second of which goes on with the answers of the
+    first, and made wide again. Some rows have no files, some too many for the service."""
+    sheet, files = given.part_questions(spark, sf), given.part_files(spark, sf)
+    path, tasks = _shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some = sheet.where("p_partkey % 2 = 0")
+    jobs.answer_questions(some, "id", files, file_counter("first", 2), tasks, path, ["p_partkey"])
+    long = jobs.answer_questions(sheet, "id", files, file_counter("second", 2), tasks, path, ["p_partkey"])
+    return questions.to_wide(long, ["p_partkey", "id"], given.QUESTIONS).toDF("p_partkey", "id", "brand", "kind", "price")
+
+
 @query
 def unified_headers(spark, sf):
     """Three tables with different headers in one schema."""
@@ -703,6 +780,18 @@ def forms_from_files(spark, sf):
     return read.select("sap", "teamcenter", "label")
 
 
+@query
+def participant_forms(spark, sf):
+    """Forms in files named after their participants, with other headers, beside lock files and
+    files that are no forms; read back with the participant of each."""
+    root = _shared_folder(spark)
+    forms = given.order_forms(spark, sf).select("participant", "sap", "teamcenter", "label")
+    sinks.write_named(forms, root, "participant", "Form_{}.csv", {"sap": "SAP Nummer", "teamcenter": "teamcenter-id", "label": "Baugruppen Klasse"})
+    sinks.write_named(forms.limit(1), root, "participant", "~$Form_{}.csv", {"sap": "locked"})
+    sinks.write_named(forms.limit(1), root, "participant", "Notes_{}.csv", {"sap": "seen"})
+    return tables.read_forms(spark, f"{root}/*/*.csv", "Form_").drop("row_no")
+
+
 @query
 def run_stamps(spark, sf):
     """Time texts of every event."""

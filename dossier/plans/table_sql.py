@@ -251,6 +251,15 @@ SQL["several_folders"] = with_ctes(FOLDERS, ITEMS, HITS, select="""
         row_number() OVER (PARTITION BY row_no ORDER BY lower(category), lower(folder), path) AS rn FROM good)
 SELECT row_no, sap, teamcenter, n_folders, (rn - 1) // 1000 AS part, string_agg(folder, ' | ' ORDER BY rn) AS folders,
   string_agg(path, ' | ' ORDER BY rn) AS paths FROM c WHERE n_folders > 1 GROUP BY ALL""".lstrip())
+SQL["ambiguous_id_rows"] = with_ctes(ITEMS, select="""
+, c AS (SELECT id, row_no, count(*) OVER (PARTITION BY id) AS n_rows FROM idx)
+SELECT id, row_no, n_rows FROM c WHERE n_rows > 1""".lstrip())
+SQL["duplicate_name_rows"] = with_ctes(FOLDERS, ITEMS, HITS, select="""
+, c AS (SELECT upper(folder) AS name, category, folder, path, count(*) OVER (PARTITION BY upper(folder)) AS n_folders FROM good)
+SELECT * FROM c WHERE n_folders > 1""".lstrip())
+SQL["several_folder_rows"] = with_ctes(FOLDERS, ITEMS, HITS, select="""
+, c AS (SELECT row_no, sap, teamcenter, category, folder, path, count(*) OVER (PARTITION BY row_no) AS n_folders FROM good)
+SELECT * FROM c WHERE n_folders > 1""".lstrip())
 SQL["missing_items"] = with_ctes(FOLDERS, ITEMS, HITS, select="""
 SELECT row_no, sap, tc AS teamcenter FROM items i WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.row_no = i.row_no)""")
 SQL["collect_gate"] = with_ctes(FOLDERS, ITEMS, HITS, select="""
@@ -597,6 +606,15 @@ SELECT model, ground_truth, predicted_label, count(*) AS n FROM matched
 WHERE ground_truth IS NOT NULL AND predicted_label IS NOT NULL GROUP BY ALL
 UNION ALL SELECT model, NULL, NULL, count(*) FROM matched GROUP BY ALL""")
 SQL["log_round_trip"] = "SELECT event_id, event_type, user_id, (event_id % 2)::INTEGER AS run FROM events"
+SQL["response_log"] = with_ctes(NAMED, """placed AS (
+  SELECT 'item' || l_partkey AS item, path, (row_number() OVER (PARTITION BY l_partkey ORDER BY path) - 1) // 2 AS part FROM (
+    SELECT l_partkey, l_orderkey || '-' || l_linenumber || CASE l_quantity WHEN 1 THEN '.pdf' ELSE '.PNG' END AS path
+    FROM lineitem WHERE l_quantity <= 2)),
+parts AS (SELECT item, part, string_agg(path, chr(10) ORDER BY path) AS file_paths FROM placed GROUP BY ALL)""", select=f"""
+SELECT 'r' || n.run AS run, n.item, coalesce(part, 0)::BIGINT AS part, CASE WHEN coalesce(part, 0) = 0 THEN prompt ELSE '' END AS prompt,
+  coalesce(file_paths, '') AS file_paths, name, '`' || lower(label) || '`' AS raw_response, label AS canonical_label,
+  'SUCCESS' AS status, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, {_all_files_prompt('name')} AS prompt, (right(item, 1)::INTEGER % 2) AS run FROM full_named WHERE p_size <> 50) n LEFT JOIN parts p ON p.item = n.item""")
 SQL["response_texts"] = """SELECT event_id,
   CASE WHEN event_type = 'error' THEN '(no text content, finishReason=SAFETY)' ELSE event_type END AS first_text,
   CASE WHEN event_type = 'error' THEN '' ELSE event_type || '!' END AS joined_text,
@@ -649,6 +667,10 @@ SHEET = """sheet AS (
     CASE WHEN p_retailprice > 950 THEN CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) END AS price FROM part),
 cells AS (SELECT p_partkey, id, 'Welche Marke?' AS question, brand AS answer FROM sheet
   UNION ALL SELECT p_partkey, id, 'Welche Art?', kind FROM sheet UNION ALL SELECT p_partkey, id, 'Welcher Preis?', price FROM sheet)"""
+SQL["annotation_counts"] = with_ctes(FORMS, select="""
+SELECT 'ground truth' AS source, count(*) AS rows_seen, count(sap) AS rows_found, 0::BIGINT AS rows_contradicting FROM ordered
+UNION ALL SELECT 'participant forms', count(*), count(found_row), count(*) FILTER (WHERE outcome IN ('DIFFERENT_ROWS', 'AMBIGUOUS'))
+FROM found""")
 SQL["question_cells"] = with_ctes(SHEET, select="SELECT * FROM cells")
 SQL["open_questions"] = with_ctes(SHEET, select="SELECT p_partkey, question FROM cells WHERE id IS NOT NULL AND (answer IS NULL OR trim(answer) = '')")
 SQL["expected_calls"] = with_ctes(SHEET, select="""
@@ -661,6 +683,20 @@ def _filled(column: str, question: str) -> str:
 
 SQL["questions_answered"] = with_ctes(SHEET, select=f"""
 SELECT p_partkey, id, {_filled('brand', 'Welche Marke?')}, {_filled('kind', 'Welche Art?')}, {_filled('price', 'Welcher Preis?')} FROM sheet""")
+
+
+def _asked(question: str) -> str:
+    return f"""max(CASE WHEN question <> '{question}' THEN NULL WHEN id IS NULL THEN answer WHEN n IS NULL THEN 'ERROR: No documents found.'
+  WHEN trim(answer) <> '' THEN answer WHEN n > 2 THEN 'ERROR: RuntimeError: too many files'
+  ELSE CASE p_partkey % 2 WHEN 0 THEN 'first' ELSE 'second' END || ': ' || question || ' ' || n || ' ' || first_path END)"""
+
+
+PART_FILES = """part_files AS (
+  SELECT l_partkey AS k, l_orderkey || '-' || l_linenumber || CASE l_quantity WHEN 1 THEN '.pdf' ELSE '.PNG' END AS path
+  FROM lineitem WHERE l_quantity <= 2)"""
+SQL["questions_asked"] = with_ctes(SHEET, PART_FILES, select=f"""
+SELECT p_partkey, id, {_asked('Welche Marke?')} AS brand, {_asked('Welche Art?')} AS kind, {_asked('Welcher Preis?')} AS price
+FROM cells LEFT JOIN (SELECT k, count(*) AS n, min(path) AS first_path FROM part_files GROUP BY k) ON k = p_partkey GROUP BY p_partkey, id""")
 SQL["unified_headers"] = """SELECT c_name AS sap, CAST(NULL AS VARCHAR) AS teamcenter, c_mktsegment AS label FROM customer
 UNION ALL SELECT s_name, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM supplier
 UNION ALL SELECT p_brand, NULL, p_name FROM part"""
@@ -669,6 +705,7 @@ SELECT model, sap, trim(teamcenter) AS teamcenter,
   predicted_label || CASE WHEN prediction_row % 5 = 0 THEN ' "weil"' || chr(10) || 'so' ELSE '' END AS predicted FROM preds""")
 SQL["forms_from_files"] = """SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS sap,
   'D' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS teamcenter, o_orderpriority AS label FROM orders"""
+SQL["participant_forms"] = with_ctes(FORMS, select="SELECT participant, sap, tc AS teamcenter, label FROM forms")
 SQL["run_stamps"] = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS local,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS utc FROM events"""
 SQL["class_list"] = "SELECT p_name AS label, min(p_partkey) AS ord FROM part WHERE p_size > 5 GROUP BY ALL"

@@ -70,7 +70,7 @@ def find_column(
     if requested:
         if requested in columns:
             return requested
-        raise ValueError(f"{meaning} column '{requested}' was not found. Available: {list(columns)}")
+        raise ValueError(f"The header {requested!r}, asked for as {meaning}, is none of {list(columns)}")
     if normalised:
         by_key = {_plain_header(c): c for c in columns}
         hit = next((by_key[_plain_header(c)] for c in candidates if _plain_header(c) in by_key), None)
@@ -229,7 +229,7 @@ def labels_for_prompt(classes: DataFrame, most: int = 10_000) -> list[str]:
     cannot be meant and is refused rather than cut."""
     rows = classes.orderBy("ord").limit(most + 1).collect()
     if not rows:
-        raise ValueError("No allowed classes found.")
+        raise ValueError("The class list is empty, so there is no label to choose from.")
     if len(rows) > most:
         raise ValueError(f"More than {most} labels: not a class list.")
     return [row.label for row in rows]

@@ -149,6 +149,35 @@ def test_question_sheet(spark):
     assert calls == {"Was?": 2, "broken?": 1}
 
 
+def test_rows_of_one_id_share_answers_and_keep_filled_cells(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def answer(prompt, file_paths):
+            asked.add(1)
+            return f"{prompt} {len(file_paths)}"
+        return answer
+
+    sheet = spark.createDataFrame(
+        [(1, "A", None), (2, "A", ""), (3, "A", "kept"), (4, None, "x"), (5, None, None)], "n int, id string, `Was?` string")
+    files = spark.createDataFrame([("A", "a.pdf", 1), ("A", "b.png", 1)], "item string, path string, length bigint")
+    for _ in range(2):
+        long = jobs.answer_questions(sheet, "id", files, counting, 2, str(tmp_path / "answers"), ["n"])
+        assert {r.n: r.answer for r in long.collect()} == {1: "Was? 2", 2: "Was? 2", 3: "kept", 4: "x", 5: None}
+    assert asked.value == 1
+
+
+def test_counts_of_the_writing_pass(spark):
+    order = spark.createDataFrame([(1, "A", ""), (2, "B", "C"), (3, "Z", "")], "row_no bigint, sap string, teamcenter string")
+    truth = spark.createDataFrame([(1, "B", "", "b"), (2, "", "C", "c"), (3, "A", "", "a")], "row_no bigint, sap string, teamcenter string, label string")
+    forms = spark.createDataFrame([], "participant string, row_no bigint, sap string, teamcenter string, label string")
+    made = jobs.annotation_lookups(order, truth, forms, ["P1", "P2"])
+    assert made["ground truth"][1] == {"rows": 3, "found": 1, "contradicting": 1}
+    assert made["participant forms"][1] == {"rows": 6, "found": 0, "contradicting": 0}
+    empty = jobs.annotation_lookups(order.limit(0), truth, forms, ["P1"])
+    assert [counts["rows"] for _, counts in empty.values()] == [0, 0]
+
+
 def test_annotate_job(spark):
     order = spark.createDataFrame([(1, "A", ""), (2, "B", "")], "row_no bigint, sap string, teamcenter string")
     truth = spark.createDataFrame([(1, "B", "", "t2"), (2, "A", "", "t1")], "row_no bigint, sap string, teamcenter string, label string")

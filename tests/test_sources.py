@@ -206,3 +206,12 @@ def test_nested_documents_go_on_in_parts_and_spoilt_ones_are_set_apart(spark, tm
     assert sorted(map(str, back.collect())) == sorted(map(str, pages.select([F.col(c) for c in pages.columns]).collect()))
     assert {r.line for r in bad.collect()} == {'{"assembly": "A", "pdfs": [', "no json"}
     assert manifests.pages_of(good).where("source_sha256 = 'h'").count() == 5
+
+
+def test_files_named_after_a_value(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "1", 'x "y"'), ("B", "2", None), (None, "3", "z"), ("A", "4", "")], "who string, id string, label string")
+    root = str(tmp_path / "forms")
+    assert sinks.write_named(rows.coalesce(1), root, "who", "Form_{}.csv", {"id": "SAP Nummer", "label": "Baugruppen-Klasse"}) == 2
+    read = tables.read_forms(spark, f"{root}/*/*.csv", "Form_").collect()
+    assert sorted((r.participant, r.row_no, r.sap, r.label or "") for r in read) == [("A", 2, "1", 'x "y"'), ("A", 3, "4", ""), ("B", 2, "2", "")]
+    assert sinks.write_named(rows.limit(0), str(tmp_path / "none"), "who", "{}.csv", {"id": "id"}) == 0
