@@ -127,10 +127,13 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(df: DataFrame, carry: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(
+    df: DataFrame, carry: list[str], computed: dict[str, Column] | None = None, id_column: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Add ``next_<column>`` of the next row in descending order of the id; after the last the first.
 
-    Rows without id come last; rows of equal id follow each other by the hash of their text. Rows
+    ``computed`` columns follow from the carried ones; they are added too, and are evaluated once a
+    row and once more for the first row of each range only. Rows without id come last; rows of equal id follow each other by the hash of their text. Rows
     are ordered within ranges of ids, in one shuffle; the first row of each range is found by an
     aggregate and handed to the range before. A single row is its own next.
     """
@@ -146,17 +149,20 @@ def with_next(df: DataFrame, carry: list[str], id_column: str = "doc_id", text:
     group = F.when(F.col(id_column).isNull(), -1).otherwise(group).alias("_group")
     rank = [F.col(id_column).desc_nulls_last(), F.xxhash64(text), F.length(text)]
     rows = df.select("*", group)
+    computed = computed or {}
+    both = [*carry, *computed]
     window = Window.partitionBy("_group").orderBy(*rank)
-    ahead = F.lead(F.struct(*carry)).over(window)
-    ordered = rows.withColumn("_next", ahead)
+    ahead = F.lead(F.struct(*both)).over(window)
+    ordered = rows.withColumns(computed).withColumn("_next", ahead)
     key = F.struct(F.bitwise_not(F.coalesce(F.col(id_column), F.lit(0)).cast("long")), F.xxhash64(text), F.length(text))
-    first = rows.groupBy("_group").agg(F.min_by(F.struct(*carry), key).alias("_head"))
+    first = rows.groupBy("_group").agg(F.min_by(F.struct(*carry), key).alias("_first"))
+    first = first.select("_group", "_first.*").withColumns(computed).select("_group", F.struct(*both).alias("_head"))
     by_group = Window.orderBy(F.desc("_group"))
     whole = by_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = first.select("_group", F.coalesce(F.lead("_head").over(by_group), F.first("_head").over(whole)).alias("_head"))
     found = F.coalesce("_next", "_head")
     return ordered.join(heads, "_group").select(
-        *[F.col(c) for c in df.columns], *[found[c].alias(f"next_{c}") for c in carry]
+        *[F.col(c) for c in [*df.columns, *computed]], *[found[c].alias(f"next_{c}") for c in both]
     )
 
 
@@ -170,11 +176,11 @@ def edited(text: Column, following: Column) -> Column:
 def compared(df: DataFrame) -> DataFrame:
     """Fingerprints of every row's text and of its edited text, with their likenesses.
 
-    Null texts count as empty. Columns: ``doc_id, n_chars, edited_sha256, fingerprint,
+    Null texts count as empty; repeated rows stay, and an empty table gives no rows. Columns: ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``.
     """
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("own", fingerprint(F.col("text"))), ["text", "own"])
+    rows = with_next(rows, ["text"], {"own": fingerprint(F.col("text"))})
     rows = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("next_own").alias("following"),
         edited(F.col("text"), F.col("next_text")).alias("edited"),
