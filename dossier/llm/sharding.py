@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import settled
 
-#: Bits of a coordinate in a key; below them come as many of a hash that breaks ties.
-VALUE_BITS = 31
+#: Bits of a coordinate in a key; below them those of a hash of the text, which keep equal texts side by
+#: side, and last those of a hash of text and id, by which a text too large for a cut is divided.
+VALUE_BITS, TEXT_BITS, ROW_BITS = 24, 14, 24
+TIE_BITS = TEXT_BITS + ROW_BITS
 #: Bits that one pass over the rows settles; it collects at most this many sums a node.
 PASS_BITS = 11
 #: A cut is good enough once the rows it cannot tell apart have this share of the node's bytes.
 NEAR = 1 / 4000
-#: Equal texts with more than this share of a shard are spread row by row; others stay together.
-LARGE_GROUP = 1 / 256
 #: Rows of a shard that are numbered together, about.
 SLOT_ROWS = 20_000
 
@@ -36,10 +36,11 @@ class Node:
 
 
 def coordinates(df: DataFrame) -> DataFrame:
-    """``doc_id, size, text_crc32, sign`` and the coordinates of every row.
+    """``doc_id, size, text_crc32, sign, tie`` and the coordinates of every row.
 
-    Equal texts have equal coordinates, those of their least source, language and id. The size
-    counts on a log scale, categories by their hash, which keeps equal ones together.
+    Equal texts have equal coordinates, those of their least source, language and id, and ties that
+    differ in the last bits only. The size counts on a log scale, categories by their hash, which
+    keeps equal ones together.
     """
     text = F.coalesce("text", F.lit(""))
 
@@ -55,17 +56,20 @@ def coordinates(df: DataFrame) -> DataFrame:
         place("lang").alias("lang"), place("source").alias("source"),
     ))
     groups = rows.groupBy("sign", "text_crc32").agg(
-        F.sum("size").alias("bytes"), F.min("lang").alias("x_lang"), F.min("source").alias("x_source"),
+        F.min("lang").alias("x_lang"), F.min("source").alias("x_source"),
         F.coalesce(F.min("doc_id"), F.lit(0)).cast("double").alias("x_id"),
     )
-    return rows.drop("lang", "source").join(groups, ["sign", "text_crc32"]).withColumn("x_size", F.log1p("size"))
+    tie = F.shiftleft(F.shiftrightunsigned("sign", 64 - TEXT_BITS), ROW_BITS).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64("sign", "doc_id"), 64 - ROW_BITS)
+    )
+    return rows.drop("lang", "source").join(groups, ["sign", "text_crc32"]).withColumns({"x_size": F.log1p("size"), "tie": tie})
 
 
 def _key(dimension: str, low: float, high: float) -> Column:
-    """The coordinate in ``VALUE_BITS`` bits before the bits of the tie-breaking hash."""
+    """The coordinate in ``VALUE_BITS`` bits before the bits of the tie."""
     scaled = (F.col(dimension) - low) / (high - low if high > low else 1.0)
     value = F.floor(scaled * float((1 << VALUE_BITS) - 1)).cast("long")
-    return F.shiftleft(value, VALUE_BITS).bitwiseOR(F.shiftrightunsigned("tie", 64 - VALUE_BITS))
+    return F.shiftleft(value, TIE_BITS).bitwiseOR(F.col("tie"))
 
 
 def _chosen(nodes: list[tuple[int, Node]], bounds: dict) -> Column:
@@ -117,14 +121,19 @@ def divided(rows: DataFrame, shards: int) -> tuple[DataFrame, Node]:
     return rows.drop("node"), root
 
 
+def _step(bits: int) -> int:
+    """Bits left after a pass; one of them ends where the bits of the rows begin."""
+    return max(ROW_BITS if bits > ROW_BITS else 0, bits - PASS_BITS)
+
+
 def _cut(rows: DataFrame, nodes: list[tuple[int, Node]], weight: dict[int, int]) -> None:
     """Find the key at which each node's left part has its share of the node's bytes."""
-    open_at = {at: [0, 2 * VALUE_BITS, 0] for at, _ in nodes if weight.get(at)}
+    open_at = {at: [0, VALUE_BITS + TIE_BITS, 0] for at, _ in nodes if weight.get(at)}
     by_at = dict(nodes)
     while open_at:
         start, shift = F.lit(None).cast("long"), F.lit(None).cast("int")
         for at, (base, bits, _) in open_at.items():
-            step = max(0, bits - PASS_BITS)
+            step = _step(bits)
             start = F.when((F.col("node") == at) & (F.shiftright("key", bits) == base >> bits), F.lit(base).cast("long")).otherwise(start)
             shift = F.when(F.col("node") == at, F.lit(step)).otherwise(shift)
         sums = (
@@ -137,7 +146,7 @@ def _cut(rows: DataFrame, nodes: list[tuple[int, Node]], weight: dict[int, int])
             found.setdefault(row["node"], []).append((row["digit"], row["bytes"]))
         for at in list(open_at):
             base, bits, before = open_at[at]
-            step = max(0, bits - PASS_BITS)
+            step = _step(bits)
             node, total = by_at[at], weight[at]
             wanted = total * (node.leaves // 2) / node.leaves
             for digit, size in found[at]:
@@ -158,7 +167,9 @@ def sharded(df: DataFrame, shards: int | None = 16, target_bytes: int | None = N
 
     ``size`` is the text's UTF-8 bytes plus one (null: one). The tree has ``shards`` leaves, or as
     many as bring each to ``target_bytes``. Leaves have near equal bytes. Rows of equal texts stay
-    in one shard unless they have more than 1/256 of a shard's bytes; then they are spread by id.
+    in one shard unless a cut falls among them and they are too large for either side; then the
+    cut divides them by a hash of the id. So a cut tears one text at most, whatever the size of the
+    table, but for texts whose hashes agree in their first bits.
     ``slot`` numbers the rows of a shard from 0 without gaps. Rows without id, with null texts or
     repeated are placed like others; an empty table gives an empty result.
     """
@@ -166,10 +177,7 @@ def sharded(df: DataFrame, shards: int | None = 16, target_bytes: int | None = N
     total = df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
-    alone = F.col("bytes") > total / shards * LARGE_GROUP
-    tie = F.when(alone, F.xxhash64("sign", "doc_id")).otherwise(F.xxhash64("sign"))
-    placed = settled(placed.withColumn("tie", tie).drop("bytes"))
-    rows = divided(placed, shards)[0].select("doc_id", "size", "text_crc32", "sign", "shard")
+    rows = divided(settled(placed), shards)[0].select("doc_id", "size", "text_crc32", "sign", "shard")
     return numbered(rows, "shard").drop("sign")
 
 

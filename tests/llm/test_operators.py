@@ -117,9 +117,9 @@ def test_shards(spark, docs, shards):
     mean = sum(size.values()) / shards
     assert all(abs(v / mean - 1) < 0.03 for v in size.values())
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    copies = Counter(texts.values())
-    together = [t for t in where if (len(t) + 1) * copies[t] <= mean * sharding.LARGE_GROUP]
-    assert len(together) > 100 and all(len(where[t]) == 1 for t in together)
+    # A cut tears the text it falls on, if any; the text of a third of the rows needs several shards.
+    torn = [t for t in where if len(where[t]) > 1]
+    assert len(where) > 1000 and len(torn) <= shards - 1
 
 
 def test_shards_at_the_edge(docs, empty):
