@@ -33,9 +33,10 @@ def containment(ids: DataFrame, folders: DataFrame) -> DataFrame:
     parts = folders.select(
         "folder", "key", F.explode(parts_of_lengths(F.col("key"), sorted(lengths) or [1])).alias("id")
     )
-    wanted = ids.withColumn("_wanted", F.lit(True))
-    hits = lookup_join(parts, wanted, ["id"])
-    return hits.where("_wanted").select("id", "folder", "key", (F.col("key") == F.col("id")).alias("exact"))
+    # Sizes are estimated without the parts that ``explode`` adds, so a broadcast would be of far
+    # more rows than it is chosen for.
+    hits = parts.hint("merge").join(ids, "id")
+    return hits.select("id", "folder", "key", (F.col("key") == F.col("id")).alias("exact"))
 
 
 def hit_index(hits: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _with_counts(items: DataFrame, index: DataFrame) -> DataFrame:
     names = ["n_exact", "f_exact", "n_in", "f_in"]
     for column in ("sap", "tc"):
         side = index.select(F.col("id").alias(column), *[F.col(n).alias(f"{n}_{column}") for n in names])
-        items = lookup_join(items, side, [column], ["item"])
+        items = lookup_join(items, side.hint("merge"), [column], ["item"])
     counts = [f"{n}_{c}" for n in ("n_exact", "n_in") for c in ("sap", "tc")]
     return items.na.fill(0, counts)
 
@@ -99,13 +100,13 @@ def match_cascade(items: DataFrame, folders: DataFrame, shortest_fragment: int =
     index = hit_index(containment(pieces.select("id").distinct(), keyed_folders))
     index = settled(index.select("id", "n_in", "f_in"))
     best = settled(
-        lookup_join(pieces, index, ["id"], ["tc", "rank"])
+        lookup_join(pieces, index.hint("merge"), ["id"], ["tc", "rank"])
         .where("n_in is not null").groupBy("tc")
         .agg(F.min(F.struct("rank", F.col("n_in").alias("n"), F.col("f_in").alias("f"), "id")).alias("b"))
     )
     open_key = F.when(F.col("o").isNull(), F.col("tc"))
     final = lookup_join(decided.withColumn("tc_open", open_key),
-                        best.select(F.col("tc").alias("tc_open"), "b"), ["tc_open"], ["item"])
+                        best.select(F.col("tc").alias("tc_open"), "b").hint("merge"), ["tc_open"], ["item"])
     n = F.coalesce("o.n", "b.n", F.lit(0))
     step = F.coalesce("o.s", F.when(F.col("b").isNotNull(), "TEAMCENTER_FRAGMENT"))
     return final.select(
@@ -123,7 +124,7 @@ def _both_ids(items: DataFrame, hits: DataFrame) -> DataFrame:
     pairs = items.where("sap is not null and tc is not null and sap <> tc").select("sap", "tc").distinct()
     # Only wanted pairs are formed: those of a first id that was found, in the folders it is in.
     return (
-        pairs.join(hits.select(F.col("id").alias("sap"), "folder", "key"), "sap")
+        pairs.hint("merge").join(hits.select(F.col("id").alias("sap"), "folder", "key"), "sap")
         .where(F.col("key").contains(F.col("tc"))).groupBy("sap", "tc")
         .agg(F.count("*").alias("n_both"), F.min("folder").alias("f_both"))
     )
@@ -134,7 +135,7 @@ def _counted_pairs(items: DataFrame, folders: DataFrame, norm, shortest: int) ->
     keyed_items, keyed_folders = _keyed(items, folders, norm, shortest)
     hits = settled(containment(_all_ids(keyed_items), keyed_folders))
     counted = _with_counts(keyed_items, hit_index(hits))
-    counted = lookup_join(counted, _both_ids(keyed_items, hits), ["sap", "tc"], ["item"])
+    counted = lookup_join(counted, _both_ids(keyed_items, hits).hint("merge"), ["sap", "tc"], ["item"])
     same = F.coalesce(F.col("sap") == F.col("tc"), F.lit(False))
     both = F.when(same, F.col("n_in_sap")).otherwise(F.coalesce("n_both", F.lit(0)))
     return (

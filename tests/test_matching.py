@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from dossier.operators import cascade, folders, keypair
 
@@ -197,3 +198,15 @@ def test_a_used_target_is_refused(spark):
     with pytest.raises(FileExistsError):
         folders.require_empty_target(spark.createDataFrame([("/t/x",)], "path string"))
     folders.require_empty_target(spark.createDataFrame([], "path string"))
+
+
+def test_cascade_broadcasts_no_parts_of_names(spark):
+    """Names are cut into many parts, which the estimates of sizes leave out."""
+    items = spark.createDataFrame([("i1", "PX1", "AS12345678"), ("i2", None, "AS92345678")], "item string, sap string, teamcenter string")
+    found = spark.createDataFrame([("f1", "DOC-PX1-B"), ("f2", "REF_2345678")], "folder string, name string")
+    for df in (cascade.containment(items.select(F.explode(F.array("sap", "teamcenter")).alias("id")).where("id is not null"),
+                                   found.withColumnRenamed("name", "key")), cascade.match_cascade(items, found)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {r.item: (r.folder, r.status, r.fragment) for r in df.collect()}
+    assert got == {"i1": ("f1", "CONTAINS_ASSEMBLY_ID", None), "i2": ("f2", "TEAMCENTER_FRAGMENT", "2345678")}
