@@ -14,6 +14,8 @@ from dossier.session import ensure_checkpoint_dir
 PLAIN_GROUP_ROWS = 2_000_000
 # Members of one group held in one array; longer lists continue in further parts.
 PART_SIZE = 1000
+# Keys over which rows without a key are spread in a join.
+OWN_KEYS = 9973
 
 
 def lookup_join(
@@ -23,14 +25,14 @@ def lookup_join(
 
     Spark chooses the strategy and splits skewed keys at run time. Rows without a key would all
     meet in one task: where ``spread_by`` names columns that tell rows apart and the first key
-    is text, such rows get a key of their own for the join, one that no text can equal.
+    is text, such rows get one of ``OWN_KEYS`` short keys for the join that no text can equal.
     """
     on = list(on)
     first = on[0]
     if not spread_by or dict(rows.dtypes)[first] != "string":
         return rows.join(lookup, on, "left")
     missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    own = F.concat(F.lit("\x00"), F.xxhash64(*spread_by).cast("string"))
+    own = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*spread_by), F.lit(OWN_KEYS)).cast("string"))
     keyed = rows.withColumn("_key", F.when(missing, own).otherwise(F.col(first)))
     table = lookup.withColumnRenamed(first, "_key")
     rest = [c for c in lookup.columns if c not in on]

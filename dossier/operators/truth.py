@@ -70,13 +70,13 @@ def match_predictions(predictions: DataFrame, truth: DataFrame) -> DataFrame:
         _blank_to_null(plain_id(F.col("sap"))).alias("sap_key"),
         _blank_to_null(plain_id(F.col("teamcenter"))).alias("tc_key"),
     )
-    lookups = truth_lookups(truth)
 
     def lookup(column: str, tag: str) -> DataFrame:
-        return lookups.where(F.col("id_type") == ID_TYPES[column]).select(
-            F.col("key").alias(f"{tag}_key"), F.col("label").alias(f"{tag}_label"),
-            F.col("row_no").alias(f"{tag}_row"),
-        )
+        # Grouped by the key alone, the look-up lies as the join needs it. It grows with the truth, so
+        # it is not sent whole to every task.
+        return _keyed_truth(truth, [column]).groupBy(F.col("key").alias(f"{tag}_key")).agg(
+            F.max_by("label", "row_no").alias(f"{tag}_label"), F.max("row_no").alias(f"{tag}_row")
+        ).hint("merge")
 
     by_sap, by_tc = lookup("sap", "sap"), lookup("teamcenter", "tc")
     spread = ["model", "prediction_row"]

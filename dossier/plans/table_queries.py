@@ -52,7 +52,7 @@ def eval_confusion(spark, sf):
 
 @query
 def eval_confusion_wide(spark, sf):
-    counts = metrics.confusion(_matched(spark, sf))
+    counts = metrics.confusion_of(spread.settled(metrics.outcomes(_matched(spark, sf))))
     labels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "UNRECOGNISED_RESPONSE"]
     wide = metrics.confusion_wide(counts, labels)
     return wide.toDF("model", "ground_truth", "urgent", "high", "medium", "unspecified", "low", "unrecognised")
@@ -567,8 +567,8 @@ def numbered_lists(spark, sf):
 def tables_round_trip(spark, sf):
     """Result tables of a run, one of them by model, read back from the run's folders."""
     root = _shared_folder(spark)
-    matched = _matched(spark, sf)
-    sinks.write_tables({"confusion": metrics.confusion(matched), "coverage": metrics.run_counts(matched)}, root, "r1", ["confusion"])
+    counted = spread.settled(metrics.outcomes(_matched(spark, sf)))
+    sinks.write_tables({"confusion": metrics.confusion_of(counted), "coverage": metrics.run_counts_of(counted)}, root, "r1", ["confusion"])
     counts = spark.read.parquet(f"{root}/confusion").where("run_id = 'r1'").select("model", "ground_truth", "predicted_label", "n")
     coverage = spark.read.parquet(f"{root}/coverage").where("run_id = 'r1'").select(
         "model", F.lit(None).cast("string").alias("ground_truth"), F.lit(None).cast("string").alias("predicted_label"), F.col("prediction_rows").alias("n")

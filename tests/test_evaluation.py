@@ -101,3 +101,20 @@ def test_wide_confusion_loses_no_label(spark):
     assert sum(r["x"] + r["y"] for r in wide) == 9
     with pytest.raises(Exception, match="Not in the label list"):
         metrics.confusion_wide(counts, ["x"]).collect()
+
+
+def test_metrics_match_once_and_in_proportion(spark, tmp_path, monkeypatch):
+    """The truth's look-ups lie as the joins need them, and tables of a run share one count."""
+    from dossier.plans import table_queries
+
+    preds = spark.createDataFrame([("m", 1, "A", None, "x")], "model string, row_no bigint, sap string, teamcenter string, predicted string")
+    rows = spark.createDataFrame(TRUTH, "row_no bigint, sap string, teamcenter string, label string")
+    found = truth.match_predictions(preds, rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # One exchange for each look-up and one for the predictions in each of two joins.
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 4
+    calls = []
+    monkeypatch.setattr(metrics, "outcomes", lambda m, own=metrics.outcomes: calls.append(1) or own(m))
+    monkeypatch.setattr(table_queries, "_matched", lambda *_: found)
+    assert {(r.ground_truth, r.n) for r in table_queries.tables_round_trip(spark, "").collect()} == {("x", 1), (None, 1)}
+    assert calls == [1]
