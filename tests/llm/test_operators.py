@@ -214,6 +214,48 @@ def test_toxicity_on_held_out_texts(spark, toxic_texts):
     assert {r["t"]["language"] for r in rows} <= {"en", "de", "other"}
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, toxic_texts):
+    """With few texts for each task all of them are learnt from, very long ones too."""
+    docs = spark.createDataFrame([r[:2] for r in toxic_texts], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2]) for r in toxic_texts], "doc_id long, toxic int")
+    model = toxicity.train(docs, known, rows=400)
+    rows = docs.select("doc_id", toxicity.toxicity(docs, model).alias("t")).collect()
+    right = sum((r["t"]["score"] >= 0.5) == (r["doc_id"] % 6 == 0) for r in rows)
+    assert right / len(rows) > 0.97
+    learnt = {t[0] for t in toxic_texts if zlib.crc32(str(t[0]).encode()) % 5}
+    assert {r["doc_id"] for r in toxicity.prepared(docs, toxicity.fit_labels(known, "toxic")).collect()} == learnt
+    # A word that only one text has, and that text is long, moves from its start.
+    odd = (1501, "plain " * 25_000 + "verylongword", 1)
+    some = [*toxic_texts[:60], odd]
+    long = toxicity.train(
+        spark.createDataFrame([r[:2] for r in some], "doc_id long, text string"),
+        spark.createDataFrame([(r[0], r[2]) for r in some], "doc_id long, toxic int"),
+    )
+    words, _ = toxicity.word_rows(pa.array(["plain"]))
+    assert zlib.crc32(b"1501") % 5 and np.abs(long.embedding[toxicity.buckets(words)]).sum() > 0
+
+
+def test_toxicity_cuts_equal_a_sort(spark):
+    random = np.random.default_rng(3)
+    rows = [(int(k), float(x), int(y)) for k, x, y in zip(
+        random.integers(0, 4, 3000), np.round(random.normal(0, 2, 3000), 2) + 300.0 * (random.random(3000) < 0.01),
+        random.random(3000) < 0.2, strict=True)]
+    rows = [(k, x + (2 if y else 0), y if k != 3 else y * (x > 3)) for k, x, y in rows]
+
+    def best(own):
+        points = sorted({x for _, x, _ in own}, reverse=True)
+        positive = sum(y for _, _, y in own)
+        f1 = [2 * sum(y for _, x, y in own if x >= p) / (sum(x >= p for _, x, _ in own) + positive) for p in points]
+        k = f1.index(max(f1))
+        return (points[k] + points[min(k + 1, len(points) - 1)]) / 2
+
+    got = toxicity.cuts(spark.createDataFrame(rows, "language int, logit double, label int"), least=100)
+    few = {k for k in range(5) if sum(y for j, _, y in rows if j == k) < 100}
+    assert 3 in few or 4 in few
+    assert got == pytest.approx([best(rows if k in few else [r for r in rows if r[0] == k]) for k in range(5)])
+    assert toxicity.cuts(spark.createDataFrame([], "language int, logit double, label int")).tolist() == [0.0] * 5
+
+
 # --- op5
 
 def test_mix_targets_by_hand(spark):
@@ -571,6 +613,26 @@ def test_components(spark):
     assert got == {i: 100 for i in range(100, 161)} | {300 + i: 7 for i in range(50)} | {7: 7, 1: 1, 2: 1}
 
 
+def test_small_components_have_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has: each task of the loop's many steps leaves files."""
+    parts = []
+
+    def seen(df):
+        out = settled(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    settled = graph.settled
+    monkeypatch.setattr(graph, "settled", seen)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graph.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {tuple(r) for r in found} == {(i, 0) for i in range(31)}
+    assert len(parts) > 2 and set(parts[1:]) == {1}
+
 # --- op10
 
 def five(text):
