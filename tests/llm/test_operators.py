@@ -431,6 +431,53 @@ def chain_texts():
     return rows
 
 
+@pytest.mark.parametrize("spread", [0.1, 60.0, 600.0])
+def test_weights_of_shared_context_words_give_the_same_class_scores(monkeypatch, spread):
+    random = np.random.default_rng(3)
+    mass = np.arange(1.0, 301.0)
+    model = language.Model.start(mass, buckets=500)
+    model.context[:50] *= spread / 0.1
+    before = np.minimum(random.zipf(1.3, (6000, 2)), 501).astype(np.int32) - 1
+    classes, guess = random.integers(0, len(mass), 6000), model.guessed(before)
+    want, scored = model.class_logs(guess, classes), []
+    chosen = language._chosen
+    monkeypatch.setattr(language, "_chosen", lambda g, *rest: scored.append(len(g)) or chosen(g, *rest))
+    assert model.class_logs(guess, classes, before) == pytest.approx(want, rel=1e-5, abs=1e-3)
+    # Few tokens go on to weights of their own, unless weights are beyond what a product can hold.
+    assert sum(scored) < 1500 or spread > 1
+
+
+def test_sums_by_key_and_share():
+    random = np.random.default_rng(4)
+    for keys in (np.zeros(1, int), np.repeat(np.arange(40), 2), random.zipf(1.4, 3000) % 700, random.integers(0, 1 << 30, 200)):
+        values = random.normal(size=(len(keys), 5)).astype(np.float32)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        want = np.zeros((len(distinct), 5))
+        np.add.at(want, inverse, values)
+        got = language._summed(keys, values)
+        assert (got[0] == distinct).all() and got[1] == pytest.approx(want, abs=1e-4)
+        shares = random.normal(size=3 * len(keys)).astype(np.float32)
+        keys = random.integers(0, 50, len(shares))
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        want = np.zeros((len(distinct), 5))
+        np.add.at(want, inverse, np.repeat(values, 3, axis=0) * shares[:, None])
+        got = language._summed(keys, values, shares)
+        assert (got[0] == distinct).all() and got[1] == pytest.approx(want, abs=1e-4)
+
+
+def test_tokens_of_many_slices_are_joined(monkeypatch):
+    monkeypatch.setattr(language, "SHARING", 40)
+    texts = [None, "", "a b c", "x " * 100, *[f"w{i} v" for i in range(60)], ""]
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    monkeypatch.setattr(ragged.slices, "__defaults__", (64,))
+    want, starts = language.token_rows(batch.column("text"))
+    parts = list(language._many_tokens(batch))
+    assert len(parts) > 2 and [r for p, _, _ in parts for r in p.column("row").to_pylist()] == list(range(len(texts)))
+    assert (np.concatenate([h for _, h, _ in parts]) == want).all()
+    assert (np.concatenate([np.diff(o) for _, _, o in parts]) == np.diff(starts)).all()
+    assert list(language._many_tokens(batch.slice(0, 0))) == []
+
+
 def test_language_model_base_and_gain(spark, docs, empty, chain_texts):
     rows = chain_texts
     many = spark.createDataFrame(rows, "doc_id long, text string")
