@@ -34,7 +34,7 @@ def file_name(rel_path: Column) -> Column:
 
 def parent_dir(rel_path: Column) -> Column:
     """Directory of a path, blank for a file at the top."""
-    return F.regexp_extract(rel_path, r"(?s)^(.*)/[^/]*$", 1)
+    return F.substring(rel_path, F.lit(1), F.length(rel_path) - F.length(file_name(rel_path)) - 1)
 
 
 def suffix(name: Column) -> Column:

@@ -74,8 +74,12 @@ def plain_id(c: Column) -> Column:
 
 def cell_text(c: Column) -> Column:
     """Stripped cell; null and the words for "empty" become blank."""
-    text = text_or_blank(c)
-    return F.when(fold(text).isin(*EMPTY_WORDS), F.lit("")).otherwise(text)
+    return known_text(text_or_blank(c))
+
+
+def known_text(stripped: Column) -> Column:
+    """Stripped text as it is, the words for "empty" as blank."""
+    return F.when(fold(stripped).isin(*EMPTY_WORDS), F.lit("")).otherwise(stripped)
 
 
 def cell_id(c: Column) -> Column:

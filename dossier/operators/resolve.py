@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.paths import current_path
-from dossier.functions.text import cell_text, fold, strip
+from dossier.functions.text import fold, known_text, strip, text_or_blank
 from dossier.operators.spread import best_rows, listed_in_parts
 
 # Where a resolved path came from, and the marks for existence.
@@ -31,24 +31,32 @@ def resolve_files(
     ``listing(path)`` of existing files. The path below ``root`` comes first, then the
     path noted in the inventory, else the file is missing under its current path.
     """
-    rows = with_priority(inventory, priorities).withColumn(
-        "current", current_path(F.lit(root), F.col("assembly"),
-                                cell_text(F.col("relative_subfolder")), cell_text(F.col("file_name")))
-    ).withColumn("noted", F.nullif(cell_text(F.col("file_path")), F.lit("")))
-    existing = listing.select("path").distinct()
-    # Rows that need no second look get a key of their own that no path can equal; as nulls
-    # they would all meet in one task.
-    own_key = F.concat(F.lit("\x00"), F.col("current"))
+    # Cells are stripped in a projection of their own, so each is stripped once.
+    cells = ("relative_subfolder", "file_name", "file_path")
+    rows = (
+        with_priority(inventory, priorities)
+        .withColumns({f"_{c}": text_or_blank(F.col(c)) for c in cells})
+        .withColumns({f"_{c}": known_text(F.col(f"_{c}")) for c in cells})
+        .withColumn("current", current_path(F.lit(root), F.col("assembly"), F.col("_relative_subfolder"), F.col("_file_name")))
+        .withColumn("noted", F.nullif(F.col("_file_path"), F.lit("")))
+        .withColumn("_hash", F.xxhash64("current"))
+    )
+    # Paths begin alike, so sorts would compare them to the end: their hash comes first as a key.
+    existing = listing.select(F.xxhash64("path").alias("_hash"), "path").distinct()
+    # Rows that need no second look have no path to look for and, so that they do not all meet
+    # in one task, the hash of the first.
     found = (
-        rows.join(existing.select(F.col("path").alias("current"), F.lit(True).alias("_now")),
-                  "current", "left")
-        .withColumn("_look", F.coalesce(F.when(F.col("_now").isNull(), F.col("noted")), own_key))
-        .join(existing.select(F.col("path").alias("_look"), F.lit(True).alias("_old")), "_look", "left")
+        rows.join(existing.select("_hash", F.col("path").alias("current"), F.lit(True).alias("_now")),
+                  ["_hash", "current"], "left")
+        .withColumn("_look", F.when(F.col("_now").isNull(), F.col("noted")))
+        .withColumn("_hash", F.xxhash64(F.coalesce("_look", "current")))
+        .join(existing.select("_hash", F.col("path").alias("_look"), F.lit(True).alias("_old")),
+              ["_hash", "_look"], "left")
     )
     use_old = F.coalesce(F.col("_old"), F.lit(False))
     resolved = found.select(
         "assembly", "file_name", "relative_subfolder", "priority",
-        F.when(use_old, F.col("noted")).otherwise(F.col("current")).alias("resolved_path"),
+        F.when(use_old, F.col("_look")).otherwise(F.col("current")).alias("resolved_path"),
         F.when(use_old, FROM_INVENTORY).otherwise(FROM_CURRENT).alias("path_source"),
         (F.coalesce(F.col("_now"), F.lit(False)) | use_old).alias("exists"),
     )

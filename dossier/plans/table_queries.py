@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import answers, paths, text
@@ -329,9 +329,13 @@ def _resolved(spark, sf) -> DataFrame:
     typed = inventory.typed_files(files).withColumn(
         "file_path", F.concat(F.lit("/old/"), "assembly", F.lit("/"), "rel_path")
     )
-    today = files.where("line_status = 'F'").select(F.concat(F.lit("/data/"), "assembly", F.lit("/"), "rel_path").alias("path"))
-    old = files.where("flag = 'A'").select(F.concat(F.lit("/old/"), "assembly", F.lit("/"), "rel_path").alias("path"))
-    return resolve.resolve_files(typed, today.union(old), "/data")
+    # One pass over the listing: every file below today's root, the old one or both.
+    def below(root: str, there: Column) -> Column:
+        return F.struct(there.alias("there"), F.concat(F.lit(root), "assembly", F.lit("/"), "rel_path").alias("path"))
+
+    places = F.array(below("/data/", F.col("line_status") == "F"), below("/old/", F.col("flag") == "A"))
+    existing = files.select(F.inline(places)).where("there").select("path")
+    return resolve.resolve_files(typed, existing, "/data")
 
 
 @query

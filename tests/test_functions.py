@@ -85,6 +85,11 @@ def test_skip_reasons_first_wins(spark):
     assert got == cases
 
 
+def test_parent_dir_of_odd_paths(spark):
+    odd = ["/f", "d/", "d\ne/f\n", "ü/ß/ñ.txt", "d//f", "", None]
+    assert apply(spark, odd, paths.parent_dir) == ["", "d", "d\ne", "ü/ß", "d/", "", None]
+
+
 def test_document_types(spark):
     def kind(older):
         return lambda c: doc_type(c, paths.suffix(paths.file_name(c)), older)

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -83,6 +84,53 @@ def test_resolution(spark):
     assert lists["A"].files == "a.pdf\nB.pdf\nc.pdf" and lists["A"].missing_files == "/r/A/s/c.pdf"
 
 
+def test_type_is_found_once_before_a_filter(spark):
+    files = spark.range(4).select(F.lit("A").alias("assembly"), F.concat(F.lit("plan"), "id", F.lit(".pdf")).alias("rel_path"), "id")
+    typed = inventory.typed_files(files.withColumnRenamed("id", "length"))
+    wanted = resolve.with_priority(typed)
+    # A filter moved below the projection would hold the rules a second time.
+    assert wanted._jdf.queryExecution().executedPlan().toString().count("teileliste") == 1
+    assert {r.priority for r in wanted.collect()} == {"priority_1_candidate"}
+    assert typed.columns == ["assembly", "rel_path", "length", "file_name", "relative_subfolder",
+                             "file_extension", "file_size_mb", "guessed_type", "priority"]
+
+
+def test_resolution_compares_hashes_before_paths(spark):
+    """Repeated, missing and blank cells and repeated paths, against the rule on plain rows."""
+    draw = random.Random(5)
+    cells = [None, "", " ", "nan", "None ", ".", "s", " s ", "t/u"]
+    rows = [(draw.choice(["A", "B"]), draw.choice(cells), draw.choice([" n.pdf", "N.pdf", "m.pdf", None]),
+             draw.choice([None, " ", "nan", "/old/1", " /old/2", "/r/A/s/m.pdf"]), "priority_1_candidate") for _ in range(400)]
+    there = ["/r/A/s/n.pdf", "/r/A/s/n.pdf", "/r/B/m.pdf", "/old/1", "/old/1", "/r/A/t/u/N.pdf", None]
+
+    def cell(value):
+        value = (value or "").strip()
+        return "" if value.casefold() in ("nan", "none") else value
+
+    best = {}
+    for folder, sub, name, noted, priority in rows:
+        parts = ["/r", folder, *([cell(sub)] if cell(sub) not in ("", ".") else []), cell(name)]
+        current, old = "/".join(parts), cell(noted) or None
+        use_old = current not in there and old in there and old is not None
+        path = old if use_old else current
+        order = ((name is not None, (name or "").casefold()), (name is not None, name or ""), (sub is not None, sub or ""))
+        found = (order, name, sub, "inventory_full_path_fallback" if use_old else "current_folder", use_old or current in there)
+        if (folder, path) not in best or found[0] < best[folder, path][0]:
+            best[folder, path] = found
+    inv = spark.createDataFrame(rows, "assembly string, relative_subfolder string, file_name string, file_path string, priority string")
+    listing = spark.createDataFrame([(p,) for p in there], "path string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        resolved = resolve.resolve_files(inv, listing, "/r")
+        plan = resolved._jdf.queryExecution().executedPlan().toString()
+        got = {(r.assembly, r.resolved_path): (r.file_name, r.relative_subfolder, r.path_source, r.exists) for r in resolved.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {key: found[1:] for key, found in best.items()}
+    assert len(re.findall(r"SortMergeJoin \[_hash#\d+L, ", plan)) == 2
+
+
 def test_manifest_currency(spark):
     kinds = "path string, source_pdf_name string, source_sha256 string, dpi int, image_format string, max_side_px int"
     sources = [(p, p, "h", 200, "png", side) for p, side in
