@@ -2,8 +2,9 @@
 
 Two sets that are alike enough differ in few shingles. Cut by hash into more segments than that,
 they agree on whole segments, so equal segment keys find every candidate. Sets that keys connect
-form a block; within a block the inverted lists are searched for the sets that occur often enough
-(DivideSkip: short lists merged, long lists probed), which verifies every link exactly.
+form a block, where that is too large those whose pairs share enough keys; within a block the
+inverted lists are searched for the sets that occur often enough (DivideSkip: short lists merged,
+long lists probed), which verifies every link exactly.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm import ragged
-from dossier.llm.common import settled
+from dossier.llm.common import freed, settled
 from dossier.llm.graph import components
 
 #: Shingles of all sets that one block holds, unless one set alone has more.
 BLOCK_SHINGLES = 250_000
 #: Sets with the most shared keys of a component; all its blocks hold them.
 HUBS = 8
+#: Sets of a key whose pairs are counted, at most; and pairs for each row of keys, at most.
+KEY_SETS = 64
+KEY_PAIRS = 2
+#: Shingles that blocks in pairs hold at a time, as a multiple of those of all sets.
+ROUND_COPIES = 2
 #: Bits of the filter on ids that spares most other texts the second look; a fixed size.
 FILTER_BITS = 1 << 22
 #: Above any number of keys that must be shared, as it is kept beside the level; more is not asked.
@@ -280,6 +286,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .agg(F.first("keys").alias("keys"), F.first("codes").alias("codes"))
     )
     shared = settled(_shared_keys(keys))
+    freed(df.sparkSession)
     linked = _links(df, sets, shared, rule)
     names = linked.join(sets.select(F.col("sign").alias("node"), "doc_id"), "node").groupBy("component").agg(
         F.min("doc_id").alias("component_id")
@@ -295,7 +302,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def _shared_keys(sets: DataFrame) -> DataFrame:
-    """``sign, hub, n`` of keys that several sets have; ``hub`` is the least of these sets.
+    """``sign, key, code, hub, n`` of keys that several sets have; ``hub`` is the least of these sets.
 
     A set that shares too few keys of a level with all others together links to none of them
     there. Leaving its keys out can leave others with too few, hence a second round.
@@ -304,33 +311,92 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
     keys = sets.select("sign", F.explode(F.arrays_zip("keys", "codes")).alias("k")).select(
         "sign", F.col("k.keys").alias("key"), F.col("k.codes").alias("code")
     )
-    shared = keys.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+    # Most keys are of one set: what moved them all is given back before the rest moves.
+    shared = settled(keys.withColumn("n", F.count("*").over(by_key)).filter("n > 1"))
+    freed(sets.sparkSession)
     for _ in range(2):
         found = F.count("*").over(Window.partitionBy("sign", "code"))
         shared = shared.withColumn("found", found).filter(f"found >= code % {NEED_LIMIT}")
         shared = shared.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
-    return shared.select("sign", F.min("sign").over(by_key).alias("hub"), "n")
+    return shared.select("sign", "key", "code", F.min("sign").over(by_key).alias("hub"), "n")
 
 
-def _links(df: DataFrame, sets: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
-    """``node, component`` of the sets that links connect with another, by their hash."""
+def _narrow_edges(keys: DataFrame) -> DataFrame:
+    """``a, b``: edges that connect all sets that can link, far fewer than common keys do.
+
+    ``keys`` are ``sign, key, code, n`` as ``_shared_keys`` gives them. Two sets that link share as
+    many keys of a level as either must. Keys of few sets are counted pair by pair; of all others
+    two sets share no more than either has. A set that has enough of these alone is joined to the
+    least such set on each. How many sets are few follows from how many pairs there would be.
+    """
+    total = keys.count()
+    sizes = keys.filter(F.col("n") <= KEY_SETS).groupBy("n").agg(F.count("*").alias("rows")).collect()
+    few, pairs = 1, 0.0
+    for n, rows in sorted((r["n"], r["rows"]) for r in sizes):
+        pairs += rows * (n - 1) / 2
+        if pairs > KEY_PAIRS * total:
+            break
+        few = n
+    often = F.sum((F.col("n") > few).cast("int")).over(Window.partitionBy("sign", "code")).cast("int")
+    keys = keys.withColumn("often", often)
+    on = (
+        keys.filter(F.col("n") <= few).groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("sign", "code", "often"))).alias("on"))
+    )
+    each = on.select(F.posexplode("on").alias("i", "x"), "on").select(
+        "x", F.explode(F.slice("on", F.col("i") + 2, F.size("on"))).alias("y")
+    )
+    counted = each.groupBy(
+        F.col("x.sign").alias("a"), F.col("y.sign").alias("b"),
+        F.greatest("x.code", "y.code").alias("code"), F.least("x.often", "y.often").alias("often"),
+    ).agg(F.count("*").alias("k"))
+    pairs = counted.filter(f"k + often >= code % {NEED_LIMIT}").select("a", "b")
+    common = keys.filter((F.col("n") > few) & F.expr(f"often >= code % {NEED_LIMIT}")).select("key", "sign")
+    least = common.groupBy("key").agg(F.min("sign").alias("b"))
+    return pairs.unionAll(common.join(least, "key").select(F.col("sign").alias("a"), "b"))
+
+
+def _cut(members: DataFrame) -> DataFrame:
+    """``members`` with ``chunk``: the block of each set, in order of size within its component."""
+    ordered = Window.partitionBy("component").orderBy("n_shingles", "sign")
+    before = F.sum("n_shingles").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_shingles")
+    return members.withColumn("chunk", F.floor(before / BLOCK_SHINGLES))
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """``component, last`` of the components of several blocks."""
+    return members.groupBy("component").agg(F.max("chunk").alias("last")).filter("last > 0")
+
+
+def _members(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """``component, sign, doc_id, n_shingles, weight, chunk`` of the sets that may link with another."""
     coarse = components(shared.select(F.col("sign").alias("a"), F.col("hub").alias("b")))
     weight = shared.groupBy(F.col("sign").alias("node")).agg(F.sum("n").alias("weight"))
-    members = (
+    columns = ["component", "sign", "doc_id", "n_shingles", "weight"]
+    members = settled(_cut(
         coarse.join(weight, "node").join(sets.withColumnRenamed("sign", "node"), "node")
-        .select("component", F.col("node").alias("sign"), "doc_id", "n_shingles", "weight")
-    )
-    ordered = Window.partitionBy("component").orderBy("n_shingles", "sign")
-    members = settled(
-        members.withColumn(
-            "chunk",
-            F.floor((F.sum("n_shingles").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_shingles")) / BLOCK_SHINGLES),
-        )
-    )
+        .withColumnRenamed("node", "sign").select(*columns)
+    ))
+    large = _large(members)
+    if large.isEmpty():
+        return members
+    # Few shared keys connect ever more sets as there are more of them: these are looked at closely.
+    wide = members.join(large.select("component"), "component", "left_semi").drop("component", "chunk")
+    narrow = components(_narrow_edges(shared.join(wide.select("sign"), "sign").select("sign", "key", "code", "n")))
+    close = wide.join(narrow.withColumnRenamed("node", "sign"), "sign").select(*columns)
+    small = members.join(large.select("component"), "component", "left_anti")
+    members = settled(small.unionByName(_cut(close)))
+    freed(members.sparkSession)
+    return members
+
+
+def _links(df: DataFrame, sets: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
+    """``node, component`` of the sets that links connect with another, by their hash."""
+    members = _members(sets, shared)
     values = settled(_sets(df, members, rule))
-    sizes = members.groupBy("component").agg(F.max("chunk").alias("last"))
+    large = _large(members)
     central = (
-        members.join(sizes.filter("last > 0"), "component")
+        members.join(large, "component")
         .withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("weight"), "sign")))
         .filter(f"r <= {HUBS}")
         .select("component", "sign", "n_shingles", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"))
@@ -340,18 +406,41 @@ def _links(df: DataFrame, sets: DataFrame, shared: DataFrame, rule: Rule) -> Dat
     # Components of several blocks whose blocks and hubs did not connect them: blocks in pairs.
     clusters = components(first)
     apart = (
-        members.join(sizes.filter("last > 0"), "component")
+        members.join(large, "component")
         .join(clusters.select(F.col("node").alias("sign"), F.col("component").alias("cluster")), "sign", "left")
         .withColumn("cluster", F.coalesce("cluster", "sign"))
     )
     mixed = apart.groupBy("component").agg(F.countDistinct("cluster").alias("k")).filter("k > 1").select("component")
-    pairs = (
-        apart.join(mixed, "component")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).filter("other <> chunk")
-        .withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    apart = settled(apart.join(mixed, "component"))
+    pairs = settled(_pairs(apart, rule))
+    total = pairs.agg(F.sum("shingles")).first()[0]
+    if total is None:
+        return clusters
+    # A block is sent once for each pair: in rounds, so that not all these copies are there at once.
+    rounds = math.ceil(total / (ROUND_COPIES * members.agg(F.sum("n_shingles")).first()[0]))
+    links = first
+    for r in range(rounds):
+        turn = pairs.filter(F.pmod(F.xxhash64("component", "low", "high"), F.lit(rounds)) == r)
+        sides = turn.select("component", "low", "high", F.explode(F.array("low", "high")).alias("chunk"))
+        # No name keeps the unsettled table, else its copies stayed.
+        links = links.unionAll(settled(
+            _searched(apart.join(sides, ["component", "chunk"]), values, ["component", "low", "high"], rule, True)
+        ))
+        freed(df.sparkSession)
+    return components(links)
+
+
+def _pairs(members: DataFrame, rule: Rule) -> DataFrame:
+    """``component, low, high, shingles``: blocks of a component in pairs, where sets of both may link by size."""
+    blocks = members.groupBy("component", "chunk").agg(
+        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.sum("n_shingles").alias("own")
+    )
+    low = blocks.select("component", F.col("chunk").alias("low"), "most", F.col("own").alias("of_low"))
+    high = blocks.select("component", F.col("chunk").alias("high"), "least", "own")
+    near = F.col("most") * rule.whole >= F.col("least") * rule.part
+    return low.join(high, "component").filter((F.col("low") < F.col("high")) & near).select(
+        "component", "low", "high", (F.col("of_low") + F.col("own")).alias("shingles")
     )
-    second = _searched(pairs, values, ["component", "low", "high"], rule, True)
-    return components(first.unionAll(second))
 
 
 def _searched(members: DataFrame, values: DataFrame, block: list[str], rule: Rule, across: bool) -> DataFrame:

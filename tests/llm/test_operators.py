@@ -646,6 +646,35 @@ def test_join_equals_brute_force(spark, rule, block, monkeypatch):
     assert got == brute_components(rows, rule)
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_join_of_common_lines_sends_few_copies(spark, few, monkeypatch):
+    """Texts of lines that many have are one component of many blocks; each is not sent to all others."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    monkeypatch.setattr(jaccard, "KEY_SETS", few, raising=False)
+    sent, search = [], jaccard._searched
+
+    def seen(members, values, block, rule, across):
+        if across:
+            sent.append(members.agg(F.sum("n_shingles")).first()[0] or 0)
+        return search(members, values, block, rule, across)
+
+    monkeypatch.setattr(jaccard, "_searched", seen)
+    random, rows = np.random.default_rng(7), []
+    lines = [[f"c{k}x{i}" for i in range(14)] for k in range(8)]
+    for i in range(150):
+        own = [f"d{i // 3 if i < 30 else i}x{j}" for j in range(int(random.integers(2, 12)) if i >= 30 else 8)]
+        kept = random.choice(8, 4, replace=False) if i >= 30 else [i // 3 % 8, (i // 3 + 3) % 8]
+        rows.append((i, " ".join([*own, *[w for k in kept for w in lines[k]], *([f"e{i}"] if i % 2 else [])])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, jaccard.Rule())
+    whole = sum(n for n, _ in got.values())
+    assert whole > 10 * 400 and max(sent, default=0) <= 3 * whole
+    # Where no key is counted pair by pair, blocks are left to compare, in several rounds.
+    assert few > 2 or len(sent) > 1
+
+
 def test_join_at_the_edge(docs, empty):
     rows = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
     assert len(rows) == len(ROWS)
